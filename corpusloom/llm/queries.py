@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import piece_codec
+from corpusloom.llm import ngram_join, piece_codec
 from corpusloom.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a shingle similarity of 0.75 or more."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +32,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
