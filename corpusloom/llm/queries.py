@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ngram_join, piece_codec
+from corpusloom.llm import mixing, ngram_join, piece_codec, quality_cnn, toxicity
+from corpusloom.llm.training_sample import labelled_sample, remainder
 from corpusloom.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,44 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: (modulus, remainder) of crc32 of the id: rows whose labels are never learnt from.
+TOXIC_HELD_OUT, QUALITY_HELD_OUT = (3, 1), (5, 0)
+#: Scores from which a row counts as toxic, and as good.
+TOXIC_FROM, QUALITY_FROM = 0.7, 0.3
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.FactorizationMachine:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.train(labelled_sample(docs, labels, "toxic", TOXIC_HELD_OUT, toxicity.TRAIN_ROWS))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_cnn.Network:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_cnn.train(labelled_sample(docs, labels, "quality", QUALITY_HELD_OUT, quality_cnn.TRAIN_ROWS))
+
+
+def judged(scored: DataFrame, held_out: tuple[int, int], threshold: float) -> DataFrame:
+    modulus, kept_back = held_out
+    return scored.select("doc_id", (remainder("doc_id", modulus) == kept_back).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(toxicity.score(docs, toxicity_model(spark, sf_dir), keep=("doc_id",)), TOXIC_HELD_OUT, TOXIC_FROM)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix to the target weights takes of every document."""
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(quality_cnn.score(docs, quality_model(spark, sf_dir), keep=("doc_id",)), QUALITY_HELD_OUT, QUALITY_FROM)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a shingle similarity of 0.75 or more."""
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -32,6 +71,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_mixing": op5_mixing,
+    "op6_quality_cnn": op6_quality,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sentencepiece": op9_sentencepiece,
 }
