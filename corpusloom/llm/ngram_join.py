@@ -9,7 +9,8 @@ orders before its sets are compared:
 
 Hot groups. Equal sets are one class from the start, so exact copies cost nothing more. A block never emits its pairs:
 its members are first linked to one leader; links are contracted into components; then only members outside a block's
-largest component are compared with members of other components. Blocks of common shingles are salted before their
+largest component are compared with members of other components, and of these pairs only such as share enough prefix
+shingles to reach the threshold. Blocks of common shingles are salted before their
 leader is chosen, and the salts' leaders are linked with each other in the same way. Counts, leaders and blocks use
 aggregations with map-side combine and joins that the optimizer may split; nothing is capped or sampled.
 
@@ -142,17 +143,16 @@ def postings(docs: DataFrame, orders: Orders) -> DataFrame:
     return docs.mapInArrow(run, "gram long, cls long, n int, salt byte")
 
 
-def sets_of(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(cls, grams, second, third): each row's set and its prefixes under orders 2 and 3, as packed 64-bit values."""
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(cls, grams): each row's set as packed 64-bit values; classes repeated within a batch come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(class_of(g), g.tobytes(), np.sort(orders.prefix(g, 1)).tobytes(), np.sort(orders.prefix(g, 2)).tobytes()) for _, g in gram_sets(batch, 0) if len(g)]
+            rows = {class_of(g): g.tobytes() for _, g in gram_sets(batch, 0) if len(g)}
             if rows:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cls", "grams", "second", "third"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(rows.values(), pa.binary())], names=["cls", "grams"])
 
-    return docs.mapInArrow(run, "cls long, grams binary, second binary, third binary")
+    return docs.mapInArrow(run, "cls long, grams binary")
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -162,25 +162,33 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
 
 
-def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+def may_reach(n: str, m: str, shared: str) -> F.Column:
+    """Whether sets of sizes n and m that share so many prefix shingles of order 1 can reach the threshold.
+
+    The prefix that ends earlier in the order can only meet the other's prefix; so the overlap is at most ``shared``
+    plus what lies behind the longer rest.
+    """
+    rest = F.ceil(F.greatest(n, m) * SIMILARITY / 100) - 1
+    return (100 + SIMILARITY) * (F.col(shared) + rest) >= SIMILARITY * (F.col(n) + F.col(m))
+
+
+def verified(candidates: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
     """The candidate pairs (a, b) that pass the other orders' prefix tests and then the exact similarity test."""
-    left = sets.select(F.col("cls").alias("a"), F.struct("grams", "second", "third").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.struct("grams", "second", "third").alias("y"))
-    sided = candidates.join(left, "a").join(right, "b").select("a", "b", "x.grams", "x.second", "x.third", F.col("y.grams").alias("grams2"), F.col("y.second").alias("second2"), F.col("y.third").alias("third2"))
+    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+    sided = candidates.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = {n: batch.column(n) for n in batch.schema.names}
-            view = lambda name, i: np.frombuffer(of[name][i].as_buffer(), dtype=np.uint64)
             links = []
-            for i in range(batch.num_rows):
-                if not (common_size(view("second", i), view("second2", i)) and common_size(view("third", i), view("third2", i))):
-                    continue
-                g, h = view("grams", i), view("grams2", i)
-                both = common_size(g, h)
-                if 100 * both >= SIMILARITY * (len(g) + len(h) - both):
-                    links.append(i)
-            yield pa.RecordBatch.from_arrays([of["a"].take(pa.array(links, pa.int64())), of["b"].take(pa.array(links, pa.int64()))], names=["a", "b"])
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                g, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if all(common_size(np.sort(orders.prefix(g, k)), np.sort(orders.prefix(h, k))) for k in (1, 2)):
+                    both = common_size(g, h)
+                    if 100 * both >= SIMILARITY * (len(g) + len(h) - both):
+                        links.append(i)
+            at = pa.array(links, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return sided.mapInArrow(run, "a long, b long")
 
@@ -197,35 +205,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Blocks of order 1: each (shingle, salt) has a leader, each class in a block of two or more is kept.
     block = Window.partitionBy("gram", "salt")
-    placed = postings(texts.select("text"), orders).select("gram", "salt", "cls", "n", F.min("cls").over(block).alias("leader"), F.max("cls").over(block).alias("last"))
-    shared = checkpointed(placed.where("leader <> last or salt >= 0").drop("last").distinct())
-    salted = shared.where("salt >= 0").groupBy("gram").agg(F.min("leader").alias("top"), F.max("leader").alias("other")).where("top <> other")
-    tops = shared.where("salt >= 0").select("gram", "leader").distinct().join(salted.select("gram", "top"), "gram")
-
-    # Round 1: each class against the leader it shares most shingles with.
-    stars = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
-    stars = stars.union(tops.where("leader <> top").select(F.col("leader").alias("a"), F.col("top").alias("b")))
-    best = stars.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    best = checkpointed(best)
-
-    known = shared.select("cls").distinct()
-    chosen = checkpointed(known.join(heads, "cls").select("cls", F.col("head").alias("id")))
-    own = texts.join(broadcast_if_small(chosen, chosen.count()), "id").select("text").union(texts.where("id is null").select("text"))
-    sets = checkpointed(sets_of(own, orders).dropDuplicates(["cls"]))
-    links = checkpointed(verified(best, sets))
+    first_of = F.min(F.struct("cls", "n"))
+    placed = postings(texts.select("text"), orders).select("gram", "salt", "cls", "n", first_of.over(block).alias("leader"), F.max("cls").over(block).alias("last"))
+    placed = placed.where("leader.cls <> last or salt >= 0").select("gram", "salt", "cls", "n", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("leader_n"))
+    shared = checkpointed(placed.distinct())
+    salted = shared.where("salt >= 0").select("gram", "leader", "leader_n").distinct()
+    top = salted.groupBy("gram").agg(F.min(F.struct("leader", "leader_n")).alias("top"), F.max("leader").alias("other")).where("top.leader <> other")
+    tops = salted.join(top.select("gram", F.col("top.leader").alias("top"), F.col("top.leader_n").alias("top_n")), "gram")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verify candidates; only the texts of classes in them are read again."""
+        pairs = checkpointed(pairs)
+        ids = checkpointed(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(heads, "cls").select(F.col("head").alias("id")).distinct())
+        own = texts.join(broadcast_if_small(ids, ids.count()), "id").select("text").union(texts.where("id is null").select("text"))
+        return checkpointed(verified(pairs, checkpointed(sets_of(own)), orders).distinct())
+
+    # Round 1: each class against the leader with which it shares most shingles.
+    stars = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("leader").alias("b"), F.col("leader_n").alias("bn"))
+    stars = stars.union(tops.where("leader <> top").select("leader", "leader_n", "top", "top_n"))
+    counted = stars.groupBy("a", "b").agg(F.min("an").alias("an"), F.min("bn").alias("bn"), F.count("*").alias("shared")).where(may_reach("an", "bn", "shared"))
+    best = counted.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    links = linked(best)
     part = connected_components(links)
 
-    # Round 2: classes outside their block's largest component against the block's other components.
+    # Round 2: classes outside their block's largest component against the block's other components. A pair in two
+    # components meets in every block that holds both, so the count of its shared prefix shingles is exact.
     within = shared.select("gram", "cls", "n").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     per = within.groupBy("gram", "component").count()
     mixed = per.groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
-    open_blocks = checkpointed(within.join(mixed, "gram"))
-    x = open_blocks.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = open_blocks.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    near = (F.col("xc") != F.col("yc")) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
-    pairs = x.join(y, "gram").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.union(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets))
+    blocks = within.join(mixed, "gram")
+    x = blocks.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    y = blocks.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
+    near = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
+    met = x.join(y, "gram").where(near).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.least("xn", "yn")).alias("an"), F.max(F.greatest("xn", "yn")).alias("bn"), F.count("*").alias("shared"))
+    links = links.union(linked(met.where(may_reach("an", "bn", "shared")).select("a", "b")))
     part = connected_components(links)
 
     # Class -> component -> smallest id; classes without links are their own component.

@@ -1,9 +1,9 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text is the set of its terms (runs of letters and digits, A-Z lower-cased), hashed into 2**18 bins. The score is the
-logistic of ``bias + sum w[i] + sum over pairs of <v[i], v[j]>``: pairs carry what linear weights can't, such as an
-insult together with a group's name. Only bins whose presence goes with the label in the training sample are kept, so
-that the many words seen once or twice add no noise.
+A text is the set of its terms (runs of letters and digits, A-Z lower-cased) and of their beginnings of 4 to 8 bytes,
+which stand for stems, hashed into 2**31 bins. The score is the logistic of ``bias + sum w[i] + sum over pairs of <v[i], v[j]>``: pairs carry what linear weights can't, such as an
+insult together with a group's name. Only bins whose presence goes with the label in the training sample have weights, so
+that the many words seen once or twice add no noise, and other words hardly ever fall into their bins.
 
 The model is fitted in numpy on a bounded sample of labelled rows (``TRAIN_ROWS``); every row's whole text is scored in
 Arrow batches.
@@ -26,26 +26,45 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.textbytes import TERMS, run_hashes, runs, slices
 
-BINS = 1 << 18
+BINS = 1 << 31
+STEMS = (4, 5, 6, 7, 8)
+#: Low bits of a bin that are looked up first.
+SIEVE_BITS = 18
 #: Labelled rows used for fitting, at most.
-TRAIN_ROWS = 12_000
-#: Bins with weights, at most; and the number of sample texts that must have a bin.
-KEPT_BINS, LEAST_TEXTS = 1500, 4
+TRAIN_ROWS = 6_000
+#: Bins with weights, at most; the sample texts that must have a bin; the standard errors by which it must go with the label.
+KEPT_BINS, LEAST_TEXTS, LEAST_STRENGTH = 1500, 4, 3.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 12, 256, 0.05, 2e-4
 
 
 @dataclass
 class FactorizationMachine:
-    slot: np.ndarray  # bin -> index of its weights, or -1
+    bins: np.ndarray  # sorted bins that have weights
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def scores(self, bins: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities of n texts from their distinct (bin, text) pairs."""
-        at = self.slot[bins]
-        at, text = at[at >= 0], text[at >= 0]
-        return logistic(self.margin(at, text, n))
+    def __post_init__(self):
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self.bins & ((1 << SIEVE_BITS) - 1)] = True
+
+    def known(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where, slot) of the bins that have weights."""
+        where = np.flatnonzero(self.sieve[bins & ((1 << SIEVE_BITS) - 1)])
+        at = np.searchsorted(self.bins, bins[where])
+        hit = self.bins[np.minimum(at, len(self.bins) - 1)] == bins[where] if len(self.bins) else np.zeros(len(where), bool)
+        return where[hit], at[hit]
+
+    def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Probabilities of whole texts."""
+        slots, texts = [], []
+        for bins, text in term_bins(buf, off):
+            where, at = self.known(bins)
+            slots.append(at)
+            texts.append(text[where])
+        n = len(off) - 1
+        pairs = np.unique(np.concatenate(texts) * max(1, len(self.bins)) + np.concatenate(slots))
+        return logistic(self.margin(pairs % max(1, len(self.bins)), pairs // max(1, len(self.bins)), n))
 
     def margin(self, at: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         out = self.bias + np.bincount(text, self.weights[at], n)
@@ -59,35 +78,34 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def term_bins(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (bin, text number) pairs of the texts."""
+def term_bins(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bin, text number) of the texts' terms, then of the terms' beginnings of each length; with repeats."""
     s, e, text = runs(buf, off, TERMS)
-    bins = (run_hashes(buf, s, e) >> np.uint64(46)).astype(np.int64)
-    both = np.unique(text * BINS + bins)
-    return both % BINS, both // BINS
+    yield (run_hashes(buf, s, e) >> np.uint64(33)).astype(np.int64), text
+    for k in STEMS:
+        longer = e - s > k
+        s, e, text = s[longer], e[longer], text[longer]
+        yield (run_hashes(buf, s, s + k) >> np.uint64(33)).astype(np.int64), text
 
 
 def fit(bins: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
-    """Fit on the bins of each sample text and its 0/1 label, in the order given."""
-    slot = np.full(BINS, -1, np.int32)
+    """Fit on the distinct bins of each sample text and its 0/1 label, in the order given."""
     total, positive = len(labels), int(labels.sum())
-    if not positive:
-        return FactorizationMachine(slot, -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    if positive == total:
-        return FactorizationMachine(slot, 30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    sizes = np.array([len(b) for b in bins])
+    if not 0 < positive < total:
+        return FactorizationMachine(np.zeros(0, np.int64), 30.0 if positive else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     flat = np.concatenate(bins)
-    seen = np.bincount(flat, minlength=BINS)
-    hits = np.bincount(flat, np.repeat(labels, sizes), minlength=BINS)
+    vocabulary, seen = np.unique(flat, return_counts=True)
+    toxic_bins, times = np.unique(np.concatenate([b for b, y in zip(bins, labels, strict=True) if y]), return_counts=True)
+    hits = np.zeros(len(vocabulary), np.int64)
+    hits[np.searchsorted(vocabulary, toxic_bins)] = times
     rate = positive / total
-    strength = np.abs(hits - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
-    strength[(seen < LEAST_TEXTS) | (strength < 1.5)] = 0
+    strength = np.abs(hits - seen * rate) / np.sqrt(seen * rate * (1 - rate))
+    strength[(seen < LEAST_TEXTS) | (strength < LEAST_STRENGTH)] = 0
     kept = np.argsort(-strength, kind="stable")[:KEPT_BINS]
-    kept = kept[strength[kept] > 0]
-    slot[kept] = np.arange(len(kept))
+    kept = np.sort(vocabulary[kept[strength[kept] > 0]]).astype(np.int64)
     rng = np.random.RandomState(11)
-    model = FactorizationMachine(slot, float(np.log(rate / (1 - rate))), np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), FACTORS)))
-    texts = [a[a >= 0] for a in (slot[b] for b in bins)]
+    model = FactorizationMachine(kept, float(np.log(rate / (1 - rate))), np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), FACTORS)))
+    texts = [model.known(b)[1] for b in bins]
     state = {n: [np.zeros_like(p), np.zeros_like(p)] for n, p in (("w", model.weights), ("v", model.factors))}
     step = 0
     for _ in range(EPOCHS):
@@ -120,7 +138,8 @@ def train(sample: DataFrame) -> FactorizationMachine:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in slices(batch.column(1)):
-                bins, text = term_bins(buf, off)
+                pairs = np.unique(np.concatenate([text * BINS + bins for bins, text in term_bins(buf, off)]))
+                bins, text = pairs % BINS, pairs // BINS
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bins, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["id", "label", "bins"])
@@ -138,7 +157,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for a, b, buf, off in slices(batch.column(batch.num_columns - 1)):
-                out[a:b] = model.scores(*term_bins(buf, off), b - a)
+                out[a:b] = model.scores(buf, off)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*(f.name for f in kept), output])
 
     return source.mapInArrow(run, T.StructType([*kept, T.StructField(output, T.DoubleType())]))
