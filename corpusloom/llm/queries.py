@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, ngram_join, piece_codec, quality_cnn, toxicity
+from corpusloom.llm import fingerprints, mixing, ngram_join, piece_codec, quality_cnn, toxicity
 from corpusloom.llm.training_sample import labelled_sample, remainder
 from corpusloom.runtime import read_table
 
@@ -64,6 +64,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_quality_cnn": op6_quality,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
