@@ -166,10 +166,11 @@ def may_reach(n: str, m: str, shared: str) -> F.Column:
     """Whether sets of sizes n and m that share so many prefix shingles of order 1 can reach the threshold.
 
     The prefix that ends earlier in the order can only meet the other's prefix; so the overlap is at most ``shared``
-    plus what lies behind the longer rest.
+    plus what lies behind the longer rest. And the sizes themselves must not differ too much.
     """
     rest = F.ceil(F.greatest(n, m) * SIMILARITY / 100) - 1
-    return (100 + SIMILARITY) * (F.col(shared) + rest) >= SIMILARITY * (F.col(n) + F.col(m))
+    enough = (100 + SIMILARITY) * (F.col(shared) + rest) >= SIMILARITY * (F.col(n) + F.col(m))
+    return enough & (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m))
 
 
 def verified(candidates: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
