@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprints, mixing, ngram_join, piece_codec, quality_cnn, toxicity
+from corpusloom.llm import chat_format, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity
 from corpusloom.llm.training_sample import labelled_sample, remainder
 from corpusloom.runtime import read_table
 
@@ -42,12 +42,30 @@ def judged(scored: DataFrame, held_out: tuple[int, int], threshold: float) -> Da
     return scored.select("doc_id", (remainder("doc_id", modulus) == kept_back).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id",))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return judged(toxicity.score(docs, toxicity_model(spark, sf_dir), keep=("doc_id",)), TOXIC_HELD_OUT, TOXIC_FROM)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.extract_main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=("page_id", "url"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as transcripts, their roles recovered from the lines and rendered canonically."""
+    written = chat_format.written_transcripts(read_table(spark, sf_dir, "conversations"))
+    known = written.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0)
+    return chat_format.parse_transcripts(written, chat_format.fit(known), keep=("conv_id", "part"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix to the target weights takes of every document."""
     return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -75,13 +93,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_and_decode(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id",), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as lossless WebP and read back."""
+    outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.through_webp(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",), outputs=outputs)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_main_text": op3_main_text,
+    "op4_chat_format": op4_chat_format,
     "op5_mixing": op5_mixing,
     "op6_quality_cnn": op6_quality,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
