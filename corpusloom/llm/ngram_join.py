@@ -8,11 +8,11 @@ orders before its sets are compared:
 * orders 2 and 3 rehash the shingles and are tested when a candidate's sets arrive, before the overlap is counted.
 
 Hot groups. Equal sets are one class from the start, so exact copies cost nothing more. A block never emits its pairs:
-its members are first linked to one leader; links are contracted into components; then only members outside a block's
-largest component are compared with members of other components, and of these pairs only such as share enough prefix
-shingles to reach the threshold. Blocks of common shingles are salted before their
-leader is chosen, and the salts' leaders are linked with each other in the same way. Counts, leaders and blocks use
-aggregations with map-side combine and joins that the optimizer may split; nothing is capped or sampled.
+in rounds, its members are compared with one leader of the block's largest component, and links join components; blocks
+that have become one component are done. Only what is then still outside its block's largest component is compared with
+the block's other components, and of these pairs only such as share enough prefix shingles to reach the threshold. Blocks of
+common shingles are salted where their members meet. Counts and leaders use aggregations with map-side combine and
+joins that the optimizer may split; nothing is capped or sampled.
 
 Defined results: A-Z are lower-cased, words are runs of non-space bytes, a text with fewer than five words has one
 shingle, a null or blank text has none and links with nothing; a null id keeps its row and its class but never becomes
@@ -22,6 +22,7 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,11 @@ from corpusloom.runtime import broadcast_if_small, checkpointed
 #: Similarity in hundredths.
 SIMILARITY = 75
 #: Entries of the list of common shingles (16 bytes each): bounds what each task holds. Any list gives the same result.
-COMMON_LIST = 50_000
+COMMON_LIST = 200_000
 #: Copies of a shingle within one batch of documents that make it a candidate for that list.
-COMMON_IN_BATCH = 4
+COMMON_IN_BATCH = 2
+#: Rounds of linking members to leaders, at most. Any number of rounds gives the same result.
+ROUNDS = 10
 #: Parts into which a common shingle's block is dealt.
 SALTS = 64
 
@@ -194,53 +197,80 @@ def verified(candidates: DataFrame, sets: DataFrame, orders: Orders) -> DataFram
     return sided.mapInArrow(run, "a long, b long")
 
 
+def common_orders(counted: DataFrame) -> Orders:
+    """The orders, from (gram, times): the commonest shingles, as many as the list holds without splitting equal counts."""
+    counted = checkpointed(counted)
+    per_count = sorted(((r.times, r.n) for r in counted.groupBy("times").agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for times, n in per_count:
+        if held + n > COMMON_LIST:
+            break
+        held, least = held + n, times
+    if least is None:
+        return Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = counted.where(F.col("times") >= least).toArrow()
+    return Orders(rows["gram"].to_numpy().view(np.uint64), rows["times"].to_numpy())
+
+
+def with_leaders(blocks: DataFrame, turn: int) -> DataFrame:
+    """The rows of blocks with two components or more, with the block's size, largest component and a leader from it."""
+    per = blocks.groupBy("gram", "component").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("one"))
+    of = per.groupBy("gram").agg(F.max(F.struct("count", "component", "one")).alias("top"), F.count("*").alias("parts"), F.sum("count").alias("size")).where("parts > 1")
+    of = of.select("gram", "size", F.col("top.component").alias("main"), F.col("top.one.cls").alias("leader"), F.col("top.one.n").alias("leader_n"))
+    return blocks.join(of, "gram")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: its set's size and the smallest id reachable by links."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = checkpointed(sizes_and_common(texts))
-    common = first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON_LIST).collect()
-    orders = Orders(np.array([r.gram for r in common], np.int64).view(np.uint64), np.array([r.times for r in common], np.int64))
-
+    orders = common_orders(first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")))
     members = first.where("n is not null").select("id", "n", "cls")
     heads = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("head"))
 
-    # Blocks of order 1: each (shingle, salt) has a leader, each class in a block of two or more is kept.
-    block = Window.partitionBy("gram", "salt")
-    first_of = F.min(F.struct("cls", "n"))
-    placed = postings(texts.select("text"), orders).select("gram", "salt", "cls", "n", first_of.over(block).alias("leader"), F.max("cls").over(block).alias("last"))
-    placed = placed.where("leader.cls <> last or salt >= 0").select("gram", "salt", "cls", "n", F.col("leader.cls").alias("leader"), F.col("leader.n").alias("leader_n"))
-    shared = checkpointed(placed.distinct())
-    salted = shared.where("salt >= 0").select("gram", "leader", "leader_n").distinct()
-    top = salted.groupBy("gram").agg(F.min(F.struct("leader", "leader_n")).alias("top"), F.max("leader").alias("other")).where("top.leader <> other")
-    tops = salted.join(top.select("gram", F.col("top.leader").alias("top"), F.col("top.leader_n").alias("top_n")), "gram")
-
     def linked(pairs: DataFrame) -> DataFrame:
-        """Verify candidates; only the texts of classes in them are read again."""
-        pairs = checkpointed(pairs)
+        """Verify candidates (a, b); only the texts of classes in them are read again."""
         ids = checkpointed(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(heads, "cls").select(F.col("head").alias("id")).distinct())
         own = texts.join(broadcast_if_small(ids, ids.count()), "id").select("text").union(texts.where("id is null").select("text"))
         return checkpointed(verified(pairs, checkpointed(sets_of(own)), orders).distinct())
 
-    # Round 1: each class against the leader with which it shares most shingles.
-    stars = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("leader").alias("b"), F.col("leader_n").alias("bn"))
-    stars = stars.union(tops.where("leader <> top").select("leader", "leader_n", "top", "top_n"))
-    counted = stars.groupBy("a", "b").agg(F.min("an").alias("an"), F.min("bn").alias("bn"), F.count("*").alias("shared")).where(may_reach("an", "bn", "shared"))
-    best = counted.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = linked(best)
-    part = connected_components(links)
-
-    # Round 2: classes outside their block's largest component against the block's other components. A pair in two
-    # components meets in every block that holds both, so the count of its shared prefix shingles is exact.
-    within = shared.select("gram", "cls", "n").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    per = within.groupBy("gram", "component").count()
-    mixed = per.groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
-    blocks = within.join(mixed, "gram")
-    x = blocks.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = blocks.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
+    # Blocks of order 1 with two classes or more; a common shingle's salts may be of one.
+    block = Window.partitionBy("gram", "salt")
+    placed = postings(texts.select("text"), orders).withColumn("least", F.min("cls").over(block)).withColumn("most", F.max("cls").over(block))
+    blocks = checkpointed(placed.where("least <> most or salt >= 0").select("gram", "cls", "n", F.col("cls").alias("component")).distinct())
+
+    links, tried, before = [], [], None
+    for turn in range(ROUNDS):
+        open_blocks = with_leaders(blocks, turn)
+        outside, pairs = open_blocks.where("component <> main").agg(F.count("*"), F.sum("size")).first()
+        if not outside or (turn and pairs <= 2 * outside) or (before is not None and outside > 0.98 * before):
+            break
+        before = outside
+        stars = open_blocks.where("component <> main").where(100 * F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n"))
+        stars = stars.groupBy("cls", "leader", "component", "main").count()
+        best = stars.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("count", F.col("leader").alias("b"), "component", "main")).alias("best"))
+        best = checkpointed(best.select("a", "best.b", "best.component", "best.main"))
+        found = linked(best.select("a", "b"))
+        links.append(found)
+        tried.append(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        joined = best.join(found, ["a", "b"]).select("component", "main")
+        joined = joined.union(joined.select("main", "component")).groupBy("component").agg(F.min("main").alias("other"))
+        blocks = open_blocks.select("gram", "cls", "n", "component").join(joined, "component", "left")
+        blocks = checkpointed(blocks.select("gram", "cls", "n", F.least("component", F.coalesce("other", "component")).alias("component")))
+
+    # The rest: a pair in two components meets in every block that holds both, so the count of its shared prefix
+    # shingles is exact.
+    rest = with_leaders(blocks, 0)
+    x = rest.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    y = rest.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
     near = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
-    met = x.join(y, "gram").where(near).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.least("xn", "yn")).alias("an"), F.max(F.greatest("xn", "yn")).alias("bn"), F.count("*").alias("shared"))
-    links = links.union(linked(met.where(may_reach("an", "bn", "shared")).select("a", "b")))
-    part = connected_components(links)
+    sides = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = x.join(y, "gram").where(near).groupBy(*sides).agg(F.min(F.least("xn", "yn")).alias("an"), F.max(F.greatest("xn", "yn")).alias("bn"), F.count("*").alias("shared"))
+    met = met.where(may_reach("an", "bn", "shared")).select("a", "b")
+    for pairs in tried:
+        met = met.join(pairs, ["a", "b"], "left_anti")
+    links.append(linked(checkpointed(met)))
+    part = connected_components(functools.reduce(DataFrame.union, links))
 
     # Class -> component -> smallest id; classes without links are their own component.
     classes = heads.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "head", F.coalesce("component", "cls").alias("component"))
