@@ -115,19 +115,19 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprints of every text and of its edited text (its last third replaced by the next document's start)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    ids = base.select("id", "row")
+    ids = base.select("id", "row", F.floor(F.length("text") / 3).cast("int").alias("cut"))
     distinct = checkpointed(ids.distinct())
     repeats = ids.count() != distinct.count()
-    base = base.withColumn("bits", fingerprint(F.col("text")))
+    base = base.select("id", "row", "text", fingerprint(F.col("text")).alias("bits"))
     one_each = base.dropDuplicates(["id", "row"]) if repeats else base
-    follow = next_in_order(distinct)
-    ahead = one_each.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("text").alias("next_text"), F.col("bits").alias("next_bits"))
-    heads = follow.join(ahead, (follow["next_row"] == ahead["next_row"]) & follow["next_id"].eqNullSafe(ahead["next_id"]))
-    heads = heads.select(follow["id"].alias("h_id"), follow["row"].alias("h_row"), "next_text", "next_bits")
-    both = base.join(heads, (base["row"] == heads["h_row"]) & base["id"].eqNullSafe(heads["h_id"]))
+    # both joins deal out the same rows by the same keys, so the texts are shuffled once
+    follow = next_in_order(distinct.select("id", "row")).join(distinct.withColumnsRenamed({"id": "c_id", "row": "c_row"}), (F.col("row") == F.col("c_row")) & F.col("id").eqNullSafe(F.col("c_id")))
+    follow = follow.select(F.col("id").alias("h_id"), F.col("row").alias("h_row"), "next_id", "next_row", "cut")
+    heads = one_each.join(follow, (F.col("row") == F.col("next_row")) & F.col("id").eqNullSafe(F.col("next_id")))
+    heads = heads.select("h_id", "h_row", F.substring("text", F.lit(1), F.col("cut")).alias("head"), F.col("bits").alias("next_bits"))
+    both = base.join(heads, (F.col("row") == F.col("h_row")) & F.col("id").eqNullSafe(F.col("h_id")))
     size = F.length("text")
-    cut = F.floor(size / 3).cast("int")
-    edited = F.concat(F.substring("text", 1, size - cut), F.substring("next_text", 1, cut))
+    edited = F.concat(F.substring("text", F.lit(1), size - F.floor(size / 3).cast("int")), "head")
     made = both.select("id", size.cast("long").alias("n_chars"), "bits", "next_bits", edited.alias("edited")).withColumn("edited_bits", fingerprint(F.col("edited")))
     return made.select(
         F.col("id").alias(id_col),
