@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.plans import corpus_queries, search_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus_queries.QUERIES, **search_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus_queries.ORACLE_SQL, **search_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword retrieval over the documents."""
-    raise NotImplementedError
+    """Questions to packed contexts: keyword search, rerank, context packing."""
+    return search_queries.final_context(spark, sf_dir)
