@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalized_markdown
+from corpusloom.runtime import rank_in_groups
 
 
 def split_load_status(docs: DataFrame, path: str = "path") -> DataFrame:
@@ -32,10 +33,13 @@ def mark_duplicates(docs: DataFrame, hash_col: str = "content_hash", pos: str =
 
 
 def document_version(docs: DataFrame, base: str = "base_path", hash_col: str = "content_hash", seen: str = "seen_at") -> DataFrame:
-    """Add version: the place of a content among the distinct contents of its base path, by first appearance."""
+    """Add version: the place of a content among the distinct contents of its base path, by first appearance.
+
+    A base path may hold any share of the rows: places come from ranges, not from one task per path.
+    """
     first = docs.groupBy(base, hash_col).agg(F.min(seen).alias("__first"))
-    numbered = first.select(base, hash_col, F.row_number().over(Window.partitionBy(base).orderBy("__first", hash_col)).alias("version"))
-    return docs.join(numbered, [base, hash_col])
+    numbered = rank_in_groups(first, [base], ["__first", hash_col], "version")
+    return docs.join(numbered.select(base, hash_col, "version"), [base, hash_col])
 
 
 def stale_ids(previous: DataFrame, current: DataFrame, key: str = "chunk_id", build_errors: int = 0) -> DataFrame:
@@ -62,8 +66,9 @@ def index_diff(expected: DataFrame, observed: DataFrame, key: str = "id", payloa
 def diff_summary(diff: DataFrame, samples: int = 10) -> DataFrame:
     """(finding, n, first): the number of each finding and its first keys in order."""
     order = Window.partitionBy("finding").orderBy("key")
-    ranked = diff.withColumn("r", F.row_number().over(order))
-    return ranked.groupBy("finding").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("key")))).alias("first"))
+    shown = diff.withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples)  # limited before the shuffle too
+    first = shown.groupBy("finding").agg(F.array_sort(F.collect_list("key")).alias("first"))
+    return diff.groupBy("finding").agg(F.count("*").alias("n")).join(first, "finding")
 
 
 def index_count_check(index: DataFrame, chunks: DataFrame) -> DataFrame:

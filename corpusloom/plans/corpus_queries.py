@@ -270,7 +270,7 @@ SELECT doc_id, array_to_string(v, ',') AS years, CASE WHEN len(v) = 0 THEN 'miss
     "codes_of_documents": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({sql_tokens('text')}, lambda t: regexp_full_match(t, '[a-z]{{1,6}}\\d{{1,4}}|\\d{{7}}')))), ',') AS codes FROM documents",
     "normalized_duplicates": r"SELECT sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS norm, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "mark_duplicates": "SELECT doc_id, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN min(doc_id) OVER (PARTITION BY text) END AS duplicate_of FROM documents",
-    "document_version": "WITH f AS (SELECT source, text, min(doc_id) AS first FROM documents GROUP BY 1, 2), n AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY first) AS v FROM f) SELECT doc_id, d.source AS base_path, CAST(v AS INT) AS version FROM documents d JOIN n ON d.source = n.source AND d.text = n.text",
+    "document_version": "WITH f AS (SELECT source, text, min(doc_id) AS first FROM documents GROUP BY 1, 2), n AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY first) AS v FROM f) SELECT doc_id, d.source AS base_path, v AS version FROM documents d JOIN n ON d.source = n.source AND d.text = n.text",
     "load_status": """
 WITH d AS (SELECT doc_id % 997 AS doc_id, printf('%012d', doc_id) AS path, doc_id % 10 = 0 AS skipped, (doc_id % 7 = 0 OR trim(text) = '') AS empty FROM documents),
 c AS (SELECT *, min(CASE WHEN NOT skipped AND NOT empty THEN path END) OVER (PARTITION BY doc_id) AS first FROM d)
