@@ -33,6 +33,8 @@ VECTOR, FILTERS = 8, 32
 #: Labelled rows used for fitting, at most; and chunks of each.
 TRAIN_ROWS, TRAIN_CHUNKS = 4_000, 8
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.006, 1e-4
+#: Batches that fitting takes at least; a small sample is gone through more often.
+LEAST_STEPS = 600
 #: Chunks run at once.
 AT_ONCE = 1024
 
@@ -96,9 +98,10 @@ def fit(samples: list[np.ndarray], labels: np.ndarray) -> Network:
     net.bias[:] = np.log(share / (1 - share))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(labels)))
+    for epoch in range(epochs):
         order = rng.permutation(len(labels))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
             chunks = np.concatenate([samples[r] for r in rows])
