@@ -213,10 +213,19 @@ def common_orders(counted: DataFrame) -> Orders:
 
 
 def with_leaders(blocks: DataFrame, turn: int) -> DataFrame:
-    """The rows of blocks with two components or more, with the block's size, largest component and a leader from it."""
-    per = blocks.groupBy("gram", "component").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("one"))
-    of = per.groupBy("gram").agg(F.max(F.struct("count", "component", "one")).alias("top"), F.count("*").alias("parts"), F.sum("count").alias("size")).where("parts > 1")
-    of = of.select("gram", "size", F.col("top.component").alias("main"), F.col("top.one.cls").alias("leader"), F.col("top.one.n").alias("leader_n"))
+    """The rows of blocks with two components or more, with the block's size, largest component and a leader from it.
+
+    In turn 0 every class is its own component. All aggregates have buffers of fixed width and combine before the shuffle.
+    """
+    key = F.xxhash64("cls", F.lit(turn))
+    one = (F.min_by("cls", key).alias("leader"), F.min_by("n", key).alias("leader_n"))
+    if not turn:
+        of = blocks.groupBy("gram").agg(F.count("*").alias("size"), *one).where("size > 1").withColumn("main", F.col("leader"))
+    else:
+        per = blocks.groupBy("gram", "component").agg(F.count("*").alias("count"), *one)
+        largest = lambda c: F.max_by(c, "count")
+        of = per.groupBy("gram").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), largest("leader").alias("leader"), largest("leader_n").alias("leader_n"), largest("component").alias("main"))
+        of = of.where("parts > 1").drop("parts")
     return blocks.join(of, "gram")
 
 
@@ -241,26 +250,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links, tried, before = [], [], None
     for turn in range(ROUNDS):
-        open_blocks = with_leaders(blocks, turn)
+        open_blocks = checkpointed(with_leaders(blocks, turn))
         outside, pairs = open_blocks.where("component <> main").agg(F.count("*"), F.sum("size")).first()
         if not outside or (turn and pairs <= 2 * outside) or (before is not None and outside > 0.98 * before):
             break
         before = outside
         stars = open_blocks.where("component <> main").where(100 * F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n"))
-        stars = stars.groupBy("cls", "leader", "component", "main").count()
-        best = stars.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("count", F.col("leader").alias("b"), "component", "main")).alias("best"))
-        best = checkpointed(best.select("a", "best.b", "best.component", "best.main"))
+        counted = stars.groupBy(F.col("cls").alias("a"), F.col("leader").alias("b"), "component", "main").count()
+        best = counted.groupBy("a").agg(*(F.max_by(c, "count").alias(c) for c in ("b", "component", "main")))
+        best = checkpointed(best)
         found = linked(best.select("a", "b"))
         links.append(found)
         tried.append(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         joined = best.join(found, ["a", "b"]).select("component", "main")
-        joined = joined.union(joined.select("main", "component")).groupBy("component").agg(F.min("main").alias("other"))
-        blocks = open_blocks.select("gram", "cls", "n", "component").join(joined, "component", "left")
-        blocks = checkpointed(blocks.select("gram", "cls", "n", F.least("component", F.coalesce("other", "component")).alias("component")))
+        joined = checkpointed(joined.union(joined.select("main", "component")).groupBy("component").agg(F.min("main").alias("other")))
+        blocks = open_blocks.select("gram", "cls", "n", "component").join(broadcast_if_small(joined, joined.count()), "component", "left")
+        blocks = blocks.select("gram", "cls", "n", F.least("component", F.coalesce("other", "component")).alias("component"))
 
     # The rest: a pair in two components meets in every block that holds both, so the count of its shared prefix
     # shingles is exact.
-    rest = with_leaders(blocks, 0)
+    rest = open_blocks
     x = rest.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
     y = rest.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
     near = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
