@@ -23,7 +23,7 @@ def parsed_frontmatter(files: DataFrame) -> DataFrame:
     """
     raw = F.replace(F.col("raw"), F.lit("\r\n"), F.lit("\n"))
     block = F.regexp_extract(raw, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
-    body = F.trim(F.regexp_replace(raw, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", ""))
+    body = F.regexp_replace(F.regexp_replace(raw, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", ""), r"\A\s+|\s+\z", "")
     lines = F.filter(F.split(block, "\n"), lambda s: s.rlike(r"^\s*[^:#\s][^:]*:"))
     bare = lambda v: F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1")
     entries = F.transform(lines, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([^:]+):", 1)), bare(F.regexp_extract(s, r"^[^:]+:(.*)$", 1))))
