@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.textbytes import TERMS, run_hashes, runs, slices
+from corpusloom.runtime import checkpointed
 
 BINS = 1 << 31
 STEMS = (4, 5, 6, 7, 8)
@@ -94,6 +95,8 @@ def fit(bins: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
     if not 0 < positive < total:
         return FactorizationMachine(np.zeros(0, np.int64), 30.0 if positive else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     flat = np.concatenate(bins)
+    if not len(flat):
+        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(positive / (total - positive))), np.zeros(0), np.zeros((0, FACTORS)))
     vocabulary, seen = np.unique(flat, return_counts=True)
     toxic_bins, times = np.unique(np.concatenate([b for b, y in zip(bins, labels, strict=True) if y]), return_counts=True)
     hits = np.zeros(len(vocabulary), np.int64)
@@ -133,7 +136,10 @@ def fit(bins: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
 
 
 def train(sample: DataFrame) -> FactorizationMachine:
-    """Fit on a bounded (id, text, label) table; tasks send each text's distinct bins, not the text."""
+    """Fit on a bounded (id, text, label) table.
+
+    Bins are counted and chosen by aggregation; the driver gets each text's chosen bins only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +150,20 @@ def train(sample: DataFrame) -> FactorizationMachine:
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bins, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["id", "label", "bins"])
 
-    rows = sample.select("id", "text", "label").mapInArrow(run, "id long, label int, bins array<int>").toArrow().sort_by("id")
-    return fit([np.asarray(b.values) for b in rows["bins"]], np.array(rows["label"], dtype=np.float64))
+    binned = checkpointed(sample.select("id", "text", "label").mapInArrow(run, "id long, label int, bins array<int>"))
+    rate = F.lit(binned.agg(F.avg("label")).first()[0] or 0.0)
+    counted = binned.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("seen"), F.sum("label").alias("hits"))
+    strength = F.abs(F.col("hits") - F.col("seen") * rate) / F.sqrt(F.col("seen") * rate * (1 - rate) + 1e-12)
+    strong = counted.where(F.col("seen") >= LEAST_TEXTS).where(strength >= LEAST_STRENGTH).orderBy(F.desc(strength), "bin").limit(KEPT_BINS)
+    kept = np.sort(np.array([r.bin for r in strong.collect()], np.int32))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(b.values, kept, assume_unique=True) if len(b.values) else np.zeros(0, np.int32) for b in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["id", "label", "bins"])
+
+    rows = binned.mapInArrow(known, "id long, label int, bins array<int>").toArrow().sort_by("id")
+    return fit([np.asarray(b.values, dtype=np.int64) for b in rows["bins"]], np.array(rows["label"], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", output: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
