@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import context, dense, evaluation, fusion, rerank, sparse
+from corpusloom.operators import chunking, context, dense, embedding, evaluation, fusion, rerank, sparse
 from corpusloom.plans.corpus_queries import sql_tokens
 from corpusloom.runtime import read_table
 
@@ -143,11 +143,16 @@ def best_excerpt(spark, sf):
     return context.best_excerpt(hits, _benchmark(spark, sf).select(F.col("query_id").alias("claim_id"), "query_id", F.col("query").alias("claim")))
 
 
+def embed_chunks(spark, sf):
+    chunks = chunking.chunk_fixed(read_table(spark, sf, "documents"))
+    return embedding.embed_chunks(chunks).select("chunk_id", F.size("embedding").alias("dim"), tx.valid_vector(F.col("embedding")).alias("valid"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_term_stats, bm25_topk, dense_topk, dense_topk_filtered, rrf_fuse, rrf_weighted, branch_union, hybrid_candidates, diversity_rounds, hydrate_parents, lexical_rerank, lexical_gate, final_context, golden_pairs,
-        retrieval_metrics, mean_metrics, negative_rate, best_excerpt,
+        retrieval_metrics, mean_metrics, negative_rate, best_excerpt, embed_chunks,
     )
 }
 
