@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
@@ -41,7 +41,7 @@ COMMON_LIST = 200_000
 #: Copies of a shingle within one batch of documents that make it a candidate for that list.
 COMMON_IN_BATCH = 2
 #: Rounds of linking members to leaders, at most. Any number of rounds gives the same result.
-ROUNDS = 10
+ROUNDS = 6
 #: Parts into which a common shingle's block is dealt.
 SALTS = 64
 
@@ -165,15 +165,14 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
 
 
-def may_reach(n: str, m: str, shared: str) -> F.Column:
+def may_reach(n: str, m: str, shared: Column) -> Column:
     """Whether sets of sizes n and m that share so many prefix shingles of order 1 can reach the threshold.
 
     The prefix that ends earlier in the order can only meet the other's prefix; so the overlap is at most ``shared``
-    plus what lies behind the longer rest. And the sizes themselves must not differ too much.
+    plus what lies behind the longer rest.
     """
     rest = F.ceil(F.greatest(n, m) * SIMILARITY / 100) - 1
-    enough = (100 + SIMILARITY) * (F.col(shared) + rest) >= SIMILARITY * (F.col(n) + F.col(m))
-    return enough & (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m))
+    return (100 + SIMILARITY) * (shared + rest) >= SIMILARITY * (F.col(n) + F.col(m))
 
 
 def verified(candidates: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
@@ -252,11 +251,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for turn in range(ROUNDS):
         open_blocks = checkpointed(with_leaders(blocks, turn))
         outside, pairs = open_blocks.where("component <> main").agg(F.count("*"), F.sum("size")).first()
-        if not outside or (turn and pairs <= 2 * outside) or (before is not None and outside > 0.98 * before):
+        if not outside or (turn and pairs <= 16 * outside) or (before is not None and outside > 0.95 * before):
             break
         before = outside
         stars = open_blocks.where("component <> main").where(100 * F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n"))
-        counted = stars.groupBy(F.col("cls").alias("a"), F.col("leader").alias("b"), "component", "main").count()
+        counted = stars.groupBy(F.col("cls").alias("a"), F.col("leader").alias("b"), "component", "main").agg(F.count("*").alias("count"), F.max("n").alias("an"), F.max("leader_n").alias("bn"))
+        counted = counted.where(may_reach("an", "bn", F.col("count")))  # the others wait for their exact count
         best = counted.groupBy("a").agg(*(F.max_by(c, "count").alias(c) for c in ("b", "component", "main")))
         best = checkpointed(best)
         found = linked(best.select("a", "b"))
@@ -267,15 +267,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         blocks = open_blocks.select("gram", "cls", "n", "component").join(broadcast_if_small(joined, joined.count()), "component", "left")
         blocks = blocks.select("gram", "cls", "n", F.least("component", F.coalesce("other", "component")).alias("component"))
 
-    # The rest: a pair in two components meets in every block that holds both, so the count of its shared prefix
-    # shingles is exact.
-    rest = open_blocks
-    x = rest.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = rest.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
-    near = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
-    sides = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    met = x.join(y, "gram").where(near).groupBy(*sides).agg(F.min(F.least("xn", "yn")).alias("an"), F.max(F.greatest("xn", "yn")).alias("bn"), F.count("*").alias("shared"))
-    met = met.where(may_reach("an", "bn", "shared")).select("a", "b")
+    # The rest: a pair in two components meets in every block that holds both, so the number of blocks that both stand in
+    # is the exact count of shared prefix shingles. A pair comes out of one of these blocks only, and only if that count
+    # lets it reach the threshold.
+    stands_in = open_blocks.groupBy("cls").agg(F.collect_list("gram").alias("in"))
+    rest = open_blocks.join(stands_in, "cls")
+    x = rest.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("in").alias("xin"))
+    y = rest.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("in").alias("yin"), (F.col("component") == F.col("main")).alias("in_main"))
+    sized = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
+    once = F.exists(F.array(F.array_intersect("xin", "yin")), lambda both: may_reach("xn", "yn", F.size(both)) & (F.array_min(both) == F.col("gram")))
+    met = x.join(y, "gram").where(sized & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for pairs in tried:
         met = met.join(pairs, ["a", "b"], "left_anti")
     links.append(linked(checkpointed(met)))
