@@ -54,7 +54,11 @@ class Trie:
 
     def __init__(self, scores: dict[str, int], nodes: int = NODES):
         self.scores, self.limit = scores, nodes
-        self.longest = max(map(len, scores), default=1)
+        sizes: dict[str, set[int]] = {}
+        for piece in scores:
+            sizes.setdefault(piece[-2:], set()).add(len(piece))
+        #: the sizes of pieces that end in two characters
+        self.sizes = {ends: tuple(sorted(own - {1})) for ends, own in sizes.items()}
         self.begin()
 
     def begin(self) -> None:
@@ -64,15 +68,23 @@ class Trie:
 
     def forward(self, word: str, end: int, best: list[int], pieces: list[int]) -> tuple[int, int]:
         """The score and count of word[:end] from those of its shorter prefixes (lists by length)."""
-        raw = len(word[end - 1].encode())
+        c = word[end - 1]
+        raw = 1 if c < "\x80" else len(c.encode())
         top, count = best[end - 1] + raw * BYTE_SCORE, pieces[end - 1] + raw
         scores = self.scores
-        for start in range(max(0, end - self.longest), end):
-            score = scores.get(word[start:end])
-            if score is not None:
-                total = best[start] + score
-                if total > top or (total == top and pieces[start] + 1 < count):
-                    top, count = total, pieces[start] + 1
+        score = scores.get(c)
+        if score is not None and (score > raw * BYTE_SCORE or (score == raw * BYTE_SCORE and raw > 1)):
+            top, count = best[end - 1] + score, pieces[end - 1] + 1
+        if end > 1:
+            for size in self.sizes.get(word[end - 2 : end], ()):
+                if size > end:
+                    break
+                start = end - size
+                score = scores.get(word[start:end])
+                if score is not None:
+                    total = best[start] + score
+                    if total > top or (total == top and pieces[start] + 1 < count):
+                        top, count = total, pieces[start] + 1
         return top, count
 
     def count(self, word: str) -> int:
