@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_files(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles and checkpoints that nothing refers to any more.
+
+    Spark does so when the driver collects garbage; an iterative job that waits for that keeps every round's files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted rows are within BROADCAST_ROWS; else leave the choice to the optimizer."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
