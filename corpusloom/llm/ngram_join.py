@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.textbytes import mix, shingle_sets, slices
-from corpusloom.runtime import broadcast_if_small, checkpointed
+from corpusloom.runtime import broadcast_if_small, checkpointed, release_files
 
 #: Similarity in hundredths.
 SIMILARITY = 75
@@ -41,7 +41,7 @@ COMMON_LIST = 200_000
 #: Copies of a shingle within one batch of documents that make it a candidate for that list.
 COMMON_IN_BATCH = 2
 #: Rounds of linking members to leaders, at most. Any number of rounds gives the same result.
-ROUNDS = 6
+ROUNDS = 4
 #: Parts into which a common shingle's block is dealt.
 SALTS = 64
 
@@ -246,12 +246,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     block = Window.partitionBy("gram", "salt")
     placed = postings(texts.select("text"), orders).withColumn("least", F.min("cls").over(block)).withColumn("most", F.max("cls").over(block))
     blocks = checkpointed(placed.where("least <> most or salt >= 0").select("gram", "cls", "n", F.col("cls").alias("component")).distinct())
+    del placed
+    release_files(docs.sparkSession)
 
     links, tried, before = [], [], None
     for turn in range(ROUNDS):
         open_blocks = checkpointed(with_leaders(blocks, turn))
+        release_files(docs.sparkSession)
         outside, pairs = open_blocks.where("component <> main").agg(F.count("*"), F.sum("size")).first()
-        if not outside or (turn and pairs <= 16 * outside) or (before is not None and outside > 0.95 * before):
+        if not outside or (turn and pairs <= 16 * outside) or (before is not None and outside > 0.9 * before):
             break
         before = outside
         stars = open_blocks.where("component <> main").where(100 * F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n"))
@@ -279,7 +282,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = x.join(y, "gram").where(sized & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for pairs in tried:
         met = met.join(pairs, ["a", "b"], "left_anti")
-    links.append(linked(checkpointed(met)))
+    met = checkpointed(met)
+    del x, y, rest, stands_in, blocks, open_blocks
+    release_files(docs.sparkSession)
+    links.append(linked(met))
     part = connected_components(functools.reduce(DataFrame.union, links))
 
     # Class -> component -> smallest id; classes without links are their own component.
