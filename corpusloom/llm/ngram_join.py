@@ -270,20 +270,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         blocks = open_blocks.select("gram", "cls", "n", "component").join(broadcast_if_small(joined, joined.count()), "component", "left")
         blocks = blocks.select("gram", "cls", "n", F.least("component", F.coalesce("other", "component")).alias("component"))
 
-    # The rest: a pair in two components meets in every block that holds both, so the number of blocks that both stand in
-    # is the exact count of shared prefix shingles. A pair comes out of one of these blocks only, and only if that count
-    # lets it reach the threshold.
-    stands_in = open_blocks.groupBy("cls").agg(F.collect_list("gram").alias("in"))
-    rest = open_blocks.join(stands_in, "cls")
-    x = rest.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("in").alias("xin"))
-    y = rest.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("in").alias("yin"), (F.col("component") == F.col("main")).alias("in_main"))
+    # The rest: a pair in two components meets in every block that holds both, so the number of blocks where it meets is
+    # the exact count of shared prefix shingles.
+    x = open_blocks.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    y = open_blocks.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
     sized = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
-    once = F.exists(F.array(F.array_intersect("xin", "yin")), lambda both: may_reach("xn", "yn", F.size(both)) & (F.array_min(both) == F.col("gram")))
-    met = x.join(y, "gram").where(sized & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = x.join(y, "gram").where(sized).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = met.agg(F.min(F.least("xn", "yn")).alias("an"), F.max(F.greatest("xn", "yn")).alias("bn"), F.count("*").alias("shared"))
+    met = met.where(may_reach("an", "bn", F.col("shared"))).select("a", "b")
     for pairs in tried:
         met = met.join(pairs, ["a", "b"], "left_anti")
     met = checkpointed(met)
-    del x, y, rest, stands_in, blocks, open_blocks
+    del x, y, blocks, open_blocks
     release_files(docs.sparkSession)
     links.append(linked(met))
     part = connected_components(functools.reduce(DataFrame.union, links))
