@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, remembered by each worker.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 450_000
 
 
 class PieceCodec:
