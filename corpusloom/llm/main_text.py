@@ -3,8 +3,8 @@
 A page becomes a tree. Menus, headers, footers, sidebars, notices, adverts, forms, reader comments and what is never
 shown are cut off, by element and by the words of class, id and role. Every paragraph of the rest passes points to its
 ancestors, by its length and its commas, halved at each further level; a container's points are discounted by the share
-of its text that is in links. The best container is kept with those siblings that score well themselves or are plain
-text with few links.
+of its text that is in links. The best container, or the outermost <article> or <main> around it, is kept whole, with
+all of its siblings, bare text too, that have few links or score well themselves.
 
 Text: character references are decoded, white space inside a block is one space, blocks are trimmed and joined in page
 order by one newline. A line break counts as white space.
@@ -218,6 +218,19 @@ def rating(node: Node) -> float:
     return node.points * bonus * (1 - node.links / node.size if node.size else 0)
 
 
+def runs(parts: list[Node | str]) -> list[list[Node | str]]:
+    """Each element that is or holds blocks by itself, and the text and inline elements between two of them together."""
+    out: list[list[Node | str]] = []
+    inline = False
+    for x in parts:
+        was, inline = inline, isinstance(x, str) or (x.name not in BLOCKS and x.points <= 0)
+        if was and inline:
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
 def main_blocks(page: str | None) -> list[str]:
     """The blocks of a page's main text."""
     if not page or page.isspace():
@@ -228,16 +241,23 @@ def main_blocks(page: str | None) -> list[str]:
     if not containers:
         return blocks(root)
     best = max(containers, key=rating)
-    if best.parent is None:
-        return blocks(best)
+    base = above = best
+    while above is not None:
+        if above.name in ("article", "main"):
+            base = above
+        above = above.parent
+    if base.parent is None:
+        return blocks(base)
     out, least = [], max(1.0, 0.2 * rating(best))
-    siblings = best.parent.parts
-    for x in siblings:
-        if not isinstance(x, Node):
-            continue
-        few_links = x.size and x.links < 0.25 * x.size
-        if x is best or rating(x) >= least or (x.name in PARAGRAPHS and few_links and (x.size >= 80 or x.name in HEADINGS)):
-            out += blocks(x)
+    for group in runs(base.parent.parts):
+        size = sum(len("".join(x.split())) if isinstance(x, str) else x.size for x in group)
+        links = sum(x.links for x in group if isinstance(x, Node))
+        whole = Node("div", None)
+        if base in group or links < 0.25 * size:
+            whole.parts = group
+        else:
+            whole.parts = [x for x in group if isinstance(x, str) or x.links < 0.25 * x.size or rating(x) >= least]
+        out += blocks(whole)
     return out
 
 

@@ -42,6 +42,29 @@ def test_edges():
     assert text('<p title="a>b">quoted, attribute</p>') == "quoted, attribute"
 
 
+def test_whole_article_with_uneven_sections():
+    many = "".join(f"<p>{PARA}</p>" for _ in range(10))
+    page = f"<body><nav>menu</nav><article>Bare lead.<section>{many}</section><section><h2>Short</h2><p>{PARA}</p></section><ul><li>tea</li></ul><p>End.</p></article></body>"
+    assert text(page).split("\n") == ["Bare lead.", *[PARA] * 10, "Short", PARA, "tea", "End."]
+
+
+def test_article_header_beside_its_body():
+    many = "".join(f"<p>{PARA}</p>" for _ in range(10))
+    for outer in ("article", "main"):
+        page = f"<body><header>site</header><{outer}><header><h1>Title</h1></header><div class=body>{many}</div></{outer}><footer>x</footer></body>"
+        assert text(page).split("\n") == ["Title", *[PARA] * 10]
+    page = f"<main><article><div><p>One.</p></div></article><article><div>{many}</div></article></main>"
+    assert text(page).split("\n") == ["One.", *[PARA] * 10]
+
+
+def test_siblings_without_article_element():
+    many = "".join(f"<p>{PARA}</p>" for _ in range(10))
+    menu = "<div><a href=1>one</a> <a href=2>two, and more words here</a></div><a href=3>three</a>"
+    page = f"<body>{menu}<h1>Title</h1>Bare <b>bold</b> text, <a href=4>see</a> below.<div>{many}</div><ul><li>tea</li><li>milk</li></ul><p>Short end.</p>left{menu}<x-tail>tail</x-tail></body>"
+    assert text(page).split("\n") == ["Title", "Bare bold text, see below.", *[PARA] * 10, "tea", "milk", "Short end.", "left", "tail"]
+    assert text(page.replace("tail<", "<p>tail<")).split("\n")[-2:] == ["left", "tail"]
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = extract_main_text(pages, keep=("page_id", "url"))
