@@ -131,7 +131,7 @@ def quality_report(spark, sf):
 
 
 def missing_pages(spark, sf):
-    s = docs(spark, sf).select("doc_id", F.least(F.lit(20), F.ceil(F.col("n_chars") / 1000)).cast("int").alias("n_pages"))
+    s = docs(spark, sf).select("doc_id", F.ceil(F.col("n_chars") / 1000).cast("int").alias("n_pages"))
     p = chunking.chunk_fixed(docs(spark, sf), 1000, 0).select("doc_id", (F.col("chunk_index") + 1).alias("page_number")).where("(doc_id + page_number) % 6 <> 0")
     return quality.missing_pages(s, p)
 
