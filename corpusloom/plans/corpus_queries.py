@@ -210,13 +210,13 @@ def render_context(spark, sf):
 
 def neighbor_join(spark, sf):
     c = chunking.chunk_fixed(docs(spark, sf)).select("chunk_id", "doc_id", "chunk_index", F.array(F.floor(F.col("chunk_index") / 6).cast("string")).alias("heading_path"), F.lit("text").alias("chunk_type"), (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("corpus_pos"))
-    seeds = c.where("doc_id % 50 = 0 and chunk_index % 3 = 0").select(F.col("doc_id").alias("query_id"), "chunk_id")
+    seeds = c.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "chunk_id")
     return fusion.neighbor_join(seeds, c)
 
 
 def table_sibling_join(spark, sf):
     c = chunking.chunk_fixed(docs(spark, sf)).select("chunk_id", "doc_id", F.floor(F.col("chunk_index") / 5).alias("table_index"), (F.col("chunk_index") % 5 + 1).alias("table_part"), "chunk_index")
-    seeds = c.where("doc_id % 50 = 0 and chunk_index % 4 = 0").select(F.col("doc_id").alias("query_id"), "chunk_id")
+    seeds = c.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "chunk_id")
     return fusion.table_sibling_join(seeds, c)
 
 

@@ -20,3 +20,24 @@ def test_missing_pages_of_long_documents(spark, texts):
     got = [tuple(r) for r in corpus_queries.missing_pages(spark, SF).select("doc_id", "page_number").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert max(p for _, p in got) > 20
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    """(chunk_index -> chunk_id) of every document whose id is divisible by 50."""
+    out = {}
+    for r in corpus_queries.chunk_fixed(spark, SF).where("doc_id % 50 = 0").collect():
+        out.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk_id
+    return out
+
+
+def test_every_chunk_is_a_seed_for_neighbours(spark, chunks):
+    want = {(d, c[k], c[k + s], s, p) for d, c in chunks.items() for k in c for p, s in enumerate((-1, 1, -2, 2)) if k + s in c and k // 6 == (k + s) // 6}
+    got = [(r.query_id, r.seed_id, r.chunk_id, r.step, r.place) for r in corpus_queries.neighbor_join(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_chunk_is_a_seed_for_siblings(spark, chunks):
+    want = {(d, c[k], c[n], n % 5 + 1) for d, c in chunks.items() for k in c for n in range(k // 5 * 5, k // 5 * 5 + 5) if n in c}
+    got = [(r.query_id, r.seed_id, r.chunk_id, r.table_part) for r in corpus_queries.table_sibling_join(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
