@@ -142,7 +142,7 @@ def metadata_filter(spark, sf):
 
 
 def term_filter(spark, sf):
-    return quality.term_filter(docs(spark, sf).withColumn("title", F.substring("text", 1, 80)), ["the", "que"], ["$", "!!"]).select("doc_id", "lang")
+    return quality.term_filter(docs(spark, sf), ["the", "que"], ["$", "!!"], "text").select("doc_id", "lang")
 
 
 def url_hosts(spark, sf):

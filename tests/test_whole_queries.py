@@ -41,3 +41,9 @@ def test_every_chunk_is_a_seed_for_siblings(spark, chunks):
     want = {(d, c[k], c[n], n % 5 + 1) for d, c in chunks.items() for k in c for n in range(k // 5 * 5, k // 5 * 5 + 5) if n in c}
     got = [(r.query_id, r.seed_id, r.chunk_id, r.table_part) for r in corpus_queries.table_sibling_join(spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_terms_are_sought_in_the_whole_text(spark, texts):
+    has = lambda t, terms: any(x in t.lower() for x in terms)
+    want = sorted(d for d, r in texts.items() if has(r.text, ("the", "que")) and not has(r.text, ("$", "!!")))
+    assert sorted(r.doc_id for r in corpus_queries.term_filter(spark, SF).collect()) == want
