@@ -4,8 +4,8 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. In ea
 learned byte vectors and are max-pooled; a text is the maximum and the mean of its chunks' pooled filters, and a
 logistic layer turns these into one probability.
 
-The network is fitted by Adam on a bounded sample of labelled rows (``TRAIN_ROWS``, of each text at most
-``TRAIN_CHUNKS`` evenly spaced chunks); every row's whole text is scored in Arrow batches.
+The network is fitted by Adam on the whole texts of a bounded sample of labelled rows (``TRAIN_ROWS``); every row's whole
+text is scored in Arrow batches.
 
 Defined results: null and empty texts count as one chunk of padding; rows are scored alone, so ties, repeated rows and
 empty tables need no rule; without usable labels every score is the labels' share (0 without any); columns with an
@@ -30,8 +30,8 @@ CHUNK, OVERLAP = 256, 32
 #: Bytes between filter positions, and bytes that a filter sees (twice the stride).
 STRIDE = 4
 VECTOR, FILTERS = 8, 32
-#: Labelled rows used for fitting, at most; and chunks of each.
-TRAIN_ROWS, TRAIN_CHUNKS = 4_000, 8
+#: Labelled rows used for fitting, at most.
+TRAIN_ROWS = 4_000
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.006, 1e-4
 #: Batches that fitting takes at least; a small sample is gone through more often.
 LEAST_STEPS = 600
@@ -51,14 +51,23 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.vectors, self.first, self.second, self.shift, self.top, self.bias]
 
-    def filtered(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte vectors and filter values (chunk, position, filter) of (n, CHUNK) bytes."""
+    def filtered(self, chunks: np.ndarray) -> np.ndarray:
+        """Filter values (chunk, position, filter) of (n, CHUNK) bytes."""
         x = self.vectors[chunks].reshape(len(chunks), CHUNK // STRIDE, STRIDE * VECTOR)
-        return x, x[:, :-1] @ self.first + x[:, 1:] @ self.second + self.shift
+        return x[:, :-1] @ self.first + x[:, 1:] @ self.second + self.shift
+
+    def peaks(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's best position in each chunk, and its rectified value there."""
+        at, best = [], []
+        for i in range(0, len(chunks), AT_ONCE):
+            values = self.filtered(chunks[i : i + AT_ONCE])
+            at.append(values.argmax(axis=1))
+            best.append(np.maximum(np.take_along_axis(values, at[-1][:, None], 1)[:, 0], 0))
+        return np.concatenate(at), np.concatenate(best)
 
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """The max-pooled, rectified filters of each chunk."""
-        parts = [np.maximum(self.filtered(chunks[i : i + AT_ONCE])[1].max(axis=1), 0) for i in range(0, len(chunks), AT_ONCE)]
+        parts = [np.maximum(self.filtered(chunks[i : i + AT_ONCE]).max(axis=1), 0) for i in range(0, len(chunks), AT_ONCE)]
         return np.concatenate(parts) if parts else np.zeros((0, FILTERS), np.float32)
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -107,9 +116,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray) -> Network:
             chunks = np.concatenate([samples[r] for r in rows])
             counts = np.array([len(samples[r]) for r in rows])
             first = np.cumsum(counts) - counts
-            x, values = net.filtered(chunks)
-            peak = values.argmax(axis=1)
-            pooled = np.maximum(np.take_along_axis(values, peak[:, None], 1)[:, 0], 0)
+            peak, pooled = net.peaks(chunks)
             highest = np.maximum.reduceat(pooled, first, axis=0)
             mean = np.add.reduceat(pooled, first, axis=0) / counts[:, None]
             both = np.hstack([highest, mean])
@@ -131,8 +138,8 @@ def fit(samples: list[np.ndarray], labels: np.ndarray) -> Network:
                 if a == b:
                     continue
                 for half, weights, shift in ((grads[1], net.first, 0), (grads[2], net.second, 1)):
-                    half[:, f] = g[a:b] @ x[n[a:b], at[a:b] + shift]
                     spot = (at[a:b] + shift) * STRIDE
+                    half[:, f] = g[a:b] @ net.vectors[chunks[n[a:b][:, None], spot[:, None] + np.arange(STRIDE)]].reshape(b - a, size)
                     for s in range(STRIDE):
                         byte_mass = np.bincount(chunks[n[a:b], spot + s], g[a:b], 256)
                         grad_bytes += byte_mass[:, None] * weights[s * VECTOR : (s + 1) * VECTOR, f]
@@ -150,14 +157,14 @@ def fit(samples: list[np.ndarray], labels: np.ndarray) -> Network:
 
 
 def train(sample: DataFrame) -> Network:
-    """Fit on a bounded (id, text, label) table; tasks send at most TRAIN_CHUNKS chunks of each text."""
+    """Fit on a bounded (id, text, label) table; tasks send all chunks of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in slices(batch.column(1)):
                 chunks, first = chunked(buf, off)
                 bounds = np.append(first, len(chunks))
-                taken = [chunks[np.unique(np.linspace(s, e - 1, TRAIN_CHUNKS).astype(np.int64))].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                taken = [chunks[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(taken, pa.binary())], names=["id", "label", "chunks"])
 
     rows = sample.select("id", "text", "label").mapInArrow(run, "id long, label int, chunks binary").toArrow().sort_by("id")

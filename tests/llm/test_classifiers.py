@@ -91,6 +91,21 @@ def test_network_gradients_learn_a_simple_pattern():
     assert ((score > 0.5) == np.array(labels[200:], bool)).mean() > 0.9
 
 
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "fit", lambda samples, labels: samples)
+    text = "".join(f"{k:07d} " for k in range(2000))
+    (chunks,) = quality_cnn.train(spark.createDataFrame([(1, text, 1)], "id long, text string, label int"))
+    step = quality_cnn.CHUNK - quality_cnn.OVERLAP
+    assert b"".join(c[:step].tobytes() for c in chunks[:-1]) + chunks[-1].tobytes().rstrip(b"\0") == text.encode()
+
+
+def test_quality_held_out_on_longest_rows(spark):
+    longest = spark.read.parquet(f"{SF}/documents.parquet").where("octet_length(text) > 1824").select("doc_id")  # more than 8 chunks
+    auc, kept, dropped = figures(spark, queries.op6_quality(spark, SF).join(longest, "doc_id"), "quality")
+    print(f"longest rows: auc {auc:.4f} kept {kept:.4f} dropped {dropped:.4f}")
+    assert auc > 0.97 and kept > 0.98 and dropped > 0.8
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "", 2), (3, "x" * 300_000, 3)], "doc_id long, text string, score int")
     one_sided = spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id long, quality int")
