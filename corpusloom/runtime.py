@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,10 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session names none (tests on one machine), a temporary one."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where the session names none, a session on one machine (tests) gets a temporary one; on a cluster it is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(named)
     return named
@@ -34,20 +38,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release_files(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles and checkpoints that nothing refers to any more.
-
-    Spark does so when the driver collects garbage; an iterative job that waits for that keeps every round's files.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted rows are within BROADCAST_ROWS; else leave the choice to the optimizer."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the DataFrame doesn't have yet (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whole, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def rank_in_groups(df: DataFrame, groups: list[str], order: list[str], output: str = "rank") -> DataFrame:
     """Add each row's place (from 1) in its group by the order columns, without one task per group.
 
