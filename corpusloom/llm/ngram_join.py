@@ -1,18 +1,21 @@
 """Exact self-join of texts on the Jaccard similarity of their word shingles, by multiple-global-order filtering.
 
 If two sets reach the threshold, then under *any* total order of the shingles both must have a common shingle among the
-first ``n - ceil(t * n) + 1`` of their own. So a candidate pair has to pass that prefix test under several different
-orders before its sets are compared:
-
-* order 1 makes the blocks: common shingles last (a bounded list of the most common ones by count), the rest by hash;
-* orders 2 and 3 rehash the shingles and are tested when a candidate's sets arrive, before the overlap is counted.
-
-Hot groups. Equal sets are one class from the start, so exact copies cost nothing more. A block never emits its pairs:
-in rounds, its members are compared with one leader of the block's largest component, and links join components; blocks
-that have become one component are done. Only what is then still outside its block's largest component is compared with
-the block's other components, and of these pairs only such as share enough prefix shingles to reach the threshold. Blocks of
-common shingles are salted where their members meet. Counts and leaders use aggregations with map-side combine and
-joins that the optimizer may split; nothing is capped or sampled.
+first ``n - ceil(t * n) + 1`` of their own. A candidate pair has to pass that prefix test under several orders, and only
+what is left gets its sets compared:
+
+* order 1 (hashes; a bounded list of the commonest shingles last), with prefixes half as long again: so many more
+  shingles must be common, and a set too few of whose longer prefix stand in other sets' prefixes can't have a link;
+* order 2, among the sets that pass: shingles in few sets first. What stands in one set only can't be common, so sets
+  with enough shingles of their own are out, and the blocks of the others are small;
+* orders 1, 3 and 4 (rehashed) once more for each candidate pair, from packed prefixes, before the sets move.
+
+Large groups of near copies. A block never emits the pairs of a group: every set has a *home*, a set that leads most of
+its blocks, and is told by its difference D from it. With ``|x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|`` two sets of one home
+reach the threshold only if their differences have so many shingles in common as makes up for what both differ. Sets
+near enough to the home are linked with it; a pair with a set that is not needs common shingles in the *differences*, and the
+prefix test holds there too: their rarest shingles, which near copies don't share. Pairs of different homes meet in the
+blocks of order 2. No pair is dropped, and nothing is capped or sampled.
 
 Defined results: A-Z are lower-cased, words are runs of non-space bytes, a text with fewer than five words has one
 shingle, a null or blank text has none and links with nothing; a null id keeps its row and its class but never becomes
@@ -22,17 +25,16 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.textbytes import mix, shingle_sets, slices
-from corpusloom.runtime import broadcast_if_small, checkpointed, release_files
+from corpusloom.runtime import broadcast_if_small, checkpointed, free_name, quoted
 
 #: Similarity in hundredths.
 SIMILARITY = 75
@@ -40,10 +42,6 @@ SIMILARITY = 75
 COMMON_LIST = 200_000
 #: Copies of a shingle within one batch of documents that make it a candidate for that list.
 COMMON_IN_BATCH = 2
-#: Rounds of linking members to leaders, at most. Any number of rounds gives the same result.
-ROUNDS = 4
-#: Parts into which a common shingle's block is dealt.
-SALTS = 64
 
 _REHASH = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -65,12 +63,12 @@ def gram_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndar
 
 
 def sizes_and_common(docs: DataFrame) -> DataFrame:
-    """One pass: (id, n, cls) of every row, and after each batch (gram, times) of the shingles common in it."""
+    """One pass: (id, row, n, cls) of every row, and after each batch (gram, times) of the shingles common in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, names, all_grams = [], [], set(), []
-            for _, grams in gram_sets(batch, 1):
+            for _, grams in gram_sets(batch, 2):
                 n.append(len(grams))
                 cls.append(class_of(grams) if len(grams) else None)
                 if len(grams) and cls[-1] not in names:
@@ -78,25 +76,25 @@ def sizes_and_common(docs: DataFrame) -> DataFrame:
                     all_grams.append(grams)
             grams, times = np.unique(np.concatenate(all_grams), return_counts=True) if all_grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = times >= COMMON_IN_BATCH
-            grams, times = grams[often].view(np.int64), times[often]
-            rows, more = len(n), len(grams)
-            nothing = pa.nulls(more, pa.int64())
+            grams, times = grams[often].view(np.int64), times[often].astype(np.int64)
+            none, own = pa.nulls(len(grams), pa.int64()), pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([batch.column(0), nothing]),
-                    pa.concat_arrays([pa.array(n, pa.int64()), nothing]),
-                    pa.concat_arrays([pa.array(cls, pa.int64()), nothing]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(grams)]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(times.astype(np.int64))]),
+                    pa.concat_arrays([batch.column(0), none]),
+                    pa.concat_arrays([batch.column(1), none]),
+                    pa.concat_arrays([pa.array(n, pa.int64()), none]),
+                    pa.concat_arrays([pa.array(cls, pa.int64()), none]),
+                    pa.concat_arrays([own, pa.array(grams)]),
+                    pa.concat_arrays([own, pa.array(times)]),
                 ],
-                names=["id", "n", "cls", "gram", "times"],
+                names=["id", "row", "n", "cls", "gram", "times"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, cls long, gram long, times long")
+    return docs.mapInArrow(run, "id long, row long, n long, cls long, gram long, times long")
 
 
 class Orders:
-    """The global orders: prefixes of a set under each of them."""
+    """The global orders by hash with the listed common shingles last: prefixes of a set under each of them."""
 
     def __init__(self, common: np.ndarray, times: np.ndarray):
         at = np.argsort(common)
@@ -114,39 +112,77 @@ class Orders:
     def prefix(self, grams: np.ndarray, order: int) -> np.ndarray:
         p = prefix_length(len(grams))
         rare, often = self.split(grams)
-        if order and len(rare):
-            keys = mix(rare * _REHASH[order - 1])
-            rare = rare[np.argpartition(keys, p - 1)[:p]] if p < len(rare) else rare
+        if order and p < len(rare):
+            rare = rare[np.argpartition(mix(rare * _REHASH[order - 1]), p - 1)[:p]]
         return np.concatenate([rare[:p], often[: max(0, p - len(rare))]])
 
 
-def postings(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(gram, cls, n, salt) of each class's prefix under order 1; classes repeated within a batch count once."""
+def common_orders(counted: DataFrame) -> Orders:
+    """The orders, from (gram, times): the commonest shingles, as many as the list holds without splitting equal counts."""
+    counted = checkpointed(counted)
+    per_count = sorted(((r.times, r.n) for r in counted.groupBy("times").agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for times, n in per_count:
+        if held + n > COMMON_LIST:
+            break
+        held, least = held + n, times
+    if least is None:
+        return Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = counted.where(F.col("times") >= least).toArrow()
+    return Orders(rows["gram"].to_numpy().view(np.uint64), rows["times"].to_numpy())
+
+
+def long_prefixes(texts: DataFrame, orders: Orders) -> DataFrame:
+    """(gram, cls, listed) of each set's longer prefix under order 1.
+
+    Listed shingles are known to be in several sets: they come as one row with their number, under the set's own name.
+    A set repeated within a batch counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names: set[int] = set()
-            grams_out, cls_out, n_out, salts = [], [], [], []
+            grams_out, cls_out, listed = [np.zeros(0, np.uint64)], [], []
             for _, grams in gram_sets(batch, 0):
                 if not len(grams) or (cls := class_of(grams)) in names:
                     continue
                 names.add(cls)
-                p = prefix_length(len(grams))
+                q = longer_prefix(len(grams))
                 rare, often = orders.split(grams)
-                rare, often = rare[:p], often[: max(0, p - len(rare))]
-                grams_out += [rare, often]
-                cls_out.append(np.full(len(rare) + len(often), cls))
-                n_out.append(np.full(len(rare) + len(often), len(grams)))
-                salts += [np.full(len(rare), -1), np.full(len(often), cls % SALTS)]
-            if not grams_out:
-                continue
-            arrays = [np.concatenate(grams_out).view(np.int64), np.concatenate(cls_out), np.concatenate(n_out).astype(np.int32), np.concatenate(salts).astype(np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["gram", "cls", "n", "salt"])
+                rare, known = rare[:q], min(len(often), max(0, q - len(rare)))
+                grams_out += [rare, np.array([cls], np.int64).view(np.uint64)] if known else [rare]
+                cls_out.append(np.full(len(rare) + bool(known), cls))
+                listed.append(np.zeros(len(rare) + bool(known), np.int32))
+                if known:
+                    listed[-1][-1] = known
+            if cls_out:
+                arrays = [np.concatenate(grams_out).view(np.int64), np.concatenate(cls_out), np.concatenate(listed)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["gram", "cls", "listed"])
+
+    return texts.mapInArrow(run, "gram long, cls long, listed int")
 
-    return docs.mapInArrow(run, "gram long, cls long, n int, salt byte")
 
+def longer_prefix(n: int) -> int:
+    """The shortest prefix and half as many more: linked sets have 1 + half as many shingles of the smaller's in common."""
+    p = prefix_length(n)
+    return p + p // 2
 
-def sets_of(docs: DataFrame) -> DataFrame:
+
+def may_have_links(texts: DataFrame, orders: Orders, classes: DataFrame) -> DataFrame:
+    """(cls, head) of the sets with enough shingles of other sets' longer prefixes in their own.
+
+    Of two linked sets the one whose prefix ends first in the order has all but ``n - ceil(t * n)`` of it in the other's
+    prefix. That one may be as small as ``t`` times the other, so the smallest partner's number is asked for.
+    """
+    block = Window.partitionBy("gram")
+    placed = long_prefixes(texts, orders).withColumn("least", F.min("cls").over(block)).withColumn("most", F.max("cls").over(block))
+    met = placed.where("least <> most or listed > 0").groupBy("cls").agg(F.sum(F.greatest("listed", F.lit(1))).alias("met"))
+    smallest = F.ceil(SIMILARITY * F.col("n") / 100)
+    need = F.floor((smallest - F.ceil(SIMILARITY * smallest / 100) + 1) / 2) + 1
+    return met.join(classes, "cls").where(F.col("met") >= need).select("cls", "head")
+
+
+def sets_of(texts: DataFrame) -> DataFrame:
     """(cls, grams): each row's set as packed 64-bit values; classes repeated within a batch come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,153 +191,232 @@ def sets_of(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(rows.values(), pa.binary())], names=["cls", "grams"])
 
-    return docs.mapInArrow(run, "cls long, grams binary")
+    return texts.mapInArrow(run, "cls long, grams binary")
 
 
-def common_size(a: np.ndarray, b: np.ndarray) -> int:
-    """The number of values in both of two sorted arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
+def unpacked(rows: DataFrame, keep: list[str], packed: str = "grams") -> DataFrame:
+    """One row for each 64-bit value of the packed column, with the ``keep`` columns (long)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(keep))
+            values = [np.frombuffer(v.as_buffer(), np.int64) for v in column]
+            at = np.repeat(np.arange(len(column)), [len(v) for v in values])
+            kept = [batch.column(i).take(pa.array(at)) for i in range(len(keep))]
+            gram = np.concatenate(values) if values else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(gram, pa.int64())], names=[*keep, "gram"])
+
+    return rows.select(*keep, packed).mapInArrow(run, ", ".join(f"{k} long" for k in [*keep, "gram"]))
 
-def may_reach(n: str, m: str, shared: Column) -> Column:
-    """Whether sets of sizes n and m that share so many prefix shingles of order 1 can reach the threshold.
 
-    The prefix that ends earlier in the order can only meet the other's prefix; so the overlap is at most ``shared``
-    plus what lies behind the longer rest.
+def rare_first(postings: DataFrame, within: list[str], carry: list[str]) -> DataFrame:
+    """(cls, carried columns, shared): the shingles of each set that others have too, from the rarest on.
+
+    A shingle is told by ``within`` and its value; ``shared`` is an array of structs (df, gram), as long as one text at most.
     """
-    rest = F.ceil(F.greatest(n, m) * SIMILARITY / 100) - 1
-    return (100 + SIMILARITY) * (shared + rest) >= SIMILARITY * (F.col(n) + F.col(m))
+    key = [*within, "gram"]
+    df = postings.groupBy(*key).agg(F.count("*").alias("df")).where("df > 1")
+    together = postings.join(df, key).groupBy("cls").agg(*(F.first(c).alias(c) for c in [*within, *carry]), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("shared"))
+    return together
+
 
+def order2_blocks(sets: DataFrame) -> DataFrame:
+    """(gram, cls, n, common): the prefixes under order 2; ``common`` is how many of a set's n shingles others have."""
+    postings = unpacked(sets.withColumn("n", (F.length("grams") / 8).cast("long")), ["cls", "n"])
+    found = rare_first(postings, [], ["n"]).withColumn("common", F.size("shared").cast("long"))
+    # What only this set has comes first in its prefix.
+    left = (F.col("n") - F.ceil(SIMILARITY * F.col("n") / 100) + 1 - (F.col("n") - F.col("common"))).cast("int")
+    alive = found.where(left > 0).select("cls", "n", "common", F.explode(F.slice("shared", 1, left)).alias("s"))
+    return alive.select(F.col("s.gram").alias("gram"), "cls", "n", "common")
 
-def verified(candidates: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
-    """The candidate pairs (a, b) that pass the other orders' prefix tests and then the exact similarity test."""
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    sided = candidates.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+def homes_of(blocks: DataFrame) -> DataFrame:
+    """(cls, n, home): the set that leads most of a set's blocks, then the one that leads its home's, and so on.
+
+    A block is led by the set with the largest share of shingles that others have. Leaders never rank below those they
+    lead, so the chains end; each round halves them.
+    """
+    rank = F.struct(F.col("common") / F.col("n"), F.col("cls"))
+    of = blocks.groupBy("gram").agg(F.max_by("cls", rank).alias("leader"), F.max_by("n", rank).alias("leader_n"), F.count("*").alias("size")).where("size > 1")
+    alike = 100 * F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n")
+    led = blocks.join(of, "gram").withColumn("leader", F.when(alike, F.col("leader")).otherwise(F.col("cls")))
+    votes = led.groupBy("cls", "leader").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
+    homes = checkpointed(votes.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("home"), F.first("n").alias("n")).select("cls", "n", "home"))
+    while True:
+        up = homes.select(F.col("cls").alias("home"), F.col("home").alias("next"))
+        moved = checkpointed(homes.join(up, "home").select("cls", "n", "home", "next"))
+        if not moved.where("home <> next").limit(1).count():
+            return homes
+        homes = moved.select("cls", "n", F.col("next").alias("home"))
+
+
+def differences(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, home, excess, size, linked, d): a set's packed difference from its home.
+
+    ``excess`` is (100 + t) |D| - (100 - t) n: sets x, y of one home reach the threshold where 2 (100 + t) |Dx & Dy| is not
+    less than the sum of their excesses. A home's own difference is empty and its excess the smallest.
+    """
+    own = homes.join(sets, "cls").select("cls", "home", F.col("grams").alias("x"))
+    sided = own.join(sets.select(F.col("cls").alias("home"), F.col("grams").alias("y")), "home").select("cls", "home", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            excess, size, linked, d = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 g, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if all(common_size(np.sort(orders.prefix(g, k)), np.sort(orders.prefix(h, k))) for k in (1, 2)):
-                    both = common_size(g, h)
-                    if 100 * both >= SIMILARITY * (len(g) + len(h) - both):
-                        links.append(i)
-            at = pa.array(links, pa.int64())
+                away = np.setxor1d(g, h, assume_unique=True)
+                size.append(len(away))
+                excess.append((100 + SIMILARITY) * len(away) - (100 - SIMILARITY) * len(g))
+                linked.append(excess[-1] <= (100 - SIMILARITY) * len(h))
+                d.append(away.tobytes())
+            made = [pa.array(excess, pa.int64()), pa.array(size, pa.int64()), pa.array(linked, pa.bool_()), pa.array(d, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["cls", "home", "excess", "size", "linked", "d"])
+
+    return sided.mapInArrow(run, "cls long, home long, excess long, size long, linked boolean, d binary")
+
+
+def pairs_of_one_home(apart: DataFrame) -> DataFrame:
+    """Candidates (a, b) of one home, at least one of them not linked with it, by the prefixes of their differences."""
+    per = apart.where("cls <> home").groupBy("home").agg(F.min("excess").alias("nearest"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("nearest_out"), F.count("*").alias("members"))
+    per = per.where("nearest_out is not null and members > 1")
+    seen = apart.where("cls <> home").join(per, "home")
+    # An unlinked set may meet any other, a linked one only unlinked ones.
+    least = F.ceil((F.col("excess") + F.when(F.col("linked"), F.col("nearest_out")).otherwise(F.col("nearest"))) / (2 * (100 + SIMILARITY)))
+    seen = seen.withColumn("prefix", (F.col("size") - F.greatest(least, F.lit(1)) + 1).cast("long")).where("prefix > 0")
+    seen = seen.withColumn("out", (~F.col("linked")).cast("long"))
+    shared = rare_first(unpacked(seen, ["cls", "home", "excess", "size", "out", "prefix"], "d"), ["home"], ["excess", "size", "out", "prefix"])
+    left = (F.col("prefix") - (F.col("size") - F.size("shared"))).cast("int")
+    shared = shared.withColumn("common", F.size("shared"))
+    met = shared.where(left > 0).select("home", "cls", "excess", "out", "common", F.explode(F.slice("shared", 1, left)).alias("s"))
+    met = checkpointed(met.select("home", F.col("s.gram").alias("gram"), "cls", "excess", "out", "common"))
+    x = met.where("out = 1").select("home", "gram", F.col("cls").alias("x"), F.col("excess").alias("xe"), F.col("common").alias("xd"))
+    y = met.select("home", "gram", F.col("cls").alias("y"), F.col("excess").alias("ye"), F.col("common").alias("yd"), "out")
+    near = (F.col("x") != F.col("y")) & ((F.col("out") == 0) | (F.col("x") < F.col("y"))) & (2 * (100 + SIMILARITY) * F.least("xd", "yd") >= F.col("xe") + F.col("ye"))
+    return x.join(y, ["home", "gram"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def pairs_of_two_homes(blocks: DataFrame, homes: DataFrame) -> DataFrame:
+    """Candidates (a, b) that meet in a block of order 2 and have different homes."""
+    placed = blocks.join(homes.select("cls", "home"), "cls")
+    mixed = placed.groupBy("gram").agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least <> most")
+    placed = checkpointed(placed.join(mixed.select("gram"), "gram", "left_semi"))
+    x = placed.select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("common").alias("xc"), F.col("home").alias("xh"))
+    y = placed.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("common").alias("yc"), F.col("home").alias("yh"))
+    # Both sets' shingles are in the overlap only where others have them too.
+    near = (F.col("x") < F.col("y")) & (F.col("xh") != F.col("yh")) & ((100 + SIMILARITY) * F.least("xc", "yc") >= SIMILARITY * (F.col("xn") + F.col("yn")))
+    return x.join(y, "gram").where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def with_both(candidates: DataFrame, of: DataFrame, *packed: str) -> DataFrame:
+    """The candidates with the packed columns of a and then of b."""
+    left = of.select(F.col("cls").alias("a"), *(F.col(c).alias(f"{c}_a") for c in packed))
+    right = of.select(F.col("cls").alias("b"), *(F.col(c).alias(f"{c}_b") for c in packed))
+    return candidates.join(left, "a").join(right, "b").select("a", "b", *(f"{c}_{s}" for s in "ab" for c in packed))
+
+
+def share_prefixes(candidates: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
+    """The candidates (a, b) that have a common prefix shingle under each of orders 1, 3 and 4.
+
+    Prefixes are compared by 32 bits of the hashes, so a few pairs too many may stay.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.unique(orders.prefix(np.frombuffer(v.as_buffer(), np.uint64), k).astype(np.uint32)).tobytes() for v in batch.column(1)] for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s, pa.binary()) for s in sides)], names=["cls", "p1", "p3", "p4"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                for i, (x, y) in enumerate(zip(batch.column(2 + k), batch.column(5 + k), strict=True)):
+                    if stay[i]:
+                        stay[i] = common_size(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) > 0
+            at = pa.array(np.flatnonzero(stay))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    return sided.mapInArrow(run, "a long, b long")
+    packed = sets.mapInArrow(sketch, "cls long, p1 binary, p3 binary, p4 binary")
+    return with_both(candidates, packed, "p1", "p3", "p4").mapInArrow(test, "a long, b long")
 
 
-def common_orders(counted: DataFrame) -> Orders:
-    """The orders, from (gram, times): the commonest shingles, as many as the list holds without splitting equal counts."""
-    counted = checkpointed(counted)
-    per_count = sorted(((r.times, r.n) for r in counted.groupBy("times").agg(F.count("*").alias("n")).collect()), reverse=True)
-    held, least = 0, None
-    for times, n in per_count:
-        if held + n > COMMON_LIST:
-            break
-        held, least = held + n, times
-    if least is None:
-        return Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows = counted.where(F.col("times") >= least).toArrow()
-    return Orders(rows["gram"].to_numpy().view(np.uint64), rows["times"].to_numpy())
+def common_size(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of values in both of two sorted arrays of distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
 
 
-def with_leaders(blocks: DataFrame, turn: int) -> DataFrame:
-    """The rows of blocks with two components or more, with the block's size, largest component and a leader from it.
+def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose sets reach the threshold."""
 
-    In turn 0 every class is its own component. All aggregates have buffers of fixed width and combine before the shuffle.
-    """
-    key = F.xxhash64("cls", F.lit(turn))
-    one = (F.min_by("cls", key).alias("leader"), F.min_by("n", key).alias("leader_n"))
-    if not turn:
-        of = blocks.groupBy("gram").agg(F.count("*").alias("size"), *one).where("size > 1").withColumn("main", F.col("leader"))
-    else:
-        per = blocks.groupBy("gram", "component").agg(F.count("*").alias("count"), *one)
-        largest = lambda c: F.max_by(c, "count")
-        of = per.groupBy("gram").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), largest("leader").alias("leader"), largest("leader_n").alias("leader_n"), largest("component").alias("main"))
-        of = of.where("parts > 1").drop("parts")
-    return blocks.join(of, "gram")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: its set's size and the smallest id reachable by links."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                g, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = common_size(g, h)
+                if 100 * both >= SIMILARITY * (len(g) + len(h) - both):
+                    links.append(i)
+            at = pa.array(links, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    return with_both(candidates, sets, "grams").mapInArrow(run, "a long, b long")
+
+
+def links_between(texts: DataFrame, orders: Orders, classes: DataFrame, counts: dict | None = None) -> DataFrame:
+    """Links (a, b) of classes whose components are those of all links. ``counts`` takes the rows after each filter."""
+    passed = checkpointed(may_have_links(texts.select("text"), orders, classes))
+    ids = passed.where("head is not null").select(F.col("head").alias("id"))
+    own = texts.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").select("text").union(texts.where("id is null").select("text"))
+    sets = checkpointed(sets_of(own).groupBy("cls").agg(F.first("grams").alias("grams")).join(passed.select("cls"), "cls", "left_semi"))
+    blocks = checkpointed(order2_blocks(sets))
+    homes = homes_of(blocks)
+    apart = checkpointed(differences(homes, sets.join(homes.select("cls"), "cls", "left_semi")))
+    stars = apart.where("linked and cls <> home").select(F.col("cls").alias("a"), F.col("home").alias("b"))
+    candidates = checkpointed(pairs_of_one_home(apart).union(pairs_of_two_homes(blocks, homes)))
+    pairs = checkpointed(share_prefixes(candidates, sets, orders))
+    found = checkpointed(verified(pairs, sets))
+    if counts is not None:
+        counts |= {"passed": passed.count(), "blocks": blocks.count(), "homes": homes.count(), "candidates": candidates.count(), "pairs": pairs.count(), "found": found.count()}
+    return stars.union(found)
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, counts: dict | None = None) -> DataFrame:
+    """(id, row, n, component) of every row: a hash of its text, its set's size and its component's class (null: no words)."""
+    text = F.col(quoted(text_col)).cast("string")
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     first = checkpointed(sizes_and_common(texts))
     orders = common_orders(first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")))
-    members = first.where("n is not null").select("id", "n", "cls")
-    heads = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("head"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Verify candidates (a, b); only the texts of classes in them are read again."""
-        ids = checkpointed(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(heads, "cls").select(F.col("head").alias("id")).distinct())
-        own = texts.join(broadcast_if_small(ids, ids.count()), "id").select("text").union(texts.where("id is null").select("text"))
-        return checkpointed(verified(pairs, checkpointed(sets_of(own)), orders).distinct())
-
-    # Blocks of order 1 with two classes or more; a common shingle's salts may be of one.
-    block = Window.partitionBy("gram", "salt")
-    placed = postings(texts.select("text"), orders).withColumn("least", F.min("cls").over(block)).withColumn("most", F.max("cls").over(block))
-    blocks = checkpointed(placed.where("least <> most or salt >= 0").select("gram", "cls", "n", F.col("cls").alias("component")).distinct())
-    del placed
-    release_files(docs.sparkSession)
-
-    links, tried, before = [], [], None
-    for turn in range(ROUNDS):
-        open_blocks = checkpointed(with_leaders(blocks, turn))
-        release_files(docs.sparkSession)
-        outside, pairs = open_blocks.where("component <> main").agg(F.count("*"), F.sum("size")).first()
-        if not outside or (turn and pairs <= 16 * outside) or (before is not None and outside > 0.9 * before):
-            break
-        before = outside
-        stars = open_blocks.where("component <> main").where(100 * F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n"))
-        counted = stars.groupBy(F.col("cls").alias("a"), F.col("leader").alias("b"), "component", "main").agg(F.count("*").alias("count"), F.max("n").alias("an"), F.max("leader_n").alias("bn"))
-        counted = counted.where(may_reach("an", "bn", F.col("count")))  # the others wait for their exact count
-        best = counted.groupBy("a").agg(*(F.max_by(c, "count").alias(c) for c in ("b", "component", "main")))
-        best = checkpointed(best)
-        found = linked(best.select("a", "b"))
-        links.append(found)
-        tried.append(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        joined = best.join(found, ["a", "b"]).select("component", "main")
-        joined = checkpointed(joined.union(joined.select("main", "component")).groupBy("component").agg(F.min("main").alias("other")))
-        blocks = open_blocks.select("gram", "cls", "n", "component").join(broadcast_if_small(joined, joined.count()), "component", "left")
-        blocks = blocks.select("gram", "cls", "n", F.least("component", F.coalesce("other", "component")).alias("component"))
-
-    # The rest: a pair in two components meets in every block that holds both, so the number of blocks where it meets is
-    # the exact count of shared prefix shingles.
-    x = open_blocks.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    y = open_blocks.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("in_main"))
-    sized = (F.col("xc") != F.col("yc")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("xn", "yn") >= SIMILARITY * F.greatest("xn", "yn"))
-    met = x.join(y, "gram").where(sized).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    met = met.agg(F.min(F.least("xn", "yn")).alias("an"), F.max(F.greatest("xn", "yn")).alias("bn"), F.count("*").alias("shared"))
-    met = met.where(may_reach("an", "bn", F.col("shared"))).select("a", "b")
-    for pairs in tried:
-        met = met.join(pairs, ["a", "b"], "left_anti")
-    met = checkpointed(met)
-    del x, y, blocks, open_blocks
-    release_files(docs.sparkSession)
-    links.append(linked(met))
-    part = connected_components(functools.reduce(DataFrame.union, links))
-
-    # Class -> component -> smallest id; classes without links are their own component.
-    classes = heads.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "head", F.coalesce("component", "cls").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("head").alias("component_id"))
-    named = classes.join(smallest, "component").select("cls", "component_id")
-    found = members.join(named, "cls", "left")
+    members = first.where("n is not null").select("id", "row", "n", "cls")
+    classes = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("head"), F.first("n").alias("n"))
+    part = connected_components(links_between(texts, orders, classes, counts))
+    part = part.select(F.col("node").alias("cls"), "component")
+    return members.join(part, "cls", "left").select("id", "row", "n", F.coalesce("component", "cls").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: dict | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: its set's size and the smallest id reachable by links."""
+    members = grouped(docs, id_col, text_col, counts)
+    smallest = members.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    found = members.join(smallest, "component", "left")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their group's smallest; all columns stay.
+    """The first row of each group by id (null last) and a hash of the text; all columns stay.
 
-    Rows repeated with one id stay once; rows with a null id stay, for no group can name them.
+    Rows without words are in no group and stay. Of rows with one id and one text, any one stays.
     """
-    groups = jaccard_components(docs, id_col, text_col)
-    kept = groups.groupBy(id_col).agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")).where(F.col(id_col) == F.col("component_id"))
-    kept = checkpointed(kept.select(id_col, "times"))
-    once = docs.join(kept.where("times = 1"), id_col, "left_semi")
-    repeated = docs.join(kept.where("times > 1"), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    members = grouped(docs, id_col, text_col).where("component is not null")
+    best = F.struct(F.col("id").isNull(), "id", "row")
+    kept = members.groupBy("component").agg(F.min(best).alias("best"), F.count("*").alias("size")).select("best.id", "best.row", "size")
+    kept = checkpointed(kept.groupBy("id", "row").agg(F.max("size").alias("size")))
+    row, kept_id, kept_row, size = (free_name(docs, c) for c in ("row", "kept_id", "kept_row", "size"))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    keyed = docs.select("*", F.xxhash64(F.col(quoted(text_col)).cast("string")).alias(row))
+    named = kept.select(F.col("id").alias(kept_id), F.col("row").alias(kept_row), F.col("size").alias(size))
+    found = keyed.join(named, F.col(quoted(id_col)).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(row) == F.col(kept_row)))
+    single = found.where(F.col(size) == 1).select(*columns)
+    several = found.where(F.col(size) > 1).dropDuplicates([kept_id, row]).select(*columns)
+    wordless = docs.where(~F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return single.union(several).union(wordless.select(*columns))

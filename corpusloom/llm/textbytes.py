@@ -99,7 +99,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.nd
     words = run_hashes(buf, s, e)
     bounds = np.searchsorted(text, np.arange(len(off)))
     grams = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         grams[: len(words) - k] += words[k:] * _PLACE[k]
     grams = mix(grams)
     out = []

@@ -83,11 +83,63 @@ def test_same_as_all_pairs_on_given_documents(spark):
 
 
 def test_keep_one_per_group(spark):
+    """A null id is last in its group; rows without words stay; clashing and dotted column names come through."""
     text = "a b c d e f g h i j"
-    rows = [(3, text, 1), (1, text, 2), (1, text, 3), (2, "other words stand here for good", 4), (None, text, 5)]
-    kept = ngram_join.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string, times int"))
-    assert kept.columns == ["doc_id", "text", "times"]
-    assert sorted([r.doc_id for r in kept.collect()], key=str) == [1, 2, None]
+    rows = [(3, text, 1, 2), (1, text, 2, 2), (1, text, 2, 2), (2, "other words stand here for good", 4, 2), (None, text, 5, 2)]
+    rows += [(1, "one id and another text of its own", 6, 2), (None, "only the null id has this text", 7, 2), (None, None, 8, 2), (9, " ", 9, 2)]
+    kept = ngram_join.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string, row int, `a.b` int"))
+    assert kept.columns == ["doc_id", "text", "row", "a.b"]
+    assert sorted(r["row"] for r in kept.collect()) == [2, 4, 6, 7, 8, 9]
+
+
+def near_copies(n, rng):
+    """Texts from one base, each with so many words of its own that about a third link with none."""
+    words = [f"w{i}" for i in range(100_000)]
+    base = rng.choices(words, k=130)
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for at in rng.sample(range(len(t)), rng.randint(1, 5)):
+            t[at] = rng.choice(words)
+        out.append(" ".join(t))
+    return out
+
+
+def test_filters_leave_few_pairs_of_a_large_group(spark):
+    """A group of near copies yields fewer candidates than members, and its components are those of all pairs."""
+    rows = list(enumerate(near_copies(400, random.Random(3))))
+    counts = {}
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), counts=counts)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    assert counts["passed"] <= 400 and counts["homes"] <= counts["passed"]
+    assert counts["found"] <= counts["pairs"] <= counts["candidates"] < 400
+
+
+def test_each_filter_keeps_every_link(spark):
+    """Candidates of one home and of two homes, from many small groups with common passages and shared edits."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(40)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) + str(rng.randrange(30)) for _ in range(rng.randint(20, 90))]
+        variants = [base]
+        for _ in range(14):
+            t = list(rng.choice(variants))
+            for _ in range(rng.randint(1, 3)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            variants.append(t)
+        texts += [" ".join(t) for t in variants] + [" ".join(base + base[: rng.randint(1, 15)])]
+    rows = list(enumerate(texts))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    long = [f"x{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:50_000])), (3, " ".join(long[:30_000])), (4, "short text")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_components_of_chains_and_stars(spark):
