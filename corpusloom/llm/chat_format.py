@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.runtime import quoted
+
 ROLES = ("system", "user", "assistant")
 STATES = tuple((role, begins) for role in ROLES for begins in (True, False))
 #: Names that speakers' markers use, by role.
@@ -147,7 +149,7 @@ def parse_transcripts(df: DataFrame, model: LineModel, text_col: str = "text", k
     """Add n_turns, roles (array) and rendered, the canonical form, of every whole transcript."""
     outputs = {"n_turns": (pa.int64(), T.LongType()), "roles": (pa.list_(pa.string()), T.ArrayType(T.StringType())), "rendered": (pa.string(), T.StringType())}
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in outputs]
-    source = df.select(*(f"`{f.name}`" for f in kept), df[text_col].cast("string").alias("__text"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(text_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,8 +22,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.runtime import quoted
+
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select".split())
@@ -265,7 +268,7 @@ def extract_main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ..
     """Add the main text of every whole page, and its number of code points as n_chars."""
     outputs = (output, "n_chars")
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in outputs]
-    source = df.select(*(f"`{f.name}`" for f in kept), df[html_col].cast("string").alias("__html"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(html_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,9 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import webp
+from corpusloom.runtime import quoted
 
 ROW = 64
 IMAGE = ROW * 16_384
@@ -74,7 +76,7 @@ def through_webp(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] |
     the stored form.
     """
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in outputs]
-    source = df.select(*(f"`{f.name}`" for f in kept), df[text_col].cast("string").alias("__text"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(text_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +107,7 @@ def through_webp(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] |
 def read_pixels(df: DataFrame, media_col: str = "media", output: str = "pixels") -> DataFrame:
     """Decode a column of lossless WebP files (null: null) into (height, width, samples) with four bytes a pixel."""
     kept = [f for f in df.schema.fields if f.name != output]
-    source = df.select(*(f"`{f.name}`" for f in kept), df[media_col].alias("__media"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(media_col)).alias("given"))
     kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("samples", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,11 @@ import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.runtime import quoted
+
 SPACE = "▁"
 #: Segments, and pairs of pieces, remembered by each worker.
 CACHE_ENTRIES = 450_000
@@ -246,7 +249,7 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", ke
     """
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in outputs]
     schema = T.StructType([*kept, *(T.StructField(n, _KINDS[n][1]) for n in outputs)])
-    source = df.select(*(f"`{f.name}`" for f in kept), df[text_col].cast("string").alias("__text"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(text_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
@@ -272,7 +275,7 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", ke
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", output: str = "decoded") -> DataFrame:
     """Decode a column of id arrays (null: ""); other columns stay."""
     kept = [f for f in df.schema.fields if f.name != output]
-    source = df.select(*(f"`{f.name}`" for f in kept), df[ids_col].alias("__ids"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(ids_col)).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)

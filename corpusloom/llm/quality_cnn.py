@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.textbytes import slices
+from corpusloom.runtime import free_name, quoted
 
 #: Bytes of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 256, 32
@@ -174,7 +175,7 @@ def train(sample: DataFrame) -> Network:
 def score(docs: DataFrame, model: Network, text_col: str = "text", output: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add every whole text's score."""
     kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name != output]
-    source = docs.select(*(f"`{f.name}`" for f in kept), docs[text_col].cast("string").alias("__text"))
+    source = docs.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(text_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,4 +189,5 @@ def score(docs: DataFrame, model: Network, text_col: str = "text", output: str =
 
 def keep_good(docs: DataFrame, model: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose score reaches the threshold, with the columns they came with."""
-    return score(docs, model, text_col, "__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    name = free_name(docs, "score")
+    return score(docs, model, text_col, name).where(F.col(name) >= threshold).select(*(F.col(quoted(c)) for c in docs.columns))

@@ -68,7 +68,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix to the target weights takes of every document."""
-    return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(quality_cnn.score(docs, quality_model(spark, sf_dir), output="quality"), quality_col="quality")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.runtime import quoted
+
 SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Nodes of a worker's trie before it is begun anew: bounds memory, not results.
@@ -130,7 +133,7 @@ _TRIES: dict[str, Trie] = {}
 def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] | None = None, output: str = "n_tokens") -> DataFrame:
     """Add every whole text's number of tokens."""
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name != output]
-    source = df.select(*(f"`{f.name}`" for f in kept), df[text_col].cast("string").alias("__text"))
+    source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(text_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _TRIES:

@@ -60,13 +60,34 @@ def test_cells_do_not_change_the_draw(spark):
 
 
 def test_better_documents_are_drawn_more_often(spark):
-    rows = [(i, f"{'good words here' if i % 2 else '#### $$$$ %%%%'} {i}", f"s{i % 3}") for i in range(3000)]
-    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    rows = [(i, f"good words here {i}", f"s{i % 3}", 0.9 if i % 2 else 0.1) for i in range(3000)]
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality_col="q").collect()
     first = [r for r in got if r.target < r.source_size]
     share = lambda odd: sum(r.times for r in first if r.id % 2 == odd) / sum(1 for r in first if r.id % 2 == odd)
     assert share(1) > 1.3 * share(0)
 
 
+def test_quality_out_of_range(spark):
+    rows = [(i, q) for i, q in enumerate([None, float("nan"), -1.0, 0.0, 0.52, 1.0, 7.0])]
+    got = spark.createDataFrame(rows, "i int, q double").select("i", mixing.quality_weight(mixing.F.col("q")).alias("w")).collect()
+    assert [round(r.w, 6) for r in sorted(got)] == [0.5, 0.5, 0.5, 0.5, 1.0, 1.5, 1.5]
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "a b c", "s", 7, 8), (1, "a b c", "s", 7, 8), (1, "other text of it", "s", 9, 8), (None, "no id", None, 1, 1), (2, "", "s", 1, 1), (3, None, "t", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, own_row int, `a.b` int")
+    got = mixing.mixed_rows(df)
+    assert got.columns == df.columns
+    assert {r.own_row for r in got.where("doc_id = 1").collect()} <= {7, 9} and got.where("text = '' or text is null").count() == 0
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"host{i % 700}") for i in range(2000)]
+    got = mixing.source_targets(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("source", "size(split(trim(text), ' ')) as size")).collect()
+    sizes = {r.source: r.source_size for r in got}
+    assert len(got) == 700 and {r.source: pytest.approx(r.target) for r in got} == water(sizes)
+
+
 def test_mixed_rows_and_empty_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = {r.doc_id: r.taken // max(1, r.size) for r in mixing.mix_sources(docs).collect()}
