@@ -31,7 +31,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix to the target weights takes them."""
-    return mixing.mixed_rows(docs)
+    scored = quality_cnn.score(docs, queries.quality_model(spark, sf_dir), output="quality", keep=("doc_id", "text", "source"))
+    return mixing.mixed_rows(docs, scored=scored, quality_col="quality")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
