@@ -293,13 +293,13 @@ WITH f AS (
   UNION ALL SELECT 'repeated_content' FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1))
 SELECT coalesce(rule, '(all)') AS rule, count(*) AS n FROM f GROUP BY ROLLUP (rule)""",
     "missing_pages": r"""
-WITH s AS (SELECT doc_id, CAST(least(20, ceil(n_chars / 1000.0)) AS INT) AS n FROM documents),
+WITH s AS (SELECT doc_id, CAST(ceil(n_chars / 1000.0) AS INT) AS n FROM documents),
 e AS (SELECT doc_id, CAST(unnest(generate_series(1, n)) AS INT) AS page_number FROM s),
 w AS (SELECT doc_id, substr(text, start + 1, 1000) AS c, start FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 1000) / 1000.0)) AS BIGINT) * 1000, 1000)) AS start FROM documents WHERE length(text) > 0)),
 p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS page_number FROM w WHERE length(regexp_replace(c, '\s+', '', 'g')) > 0)
 SELECT doc_id, page_number FROM e WHERE (doc_id, page_number) NOT IN (SELECT (doc_id, page_number) FROM p WHERE (doc_id + page_number) % 6 <> 0)""",
     "metadata_filter": "SELECT lang, source, count(*) AS n, max(n_chars) AS longest FROM documents WHERE lang IN ('fr', 'de') AND n_chars >= 200 AND n_chars < 5000 GROUP BY 1, 2",
-    "term_filter": "SELECT doc_id, lang FROM (SELECT *, lower(substr(text, 1, 80)) AS t FROM documents) WHERE (contains(t, 'the') OR contains(t, 'que')) AND NOT (contains(t, '$') OR contains(t, '!!'))",
+    "term_filter": "SELECT doc_id, lang FROM (SELECT *, lower(text) AS t FROM documents) WHERE (contains(t, 'the') OR contains(t, 'que')) AND NOT (contains(t, '$') OR contains(t, '!!'))",
     "url_hosts": r"SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
     "pdf_links": r"SELECT page_id, regexp_matches(url, '(?i)\.pdf(?:$|[?#])') AS is_pdf FROM pages",
     "session_history": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant', 'system')) WHERE n <= 4",
@@ -320,10 +320,10 @@ SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
     "neighbor_join": f"""
 WITH {CHUNKS_SQL}, c AS (SELECT *, left(sha256(doc_id || chr(31) || chunk_index || chr(31) || content), 24) AS chunk_id FROM chunks)
 SELECT s.doc_id AS query_id, s.chunk_id AS seed_id, n.chunk_id, CAST(n.chunk_index - s.chunk_index AS INT) AS step, CAST(CASE n.chunk_index - s.chunk_index WHEN -1 THEN 0 WHEN 1 THEN 1 WHEN -2 THEN 2 ELSE 3 END AS INT) AS place
-FROM c s JOIN c n ON n.doc_id = s.doc_id AND n.chunk_index - s.chunk_index IN (-1, 1, -2, 2) AND n.chunk_index // 6 = s.chunk_index // 6 WHERE s.doc_id % 50 = 0 AND s.chunk_index % 3 = 0""",
+FROM c s JOIN c n ON n.doc_id = s.doc_id AND n.chunk_index - s.chunk_index IN (-1, 1, -2, 2) AND n.chunk_index // 6 = s.chunk_index // 6 WHERE s.doc_id % 50 = 0""",
     "table_sibling_join": f"""
 WITH {CHUNKS_SQL}, c AS (SELECT *, left(sha256(doc_id || chr(31) || chunk_index || chr(31) || content), 24) AS chunk_id FROM chunks)
-SELECT s.doc_id AS query_id, s.chunk_id AS seed_id, n.chunk_id, CAST(n.chunk_index % 5 + 1 AS INT) AS table_part FROM c s JOIN c n ON n.doc_id = s.doc_id AND n.chunk_index // 5 = s.chunk_index // 5 WHERE s.doc_id % 50 = 0 AND s.chunk_index % 4 = 0""",
+SELECT s.doc_id AS query_id, s.chunk_id AS seed_id, n.chunk_id, CAST(n.chunk_index % 5 + 1 AS INT) AS table_part FROM c s JOIN c n ON n.doc_id = s.doc_id AND n.chunk_index // 5 = s.chunk_index // 5 WHERE s.doc_id % 50 = 0""",
     "widest_table": "SELECT lang, source, doc_id, rows FROM (SELECT *, count(*) OVER (PARTITION BY lang, source) AS n FROM (SELECT lang, source, doc_id, n_chars AS rows, rank() OVER (PARTITION BY lang, source ORDER BY n_chars DESC) AS r FROM documents WHERE doc_id % 3 > 0) WHERE r = 1) WHERE n = 1",
     "search_text": r"""
 SELECT doc_id, CAST(length(s) AS INT) AS n_chars, md5(s) AS digest FROM (
