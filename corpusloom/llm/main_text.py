@@ -9,13 +9,19 @@ all of its siblings, bare text too, that have few links or score well themselves
 Text: character references are decoded, white space inside a block is one space, blocks are trimmed and joined in page
 order by one newline. A line break counts as white space.
 
+Words of class, id and role cut an element where they name it: the last word of a name counts, behind parts such as
+"-list" or "-wrapper"; so "social-links" is cut and "social-history" is not, and what holds the page's <h1> or <main> stays.
+A form stays where it holds most of the page's text, without its controls.
+
 Defined results: null and blank pages, and pages without shown text, give ""; unclosed and crossed elements are closed
-where their parent ends; pages are handled alone, so ties, repeated rows and empty tables need no rule, and of equally
+where their parent ends, and an inline end tag closes nothing beyond a block; a quote opens an attribute's value only right
+after "=", and a tag that the page's end cuts off is no text; a page takes time in proportion to its length; pages are handled alone, so ties, repeated rows and empty tables need no rule, and of equally
 good containers the first in the page is taken; columns with an output's name are replaced, others kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -29,11 +35,11 @@ from corpusloom.runtime import quoted
 
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml object audio video canvas select".split())
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hgroup header footer aside nav form fieldset hr center".split()
 )
-CUT = frozenset("head nav footer aside form fieldset button input label dialog menu".split())
+CUT = frozenset("head nav footer aside fieldset button input label dialog menu".split())
 PARAGRAPHS = frozenset("p pre blockquote td th li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -41,109 +47,174 @@ CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"
 SAME_KIND = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Words of class, id or role that mark what is not the article.
 NOT_ARTICLE = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice alert cookie cookies consent gdpr popup modal overlay comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search searchbox pagination pager toolbar widget complementary contentinfo skip paywall".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice alert cookie cookies consent gdpr popup modal overlay comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search searchbox pagination pager toolbar widget complementary contentinfo skip paywall dialog".split()
+)
+#: Words at the end of a name that say nothing of what it names, and beginnings that tell of a layout only.
+PARTS = frozenset(
+    "container wrapper wrap box area block section bar link links list item items button buttons icon icons inner outer form slot unit left right top bottom main primary secondary post posts content body text group panel row col column title".split()
 )
-#: Words that mark the article's own parts, whatever else they are named.
-ARTICLE = frozenset("article content main post story entry body text".split())
+LAYOUT = frozenset("has with no without is".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
-NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("links", "name", "parent", "points", "size", "parts")
+    __slots__ = ("links", "name", "named", "parent", "points", "size", "parts")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.parts = name, parent, []
         self.points, self.size, self.links = 0.0, 0, 0
+        self.named = False  # its class, id or role names no part of the article
 
 
-def is_cut(name: str, attributes: str, article: bool) -> bool:
-    """Whether an element is none of the article; ``article``: it stands inside <article> or <main>."""
-    if name in CUT or (name == "header" and not article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    words = [w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")]
-    return any(w in NOT_ARTICLE for w in words) and not (words and words[-1] in ARTICLE)
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by name; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
 
-def parsed(page: str) -> tuple[Node, list[Node]]:
-    """The tree of what may be shown, and its nodes with parents before children."""
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSHOWN.search(attributes.get("style", "")))
+
+
+def names_other_part(attributes: dict[str, str]) -> bool:
+    """Whether a name in class, id or role is that of something beside the article."""
+    for which in ("class", "id", "role"):
+        for name in attributes.get(which, "").split():
+            words = [w.lower() for w in WORD.findall(name)]
+            if not words or words[0] in LAYOUT:
+                continue
+            own = len(words)
+            while own and words[own - 1] in PARTS:
+                own -= 1
+            if own and words[own - 1] in NOT_ARTICLE and not (words[own - 1] == "header" and words[0] in ("article", "entry", "post", "story")):
+                return True
+    return False
+
+
+class Open:
+    """The open elements, with the places of each name, so that no search goes through the whole stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.cut: list[int] = []  # places of elements that are cut
+        self.articles = 0
+
+    def push(self, node: Node, cut: bool) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if cut:
+            self.cut.append(len(self.stack))
+        elif node.name in ("article", "main"):
+            self.articles += 1
+        self.stack.append(node)
+
+    def close_from(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.name].pop()
+            if self.cut and self.cut[-1] == len(self.stack):
+                self.cut.pop()
+            elif node.name in ("article", "main"):
+                self.articles -= 1
+
+    def last(self, names) -> int:
+        """The innermost place of any of the names, 0 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def first_behind(self, names, place: int) -> int:
+        """The outermost place of any of the names behind a place, 0 if there is none."""
+        behind = [p[k] for n in names if (p := self.places.get(n)) and (k := bisect.bisect_right(p, place)) < len(p)]
+        return min(behind, default=0)
+
+
+def parsed(page: str) -> Node:
+    """The tree of what may be shown."""
     root = Node("#root", None)
-    nodes, stack = [root], [root]
-    cut_depth = article_depth = 0
+    now = Open(root)
     at = 0
     while True:
         found = TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
-        if text and not cut_depth:
-            stack[-1].parts.append(html.unescape(text))
+        above = now.stack[-1]
+        if text and not now.cut:
+            above.parts.append(html.unescape(text))
         if not found:
-            return root, nodes
+            return root
         at = found.end()
-        if found[1] is not None and not cut_depth:
-            stack[-1].parts.append(found[1])
+        if found[1] is not None and not now.cut:
+            above.parts.append(found[1])
         elif found[2]:
             name = found[2].lower()
-            if any(n.name == name for n in reversed(stack)):
-                while (gone := stack.pop()).name != name:
-                    cut_depth, article_depth = left(gone, cut_depth, article_depth)
-                cut_depth, article_depth = left(gone, cut_depth, article_depth)
-            elif name in ("p", "br") and not cut_depth:
-                stack[-1].parts.append(Node(name, stack[-1]))
-                nodes.append(stack[-1].parts[-1])
+            place = now.last([name])
+            if place and (name in BLOCKS or place > now.last(BLOCKS)):
+                now.close_from(place)
+            elif name in ("p", "br") and not place and not now.cut:
+                above.parts.append(Node(name, above))
         elif found[3]:
-            name, attributes = found[3].lower(), found[4]
+            name, raw = found[3].lower(), found[4]
             if name in RAW:
-                if not attributes.endswith("/"):
+                if not raw.endswith("/"):
                     closing = _CLOSERS[name].search(page, at)
                     at = closing.end() if closing else len(page)
-                if not cut_depth and name not in ("script", "style"):
-                    stack[-1].parts.append(" ")
+                if not now.cut and name not in ("script", "style"):
+                    above.parts.append(" ")
                 continue
-            closed = ()
-            if name in CLOSES_P:
-                closed = (("p",), ("button", "td", "th", "table"))
-            if name in SAME_KIND:
-                closed = (tuple(SAME_KIND[name][0].split()), SAME_KIND[name][1])
-            if closed:
-                k = len(stack) - 1
-                last = 0
-                while k > 0 and stack[k].name not in closed[1]:
-                    if stack[k].name in closed[0]:
-                        last = k
-                    k -= 1
-                while last and len(stack) > last:
-                    cut_depth, article_depth = left(stack.pop(), cut_depth, article_depth)
-            node = Node(name, stack[-1])
+            closed = SAME_KIND.get(name) or (("p", ("button", "td", "th", "table")) if name in CLOSES_P else None)
+            if closed and (place := now.first_behind(closed[0].split(), now.last(closed[1]))):
+                now.close_from(place)
+                above = now.stack[-1]
+            node = Node(name, above)
             if name in VOID:
-                if not cut_depth:
-                    stack[-1].parts.append(node)
-                    nodes.append(node)
+                if not now.cut:
+                    above.parts.append(node)
                 continue
-            if cut_depth or is_cut(name, attributes, bool(article_depth)):
-                node.points = -1.0  # marks what is cut while it is open
-                cut_depth += 1
-            else:
-                stack[-1].parts.append(node)
-                nodes.append(node)
-                if name in ("article", "main"):
-                    article_depth += 1
-            stack.append(node)
+            attributes = attributes_of(raw) if raw and not now.cut else {}
+            cut = bool(now.cut) or name in CUT or (name == "header" and not now.articles) or is_hidden(attributes)
+            if not cut:
+                node.named = name not in ("html", "body", "article", "main") and names_other_part(attributes)
+                above.parts.append(node)
+            now.push(node, cut)
+
+
+def in_page_order(root: Node) -> list[Node]:
+    """A tree's nodes, parents before children."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(x for x in reversed(node.parts) if isinstance(x, Node))
+    return out
 
 
-def left(node: Node, cut_depth: int, article_depth: int) -> tuple[int, int]:
-    """The depths once a node is closed."""
-    if node.points < 0:
-        return cut_depth - 1, article_depth
-    return cut_depth, article_depth - (node.name in ("article", "main"))
+def without_other_parts(root: Node) -> list[Node]:
+    """The nodes that stay once elements named as no article, and forms that hold less than half of the text, are emptied."""
+    nodes = in_page_order(root)
+    size: dict[Node, int] = {}
+    titled: set[Node] = set()
+    for node in reversed(nodes):
+        if node.name in ("h1", "main"):
+            titled.add(node)
+        if node in titled and node.parent is not None:
+            titled.add(node.parent)
+        own = sum(len(p) if isinstance(p, str) else size[p] for p in node.parts)
+        size[node] = 0 if node.named and node not in titled else own
+    for node in nodes:
+        if (node.named and node not in titled) or (node.name == "form" and 2 * size[node] < size[root]):
+            node.parts = []
+    return in_page_order(root)
 
 
 def blocks(node: Node) -> list[str]:
@@ -238,7 +309,8 @@ def main_blocks(page: str | None) -> list[str]:
     """The blocks of a page's main text."""
     if not page or page.isspace():
         return []
-    root, nodes = parsed(page)
+    root = parsed(page)
+    nodes = without_other_parts(root)
     scored(nodes)
     containers = [n for n in nodes if n.points > 0 and n.name not in PARAGRAPHS]
     if not containers:

@@ -81,3 +81,59 @@ def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, None, 5), (1, None, 5)], "page_id long, html string, text int")
     assert [(r.page_id, r.text, r.n_chars) for r in extract_main_text(df).collect()] == [(1, "", 0)] * 2
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_quotes_and_cut_off_tags():
+    assert text(f"<article><p data-x=it's>{PARA}</p><p>isn't it</p></article>") == f"{PARA}\nisn't it"
+    assert text(f"<article><p>{PARA}</p><p>text<p class=\"a") == f"{PARA}\ntext"
+    assert text(f"<p a='>'>{PARA}</p>") == PARA
+
+
+def test_hidden_is_an_attribute_not_a_class():
+    page = f'<main><div class="md:flex hidden lg:block"><p>{PARA}</p></div><p hidden>gone</p><p aria-hidden="true">gone</p><p style="display:none">gone</p><p title="hidden x">stays here</p></main>'
+    assert text(page) == f"{PARA}\nstays here"
+
+
+def test_forms():
+    assert text(f"<body><form id=aspnet><input name=q><nav>menu</nav><div><p>{PARA}</p><p>{PARA}</p></div><button>Go</button></form></body>") == f"{PARA}\n{PARA}"
+    assert text(f"<body><main><p>{PARA}</p><p>{PARA}</p><form><p>Your name please</p></form></main></body>") == f"{PARA}\n{PARA}"
+
+
+def test_names_of_other_parts():
+    kept = f'<p class="social-history">{PARA}</p><header class="entry-header"><h2>Title</h2></header><section class="menu-planning"><p>{PARA}</p></section>'
+    cut = "".join(f'<div class="{c}"><p>{PARA} cut</p></div>' for c in ("social-links", "related-posts", "cookie-consent", "comment-list", "ad-slot-wrapper", "siteSidebar", "newsletter signup"))
+    page = f'<body class="has-sidebar"><article>{kept}{cut}<p>The end.</p></article></body>'
+    assert text(page).split("\n") == [PARA, "Title", PARA, "The end."]
+    assert text(f'<div class="layout-sidebar"><h1>Head</h1><p>{PARA}</p></div>').split("\n") == ["Head", PARA]
+
+
+def test_formula():
+    assert text(f"<article><p>{PARA} Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p></article>") == f"{PARA} Let x=2 hold."
+
+
+def test_crossed_inline_end_tags():
+    assert text(f"<article><b><div><p>{PARA}</p></b><p>inside</p></div></article>") == f"{PARA}\ninside"
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    for piece in ("<div>", "</b>", '<p a="', "<b", "<p><table><td><div>", "<ul><li>", "<a>", "<!--", "<form><p>word "):
+        times = []
+        for n in (4000, 16000):
+            start = time.perf_counter()
+            main_blocks("<p>some words</p>" + piece * n)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 8 * times[0] + 0.3, piece
+
+
+FAMILY_A = """<html><body class="page"><div id="top-nav"><ul><li><a href=#>Home</a></li></ul></div><div class="columns"><div class="col-main"><h1>{t}</h1><div class="byline">By someone</div>{body}</div>
+<div class="col-side sidebar"><p>Read more, much more, and even more of this.</p></div></div><div class="site-footer">foot</div></body></html>"""
+FAMILY_B = """<div class=wrap><header><h2>Site</h2></header><section><h1>{t}</h1>{body}<div class=share-buttons><a>x</a></div></section><section class="user-comments"><p>Nice, very nice, I think.</p></section></div>"""
+
+
+def test_two_families_without_article():
+    body = "".join(f"<p>{i} {PARA}</p>" for i in range(4))
+    blocks = [f"{i} {PARA}" for i in range(4)]
+    assert text(FAMILY_A.format(t="A title", body=body)).split("\n") == ["A title", "By someone", *blocks]
+    assert text(FAMILY_B.format(t="A title", body=body)).split("\n") == ["A title", *blocks]
