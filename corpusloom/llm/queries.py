@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chat_format, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity
 from corpusloom.llm.training_sample import labelled_sample, remainder
-from corpusloom.runtime import read_table
+from corpusloom.runtime import checkpointed, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,9 +61,9 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as transcripts, their roles recovered from the lines and rendered canonically."""
-    written = chat_format.written_transcripts(read_table(spark, sf_dir, "conversations"))
+    written = checkpointed(chat_format.written_transcripts(read_table(spark, sf_dir, "conversations")))
     known = written.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0)
-    return chat_format.parse_transcripts(written, chat_format.fit(known), keep=("conv_id", "part"))
+    return chat_format.parse_conversations(written, chat_format.fit(known))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -820,7 +820,12 @@ def encode(pixels: np.ndarray, palette: bool = False, predictor: int | None = No
         write_image(out, None, np.full(blocks, 0xFF000000 | predictor << 8, np.uint32), 0, False)
         image = channels(flat).astype(np.int64).reshape(height, packed, 4)
         rest = image.copy()
-        for y in range(height):
+        if predictor in (1, 2):
+            rest[0] -= np.concatenate([[[0, 0, 0, 255]], image[0, :-1]])
+            rest[1:, 0] -= image[:-1, 0]
+            rest[1:, 1:] -= image[1:, :-1] if predictor == 1 else image[:-1, 1:]
+            rest &= 255
+        for y in range(height if predictor not in (1, 2) else 0):
             for x in range(packed):
                 if y == 0:
                     guess = np.array([0, 0, 0, 255]) if x == 0 else image[0, x - 1]
