@@ -42,15 +42,9 @@ PARAGRAPH_END = re.compile(r"\n\s*\n+")
 
 
 def wrapped(text: str, width: int) -> Iterator[str]:
-    """Pieces of at most ``width`` characters, cut at the last space that allows it, else exactly."""
-    rest = text.strip()
-    while len(rest) > width:
-        cut = rest.rfind(" ", 0, width + 1)
-        cut = cut if cut > 0 else width
-        yield rest[:cut].strip()
-        rest = rest[cut:].strip()
-    if rest:
-        yield rest
+    """Pieces of at most ``width`` characters that end before a space where one allows it, trimmed."""
+    piece = re.compile(rf"\s*+(.{{1,{width}}}(?= |\Z)|.{{{width}}})", re.S)
+    return (m[1].strip() for m in piece.finditer(text.strip()))
 
 
 def packed(units: Iterator[str], joint: str, width: int) -> Iterator[str]:

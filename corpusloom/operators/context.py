@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalized_space
+from corpusloom.functions.text import case_folded, content_tokens, normalized_space
 
 #: What makes two hits the same evidence; a chunk's own id only counts where none of these is known.
 LOCATORS = ("doc_id", "source_url", "version", "page_number", "heading", "table_index", "table_part", "row_start", "row_end")
@@ -92,22 +92,42 @@ def citations_for_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return named.join(own, ["query_id", "marker"]).select("answer_id", "marker", "chunk_id")
 
 
-def best_excerpt(hits: DataFrame, claims: DataFrame, longest: int = 360, ideal: int = 220) -> DataFrame:
-    """(claim_id, chunk_id, excerpt): the sentence or line of a hit that supports a claim best; none without support.
+def claim_tokens(text: F.Column, stopwords: tuple[str, ...] = ()) -> F.Column:
+    """Distinct case-folded words of two characters or more, and numbers, without [n] marks and stop words."""
+    words = content_tokens(F.regexp_replace(text, r"\[\d+\]", " "), stopwords, min_len=1)
+    return F.filter(words, lambda t: (F.length(t) > 1) | t.rlike(r"^\p{N}+$"))
+
+
+def specific_tokens(text: F.Column) -> F.Column:
+    """Distinct case-folded words with a digit, and words of capitals only; . / % + - belong to words, [n] marks don't."""
+    words = F.regexp_extract_all(F.regexp_replace(text, r"\[\d+\]", " "), F.lit(r"([\p{L}\p{N}_./%+-]+)"), 1)
+    capitals = lambda t: (F.length(t) >= 2) & t.rlike(r"\p{L}") & (F.upper(t) == t)
+    return F.array_distinct(F.transform(F.filter(words, lambda t: t.rlike(r"\p{N}") | capitals(t)), case_folded))
 
-    Best: most of the claim's words, then the densest, then the nearest to the ideal length, then the first.
-    """
-    from corpusloom.functions.text import content_tokens
 
-    asked = claims.select("claim_id", "query_id", content_tokens(F.col("claim")).alias("c"))
-    parts = hits.select("query_id", "chunk_id", "pos", F.posexplode(F.split("content", r"(?<=[.!?…])\s+|\n+")).alias("at", "part")).where(F.length(F.trim("part")) > 0)
-    scored = parts.join(asked, "query_id").withColumn("w", content_tokens(F.col("part")))
+def best_excerpt(hits: DataFrame, claims: DataFrame, longest: int = 360, ideal: int = 220, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(claim_id, chunk_id, excerpt): the sentence, list item or table row of a hit that supports a claim best.
+
+    Best: most of the claim's specific words (codes, years, capitals), then most of its words, then the densest, then the
+    nearest to the ideal length, then the first. A claim none of whose words is found, or that has specific words none of which
+    is found, has no row. An excerpt that is too long is cut around the first of the claim's words in it.
+    """
+    asked = claims.select("claim_id", "query_id", claim_tokens(F.col("claim"), stopwords).alias("c"), specific_tokens(F.col("claim")).alias("cs"))
+    parts = hits.select("query_id", "chunk_id", "pos", F.posexplode(F.split("content", r"(?<=[.!?;])\s+|\n+")).alias("at", "raw"))
+    ruler = F.col("raw").rlike(r"^\s*\|?(?:\s*:?-{3,}:?\s*\|?)+\s*$")
+    parts = parts.where(~ruler).withColumn("part", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("part <> ''")
+    scored = parts.join(asked, "query_id").withColumns({"w": claim_tokens(F.col("part"), stopwords), "specific": F.size(F.array_intersect(specific_tokens(F.col("part")), "cs"))})
     both = F.size(F.array_intersect("w", "c"))
-    scored = scored.withColumns({"both": both, "dense": F.when(F.size("w") > 0, both / F.size("w")).otherwise(0.0), "off": -F.abs(F.length("part") - ideal)}).where("both > 0")
-    key = F.struct("both", "dense", "off", (-F.col("pos")).alias("p"), (-F.col("at")).alias("a"))
-    cut = F.when(F.length("part") > longest, F.concat(F.substring("part", 1, longest - 1), F.lit("…"))).otherwise(F.col("part"))
-    best = scored.groupBy("claim_id").agg(F.max_by(F.struct("chunk_id", cut.alias("excerpt")), key).alias("b"))
-    return best.select("claim_id", "b.chunk_id", "b.excerpt")
+    scored = scored.withColumns({"both": both, "dense": both / F.greatest(F.lit(1), F.size("w")), "off": -F.abs(F.length("part") - ideal)})
+    key = F.struct("specific", "both", "dense", "off", (-F.col("pos")).alias("p"), (-F.col("at")).alias("a"))
+    best = scored.groupBy("claim_id").agg(F.max_by(F.struct("chunk_id", "part", "c", "cs", "both", "specific"), key).alias("b")).select("claim_id", "b.*")
+    best = best.where((F.col("both") > 0) & ((F.size("cs") == 0) | (F.col("specific") > 0)))
+    places = F.filter(F.transform("c", lambda t: F.position(t, case_folded(F.col("part")))), lambda k: k > 0)
+    anchor = F.coalesce(F.array_min(places) - 1, F.lit(0))
+    start = F.greatest(F.lit(0), F.least(anchor - longest // 3, F.length("part") - longest))
+    middle = F.trim(F.substring("part", start + 1, F.lit(longest)))
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), middle, F.when(start + longest < F.length("part"), "…").otherwise(""))
+    return best.select("claim_id", "chunk_id", F.when(F.length("part") > longest, cut).otherwise(F.col("part")).alias("excerpt"))
 
 
 def numbered_methods(hits: DataFrame, total: str, item: str) -> DataFrame:

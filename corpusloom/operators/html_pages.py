@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -66,20 +67,35 @@ def plain_lines(html: str | None) -> str:
     return "\n".join(filter(None, (s.strip() for s in "".join(walker.parts).split("\n"))))
 
 
+#: The most columns and rows that a cell may span (HTML standard).
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
 def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
-    """Cells with row and column spans as a rectangle, a spanning cell repeated."""
-    filled: dict[tuple[int, int], str] = {}
-    for y, row in enumerate(rows):
-        x = 0
-        for text, down, across in row:
-            while (y, x) in filled:
-                x += 1
-            for dy in range(min(down, len(rows) - y)):
-                for dx in range(across):
-                    filled[y + dy, x + dx] = text
-            x += across
-    width = max((x for _, x in filled), default=-1) + 1
-    return [[filled.get((y, x), "") for x in range(width)] for y in range(len(rows))]
+    """Cells with row and column spans as a rectangle, a spanning cell repeated.
+
+    Each column carries down the cell that spans it; rows go on as long as a cell is carried, also behind the last.
+    """
+    lines: list[dict[int, str]] = []
+    carried: dict[int, tuple[str, int]] = {}
+    for y in itertools.count():
+        if y >= len(rows) and not carried:
+            break
+        line = {column: text for column, (text, _) in carried.items()}
+        after = {column: (text, more - 1) for column, (text, more) in carried.items() if more > 1}
+        free = (column for column in itertools.count() if column not in carried)
+        column = next(free)
+        for text, down, across in rows[y] if y < len(rows) else ():
+            down, across = min(down, MOST_ROWS), min(across, MOST_COLUMNS)
+            spanned = range(column, column + across)
+            line.update(dict.fromkeys(spanned, text))
+            if down > 1:
+                after.update(dict.fromkeys(spanned, (text, down - 1)))
+            column = next(c for c in free if c >= spanned.stop)
+        lines.append(line)
+        carried = after
+    width = max((max(line) for line in lines if line), default=-1) + 1
+    return [[line.get(column, "") for column in range(width)] for line in lines]
 
 
 def table_markdown(rows: list[list[str]]) -> str:

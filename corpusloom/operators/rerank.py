@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scope import factor_product
-from corpusloom.functions.text import content_tokens, facts, fold, normalized_space, tokens
+from corpusloom.functions.text import codes, content_tokens, facts, fold, normalized_space, tokens
 
 
 def search_text() -> Column:
@@ -76,18 +77,22 @@ def check_rerank_output(candidates: DataFrame, reranked: DataFrame) -> DataFrame
     return foreign.union(unordered).distinct()
 
 
-def lexical_evidence_gate(queries: DataFrame, hits: DataFrame, coverage: float = 0.34, query_col: str = "query", text_col: str = "content") -> DataFrame:
+def lexical_evidence_gate(queries: DataFrame, hits: DataFrame, coverage: float = 0.34, query_col: str = "query", text_cols: tuple[str, ...] = ("content",), stopwords: tuple[str, ...] = (), demand_codes: bool = True) -> DataFrame:
     """(query_id, wanted, found, passes): whether enough of a query's tokens occur in its hits taken together.
 
-    Enough is max(1, ceil(tokens * coverage)). A query without tokens passes if it has hits.
+    Enough is max(1, ceil(tokens * coverage)) of the tokens of two characters or more that are neither numbers nor stop
+    words; a query without any does not pass. With ``demand_codes`` every code that the query names must stand in a hit.
+    ``text_cols`` are searched together (title, section, content, say).
     """
-    asked = queries.select("query_id", content_tokens(F.col(query_col), digits=False).alias("q"))
-    need = asked.select("query_id", F.size("q").alias("wanted"), F.explode_outer("q").alias("term"))
-    seen = hits.select("query_id", F.explode(content_tokens(F.col(text_col), digits=False)).alias("term")).distinct().withColumn("hit", F.lit(1))
-    counted = need.join(seen, ["query_id", "term"], "left").groupBy("query_id", "wanted").agg(F.count("hit").alias("found"))
-    has = hits.select("query_id").distinct().withColumn("has", F.lit(True))
-    enough = F.when(F.col("wanted") == 0, F.coalesce("has", F.lit(False))).otherwise(F.col("found") >= F.greatest(F.lit(1), F.ceil(F.col("wanted") * coverage)))
-    return counted.join(has, "query_id", "left").select("query_id", "wanted", "found", enough.alias("passes"))
+    own = lambda c: content_tokens(c, stopwords, digits=False)
+    asked = queries.select("query_id", own(F.col(query_col)).alias("q"), (codes(F.col(query_col)) if demand_codes else F.array().cast("array<string>")).alias("codes"))
+    need = asked.select("query_id", F.size("q").alias("wanted"), F.explode_outer(F.concat(F.transform("q", lambda t: F.struct(t.alias("term"), F.lit(False).alias("code"))), F.transform("codes", lambda t: F.struct(t.alias("term"), F.lit(True).alias("code"))))).alias("n"))
+    text = F.concat_ws("\n", *text_cols)
+    seen = hits.select("query_id", F.explode(F.array_union(own(text), codes(text))).alias("term")).distinct().withColumn("hit", F.lit(True))
+    met = need.select("query_id", "wanted", "n.term", "n.code").join(seen, ["query_id", "term"], "left")
+    counted = met.groupBy("query_id", "wanted").agg(F.count_if(F.col("hit") & ~F.col("code")).alias("found"), F.count_if(F.col("code") & F.col("hit").isNull()).alias("codes_missing"))
+    enough = (F.col("wanted") > 0) & (F.col("found") >= F.greatest(F.lit(1), F.ceil(F.col("wanted") * coverage))) & (F.col("codes_missing") == 0)
+    return counted.select("query_id", "wanted", "found", enough.alias("passes"))
 
 
 def named_entity_gate(queries: DataFrame, hits: DataFrame, name_pattern: str, query_col: str = "query", text_col: str = "content") -> DataFrame:
@@ -106,14 +111,21 @@ def asks_live_state(query: Column, now: str, stock: str) -> Column:
     return folded.rlike(now) & folded.rlike(stock)
 
 
-def safe_query_variants(pairs: DataFrame, stopwords: tuple[str, ...] = (), most: int = 3) -> DataFrame:
-    """(query_id, place, variant): the original, then candidates with the same facts that keep enough topic words.
+def safe_query_variants(pairs: DataFrame, stopwords: tuple[str, ...] = (), most: int = 3, intents: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+    """(query_id, place, variant): the original, then candidates of the same scope.
 
-    Enough is ceil(0.6 * topics). Variants equal after normalising count once; at most ``most`` stay.
+    Same scope: equal facts; the intents (groups of phrases, found as whole words) of an original that has some; and at
+    least max(1, ceil(0.6 * n)) of its n topic words, which are all words but stop words. An original without topic words
+    has no safe candidate. Variants equal after normalising count once; at most ``most`` stay.
     """
-    topic = lambda c: F.array_except(content_tokens(F.col(c), stopwords), facts(F.col(c)))
-    kept = F.size(F.array_intersect(topic("original"), topic("candidate"))) >= F.ceil(0.6 * F.size(topic("original")))
-    good = pairs.where((facts(F.col("candidate")) == facts(F.col("original"))) & kept)
+    stop = F.array(*(F.lit(s) for s in stopwords)).cast("array<string>")
+    topic = lambda c: F.array_except(F.array_distinct(tokens(F.col(c))), stop)
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+    said = lambda c: F.array(*(reduce(Column.__or__, (F.contains(padded(F.col(c)), padded(F.lit(p))) for p in group)) for group in intents)).cast("array<boolean>")
+    need = F.greatest(F.lit(1), F.ceil(0.6 * F.size(topic("original"))))
+    kept = F.size(F.array_intersect(topic("original"), topic("candidate"))) >= need
+    same_intents = ~F.array_contains(said("original"), True) | (said("original") == said("candidate"))
+    good = pairs.where((facts(F.col("candidate")) == facts(F.col("original"))) & kept & same_intents)
     every = pairs.select("query_id", F.lit(-1).alias("pos"), F.col("original").alias("variant")).unionByName(good.select("query_id", F.col("candidate_pos").alias("pos"), F.col("candidate").alias("variant")))
     first = every.groupBy("query_id", normalized_space(F.col("variant")).alias("norm")).agg(F.min(F.struct("pos", "variant")).alias("v"))
     ranked = first.select("query_id", F.col("v.variant").alias("variant"), F.row_number().over(Window.partitionBy("query_id").orderBy("v.pos", "norm")).alias("place"))

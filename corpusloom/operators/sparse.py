@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
+from corpusloom.runtime import broadcast_if_small, checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -13,8 +14,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(chunk_id, term, tf, dl): how often each term stands in each chunk, and the chunk's length in tokens.
 
-    A row's counts come from the row alone (sorted tokens, run by run would need a shuffle; grouping does it with
-    map-side combine). Chunks without tokens have no rows.
+    Grouping combines before the shuffle. Chunks without tokens have no rows.
     """
     words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("t"))
     return words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
@@ -58,7 +58,33 @@ def top_k(scores: DataFrame, k: int | str, *ties: str, score_col: str = "score")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def vocabulary(words: DataFrame) -> DataFrame:
+    """(term, df, length) from (chunk_id, t) tokens, in one pass that combines before the shuffle.
+
+    A chunk counts once for each of its terms, and once under the null term with its number of tokens as length.
+    """
+    terms = F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))
+    return words.select(F.size("t").alias("dl"), F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20, id_col: str = "chunk_id", text_col: str = "content", query_col: str = "query") -> DataFrame:
-    """(query_id, chunk_id, score, rank). Blank queries and queries that share no token give no rows."""
-    posted, stats = postings(chunks, id_col, text_col), corpus_stats(chunks, text_col)
-    return top_k(bm25_scores(query_terms(queries, query_col), posted, term_stats(posted, stats), stats), k, "chunk_id")
+    """(query_id, chunk_id, score, rank). Blank queries and queries that share no token give no rows.
+
+    Two passes over the chunks: one counts the vocabulary (kept in the shared folder), one takes the tokens that are asked
+    for; other tokens are never shuffled as postings.
+    """
+    words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("t"))
+    counted = checkpointed(vocabulary(words))
+    stats = counted.where("term is null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = counted.where("term is not null").select("term", "df").crossJoin(F.broadcast(stats)).select("term", raw.alias("raw"))
+    floor = F.broadcast(terms.agg((EPSILON * F.avg("raw")).alias("floor")))
+    idf = terms.crossJoin(floor).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    asked = checkpointed(query_terms(queries, query_col).join(idf, "term"))
+    wanted = asked.select("term").distinct()
+    found = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(broadcast_if_small(wanted, asked.count()), "term", "left_semi")
+    posted = found.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
+    scores = posted.crossJoin(F.broadcast(stats)).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return top_k(scores, k, "chunk_id")

@@ -90,9 +90,12 @@ def lexical_rerank(spark, sf):
     return rerank.lexical_rerank(pairs, 5).select("query_id", "chunk_id", "overlap", "rank")
 
 
+_STOPWORDS = ("the", "of", "and", "is", "que", "de")
+
+
 def lexical_gate(spark, sf):
     hits = _bm25(spark, sf, 3).join(documents(spark, sf), "chunk_id")
-    return rerank.lexical_evidence_gate(asked(spark, sf), hits, 0.5)
+    return rerank.lexical_evidence_gate(asked(spark, sf), hits, 0.5, text_cols=("source", "lang", "content"), stopwords=_STOPWORDS)
 
 
 def final_context(spark, sf):
@@ -108,14 +111,26 @@ def _benchmark(spark, sf):
 
 
 def golden_pairs(spark, sf):
-    """(case_id, chunk_id): documents that contain a benchmark item; found by its first five tokens, then compared whole."""
+    """(case_id, chunk_id): documents that contain a benchmark item.
+
+    An item's first and last token may be parts of words where a document has it, those between are whole there: of an item
+    with five inner tokens their first five are looked up, of one with fewer the longest, and then the texts are compared.
+    Items without an inner token are held against every document.
+    """
     gram = lambda c: F.array_join(c, " ")
-    t = documents(spark, sf).select("chunk_id", "content", tx.tokens(F.col("content")).alias("t"))
+    docs = documents(spark, sf).select("chunk_id", "content")
+    t = docs.select("chunk_id", tx.tokens(F.col("content")).alias("t"))
     own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 4)), lambda i: gram(F.slice("t", i, 5)))
-    grams = t.select("chunk_id", F.explode(F.array_distinct(own)).alias("g"))
-    items = _benchmark(spark, sf).select(F.col("query_id").alias("case_id"), "query", gram(F.slice(tx.tokens(F.col("query")), 1, 5)).alias("g"))
-    near = grams.join(items, "g").select("chunk_id", "case_id", "query").join(t.select("chunk_id", "content"), "chunk_id")
-    return near.where(F.contains("content", "query")).select("case_id", "chunk_id").distinct()
+    items = _benchmark(spark, sf).select(F.col("query_id").alias("case_id"), "query", tx.tokens(F.col("query")).alias("q"))
+    items = items.withColumn("inner", F.expr("slice(q, 2, greatest(size(q) - 2, 0))"))
+    longest = F.element_at(F.array_sort(F.transform("inner", lambda w: F.struct(F.length(w), w.alias("w")))), -1)["w"]
+    items = items.select("case_id", "query", F.when(F.size("inner") >= 5, gram(F.slice("inner", 1, 5))).when(F.size("inner") > 0, longest).alias("g"), (F.size("inner") >= 5).alias("long"))
+    grams = t.select("chunk_id", F.explode(F.array_distinct(own)).alias("g")).join(items.where("long"), "g")
+    words = t.select("chunk_id", F.explode(F.array_distinct("t")).alias("g")).join(items.where("not long"), "g")
+    near = grams.select("chunk_id", "case_id", "query").union(words.select("chunk_id", "case_id", "query")).join(docs, "chunk_id")
+    pairs = near.where(F.contains("content", "query")).select("case_id", "chunk_id").distinct()
+    bare = items.where("g is null").select("case_id", "query")
+    return pairs.union(docs.join(bare, F.contains("content", "query")).select("case_id", "chunk_id"))
 
 
 def _run(spark, sf):
@@ -157,11 +172,11 @@ QUERIES = {
 }
 
 _POSTED = f"""
-w AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents),
-p AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM w) GROUP BY 1, 2, 3),
-s AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM w),
-r AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term),
-i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)"""
+w AS MATERIALIZED (SELECT doc_id, {sql_tokens('text')} AS t FROM documents),
+p AS MATERIALIZED (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM w) GROUP BY 1, 2, 3),
+s AS MATERIALIZED (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM w),
+r AS MATERIALIZED (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term),
+i AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)"""
 
 
 def _search_sql(queries: str, k: int) -> str:
@@ -203,11 +218,15 @@ ORACLE_SQL = {
     "hydrate_parents": f"WITH {_near_sql('a', 'true', 10)} SELECT query_id, CASE WHEN vec_id % 7 = 0 OR label >= 6 THEN vec_id ELSE label END AS chunk_id, min(rank) AS pos, max(score) AS score FROM a GROUP BY 1, 2",
     "lexical_rerank": f"WITH {_search_sql(_ASKED, 20)}, {_OVERLAP} SELECT query_id, chunk_id, overlap, rank FROM best",
     "lexical_gate": f"""
-WITH {_search_sql(_ASKED, 3)}, qq AS (SELECT query_id, list_distinct(list_filter({sql_tokens('query')}, lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '\\p{{N}}+'))) AS a FROM q),
+WITH {_search_sql(_ASKED, 3)},
+qq AS (SELECT query_id, list_distinct(list_filter({sql_tokens('query')}, lambda t: length(t) >= 2 AND t NOT IN ('the','of','and','is','que','de') AND NOT regexp_full_match(t, '\\p{{N}}+'))) AS a,
+  list_distinct(list_filter({sql_tokens('query')}, lambda t: regexp_full_match(t, '[a-z]{{1,6}}\\d{{1,4}}|\\d{{7}}'))) AS codes FROM q),
 n AS (SELECT query_id, unnest(a) AS term FROM qq),
-h AS (SELECT DISTINCT query_id, unnest({sql_tokens('d.text')}) AS term FROM hits JOIN documents d ON d.doc_id = hits.chunk_id)
-SELECT query_id, CAST(len(a) AS INT) AS wanted, f AS found, CASE WHEN len(a) = 0 THEN query_id IN (SELECT query_id FROM hits) ELSE f >= greatest(1, ceil(len(a) * 0.5)) END AS passes
-FROM (SELECT query_id, a, (SELECT count(*) FROM n JOIN h USING (query_id, term) WHERE n.query_id = qq.query_id) AS f FROM qq)""",
+h AS (SELECT DISTINCT query_id, unnest({sql_tokens("concat_ws(chr(10), d.source, d.lang, d.text)")}) AS term FROM hits JOIN documents d ON d.doc_id = hits.chunk_id),
+f AS (SELECT query_id, count(*) AS found FROM n JOIN h USING (query_id, term) GROUP BY 1),
+m AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(codes) AS term FROM qq) c ANTI JOIN h USING (query_id, term))
+SELECT query_id, CAST(len(a) AS INT) AS wanted, coalesce(found, 0) AS found, len(a) > 0 AND coalesce(found, 0) >= greatest(1, ceil(len(a) * 0.5)) AND query_id NOT IN (SELECT query_id FROM m) AS passes
+FROM qq LEFT JOIN f USING (query_id)""",
     "final_context": f"""
 WITH RECURSIVE {_search_sql(_ASKED, 20)}, {_OVERLAP},
 g AS (SELECT query_id, chunk_id, length(text) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM best JOIN documents ON doc_id = chunk_id WHERE trim(text) <> ''),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import joined_digest
 from corpusloom.operators.quality import build_fingerprint, corpus_fingerprint
+from corpusloom.runtime import checkpointed
 
 SCHEMA_VERSION = "1"
 
@@ -60,23 +61,36 @@ def write_markdown_corpus(docs: DataFrame, path: str) -> None:
 
 
 def attach_raw_metadata(files: DataFrame, records: DataFrame) -> DataFrame:
-    """Join (raw_file, meta) records to files by normalised path, else by base name; of several with one name the first counts."""
+    """Join (raw_file, pos, meta) records to files by normalised path, else by base name; of several with one name the last counts."""
     norm = lambda c: F.lower(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^(?:\./)+|/+$", ""))
     base = lambda c: F.regexp_extract(norm(c), r"([^/]+)$", 1)
-    by = lambda key, name: records.groupBy(key.alias(f"__{name}")).agg(F.min_by("meta", "raw_file").alias(f"__{name}_meta"))
+    by = lambda key, name: records.groupBy(key.alias(f"__{name}")).agg(F.max_by("meta", "pos").alias(f"__{name}_meta"))
     keyed = files.withColumns({"__p": norm(F.col("path")), "__b": base(F.col("path"))})
     joined = keyed.join(by(norm(F.col("raw_file")), "path"), F.col("__p") == F.col("__path"), "left").join(by(base(F.col("raw_file")), "base"), F.col("__b") == F.col("__base"), "left")
     return joined.withColumn("meta", F.coalesce("__path_meta", "__base_meta")).select(*files.columns, "meta")
 
 
 def flattened_records(raw: DataFrame, column: str = "json") -> DataFrame:
-    """(raw_file, meta) of every object below a JSON value that has a raw_file, down to attachments of attachments."""
-    kind = "struct<raw_file:string>"
-    rows = raw.select(F.explode(F.coalesce(F.from_json(column, "array<string>"), F.array(column))).alias("meta"))
-    inner = rows.select(F.explode(F.from_json(F.get_json_object("meta", "$.attachments"), "array<string>")).alias("meta"))
-    deeper = inner.select(F.explode(F.from_json(F.get_json_object("meta", "$.attachments"), "array<string>")).alias("meta"))
-    every = rows.unionByName(inner).unionByName(deeper)
-    return every.select(F.from_json("meta", kind)["raw_file"].alias("raw_file"), "meta").where("raw_file is not null")
+    """(raw_file, pos, meta) of every object in a JSON value, at any depth, that has a raw_file.
+
+    ``pos`` is the path of positions to the object: arrays compare in the order in which the text has the objects. One
+    round a level of nesting; only the number of values left reaches the driver.
+    """
+    # A table's values stand in the order of their rows' texts, so that reruns agree.
+    level = raw.select(F.col(column).alias("value"), F.array(F.xxhash64(column)).alias("pos"))
+    found = None
+    while True:
+        level = checkpointed(level)
+        if not level.limit(1).count():
+            return found
+        is_object, is_list = F.ltrim("value").startswith("{"), F.ltrim("value").startswith("[")
+        objects = level.where(is_object)
+        own = objects.select(F.get_json_object("value", "$.raw_file").alias("raw_file"), "pos", F.col("value").alias("meta")).where("raw_file is not null and raw_file <> ''")
+        found = own if found is None else found.unionByName(own)
+        of_objects = objects.select("pos", F.posexplode(F.map_values(F.from_json("value", "map<string,string>"))).alias("k", "value"))
+        of_lists = level.where(is_list).select("pos", F.posexplode(F.from_json("value", "array<string>")).alias("k", "value"))
+        below = of_objects.unionByName(of_lists).where(F.ltrim("value").rlike(r"^[\[{]"))
+        level = below.select("value", F.concat("pos", F.array(F.col("k").cast("long"))).alias("pos"))
 
 
 def write_index_snapshot(chunks: DataFrame, path: str, config: dict) -> None:

@@ -173,7 +173,8 @@ def test_files_and_snapshots(spark, tmp_path):
     with pytest.raises(corpus.SnapshotError):
         corpus.read_index_snapshot(spark, path, {"m": 1})
     assert corpus.reusable_stage(spark, path, "nothing") is None
-    raw = spark.createDataFrame([('[{"raw_file": "r/a.md", "attachments": [{"raw_file": "b.md"}]}]',)], "json string")
-    files = spark.createDataFrame([("./R/a.md",), ("x/b.md",), ("x/c.md",)], "path string")
+    raw = spark.createDataFrame([('[{"raw_file": "r/a.md", "attachments": [{"raw_file": "b.md", "deep": {"er": [{"raw_file": "d.md"}, {"raw_file": "d.md", "n": 2}]}}]}]',)], "json string")
+    files = spark.createDataFrame([("./R/a.md",), ("x/b.md",), ("x/c.md",), ("d.md",)], "path string")
     meta = {r.path: r.meta for r in corpus.attach_raw_metadata(files, corpus.flattened_records(raw)).collect()}
     assert meta["./R/a.md"] and meta["x/b.md"] and meta["x/c.md"] is None
+    assert '"n":2' in meta["d.md"].replace(" ", "")

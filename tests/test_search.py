@@ -110,6 +110,10 @@ def test_rerank_and_gates(spark):
     assert "not_a_candidate" in {r.fault for r in faults.collect()}
     gate = {r.query_id: r.passes for r in rerank.lexical_evidence_gate(pairs.select("query_id", "query").distinct(), pairs, 0.9).collect()}
     assert gate == {1: True}
+    asked = spark.createDataFrame([(1, "the fee of AB12"), (2, "the fee of AB12"), (3, "2031 of"), (4, "rooms"), (5, "fee")], "query_id long, query string")
+    shown = spark.createDataFrame([(1, "fee ab12", "x"), (2, "fee ab1", "x"), (3, "2031 of", "x"), (5, "none", "Fee")], "query_id long, content string, title string")
+    gate = {r.query_id: r.passes for r in rerank.lexical_evidence_gate(asked, shown, text_cols=("title", "content"), stopwords=("the", "of")).collect()}
+    assert gate == {1: True, 2: False, 3: False, 4: False, 5: True}
     q = spark.createDataFrame([(1, "is there a program data science here?"), (2, "is there a program law here"), (3, "other")], "query_id long, query string")
     h = spark.createDataFrame([(1, "We teach Data  Science."), (2, "lawless")], "query_id long, content string")
     assert {r.query_id: r.passes for r in rerank.named_entity_gate(q, h, r"program (.+?) here").collect()} == {1: True, 2: False, 3: True}
@@ -121,6 +125,9 @@ def test_query_variants(spark):
     rows = [(1, "Cutoff of CN1 in 2031", "2031 cutoff for CN1", 0), (1, "Cutoff of CN1 in 2031", "cutoff of CN2 in 2031", 1), (1, "Cutoff of CN1 in 2031", "cutoff  of cn1 in 2031", 2), (1, "Cutoff of CN1 in 2031", "CN1 2031", 3)]
     pairs = spark.createDataFrame(rows, "query_id long, original string, candidate string, candidate_pos int")
     got = rerank.safe_query_variants(pairs, ("of", "in", "for")).orderBy("place").collect()
-    assert [r.variant for r in got] == ["Cutoff of CN1 in 2031", "2031 cutoff for CN1"]
+    assert [r.variant for r in got] == ["Cutoff of CN1 in 2031", "2031 cutoff for CN1", "CN1 2031"]  # two of three topic words and all facts stay
+    rows = [(1, "of in", "of in a place", 0), (2, "fee of law", "law fee of year", 0), (2, "fee of law", "deadline fee law", 1), (3, "law school", "school of law deadline", 0)]
+    safe = rerank.safe_query_variants(spark.createDataFrame(rows, "query_id long, original string, candidate string, candidate_pos int"), ("of", "in"), intents=(("fee", "cost of study"), ("deadline",)))
+    assert sorted((r.query_id, r.variant) for r in safe.collect()) == [(1, "of in"), (2, "fee of law"), (2, "law fee of year"), (3, "law school"), (3, "school of law deadline")]
     accepted = [r.accepted for r in rerank.accepted_rewrite(pairs).orderBy("candidate_pos").collect()]
     assert accepted[1] == accepted[3] == "Cutoff of CN1 in 2031"
