@@ -39,6 +39,8 @@ def padded(raw: bytes) -> bytes:
 
 #: Share of runs of three pixels that stand before in the image from which references are tried.
 REPEATED = 0.2
+#: Mean difference of samples below which a transform that takes differences is estimated; letters lie further apart.
+SMOOTH = 12
 #: Bits of the colour cache that goes with references.
 CACHE_BITS = 6
 #: Forms by name: what the encoder is asked for.
@@ -83,19 +85,19 @@ def likely_form(pixels: np.ndarray) -> str:
         return "references"
     bits = {"plain": code_bits(channel_counts(pixels).sum(axis=0))}
     wide = pixels.astype(np.int16)
-    shifted = wide.copy()
-    shifted[..., [0, 2]] -= wide[..., 1:2]
-    bits["green"] = code_bits(channel_counts(shifted & 255))
-    red, green, blue = ((wide[..., c] ^ 128) - 128 for c in range(3))
-    shifted[..., 0] = wide[..., 0]
-    shifted[..., 2] = wide[..., 2] - (16 * green >> 5) - (16 * red >> 5)
-    bits["cross"] = code_bits(channel_counts(shifted & 255))
-    rest = wide.copy()
-    rest[:, 1:] -= wide[:, :-1]
-    bits["left"] = code_bits(channel_counts(rest & 255))
-    rest = wide.copy()
-    rest[1:] -= wide[:-1]
-    bits["above"] = code_bits(channel_counts(rest & 255))
+    by_green = wide[..., [0, 2]] - wide[..., 1:2]
+    if np.abs(by_green).mean() < SMOOTH:
+        shifted = wide.copy()
+        shifted[..., [0, 2]] = by_green
+        bits["green"] = code_bits(channel_counts(shifted & 255))
+        red, green = ((wide[..., c] ^ 128) - 128 for c in range(2))
+        shifted[..., 0] = wide[..., 0]
+        shifted[..., 2] = wide[..., 2] - (16 * green >> 5) - (16 * red >> 5)
+        bits["cross"] = code_bits(channel_counts(shifted & 255))
+    for form, axis in (("left", 1), ("above", 0)):
+        rest = np.diff(wide, axis=axis, prepend=np.int16(0))
+        if np.abs(rest).mean() < SMOOTH:
+            bits[form] = code_bits(channel_counts(rest & 255))
     if len(flat) <= 1024:
         colours, counts = np.unique(flat, return_counts=True)
         if len(colours) <= 256:

@@ -718,8 +718,14 @@ def write_image(out: Writer, tokens: list[tuple] | None, flat: np.ndarray, cache
         lengths = code_lengths(counts)
         codes.append((code_words(lengths), write_code(out, lengths)))
 
+    words = [w.tolist() for w, _ in codes]
+    widths = [n.tolist() for _, n in codes]
+    values: list[int] = []
+    counts: list[int] = []
+
     def word(k: int, s: int) -> None:
-        out.put(int(codes[k][0][s]), int(codes[k][1][s]))
+        values.append(words[k][s])
+        counts.append(widths[k][s])
 
     for t in tokens:
         if len(t) == 4:
@@ -729,9 +735,11 @@ def write_image(out: Writer, tokens: list[tuple] | None, flat: np.ndarray, cache
             for k, value in ((0, t[1]), (4, t[2])):
                 p, extra, n = prefix_of(value)
                 word(k, 256 + p if k == 0 else p)
-                out.put(extra, n)
+                values.append(extra)
+                counts.append(n)
         else:
             word(0, t[0])
+    out.put_all(np.array(values, np.int64), np.array(counts, np.int64))
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
