@@ -100,6 +100,29 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_webp(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",), outputs=outputs)
 
 
+# What SQL can say of the operators' results --------------------------------------------------------------------------
+
+
+def mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents and sources in op5_mixing."""
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes in op7_ngram_jaccard."""
+    return op7_ngram_jaccard(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+def edited_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and edited texts in op8_fingerprints."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads read back in op10_media."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -111,6 +134,26 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
+    "mixed_sizes": mixed_sizes,
+    "shingle_counts": shingle_counts,
+    "edited_digests": edited_digests,
+    "payload_digests": payload_digests,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all({}, '[^\x20\x09-\x0D]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "mixed_sizes": f"SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM (SELECT doc_id, source, CAST(coalesce(len({_WORDS.format('text')}), 0) AS BIGINT) AS size FROM documents)",
+    "shingle_counts": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)
+SELECT doc_id, count(DISTINCT g) AS n_shingles FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""",
+    "edited_digests": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS other FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 3) || left(other, n // 3)) AS edited_sha256 FROM n""",
+    "payload_digests": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, octet_length(b) AS n, CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END AS more FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + more AS BIGINT) AS payload_bytes, sha256(b || repeat('\x00'::BLOB, CAST(more AS BIGINT))) AS payload_sha256 FROM p""",
+}
