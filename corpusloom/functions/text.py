@@ -96,7 +96,7 @@ def slug(text: Column, longest: int = 90) -> Column:
 def document_id(namespace: Column, year: Column, category: Column, title: Column, version: Column, page: Column | None = None) -> Column:
     """namespace-year-category-slug-vN, with -pNNN for a page."""
     base = F.concat_ws("-", namespace, year.cast("string"), category, slug(title), F.concat(F.lit("v"), version.cast("string")))
-    return base if page is None else F.when(page.isNull(), base).otherwise(F.concat(base, F.lit("-p"), F.lpad(page.cast("string"), 3, "0")))
+    return base if page is None else F.when(page.isNull(), base).otherwise(F.concat(base, F.format_string("-p%03d", page)))
 
 
 def joined_digest(*parts: Column) -> Column:
@@ -168,6 +168,11 @@ def url_host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+def question_hash(question: Column) -> Column:
+    """SHA-256 of a question, to log it without its text."""
+    return F.sha2(question, 256)
+
+
 def valid_vector(v: Column, dim: int | None = None) -> Column:
     """Whether a vector is finite, not all zero and of the right length; false for null."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

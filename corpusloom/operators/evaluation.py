@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import normalized_space
+
 
 def retrieval_metrics(run: DataFrame, golden: DataFrame, cases: DataFrame) -> DataFrame:
     """(mode, case_id, recall, coverage, rr): per case with evidence.
@@ -83,12 +85,11 @@ def golden_summary(cases: DataFrame) -> DataFrame:
 
 def golden_findings(cases: DataFrame, evidence: DataFrame, routes: tuple[str, ...], difficulties: tuple[str, ...], fallback: str, least: int = 30, most: int = 50) -> DataFrame:
     """(id, rule): rules that a golden set breaks; rules of the whole set have a null id."""
-    from corpusloom.functions.text import normalized_space
-
     norm = normalized_space(F.col("question"))
-    known = evidence.groupBy().agg(F.collect_set("chunk_id").alias("known"))
-    quotes = cases.select("id", F.explode("evidence_ids").alias("chunk_id")).join(evidence.select("chunk_id", "quote"), "chunk_id").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(normalized_space(F.col("quote")))), " ").alias("quotes"))
-    rows = cases.crossJoin(F.broadcast(known)).join(quotes, "id", "left")
+    named = cases.select("id", F.explode("evidence_ids").alias("chunk_id"))
+    unknown = named.join(evidence.select("chunk_id"), "chunk_id", "left_anti").select("id").distinct().withColumn("unknown", F.lit(True))
+    quotes = named.join(evidence.select("chunk_id", "quote"), "chunk_id").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(normalized_space(F.col("quote")))), " ").alias("quotes"))
+    rows = cases.join(quotes, "id", "left").join(unknown, "id", "left")
     negative = F.size("evidence_ids") == 0
     truth = normalized_space(F.col("ground_truth"))
     absent = lambda where: F.exists("required_terms", lambda t: ~F.contains(F.coalesce(where, F.lit("")), normalized_space(t)))
@@ -98,14 +99,14 @@ def golden_findings(cases: DataFrame, evidence: DataFrame, routes: tuple[str, ..
         F.when(~F.col("difficulty").isin(*difficulties), "unknown_difficulty"),
         F.when(F.trim(F.coalesce("question", F.lit(""))) == "", "blank_question"),
         F.when(F.trim(F.coalesce("ground_truth", F.lit(""))) == "", "blank_truth"),
-        F.when(F.size(F.array_except("evidence_ids", "known")) > 0, "unknown_evidence"),
+        F.when(F.col("unknown"), "unknown_evidence"),
         F.when(F.size(F.array_distinct("evidence_ids")) < F.size("evidence_ids"), "repeated_evidence"),
         F.when(~negative & absent(F.col("quotes")), "term_not_quoted"),
         F.when(~negative & absent(truth), "term_not_in_truth"),
         F.when(negative & ~F.contains(truth, normalized_space(F.lit(fallback))), "negative_without_fallback"),
     )
     own = rows.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
-    twice = lambda c, rule: cases.withColumn("k", c).groupBy("k").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids")).where("n > 1").select(F.explode("ids").alias("id"), F.lit(rule).alias("rule"))
+    twice = lambda c, rule: cases.select("id", F.count("*").over(Window.partitionBy(c)).alias("n")).where("n > 1").select("id", F.lit(rule).alias("rule"))
     total = cases.agg(F.count("*").alias("n")).where((F.col("n") < least) | (F.col("n") > most)).select(F.lit(None).cast("string").alias("id"), F.lit("number_of_cases").alias("rule"))
     return own.unionByName(twice(F.col("id"), "repeated_id")).unionByName(twice(norm, "repeated_question")).unionByName(total)
 
@@ -116,3 +117,15 @@ def response_acceptance(answers: DataFrame) -> DataFrame:
     cited = (F.col("citations") > 0) & (F.col("unresolved") == 0)
     ok = F.when(F.col("expected_route") == "answer", text & cited).when(F.col("expected_route") == "abstain", text & (F.col("citations") == 0)).otherwise(F.lit(False))
     return answers.select("answer_id", ok.alias("accepted"))
+
+
+def candidate_char_stats(hits: DataFrame) -> DataFrame:
+    """(query_id, candidates, mean_chars, most_chars): how long each query's candidates are; a null content has no characters."""
+    n = F.length(F.coalesce("content", F.lit("")))
+    return hits.groupBy("query_id").agg(F.count("*").alias("candidates"), F.round(F.avg(n), 6).alias("mean_chars"), F.max(n).alias("most_chars"))
+
+
+def retrieval_report(hits: DataFrame, k: int = 5, snippet: int = 240) -> DataFrame:
+    """(query_id, rank, chunk_id, title, score, snippet): what a reader of a run sees, white space of the snippet made one line."""
+    line = F.trim(F.regexp_replace("content", r"\s+", " "))
+    return hits.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "title", F.round("score", 4).alias("score"), F.substring(line, 1, snippet).alias("snippet"))

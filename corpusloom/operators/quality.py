@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -94,16 +95,17 @@ def row_fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.sha2(F.to_json(F.struct(*sorted(docs.columns))), 256).alias("digest"))
 
 
-def corpus_fingerprint(docs: DataFrame, id_col: str = "doc_id", ranges: int = 1024) -> DataFrame:
+def corpus_fingerprint(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row (documents, fingerprint), equal for equal corpora in any partitioning.
 
-    Two levels, so that no task holds all digests: digests of hash ranges, in order of digest within each, then the
-    ranges' digests in order. Repeated rows count.
+    The four quarters of the rows' digests are added up, each modulo 2^64 (the incremental multiset hash of Clarke et al.,
+    2003), so partial sums meet and no task holds the digests. Repeated rows count.
     """
-    rows = row_fingerprints(docs, id_col).withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges)))
-    per = rows.groupBy("range").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("d"), F.count("*").alias("n"))
-    top = per.agg(F.sum("n").alias("documents"), F.array_sort(F.collect_list(F.struct("range", "d"))).alias("all"))
-    return top.select(F.coalesce("documents", F.lit(0)).alias("documents"), F.sha2(F.array_join(F.transform("all", lambda x: x["d"]), ""), 256).alias("fingerprint"))
+    rows = row_fingerprints(docs, id_col)
+    quarter = lambda k: F.conv(F.substring("digest", 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")
+    sums = rows.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(quarter(k)), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)))
+    hexed = lambda k: F.lower(F.lpad(F.conv((F.col(f"s{k}") % F.lit(Decimal(2**64))).cast("decimal(20,0)").cast("string"), 10, 16), 16, "0"))
+    return sums.select("documents", F.concat(*(hexed(k) for k in range(4))).alias("fingerprint"))
 
 
 def build_fingerprint(config: dict) -> str:
@@ -172,6 +174,17 @@ def merge_partial_recrawl(old: DataFrame, new: DataFrame, requested: DataFrame)
     return kept.select(*old.columns).unionByName(fresh)
 
 
+def split_no_text_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): pages with text, and those whose extraction found none; an unknown status is kept."""
+    none = F.coalesce(F.col("extraction_status") == "no_text_detected", F.lit(False))
+    return pages.where(~none), pages.where(none)
+
+
+def pages_of_sources_with_tables(pages: DataFrame, sources: DataFrame, key: str = "source_url") -> DataFrame:
+    """The pages of sources whose HTML had tables."""
+    return pages.join(sources.where("source_table_count > 0").select(key).distinct(), key, "left_semi")
+
+
 def term_filter(docs: DataFrame, include: list[str], exclude: list[str], title: str = "title") -> DataFrame:
     """Rows whose title has one of the include terms and none of the exclude terms, case-insensitive."""
     has = lambda terms: reduce(lambda a, t: a | F.contains(F.lower(title), F.lit(t.lower())), terms, F.lit(False))

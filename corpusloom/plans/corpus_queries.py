@@ -302,6 +302,11 @@ SELECT doc_id, page_number FROM e WHERE (doc_id, page_number) NOT IN (SELECT (do
     "term_filter": "SELECT doc_id, lang FROM (SELECT *, lower(text) AS t FROM documents) WHERE (contains(t, 'the') OR contains(t, 'que')) AND NOT (contains(t, '$') OR contains(t, '!!'))",
     "url_hosts": r"SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
     "pdf_links": r"SELECT page_id, regexp_matches(url, '(?i)\.pdf(?:$|[?#])') AS is_pdf FROM pages",
+    "corpus_fingerprint": """
+WITH r AS (SELECT sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})) AS d FROM documents),
+s AS (SELECT count(*) AS n, list_transform([sum(CAST('0x' || substr(d, 1, 16) AS UBIGINT)), sum(CAST('0x' || substr(d, 17, 16) AS UBIGINT)), sum(CAST('0x' || substr(d, 33, 16) AS UBIGINT)), sum(CAST('0x' || substr(d, 49, 16) AS UBIGINT))],
+  lambda x: lpad(lower(to_hex(CAST(x % 18446744073709551616 AS UBIGINT))), 16, '0')) AS q FROM r)
+SELECT n AS documents, array_to_string(q, '') AS fingerprint FROM s""",
     "session_history": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant', 'system')) WHERE n <= 4",
     "golden_summary": "SELECT expected_route, difficulty, category, count(*) AS n FROM (SELECT CAST(quality AS VARCHAR) AS expected_route, CAST(toxic AS VARCHAR) AS difficulty, CAST(doc_id % 4 AS VARCHAR) AS category FROM labels) GROUP BY GROUPING SETS ((expected_route), (difficulty), (category))",
     "latency_medians": "SELECT event_type AS case_id, round(median(value), 6) AS median_ms FROM events GROUP BY 1",

@@ -178,3 +178,28 @@ def test_files_and_snapshots(spark, tmp_path):
     meta = {r.path: r.meta for r in corpus.attach_raw_metadata(files, corpus.flattened_records(raw)).collect()}
     assert meta["./R/a.md"] and meta["x/b.md"] and meta["x/c.md"] is None
     assert '"n":2' in meta["d.md"].replace(" ", "")
+
+
+def test_pages_without_text_and_sources_with_tables(spark):
+    p = spark.createDataFrame([("a", "ok", 2), ("b", "no_text_detected", 0), ("c", None, 0)], "source_url string, extraction_status string, source_table_count int")
+    kept, removed = quality.split_no_text_pages(p)
+    assert sorted(r.source_url for r in kept.collect()) == ["a", "c"] and [r.source_url for r in removed.collect()] == ["b"]
+    assert [r.source_url for r in quality.pages_of_sources_with_tables(p.select("source_url"), p).collect()] == ["a"]
+
+
+def test_reports_of_hits(spark):
+    h = spark.createDataFrame([(1, "c1", 1, 0.5, "t", " a\n b "), (1, "c2", 2, 0.25, "t", None), (1, "c3", 6, 0.1, "t", "x" * 300)], "query_id long, chunk_id string, rank int, score double, title string, content string")
+    assert [tuple(r) for r in evaluation.candidate_char_stats(h).collect()] == [(1, 3, 102.0, 300)]
+    assert {(r.rank, r.snippet) for r in evaluation.retrieval_report(h).collect()} == {(1, "a b"), (2, None)}
+    assert evaluation.retrieval_report(h.limit(0)).count() == 0
+
+
+def test_golden_rules(spark):
+    c = spark.createDataFrame(
+        [("one", "Q a?", "An a.", ["c1"], ["a"], "answer", "easy"), ("one", "q  A?", "", ["c9", "c9"], ["zz"], "other", "odd"), ("Bad Id", "", "no answer", [], [], "answer", "easy")],
+        "id string, question string, ground_truth string, evidence_ids array<string>, required_terms array<string>, expected_route string, difficulty string",
+    )
+    e = spark.createDataFrame([("c1", "says a")], "chunk_id string, quote string")
+    got = {(r.id, r.rule) for r in evaluation.golden_findings(c, e, ("answer",), ("easy",), "no answer", least=1).collect()}
+    assert {("one", "repeated_id"), ("one", "repeated_question"), ("one", "unknown_evidence"), ("one", "repeated_evidence"), ("one", "blank_truth"), ("one", "unknown_route"), ("Bad Id", "id_not_a_slug"), ("Bad Id", "blank_question")} <= got
+    assert ("Bad Id", "negative_without_fallback") not in got and not any(r == "number_of_cases" for _, r in got)

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "region", "nation", "customer", "supplier", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

@@ -70,3 +70,8 @@ def test_vectors(spark):
 def test_scalar_kinds_and_hosts(ask):
     assert [ask(s, tx.scalar_kind) for s in ('"q"', "12", "True", "word", "")] == ["json_string", "int", "bool", "string", "null"]
     assert ask("https://A.example.com:80/x", tx.url_host) == "a.example.com"
+
+
+def test_page_ids_keep_all_digits(spark):
+    d = spark.range(1).select(*(tx.document_id(F.lit("n"), F.lit(2024), F.lit("c"), F.lit("A b"), F.lit(2), F.lit(p).cast("int")).alias(f"p{i}") for i, p in enumerate((7, 1234, None)))).first()
+    assert tuple(d) == ("n-2024-c-a-b-v2-p007", "n-2024-c-a-b-v2-p1234", "n-2024-c-a-b-v2")
