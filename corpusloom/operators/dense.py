@@ -38,11 +38,19 @@ def metadata_filter(df: DataFrame, spec: dict | None) -> DataFrame:
 
 
 def _search(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
-    """The best k of each Arrow batch for each query of one block: partial results that the caller ranks."""
+    """The best k of each partition for each query of one block: partial results that the caller ranks.
+
+    A task holds k places a query beside one batch; only these leave it, however many batches it reads.
+    """
     norms = np.linalg.norm(matrix, axis=1)
     unit = np.where(norms[:, None] > 0, matrix / np.where(norms > 0, norms, 1)[:, None], 0)
 
+    def best(found: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((found, -scores), axis=1)[:, :k]
+        return np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, kept_scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -51,13 +59,10 @@ def _search(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) ->
             usable = np.isfinite(length) & (length > 0)
             rows = np.where(usable[:, None], rows / np.where(usable, length, 1)[:, None], 0)
             scores = np.round(unit @ rows.T, 6) + 0.0
-            order = np.lexsort((np.broadcast_to(batch.column(0).to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-            at = np.arange(len(ids))[:, None]
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array(batch.column(0).to_numpy()[order].reshape(-1)), pa.array(scores[at, order].reshape(-1))],
-                names=["query_id", "vec_id", "score"],
-            )
+            found, scores = best(np.broadcast_to(batch.column(0).to_numpy(), scores.shape), scores)
+            kept, kept_scores = best(np.hstack([kept, found]), np.hstack([kept_scores, scores]))
+        if kept.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, kept.shape[1])), pa.array(kept.reshape(-1)), pa.array(kept_scores.reshape(-1))], names=["query_id", "vec_id", "score"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -66,7 +71,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, strict: bool
     """(query_id, vec_id, score, rank) by cosine rounded to six digits; ties in the order of vec_id.
 
     Zero or non-finite vectors score 0, or are an error if ``strict``. Vectors or queries of another length than ``dim``
-    are an error. Queries come to the driver in blocks of QUERIES_AT_ONCE; vectors never do: each batch keeps its own
+    are an error. Queries come to the driver in blocks of QUERIES_AT_ONCE; vectors never do: each partition keeps its own
     best k, and only these are shuffled.
     """
     if k <= 0:

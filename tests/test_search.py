@@ -48,6 +48,10 @@ def test_dense(spark, monkeypatch):
         monkeypatch.setattr(dense, "QUERIES_AT_ONCE", at_once)
         got = dense.dense_topk(q, vectors(spark).repartition(3), 2).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.vec_id, r.score) for r in got] == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a partition's best come from many batches
+    got = dense.dense_topk(q, vectors(spark).coalesce(1), 2).orderBy("query_id", "rank").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == want
     only = dense.dense_topk(q, vectors(spark), 5, spec={"page": {"gte": 2, "lt": 3}}).collect()
     assert {r.vec_id for r in only} == {1}
     assert dense.dense_topk(q, vectors(spark), 0).count() == 0
