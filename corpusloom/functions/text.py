@@ -163,6 +163,17 @@ def scalar_kind(raw: Column) -> Column:
     )
 
 
+def parsed_scalar(raw: Column) -> Column:
+    """A frontmatter scalar as struct (kind, text, number, truth): the field of its kind is set, of a null none.
+
+    A text in quotes is read as JSON where it is JSON, else it stays as it stands.
+    """
+    kind, bare = scalar_kind(raw), F.trim(raw)
+    quoted = F.get_json_object(F.concat(F.lit('{"v":'), bare, F.lit("}")), "$.v")
+    text = F.when(kind == "json_string", F.coalesce(quoted, bare)).when(kind == "string", bare)
+    return F.struct(kind.alias("kind"), text.alias("text"), F.when(kind == "int", bare.try_cast("decimal(38,0)")).alias("number"), F.when(kind == "bool", F.lower(bare) == "true").alias("truth"))
+
+
 def url_host(url: Column) -> Column:
     """The host of an address in lower case, null if it has none."""
     return F.lower(F.try_parse_url(url, F.lit("HOST")))

@@ -111,27 +111,82 @@ def session_history(messages: DataFrame, max_turns: int = 5) -> DataFrame:
     return last.where(F.col("__n") <= 2 * max_turns).drop("__n")
 
 
+def _seeds(picked: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, place) of the first k of each query's ordered list ``order``."""
+    return picked.select("query_id", F.posexplode(F.slice("order", 1, k)).alias("place", "h")).select("query_id", F.col("h.chunk_id").alias("chunk_id"), "place")
+
+
 def seed_cover(hits: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, place): greedy cover: again and again the hit that adds most new items, ties by rank; then the rest.
+    """(query_id, chunk_id, place): the overview first, then by rank the hits that add an item not yet covered, then the rest by rank.
 
-    ``hits`` has (query_id, chunk_id, rank, items array). A query's hits are bounded by the candidate cap (360), so one
-    group is one small fold.
+    ``hits`` has (query_id, chunk_id, rank, items array, overview boolean); of several overviews the best-ranked one counts,
+    if it has items. One row folds a query's hits, which the candidate cap bounds; no state crosses queries.
     """
-    import pandas as pd
-
-    def fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values("rank").to_dict("records")
-        seen: set = set()
-        order = []
-        while left and len(order) < k:
-            best = max(left, key=lambda h: (len(set(h["items"]) - seen), -h["rank"]))
-            if not set(best["items"]) - seen:
-                break
-            seen |= set(best["items"])
-            order.append(best)
-            left.remove(best)
-        order += left[: max(0, k - len(order))]
-        return pd.DataFrame({"query_id": [h["query_id"] for h in order], "chunk_id": [h["chunk_id"] for h in order], "place": range(len(order))})
+    first = (F.col("overview") & (F.size("items") > 0)).cast("int")
+    ranked = hits.withColumn("lead", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(first), "rank")))
+    ranked = ranked.withColumn("late", F.when((F.col("lead") == 1) & (first == 1), 0).otherwise(1))
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("late", "rank", "chunk_id", "items"))).alias("hits"))
+    none = F.array().cast(hits.schema["items"].dataType)
+
+    def step(acc, h):
+        new = F.size(F.array_except(h["items"], acc["covered"])) > 0
+        placed = F.struct(F.when(h["late"] == 0, 0).when(new, 1).otherwise(2).alias("kind"), h["rank"].alias("rank"), h["chunk_id"].alias("chunk_id"))
+        return F.struct(F.array_union(acc["covered"], h["items"]).alias("covered"), F.concat(acc["order"], F.array(placed)).alias("order"))
 
     kinds = dict(hits.dtypes)
-    return hits.select("query_id", "chunk_id", "rank", "items").groupBy("query_id").applyInPandas(fold_group, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, place int")
+    start = F.struct(none.alias("covered"), F.array().cast(f"array<struct<kind:int,rank:{kinds['rank']},chunk_id:{kinds['chunk_id']}>>").alias("order"))
+    return _seeds(listed.select("query_id", F.array_sort(F.aggregate("hits", start, step)["order"]).alias("order")), k)
+
+
+def seed_cover_catalog(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, place): catalogue hits of the newest year, again and again the one that adds most.
+
+    ``hits`` has (query_id, chunk_id, rank, years, places, names, asked_years); only hits with names and one single year, the
+    asked one if any is asked, count. Most new places wins, then most new names, then the best rank; a hit that adds neither
+    is left out. One row folds a query's hits, which the candidate cap bounds; no state crosses queries.
+    """
+    year = F.get("years", F.lit(0))
+    own = hits.where((F.size("names") > 0) & (F.size("years") == 1) & ((F.size("asked_years") == 0) | (F.array_sort("asked_years") == F.array_sort("years"))))
+    newest = own.withColumn("__year", year).withColumn("__newest", F.max(year).over(Window.partitionBy("query_id"))).where("__year = __newest")
+    listed = newest.groupBy("query_id").agg(F.collect_list(F.struct("rank", "chunk_id", "places", "names")).alias("hits"))
+    kinds = dict(hits.dtypes)
+    start = F.struct(
+        F.array().cast(kinds["places"]).alias("places"), F.array().cast(kinds["names"]).alias("names"), F.array().cast(f"array<struct<chunk_id:{kinds['chunk_id']},rank:{kinds['rank']}>>").alias("order")
+    )
+
+    def step(acc, _):
+        gain = lambda h, n: F.size(F.array_except(h[n], acc[n]))
+        scored = F.transform("hits", lambda h: F.struct(gain(h, "places").alias("p"), gain(h, "names").alias("n"), (-h["rank"]).alias("r"), h.alias("h")))
+        best = F.array_max(scored)
+        taken = F.struct(best["h"]["chunk_id"].alias("chunk_id"), best["h"]["rank"].alias("rank"))
+        more = F.struct(F.array_union(acc["places"], best["h"]["places"]).alias("places"), F.array_union(acc["names"], best["h"]["names"]).alias("names"), F.concat(acc["order"], F.array(taken)).alias("order"))
+        return F.when((best["p"] > 0) | (best["n"] > 0), more).otherwise(acc)
+
+    return _seeds(listed.select("query_id", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["order"].alias("order")), k)
+
+
+#: Signs that a copied table field may not have.
+UNSAFE_FIELD = r"[<>\[\]\\\x00-\x1f\x7f]|https?://"
+
+
+def render_profile(entries: DataFrame, heading: str = "Admission {year}, {campus}") -> DataFrame:
+    """(query_id, text): every field of each entry as a small table of its own with the number of its source, under its sections.
+
+    ``entries`` are catalogue rows (labels, cells, section, subsection, admission_year, campus, row) with (query_id, marker).
+    A query whose entries lack a marker or a field, or have an unsafe one (UNSAFE_FIELD), has no row.
+    """
+    mark = F.concat(F.lit(" ["), F.col("marker").cast("string"), F.lit("]"))
+    line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
+    marked = lambda c: line(F.concat(F.slice(c, 1, F.size(c) - 1), F.array(F.concat(F.element_at(c, -1), mark))))
+    section = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("**"), F.col(c), F.lit("**"), mark, F.lit(".\n\n")))
+    good = F.col("marker").isNotNull() & (F.size("cells") > 0) & (F.size("cells") == F.size("labels")) & ~F.exists(F.concat("labels", "cells"), lambda c: c.rlike(UNSAFE_FIELD))
+    table = F.concat_ws("\n", marked(F.col("labels")), line(F.transform("labels", lambda _: F.lit("---"))), marked(F.col("cells")))
+    head = F.lit(heading)
+    for name in ("year", "campus"):
+        head = F.replace(head, F.lit("{" + name + "}"), F.coalesce(F.col("admission_year" if name == "year" else name).cast("string"), F.lit("")))
+    rows = entries.withColumns({"good": F.coalesce(good, F.lit(False)), "head": head})
+    rows = rows.withColumn("block", F.when(F.col("good"), F.concat(F.concat_ws("", section("section"), section("subsection")), table)))
+    family = rows.groupBy("query_id", "head", "campus").agg(F.bool_and("good").alias("good"), F.array_sort(F.collect_list(F.struct("row", "block"))).alias("rows"))
+    family = family.withColumn("text", F.concat(F.lit("### "), "head", F.lit("\n\n"), F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n")))
+    whole = family.groupBy("query_id").agg(F.bool_and("good").alias("good"), F.array_sort(F.collect_list(F.struct("campus", "head", "text"))).alias("parts"))
+    return whole.where("good").select("query_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"))

@@ -130,6 +130,29 @@ def best_excerpt(hits: DataFrame, claims: DataFrame, longest: int = 360, ideal:
     return best.select("claim_id", "chunk_id", F.when(F.length("part") > longest, cut).otherwise(F.col("part")).alias("excerpt"))
 
 
+def citation_details(cited: DataFrame, answers: DataFrame, sources: DataFrame, snippet: int = 280) -> DataFrame:
+    """Each (answer_id, marker, chunk_id) of ``cited`` with what a reader is shown of its source.
+
+    The snippet is the source's excerpt that best supports the paragraphs of the answer with its [n] and the question, else
+    the beginning of the content. ``answers`` has (answer_id, query_id, query, text), ``sources`` (query_id, chunk_id, content,
+    score, title, source, source_url, source_type, doc_id, page_number, section, published_at, retrieved_at).
+    """
+    j = cited.join(answers.select("answer_id", "query_id", "query", "text"), "answer_id").join(sources, ["query_id", "chunk_id"])
+    own = lambda p: F.array_contains(F.regexp_extract_all(p, F.lit(r"\[(\d{1,6})\]"), 1), F.col("marker").cast("string"))
+    claim = F.concat_ws("\n", F.array_join(F.filter(F.split("text", r"\n\s*\n"), own), " "), "query")
+    key = F.struct("answer_id", "marker")
+    asked = j.select(key.alias("claim_id"), key.alias("query_id"), claim.alias("claim"))
+    found = best_excerpt(j.select(key.alias("query_id"), "chunk_id", F.lit(0).alias("pos"), "content"), asked).select(F.col("claim_id.answer_id").alias("answer_id"), F.col("claim_id.marker").alias("marker"), "excerpt")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    some = lambda c: F.when(text(c) != "", text(c))
+    name = F.coalesce(some("title"), some("source"), F.concat(F.lit("Chunk "), F.col("chunk_id").cast("string")))
+    begins = F.substring(F.trim(F.regexp_replace(text("content"), r"\s+", " ")), 1, snippet)
+    return j.join(found, ["answer_id", "marker"], "left").select(
+        "answer_id", "marker", "chunk_id", name.alias("title"), name.alias("source"), *(text(c).alias(c) for c in ("source_url", "source_type", "doc_id", "published_at", "retrieved_at")),
+        F.col("page_number").alias("page"), "section", F.coalesce("excerpt", begins).alias("snippet"), F.round("score", 6).alias("score"),
+    )
+
+
 def numbered_methods(hits: DataFrame, total: str, item: str) -> DataFrame:
     """(query_id, number, text): complete numbered lists in hits.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalized_space
+from corpusloom.functions.text import normalized_markdown
 
 
 def retrieval_metrics(run: DataFrame, golden: DataFrame, cases: DataFrame) -> DataFrame:
@@ -83,32 +83,84 @@ def golden_summary(cases: DataFrame) -> DataFrame:
     return cases.groupingSets([["expected_route"], ["difficulty"], ["category"]], "expected_route", "difficulty", "category").agg(F.count("*").alias("n"))
 
 
-def golden_findings(cases: DataFrame, evidence: DataFrame, routes: tuple[str, ...], difficulties: tuple[str, ...], fallback: str, least: int = 30, most: int = 50) -> DataFrame:
-    """(id, rule): rules that a golden set breaks; rules of the whole set have a null id."""
-    norm = normalized_space(F.col("question"))
-    named = cases.select("id", F.explode("evidence_ids").alias("chunk_id"))
+#: What a case and a piece of evidence of a golden set must have, and the version of its layout.
+CASE_FIELDS = ("id", "category", "difficulty", "question", "expected_route", "ground_truth", "evidence_ids", "required_terms", "tags")
+EVIDENCE_FIELDS = ("chunk_id", "doc_id", "title", "page", "source_url", "quote")
+GOLDEN_VERSION = 1
+
+
+def _blank(c: F.Column) -> F.Column:
+    return F.trim(F.coalesce(c.cast("string"), F.lit(""))) == ""
+
+
+def _listed(rows: DataFrame, key: str, *rules: F.Column) -> DataFrame:
+    """(key, rule): one row for each rule of a row that isn't null."""
+    return rows.select(key, F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule"))
+
+
+def golden_findings(cases: DataFrame, evidence: DataFrame, answered: str, abstained: str, difficulties: tuple[str, ...], negative: str, fallback: str, least: int = 30, most: int = 50) -> DataFrame:
+    """(id, rule): rules that the cases of a golden set break; rules of the whole set have a null id.
+
+    ``cases`` has CASE_FIELDS; a case that lacks one is told so and nothing else. An answered case quotes its terms from
+    evidence and names them in its truth; any other case is of the negative difficulty, has neither evidence nor terms, and
+    its truth is the fallback. Ids and questions that several cases share are told of each of them.
+    """
+    lacks = F.exists(F.array(*(F.col(c).isNull() for c in CASE_FIELDS)), lambda x: x)
+    whole = cases.where(~lacks)
+    named = whole.select("id", F.explode("evidence_ids").alias("chunk_id"))
     unknown = named.join(evidence.select("chunk_id"), "chunk_id", "left_anti").select("id").distinct().withColumn("unknown", F.lit(True))
-    quotes = named.join(evidence.select("chunk_id", "quote"), "chunk_id").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(normalized_space(F.col("quote")))), " ").alias("quotes"))
-    rows = cases.join(quotes, "id", "left").join(unknown, "id", "left")
-    negative = F.size("evidence_ids") == 0
-    truth = normalized_space(F.col("ground_truth"))
-    absent = lambda where: F.exists("required_terms", lambda t: ~F.contains(F.coalesce(where, F.lit("")), normalized_space(t)))
-    rules = F.array(
-        F.when(~F.col("id").rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$"), "id_not_a_slug"),
-        F.when(~F.col("expected_route").isin(*routes), "unknown_route"),
-        F.when(~F.col("difficulty").isin(*difficulties), "unknown_difficulty"),
-        F.when(F.trim(F.coalesce("question", F.lit(""))) == "", "blank_question"),
-        F.when(F.trim(F.coalesce("ground_truth", F.lit(""))) == "", "blank_truth"),
+    quotes = named.join(evidence.select("chunk_id", "quote"), "chunk_id").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(normalized_markdown(F.col("quote")))), " ").alias("quotes"))
+    rows = whole.join(quotes, "id", "left").join(unknown, "id", "left")
+    answer = F.col("expected_route") == answered
+    truth = normalized_markdown(F.col("ground_truth"))
+    absent = lambda where: F.exists("required_terms", lambda t: ~F.contains(F.coalesce(where, F.lit("")), normalized_markdown(t)))
+    own = _listed(
+        rows, "id",
+        F.when(~F.col("id").rlike(r"^[a-z0-9][a-z0-9_-]*$"), "id_not_a_slug"),
+        F.when(~F.col("expected_route").isin(answered, abstained), "unknown_route"),
+        F.when(~F.col("difficulty").isin(*difficulties, negative), "unknown_difficulty"),
+        F.when(normalized_markdown(F.col("question")) == "", "blank_question"),
+        F.when(_blank(F.col("ground_truth")), "blank_truth"),
+        F.when(F.exists("tags", lambda t: F.coalesce(t, F.lit("")) == ""), "blank_tag"),
+        F.when(F.exists("required_terms", _blank), "blank_term"),
         F.when(F.col("unknown"), "unknown_evidence"),
         F.when(F.size(F.array_distinct("evidence_ids")) < F.size("evidence_ids"), "repeated_evidence"),
-        F.when(~negative & absent(F.col("quotes")), "term_not_quoted"),
-        F.when(~negative & absent(truth), "term_not_in_truth"),
-        F.when(negative & ~F.contains(truth, normalized_space(F.lit(fallback))), "negative_without_fallback"),
-    )
-    own = rows.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
-    twice = lambda c, rule: cases.select("id", F.count("*").over(Window.partitionBy(c)).alias("n")).where("n > 1").select("id", F.lit(rule).alias("rule"))
+        F.when(answer & (F.size("evidence_ids") == 0), "answer_without_evidence"),
+        F.when(answer & (F.size("required_terms") == 0), "answer_without_terms"),
+        F.when(answer & absent(F.col("quotes")), "term_not_quoted"),
+        F.when(answer & absent(truth), "term_not_in_truth"),
+        F.when(~answer & (F.col("difficulty") != negative), "abstains_but_not_negative"),
+        F.when(~answer & ((F.size("evidence_ids") > 0) | (F.size("required_terms") > 0)), "abstains_with_evidence"),
+        F.when(~answer & (F.col("ground_truth") != fallback), "negative_without_fallback"),
+    )
+    twice = lambda rows, c, rule: rows.select("id", F.count("*").over(Window.partitionBy(c)).alias("n")).where("n > 1").select("id", F.lit(rule).alias("rule"))
+    norm = normalized_markdown(F.col("question"))
     total = cases.agg(F.count("*").alias("n")).where((F.col("n") < least) | (F.col("n") > most)).select(F.lit(None).cast("string").alias("id"), F.lit("number_of_cases").alias("rule"))
-    return own.unionByName(twice(F.col("id"), "repeated_id")).unionByName(twice(norm, "repeated_question")).unionByName(total)
+    missing = cases.where(lacks).select("id", F.lit("missing_field").alias("rule"))
+    return own.unionByName(missing).unionByName(twice(whole, F.col("id"), "repeated_id")).unionByName(twice(whole.where(norm != ""), norm, "repeated_question")).unionByName(total)
+
+
+def evidence_findings(evidence: DataFrame) -> DataFrame:
+    """(chunk_id, rule): pieces of evidence that lack a field or have a blank one, whose page isn't positive, or whose id repeats."""
+    times = F.count("*").over(Window.partitionBy("chunk_id"))
+    texts = [F.when(_blank(F.col(c)), f"blank_{c}") for c in EVIDENCE_FIELDS if c != "page"]
+    return _listed(evidence.withColumn("__times", times), "chunk_id", *texts, F.when(F.coalesce(F.col("page") <= 0, F.lit(True)), "page_not_positive"), F.when(F.col("__times") > 1, "repeated_id"))
+
+
+def golden_header_findings(header: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """(rule): what is wrong with a golden set's one row (schema_version, fingerprint, evidence), the number of its pieces of evidence.
+
+    ``manifest`` is the index's one row with its corpus_fingerprint; without one only the form is looked at.
+    """
+    known = header.crossJoin(manifest.select("corpus_fingerprint")) if manifest is not None else header.withColumn("corpus_fingerprint", F.col("fingerprint"))
+    rules = _listed(
+        known.withColumn("key", F.lit(1)), "key",
+        F.when(~F.col("schema_version").eqNullSafe(GOLDEN_VERSION), "schema_version"),
+        F.when(~F.coalesce(F.col("fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)), "fingerprint_not_sha256"),
+        F.when(~F.col("fingerprint").eqNullSafe(F.col("corpus_fingerprint")), "fingerprint_differs"),
+        F.when(F.coalesce(F.col("evidence") <= 0, F.lit(True)), "no_evidence"),
+    )
+    return rules.select("rule")
 
 
 def response_acceptance(answers: DataFrame) -> DataFrame:

@@ -52,10 +52,16 @@ def hybrid_candidates(hits: DataFrame, queries: DataFrame, k: float = 60, weight
     return rrf_fuse(near, k, weights)
 
 
-def hydrate_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
-    """Replace a text child by its parent where there is one that is no table; a chunk keeps its best position."""
+def hydrate_parents(hits: DataFrame, parents: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Replace a text child by its parent where there is one that is no table; a chunk keeps its best position.
+
+    ``allowed`` has the (chunk_id, parent_chunk_id) pairs of each query_id that the scope guard passes; without it all pass.
+    """
     up = parents.where("chunk_type <> 'table'").select(F.col("chunk_id").alias("p_id"))
     joined = hits.join(up, hits["parent_chunk_id"] == up["p_id"], "left")
+    if allowed is not None:
+        pairs = allowed.select("query_id", "chunk_id", "parent_chunk_id").distinct().withColumn("passes", F.lit(True))
+        joined = joined.join(pairs, ["query_id", "chunk_id", "parent_chunk_id"], "left").withColumn("p_id", F.when(F.col("passes"), F.col("p_id")))
     chunk = F.when(F.col("chunk_type") == "table", F.col("chunk_id")).otherwise(F.coalesce("p_id", "chunk_id"))
     return joined.groupBy("query_id", chunk.alias("chunk_id")).agg(F.min("pos").alias("pos"), F.max("score").alias("score"))
 

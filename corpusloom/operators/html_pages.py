@@ -116,12 +116,25 @@ class _Markdown(_Walker):
         self.href: str | None = None
         self.meta: dict[str, str] = {}
         self.first_heading: str | None = None
+        self.words: list[str] = []
         self.in_title = self.in_h1 = False
 
+    def shown(self) -> str:
+        """The visible text, pieces apart."""
+        return " ".join(filter(None, self.words))
+
     def emit(self, s: str) -> None:
         (self.cell[0] if self.cell is not None else self.out).append(s)
 
+    def close_cell(self) -> None:
+        """A cell also ends where the next cell or row begins, or its table ends."""
+        if self.cell is not None:
+            self.rows[-1].append((" ".join("".join(self.cell[0]).split()), self.cell[1], self.cell[2]))
+            self.cell = None
+
     def begin(self, tag, attrs):
+        if tag in ("td", "th", "tr") and self.rows:
+            self.close_cell()
         if tag == "meta":
             name = attrs.get("property") or attrs.get("name")
             if name and attrs.get("content"):
@@ -141,7 +154,7 @@ class _Markdown(_Walker):
         elif tag == "img" and (attrs.get("alt") or "").strip():
             self.emit(f"![{attrs['alt'].strip()}]({urljoin(self.base, attrs.get('src') or '')})")
         elif tag == "table":
-            self.rows = []
+            self.rows, self.cell = [], None
         elif tag == "tr" and self.rows is not None:
             self.rows.append([])
         elif tag in ("td", "th") and self.rows:
@@ -159,11 +172,11 @@ class _Markdown(_Walker):
         elif tag == "a" and self.href is not None:
             self.emit(f"]({self.href})")
             self.href = None
-        elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append((" ".join("".join(self.cell[0]).split()), self.cell[1], self.cell[2]))
-            self.cell = None
+        elif tag in ("td", "th"):
+            self.close_cell()
         elif tag == "table" and self.rows is not None:
-            rows, self.rows, self.cell = grid([r for r in self.rows if r]), None, None
+            self.close_cell()
+            rows, self.rows = grid([r for r in self.rows if r]), None
             self.tables.append(rows)
             self.emit("\n\n" + table_markdown(rows) + "\n\n")
         elif tag in BREAKS:
@@ -173,26 +186,104 @@ class _Markdown(_Walker):
         if self.in_title:
             self.meta.setdefault("<title>", " ".join(data.split()))
             return
+        self.words.append(data.strip())
         if self.in_h1:
             self.first_heading = " ".join(((self.first_heading or "") + " " + data).split())
         self.emit(re.sub(r"\s+", " ", data))
 
 
+#: Where a page's content is looked for, in this order, and the text that it must have at least.
+CONTENT = ("article .entry-content", ".entry-content", ".post-content", ".td-post-content", ".single-content", "article", "main")
+LEAST_CONTENT = 80
+
+
+class _Boxes(HTMLParser):
+    """The first element of each selector (a name or a .class, maybe below an ancestor), as a span of the page's source."""
+
+    def __init__(self, source: str, selectors: tuple[str, ...]):
+        super().__init__(convert_charrefs=True)
+        self.source = source
+        self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.wanted = {s: tuple(s.split()) for s in (*selectors, "body")}
+        self.spans: dict[str, list[int]] = {}
+        self.open: list[tuple[str, frozenset[str], list[str]]] = []
+        self.depth: dict[str, int] = {}
+        self.texts: list[tuple[int, int]] = []
+        self.feed(source)
+        self.close()
+
+    def at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        names = frozenset([tag, *("." + c for c in (dict(attrs).get("class") or "").split())])
+        mine = []
+        for selector, (*above, own) in self.wanted.items():
+            if selector not in self.spans and own in names and all(self.depth.get(a) for a in above):
+                self.spans[selector] = [self.at(), -1]
+                mine.append(selector)
+        for name in names:
+            self.depth[name] = self.depth.get(name, 0) + 1
+        self.open.append((tag, names, mine))
+
+    def handle_endtag(self, tag):
+        if not self.depth.get(tag):
+            return
+        end = self.source.find(">", self.at()) + 1 or len(self.source)
+        while self.open:
+            name, names, mine = self.open.pop()
+            for n in names:
+                self.depth[n] -= 1
+            for selector in mine:
+                self.spans[selector][1] = end
+            if name == tag:
+                break
+
+    def handle_data(self, data):
+        self.texts.append((self.at(), len(data.strip())))
+
+
+def content_html(html: str, selectors: tuple[str, ...] = CONTENT, least: int = LEAST_CONTENT) -> str:
+    """The source of the first selector's element that has enough text, else of the body, else the whole page.
+
+    Of each selector only the first element is looked at. An element that nothing closes goes on to the page's end.
+    """
+    boxes = _Boxes(html, selectors)
+    for selector in (*selectors, "body"):
+        if selector not in boxes.spans:
+            continue
+        start, end = boxes.spans[selector]
+        end = len(html) if end < 0 else end
+        sizes = [n for at, n in boxes.texts if n and start <= at < end]
+        if selector == "body" or sum(sizes) + len(sizes) - 1 >= least:
+            return html[start:end]
+    return html
+
+
 NUMBERS = re.compile(r"(?<!\w)\d+(?:[.,:/-]\d+)*(?!\w)")
 
 
 def page_facts(url: str | None, html: str | None) -> dict:
-    """Markdown, metadata, links and counts of one page."""
+    """Markdown, metadata, links and counts of one page: metadata of the whole of it, the rest of its content."""
+    html = html or ""
+    page = _Markdown(url or "")
+    page.feed(html)
+    page.close()
+    content = content_html(html)
     walker = _Markdown(url or "")
-    walker.feed(html or "")
+    walker.feed(content)
     walker.close()
     body = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(walker.out))).strip()
     tail = urlparse(url or "").path.rstrip("/").rsplit("/", 1)[-1]
-    title = walker.meta.get("og:title") or walker.first_heading or tail
-    dates = [walker.meta.get(k) for k in ("article:published_time", "article:modified_time")]
+    title = page.meta.get("og:title") or page.first_heading or tail
+    dates = [page.meta.get(k) for k in ("article:published_time", "article:modified_time")]
     n = len(body)
     status = "no_text_detected" if not n else "insufficient_content" if n < 80 else "ok"
-    return {"title": title, "published_at": dates[0], "updated_at": dates[1], "markdown": body, "links": sorted(walker.links), "pdf_links": sorted(u for u in walker.links if re.search(r"\.pdf(?:$|[?#])", u, re.I)), "table_count": len(walker.tables), "numeric_tokens": len(NUMBERS.findall(body)), "status": status}
+    counts = {"table_count": len(walker.tables), "numeric_tokens": len(NUMBERS.findall(body)), "source_table_count": len(re.findall(r"<table\b", content, re.I)), "source_numeric_tokens": len(NUMBERS.findall(walker.shown()))}
+    return {"title": title, "published_at": dates[0], "updated_at": dates[1], "markdown": body, "links": sorted(walker.links), "pdf_links": sorted(u for u in walker.links if re.search(r"\.pdf(?:$|[?#])", u, re.I)), "status": status} | counts
 
 
 def html_text(pages: DataFrame) -> DataFrame:
@@ -205,8 +296,8 @@ def html_text(pages: DataFrame) -> DataFrame:
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, published_at, updated_at, markdown, links, pdf_links, table_count, numeric_tokens, status)."""
-    strings, lists, ints = ("title", "published_at", "updated_at", "markdown", "status"), ("links", "pdf_links"), ("table_count", "numeric_tokens")
+    """(page_id, url, title, published_at, updated_at, markdown, status, links, pdf_links) and the counts of tables and numbers in Markdown and source."""
+    strings, lists, ints = ("title", "published_at", "updated_at", "markdown", "status"), ("links", "pdf_links"), ("table_count", "numeric_tokens", "source_table_count", "source_numeric_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -160,6 +160,17 @@ def findings_report(findings: DataFrame) -> DataFrame:
     return findings.rollup("rule").agg(F.count("*").alias("n"))
 
 
+def write_report(report: DataFrame, path: str, files: int = 1) -> None:
+    """A report (findings, metrics by case) as JSON lines in a few files; a report written before is replaced."""
+    report.coalesce(files).write.mode("overwrite").json(path)
+
+
+def tabular_chunks(chunks: DataFrame, needed: str, either: list[str], content: str = "content") -> DataFrame:
+    """Chunks whose content has one word and at least one of some others, case-insensitive."""
+    has = lambda w: F.contains(F.lower(content), F.lit(w.lower()))
+    return chunks.where(has(needed) & reduce(lambda a, w: a | has(w), either, F.lit(False)))
+
+
 def missing_pages(sources: DataFrame, processed: DataFrame) -> DataFrame:
     """(doc_id, page_number): pages that a source should have and no processed row has."""
     expected = sources.where("n_pages > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page_number"))

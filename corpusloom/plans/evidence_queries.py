@@ -137,9 +137,10 @@ def golden_findings(spark, sf):
     c = _benchmark(spark, sf).join(found, F.col("query_id") == F.col("case_id"), "left").select(
         F.col("query_id").cast("string").alias("id"), F.col("query").alias("question"), F.when(F.col("case_id").isNotNull(), F.col("query")).otherwise("").alias("ground_truth"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"),
         first.alias("required_terms"), F.when(F.col("case_id").isNull(), "abstain").otherwise("answer").alias("expected_route"), F.when(F.length("query") > 200, "hard").otherwise("easy").alias("difficulty"),
+        F.lit("all").alias("category"), F.array(F.substring("query", 1, 1)).alias("tags"),
     )
     e = pairs.join(_benchmark(spark, sf), F.col("case_id") == F.col("query_id")).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("query").alias("quote"))
-    return evaluation.golden_findings(c, e, ("answer",), ("easy", "hard"), "no answer")
+    return evaluation.golden_findings(c, e, "answer", "abstain", ("easy", "hard"), "negative", "no answer")
 
 
 def _table_parts(spark, sf):
@@ -417,8 +418,8 @@ SELECT query_id AS case_id, lang AS branch, coalesce(found, '') AS found, CAST(n
     "retrieval_report": f"WITH {_found(10)} SELECT query_id, rank, chunk_id, source AS title, round(score, 4) AS score, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240) AS snippet FROM h WHERE rank <= 5",
     "golden_findings": f"""
 WITH {_GOLDEN}, n AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT case_id FROM g))
-SELECT CAST(item_id AS VARCHAR) AS id, unnest(['unknown_route', 'blank_truth', 'negative_without_fallback']) AS rule FROM n
-UNION ALL SELECT CAST(item_id AS VARCHAR), 'repeated_question' FROM (SELECT item_id, count(*) OVER (PARTITION BY {_spaced('text')}) AS n FROM benchmark) WHERE n > 1
+SELECT CAST(item_id AS VARCHAR) AS id, unnest(['blank_truth', 'abstains_but_not_negative', 'abstains_with_evidence', 'negative_without_fallback']) AS rule FROM n
+UNION ALL SELECT CAST(item_id AS VARCHAR), 'repeated_question' FROM (SELECT item_id, count(*) OVER (PARTITION BY {_unmarked('text')}) AS n FROM benchmark) WHERE n > 1
 UNION ALL SELECT NULL, 'number_of_cases' FROM (SELECT count(*) AS n FROM benchmark) WHERE n NOT BETWEEN 30 AND 50""",
     "table_families": f"WITH {_TABLES} SELECT doc_id, complete, rows FROM whole",
     "catalog_sections": rf"""

@@ -55,9 +55,41 @@ def markdown_document(ordered: tuple[str, ...] = ("doc_id", "title", "source_url
     return F.concat_ws("\n", F.lit("---"), F.array_join(lines, "\n"), F.lit("---"), F.lit(""), F.col("body"))
 
 
+#: What stands between two documents of a bundle.
+RECORD_END = "\n\x1e\n"
+
+
 def write_markdown_corpus(docs: DataFrame, path: str) -> None:
-    """One document a line group in text files, partitioned by category."""
-    docs.select("category", markdown_document().alias("value")).write.partitionBy("category").text(path, lineSep="\n\x1e\n")
+    """Documents as Markdown bundles (many documents a file, RECORD_END between them), partitioned by category."""
+    docs.select("category", markdown_document().alias("value")).write.partitionBy("category").text(path, lineSep=RECORD_END)
+
+
+def read_markdown_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that write_markdown_corpus wrote, as read_markdown_corpus gives them, and their category.
+
+    A document's path is its file's with a digest of the document, for a file holds many.
+    """
+    rows = spark.read.text(path, lineSep=RECORD_END).where("trim(value) <> ''")
+    files = rows.select(F.concat_ws("#", "_metadata.file_path", F.sha2("value", 256)).alias("path"), F.col("value").alias("raw"), "category")
+    return parsed_frontmatter(files.select("path", "raw")).join(files.select("path", "category").distinct(), "path")
+
+
+def preferred_folder(spark: SparkSession, processed: str, raw: str) -> str:
+    """The folder of processed files if it has a Markdown file, else that of raw ones."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.md", recursiveFileLookup=True)
+    try:
+        found = bool(files.load(processed).select("path").limit(1).count())
+    except Exception as e:  # noqa: BLE001 - Spark has one class for analysis errors of every kind
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = False
+    return processed if found else raw
+
+
+def write_stage(df: DataFrame, path: str, fingerprint: str) -> DataFrame:
+    """Write a stage (such as vectors) for a fingerprint, and read it back; reusable_stage finds it after an interruption."""
+    df.write.mode("overwrite").parquet(f"{path}/{fingerprint}")
+    return df.sparkSession.read.parquet(f"{path}/{fingerprint}")
 
 
 def attach_raw_metadata(files: DataFrame, records: DataFrame) -> DataFrame:

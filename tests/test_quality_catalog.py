@@ -1,6 +1,7 @@
 """Audits, index agreement, split tables, golden sets, answers and files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,20 +102,88 @@ def test_sections_names_and_rendering(spark):
     assert catalog_tables.render_catalog(found).first().text == "1. name: b; code: 2"
 
 
+def order_of(df):
+    return [r.chunk_id for r in df.orderBy("query_id", "place").collect()]
+
+
 def test_seed_cover(spark):
-    hits = spark.createDataFrame([(1, "a", 1, ["x"]), (1, "b", 2, ["y", "z"]), (1, "c", 3, ["x", "y"]), (1, "d", 4, [])], "query_id long, chunk_id string, rank int, items array<string>")
-    assert [r.chunk_id for r in catalog_tables.seed_cover(hits, 3).orderBy("place").collect()] == ["b", "a", "c"]
+    s = "query_id long, chunk_id string, rank int, items array<string>, overview boolean"
+    rows = [(1, "a", 1, ["x"], False), (1, "b", 2, ["y", "z"], False), (1, "c", 3, ["x", "y"], True), (1, "d", 4, [], True)]
+    cover = lambda rows, k: order_of(catalog_tables.seed_cover(spark.createDataFrame(rows, s), k))
+    assert cover(rows, 9) == ["c", "b", "a", "d"]
+    assert cover([r[:4] + (None,) for r in rows], 3) == ["a", "b", "c"]
+    assert cover([], 3) == []
+    assert cover(rows, 0) == []
+
+
+def brute_cover(hits, k):
+    hits = [h for h in hits if h[5] and len(h[3]) == 1 and (not h[6] or h[6] == h[3])]
+    left = [h for h in hits if h[3] == max(x[3] for x in hits)]
+    places, names, out = set(), set(), []
+    while left and len(out) < k:
+        best = max(left, key=lambda h: (len(set(h[4]) - places), len(set(h[5]) - names), -h[2]))
+        left.remove(best)
+        if set(best[4]) <= places and set(best[5]) <= names:
+            continue
+        out.append(best[1])
+        places |= set(best[4])
+        names |= set(best[5])
+    return out
+
+
+def test_seed_cover_catalog(spark):
+    s = "query_id long, chunk_id string, rank int, years array<int>, places array<string>, names array<string>, asked_years array<int>"
+    rng = random.Random(3)
+    some = lambda letters, least: [x for x in letters if rng.random() < 0.4] or letters[:least]
+    rows = [(q, f"c{r}", r, [2023] if rng.random() < 0.3 else [2024] if rng.random() < 0.9 else [2023, 2024], some(["n", "s"], 0), some(list("abcdef"), rng.random() < 0.7), [2023] if q % 3 == 0 else []) for q in range(12) for r in range(1, 9)]
+    got = catalog_tables.seed_cover_catalog(spark.createDataFrame(rows, s), 4)
+    want = {q: brute_cover([r for r in rows if r[0] == q], 4) for q in range(12)}
+    assert {q: w for q, w in want.items() if w} == {q: order_of(got.where(F.col("query_id") == q)) for q in range(12) if want[q]} and got.count() == sum(map(len, want.values()))
+
+
+def test_profile(spark):
+    s = "query_id long, campus string, admission_year string, row int, marker int, labels array<string>, cells array<string>, section string, subsection string"
+    rows = [(1, "N", "2044", 2, 2, ["name", "code"], ["b", "7"], "I. First", "sub"), (1, "N", "2044", 1, 1, ["name", "code"], ["a", "5"], None, None), (2, "N", "2044", 1, 1, ["name"], ["see <b>"], None, None), (3, "N", "2044", 1, None, ["name"], ["c"], None, None), (4, "N", "2044", 1, 1, ["name"], [], None, None)]
+    got = catalog_tables.render_profile(spark.createDataFrame(rows, s)).collect()
+    assert [(r.query_id, r.text) for r in got] == [(1, "### Admission 2044, N\n\n| name | code [1] |\n| --- | --- |\n| a | 5 [1] |\n\n**I. First** [2].\n\n**sub** [2].\n\n| name | code [2] |\n| --- | --- |\n| b | 7 [2] |")]
+
+
+CASE = {"id": "case-1", "category": "c", "difficulty": "easy", "question": "q 1?", "expected_route": "answer", "ground_truth": "the *term* is here", "evidence_ids": ["e1"], "required_terms": ["Term"], "tags": ["t"]}
+NEGATIVE = {"id": "n_1", "difficulty": "negative", "expected_route": "abstain", "question": "q 2?", "ground_truth": "no data", "evidence_ids": [], "required_terms": []}
+BROKEN = [
+    ({"category": None}, "missing_field"), ({"id": "Bad Id"}, "id_not_a_slug"), ({"difficulty": "odd"}, "unknown_difficulty"), ({"question": " * "}, "blank_question"), ({"tags": ["t", ""]}, "blank_tag"),
+    ({"evidence_ids": ["e1", "e1"]}, "repeated_evidence"), ({"evidence_ids": ["e1", "e9"]}, "unknown_evidence"), ({"required_terms": []}, "answer_without_terms"), ({"ground_truth": "nothing"}, "term_not_in_truth"),
+    ({**NEGATIVE, "ground_truth": "no data at all"}, "negative_without_fallback"), ({**NEGATIVE, "required_terms": ["x"]}, "abstains_with_evidence"), ({**NEGATIVE, "difficulty": "easy"}, "abstains_but_not_negative"),
+]
 
 
 def test_golden_rules(spark):
-    s = "id string, category string, difficulty string, question string, expected_route string, ground_truth string, evidence_ids array<string>, required_terms array<string>"
-    good = [(f"case-{i}", "c", "easy", f"question {i}?", "answer", "the term is here", ["e1"], ["term"]) for i in range(30)]
-    evidence = spark.createDataFrame([("e1", "a quoted term")], "chunk_id string, quote string")
-    check = lambda rows: sorted({r.rule for r in evaluation.golden_findings(spark.createDataFrame(rows, s), evidence, ("answer", "abstain"), ("easy",), "no data").collect()})
-    assert check(good) == []
-    assert check(good[:10]) == ["number_of_cases"]
-    bad = [("Bad Id", "c", "hard", "question 1?", "maybe", "", ["e9", "e9"], ["term"]), ("case-1", "c", "easy", "q", "abstain", "nothing", [], [])]
-    assert check(good + bad) == ["blank_truth", "id_not_a_slug", "negative_without_fallback", "repeated_evidence", "repeated_id", "repeated_question", "term_not_in_truth", "term_not_quoted", "unknown_difficulty", "unknown_evidence", "unknown_route"]
+    kinds = {n: "array<string>" if n in ("evidence_ids", "required_terms", "tags") else "string" for n in evaluation.CASE_FIELDS}
+    evidence = spark.createDataFrame([("e1", "a quoted `term`")], "chunk_id string, quote string")
+
+    def found(*changes, least=1):
+        rows = [tuple({**CASE, **c}[n] for n in kinds) for c in changes]
+        f = evaluation.golden_findings(spark.createDataFrame(rows, ", ".join(map(" ".join, kinds.items()))), evidence, "answer", "abstain", ("easy",), "negative", "no data", least)
+        return sorted((r.id or "", r.rule) for r in f.collect())
+
+    assert found({}, NEGATIVE) == []
+    assert found({}, least=2) == [("", "number_of_cases")]
+    assert found({}, {"question": "Q  1?"}) == [("case-1", "repeated_id")] * 2 + [("case-1", "repeated_question")] * 2
+    changed = [c | {"id": c["id"] if c.get("id") == "Bad Id" else f"x{k}", "question": c["question"] if rule == "blank_question" else f"q {k + 5}?"} for k, (c, rule) in enumerate(BROKEN)]
+    assert found(*changed) == sorted((c["id"], rule) for c, (_, rule) in zip(changed, BROKEN, strict=True))
+    assert {r for _, r in found({"evidence_ids": [], "expected_route": "maybe", "ground_truth": "", "required_terms": [" "]})} == {"unknown_route", "blank_truth", "blank_term", "abstains_but_not_negative", "abstains_with_evidence", "negative_without_fallback"}
+    assert {r for _, r in found({"evidence_ids": []})} == {"answer_without_evidence", "term_not_quoted"}
+
+
+def test_golden_evidence_and_header(spark):
+    e = spark.createDataFrame([("a", "d", "t", 1, "u", "q"), ("b", " ", "t", 0, None, "q"), ("c", "d", "t", None, "u", "q"), ("c", "d", "t", 2, "u", "")], "chunk_id string, doc_id string, title string, page int, source_url string, quote string")
+    got = sorted((r.chunk_id, r.rule) for r in evaluation.evidence_findings(e).collect())
+    assert got == [("b", "blank_doc_id"), ("b", "blank_source_url"), ("b", "page_not_positive"), ("c", "blank_quote"), ("c", "page_not_positive"), ("c", "repeated_id"), ("c", "repeated_id")]
+    head = lambda *row: spark.createDataFrame([row], "schema_version int, fingerprint string, evidence long")
+    rules = lambda *a: sorted(r.rule for r in evaluation.golden_header_findings(*a).collect())
+    manifest = spark.createDataFrame([("b" * 64,)], "corpus_fingerprint string")
+    assert rules(head(1, "a" * 64, 3)) == [] and rules(head(1, "a" * 64, 3), manifest) == ["fingerprint_differs"]
+    assert rules(head(None, "A", 0), manifest) == ["fingerprint_differs", "fingerprint_not_sha256", "no_evidence", "schema_version"]
 
 
 def test_metrics(spark):
@@ -151,9 +220,52 @@ def test_html_pages():
     assert r["title"] == "OG" and r["table_count"] == 1 and r["pdf_links"] == ["https://h.example/x.pdf?v=1"]
     assert "# Head" in r["markdown"] and "| A | A |\n| --- | --- |\n| 1 | 2 |\n| 1 | 3\\|4 |" in r["markdown"] and "- one" in r["markdown"] and "menu" not in r["markdown"]
     assert html_pages.page_facts(None, None)["status"] == "no_text_detected"
+    long = "word 12 " * 20
+    page = f"<html><head><title>T</title></head><body><nav>menu 7</nav><main>m</main><article><p>short</p><div class='x entry-content'><p>{long}</p><img src=a><table><tr><td>3</table></div ></article><footer>f</footer></body></html>"
+    assert html_pages.content_html(page).startswith("<div class='x") and html_pages.content_html(page).endswith("</div >")
+    r = html_pages.page_facts("https://h.example/a", page)
+    assert (r["source_table_count"], r["table_count"], r["source_numeric_tokens"], r["numeric_tokens"]) == (1, 1, 21, 21) and "short" not in r["markdown"] and "menu" not in r["markdown"]
+    assert html_pages.content_html("<p>a</p><body>b<article>c</article></body>") == "<body>b<article>c</article></body>"
+    assert html_pages.content_html(f"<i><article>{long}") == f"<article>{long}" and html_pages.content_html("x") == "x" and html_pages.content_html("") == ""
     assert html_pages.plain_lines("<p> a </p><script>x</script>\n\n b<br>c") == "a\nb\nc"
 
 
+def test_bundles_stages_and_reports(spark, tmp_path):
+    d = spark.createDataFrame([("x", {"doc_id": "1", "title": 'say "hi"'}, "First\n\nbody"), ("y", {"doc_id": "2"}, "Second"), ("x", {"title": "no id"}, "Third")], "category string, fields map<string,string>, body string")
+    corpus.write_markdown_corpus(d, str(tmp_path / "md"))
+    got = corpus.read_markdown_bundles(spark, str(tmp_path / "md")).collect()
+    assert sorted((r.category, r.body) for r in got) == [("x", "First\n\nbody"), ("x", "Third"), ("y", "Second")]
+    assert {r.body: r.doc_id for r in got if r.category == "y" or r.body[0] == "F"} == {"First\n\nbody": "1", "Second": "2"} and len({r.path for r in got}) == 3
+    (tmp_path / "raw").mkdir()
+    assert corpus.preferred_folder(spark, str(tmp_path / "none"), "raw") == "raw" and corpus.preferred_folder(spark, str(tmp_path / "raw"), "other") == "other"
+    (tmp_path / "raw/a.md").write_text("x")
+    assert corpus.preferred_folder(spark, str(tmp_path / "raw"), "other") == str(tmp_path / "raw")
+    assert corpus.reusable_stage(spark, str(tmp_path / "s"), "f1") is None
+    assert corpus.write_stage(spark.range(3), str(tmp_path / "s"), "f1").count() == 3 == corpus.reusable_stage(spark, str(tmp_path / "s"), "f1").count()
+    for n in (2, 1):
+        quality.write_report(spark.createDataFrame([("rule", n)] * n, "rule string, n int"), str(tmp_path / "report"))
+    assert [(r.rule, r.n) for r in spark.read.json(str(tmp_path / "report")).collect()] == [("rule", 1)]
+    c = spark.createDataFrame([("The major list",), ("the list",), (None,), ("MAJOR code",)], "content string")
+    assert sorted(r.content for r in quality.tabular_chunks(c, "major", ["list", "CODE"]).collect()) == ["MAJOR code", "The major list"]
+
+
+def test_guarded_parents(spark):
+    from corpusloom.operators import fusion
+
+    hits = spark.createDataFrame([(1, "a", 1, 0.9, "P", "child"), (1, "b", 2, 0.8, "P", "child"), (1, "t", 3, 0.7, "P", "table"), (1, "c", 4, 0.6, None, "child")], "query_id long, chunk_id string, pos int, score double, parent_chunk_id string, chunk_type string")
+    parents = spark.createDataFrame([("P", "parent")], "chunk_id string, chunk_type string")
+    of = lambda df: sorted((r.chunk_id, r.pos) for r in df.collect())
+    assert of(fusion.hydrate_parents(hits, parents)) == [("P", 1), ("c", 4), ("t", 3)]
+    assert of(fusion.hydrate_parents(hits, parents, hits.where("chunk_id = 'b'"))) == [("P", 2), ("a", 1), ("c", 4), ("t", 3)]
+
+
+def test_scalars(spark):
+    from corpusloom.functions import text as tx
+
+    rows = spark.createDataFrame([('"a \\"b\\""',), ('"broken"x"',), ("-12",), ("True",), (" ",), (None,), ("12a",)], "v string").select(tx.parsed_scalar(F.col("v")).alias("s")).collect()
+    assert [(r.s.kind, r.s.text, r.s.number and int(r.s.number), r.s.truth) for r in rows] == [("json_string", 'a "b"', None, None), ("json_string", '"broken"x"', None, None), ("int", None, -12, None), ("bool", None, None, True), ("null", None, None, None), ("null", None, None, None), ("string", "12a", None, None)]
+
+
 def test_files_and_snapshots(spark, tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     (tmp_path / "in/a.md").write_text('---\ndoc_id: "one"\ntitle: A: b\nduplicate_of:\n---\nBody\n')
@@ -192,14 +304,3 @@ def test_reports_of_hits(spark):
     assert [tuple(r) for r in evaluation.candidate_char_stats(h).collect()] == [(1, 3, 102.0, 300)]
     assert {(r.rank, r.snippet) for r in evaluation.retrieval_report(h).collect()} == {(1, "a b"), (2, None)}
     assert evaluation.retrieval_report(h.limit(0)).count() == 0
-
-
-def test_golden_rules(spark):
-    c = spark.createDataFrame(
-        [("one", "Q a?", "An a.", ["c1"], ["a"], "answer", "easy"), ("one", "q  A?", "", ["c9", "c9"], ["zz"], "other", "odd"), ("Bad Id", "", "no answer", [], [], "answer", "easy")],
-        "id string, question string, ground_truth string, evidence_ids array<string>, required_terms array<string>, expected_route string, difficulty string",
-    )
-    e = spark.createDataFrame([("c1", "says a")], "chunk_id string, quote string")
-    got = {(r.id, r.rule) for r in evaluation.golden_findings(c, e, ("answer",), ("easy",), "no answer", least=1).collect()}
-    assert {("one", "repeated_id"), ("one", "repeated_question"), ("one", "unknown_evidence"), ("one", "repeated_evidence"), ("one", "blank_truth"), ("one", "unknown_route"), ("Bad Id", "id_not_a_slug"), ("Bad Id", "blank_question")} <= got
-    assert ("Bad Id", "negative_without_fallback") not in got and not any(r == "number_of_cases" for _, r in got)

@@ -120,6 +120,11 @@ def test_citations_excerpts_and_lists(spark):
     long = spark.createDataFrame([(1, "c", 0, "| --- | --- |\n" + "x " * 300 + "The AB1 fee is 40 here " + "y " * 300)], "query_id long, chunk_id string, pos int, content string")
     cut = cx.best_excerpt(long, spark.createDataFrame([(1, 1, "AB1 fee 40 [2]"), (2, 1, "AB2 fee")], "claim_id long, query_id long, claim string")).collect()
     assert [r.claim_id for r in cut] == [1] and "AB1 fee is 40" in cut[0].excerpt and cut[0].excerpt[0] == cut[0].excerpt[-1] == "…" and len(cut[0].excerpt) <= 362
+    said = spark.createDataFrame([(5, 1, "which fox?", "It runs [2].\n\nNothing on zebras [1].")], "answer_id long, query_id long, query string, text string")
+    shown = spark.createDataFrame([(1, "a", "A cat. Zebras rest here.", 0.25, "", "src"), (1, "b", "No. The fox runs. Yes.", 0.1234567, None, None)], "query_id long, chunk_id string, content string, score double, title string, source string")
+    shown = shown.withColumns({c: F.lit(None).cast("string") for c in ("source_url", "source_type", "doc_id", "section", "published_at", "retrieved_at")} | {"page_number": F.lit(3)})
+    cited = cx.citation_details(spark.createDataFrame([(5, 1, "a"), (5, 2, "b")], "answer_id long, marker int, chunk_id string"), said, shown).orderBy("marker").collect()
+    assert [(r.title, r.source, r.source_url, r.page, r.section, r.snippet, r.score) for r in cited] == [("src", "src", "", 3, None, "Zebras rest here.", 0.25), ("Chunk b", "Chunk b", "", 3, None, "The fox runs.", 0.123457)]
     lists = spark.createDataFrame([(1, "3 methods:\n1. one\n2. two"), (1, "3. three"), (2, "2 methods:\n1. one"), (3, "1 methods\n1. a"), (3, "1. b")], "query_id long, content string")
     got = cx.numbered_methods(lists, r"(\d+) methods", r"^(\d+)\. (.*)$").collect()
     assert sorted((r.query_id, r.number, r.text) for r in got) == [(1, 1, "one"), (1, 2, "two"), (1, 3, "three")]
