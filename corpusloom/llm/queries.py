@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity
+from corpusloom.llm import chat_format, fill_middle, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity
 from corpusloom.llm.training_sample import labelled_sample, remainder
 from corpusloom.runtime import checkpointed, read_table
 
@@ -100,6 +100,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_webp(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",), outputs=outputs)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text rearranged for fill-in-the-middle, and rebuilt."""
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    back = F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
 # What SQL can say of the operators' results --------------------------------------------------------------------------
 
 
@@ -134,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "mixed_sizes": mixed_sizes,
     "shingle_counts": shingle_counts,
     "edited_digests": edited_digests,
@@ -143,6 +151,14 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"""regexp_extract_all({}, '[^\x20\x09-\x0D]+')"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '(?s)[A-Za-z]+|[^A-Za-z]') AS w, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS i, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS j,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT doc_id, t, form, len(w) AS n, array_to_string(w[1:i], '') AS pre, array_to_string(w[i + 1:j], '') AS mid, array_to_string(w[j + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     "mixed_sizes": f"SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM (SELECT doc_id, source, CAST(coalesce(len({_WORDS.format('text')}), 0) AS BIGINT) AS size FROM documents)",
     "shingle_counts": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
