@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fill_middle, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity
+from corpusloom.llm import chat_format, fill_middle, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity, warc
 from corpusloom.llm.training_sample import labelled_sample, remainder
-from corpusloom.runtime import checkpointed, read_table
+from corpusloom.runtime import checkpointed, read_table, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +108,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder, and the archives read back."""
+    archives = warc.write_archives(read_table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    read = warc.resolved(warc.read_archives(archives, payloads=False))
+    return read.select(warc.unbroken(F.col("page_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").cast("long").alias("refers_to"))
+
+
 # What SQL can say of the operators' results --------------------------------------------------------------------------
 
 
@@ -142,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media": op10_media,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc": op12_warc,
     "mixed_sizes": mixed_sizes,
     "shingle_counts": shingle_counts,
     "edited_digests": edited_digests,
@@ -159,6 +168,10 @@ c AS (SELECT *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS i, greatest(h1 %
 p AS (SELECT doc_id, t, form, len(w) AS n, array_to_string(w[1:i], '') AS pre, array_to_string(w[i + 1:j], '') AS mid, array_to_string(w[j + 1:], '') AS suf FROM c)
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM f""",
     "mixed_sizes": f"SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM (SELECT doc_id, source, CAST(coalesce(len({_WORDS.format('text')}), 0) AS BIGINT) AS size FROM documents)",
     "shingle_counts": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
