@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fill_middle, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity, warc
+from corpusloom.llm import chat_format, fill_middle, fingerprints, main_text, media, mixing, ngram_join, piece_codec, quality_cnn, token_counts, toxicity, turn_repair, warc
 from corpusloom.llm.training_sample import labelled_sample, remainder
 from corpusloom.runtime import checkpointed, read_table, shared_folder
 
@@ -115,6 +115,19 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(warc.unbroken(F.col("page_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").cast("long").alias("refers_to"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, its faults counted and its structure repaired at least cost."""
+    given = read_table(spark, sf_dir, "conversations")
+    rows = turn_repair.damaged(given)
+    found = checkpointed(turn_repair.reports(rows))
+    digests = turn_repair.repaired_digests(rows, found).select(F.col("conv_id").alias("d"), "repaired_sha256")
+    told = found.withColumnRenamed("conv_id", "c")
+    ids = given.select("conv_id").distinct()
+    whole = ids.join(told, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_repair.COUNTS]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 # What SQL can say of the operators' results --------------------------------------------------------------------------
 
 
@@ -151,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "op10_media": op10_media,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_warc": op12_warc,
+    "op13_turn_repair": op13_turn_repair,
     "mixed_sizes": mixed_sizes,
     "shingle_counts": shingle_counts,
     "edited_digests": edited_digests,
@@ -172,6 +186,28 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS f FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM f""",
+    "op13_turn_repair": r"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hit AS (SELECT g.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda p: CAST(ord(key[p]) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS k FROM given g, crc_table),
+dealt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM dealt),
+judged AS (SELECT *, role[1] AS y, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+best AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 's': '', 'o': ''} AS v0, {'c': 4, 's': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)} AS v1, {'c': 2, 's': 'I', 'o': 'assistant:' || chr(10)} AS v2, {'c': 0, 's': '', 'o': ''} AS v3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, list_min([w0, {'c': 2 + u.c, 's': 'I' || u.s, 'o': 'user:' || chr(10) || u.o}]), list_min([w1, {'c': 2 + u.c, 's': 'I' || u.s, 'o': 'user:' || chr(10) || u.o}]), u, a FROM (
+    SELECT *, list_min([w2, {'c': 2 + w3.c, 's': 'I' || w3.s, 'o': 'assistant:' || chr(10) || w3.o}]) AS u, list_min([w3, {'c': 2 + w2.c, 's': 'I' || w2.s, 'o': 'user:' || chr(10) || w2.o}]) AS a FROM (
+      SELECT b.conv_id, j.i,
+        list_min([{'c': 3 + v0.c, 's': 'D' || v0.s, 'o': v0.o}, {'c': more + v2.c + 2, 's': 'R' || v2.s, 'o': 'user:' || text || chr(10) || v2.o}, CASE y WHEN 's' THEN {'c': more + v1.c, 's': 'K' || v1.s, 'o': line || v1.o} WHEN 'u' THEN {'c': more + v2.c, 's': 'K' || v2.s, 'o': line || v2.o} END]) AS w0,
+        list_min([{'c': 3 + v1.c, 's': 'D' || v1.s, 'o': v1.o}, {'c': more + v2.c + 2, 's': 'R' || v2.s, 'o': 'user:' || text || chr(10) || v2.o}, CASE y WHEN 'u' THEN {'c': more + v2.c, 's': 'K' || v2.s, 'o': line || v2.o} END]) AS w1,
+        list_min([{'c': 3 + v2.c, 's': 'D' || v2.s, 'o': v2.o}, {'c': more + v3.c + 2, 's': 'R' || v3.s, 'o': 'assistant:' || text || chr(10) || v3.o}, CASE y WHEN 'a' THEN {'c': more + v3.c, 's': 'K' || v3.s, 'o': line || v3.o} END]) AS w2,
+        list_min([{'c': 3 + v3.c, 's': 'D' || v3.s, 'o': v3.o}, {'c': more + v2.c + 2, 's': 'R' || v2.s, 'o': 'user:' || text || chr(10) || v2.o}, CASE y WHEN 'u' THEN {'c': more + v2.c, 's': 'K' || v2.s, 'o': line || v2.o} END]) AS w3
+      FROM best b JOIN (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 1 ELSE 0 END AS more, role || ':' || text || chr(10) AS line FROM judged) j ON b.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = b.i - 1)))
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.s, '') AS audit, sha256(coalesce(left(v0.o, length(v0.o) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 1""",
     "mixed_sizes": f"SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM (SELECT doc_id, source, CAST(coalesce(len({_WORDS.format('text')}), 0) AS BIGINT) AS size FROM documents)",
     "shingle_counts": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
