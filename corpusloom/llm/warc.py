@@ -308,9 +308,10 @@ def resolved(records: DataFrame) -> DataFrame:
     ``fault`` tells a revisit whose response (by record id and payload digest) isn't there or has another length.
     The records are cut to their short columns and checkpointed, so archives are read once.
     """
-    short = checkpointed(records.drop("payload", "length", "target_uri"))
+    short = checkpointed(records.drop("payload", "length", "target_uri")).where("record_type IN ('response', 'revisit') OR fault IS NOT NULL")
+    revisit = F.col("record_type").eqNullSafe("revisit")
     responses = short.where("record_type = 'response' AND fault IS NULL").groupBy(F.col("record_id").alias("r"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("full"))
-    found = short.where("record_type IN ('response', 'revisit') OR fault IS NOT NULL").join(responses, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
-    lost = (F.col("record_type") == "revisit") & ~F.col("full").eqNullSafe(F.coalesce("payload_bytes", "full"))
-    fault = F.coalesce("fault", F.when(lost | ((F.col("record_type") == "revisit") & F.col("full").isNull()), F.lit("no such response")))
-    return found.select(*(c for c in short.columns if c != "fault"), fault.alias("fault"))
+    # what is known of the archives' sizes before they are read must not decide how this is joined
+    found = short.where(revisit).join(responses.hint("merge"), (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
+    fault = F.coalesce("fault", F.when(F.col("full").isNull() | (F.col("full") != F.coalesce("payload_bytes", "full")), F.lit("no such response")))
+    return short.where(~revisit).unionByName(found.select(*(c for c in short.columns if c != "fault"), fault.alias("fault")))
