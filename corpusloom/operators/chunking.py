@@ -1,15 +1,9 @@
-"""Chunking documents: fixed windows in column expressions; structure, tables and parents in Arrow tasks per document."""
+"""Fixed windows, headings of set pages, and page tables, in column expressions; ``structure`` chunks by headings."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions.text import joined_digest
 
@@ -35,300 +29,6 @@ def with_document_chunk_count(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("document_chunk_count", F.count("*").over(Window.partitionBy("doc_id")))
 
 
-# Structure ------------------------------------------------------------------------------------------------------------
-
-SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
-PARAGRAPH_END = re.compile(r"\n\s*\n+")
-
-
-def wrapped(text: str, width: int) -> Iterator[str]:
-    """Pieces of at most ``width`` characters that end before a space where one allows it, trimmed."""
-    piece = re.compile(rf"\s*+(.{{1,{width}}}(?= |\Z)|.{{{width}}})", re.S)
-    return (m[1].strip() for m in piece.finditer(text.strip()))
-
-
-def packed(units: Iterator[str], joint: str, width: int) -> Iterator[str]:
-    """Units joined greedily while they fit."""
-    held = ""
-    for unit in units:
-        if held and len(held) + len(joint) + len(unit) > width:
-            yield held
-            held = unit
-        else:
-            held = held + joint + unit if held else unit
-    if held:
-        yield held
-
-
-def paragraphs(body: str, width: int) -> Iterator[str]:
-    """Paragraphs that fit, and the sentences of those that don't packed into pieces that do."""
-    for paragraph in filter(None, map(str.strip, PARAGRAPH_END.split(body.strip()))):
-        if len(paragraph) <= width:
-            yield paragraph
-            continue
-        sentences = filter(None, map(str.strip, SENTENCE_END.split(paragraph)))
-        yield from packed((piece for s in sentences for piece in (wrapped(s, width) if len(s) > width else (s,))), " ", width)
-
-
-def section_pieces(heading: str, body: str, width: int) -> list[str]:
-    """A section's pieces, each under its heading; a heading too long for that comes first, alone."""
-    heading = heading.strip()
-    if not body:
-        return [heading] if heading else []
-    room = width - len(heading) - 2 if heading else width
-    if room <= 0:
-        return [heading, *packed(paragraphs(body, width), "\n\n", width)]
-    pieces = list(packed(paragraphs(body, room), "\n\n", room))
-    return [f"{heading}\n\n{p}" if heading else p for p in pieces] or [heading]
-
-
-def sections(pages: list[dict]) -> Iterator[tuple[int, dict | None, list[str], str]]:
-    """(page number, heading, heading path, body) of a document's pages; the path carries over from page to page."""
-    stack: list[dict] = []
-
-    def under(heading: dict) -> None:
-        while stack and stack[-1]["level"] >= heading["level"]:
-            stack.pop()
-        stack.append(heading)
-
-    for page in pages:
-        text = (page["text"] or "").replace("\r\n", "\n").replace("\r", "\n")
-        headings = page["headings"] or []
-        places, cursor = [], 0
-        for order, heading in enumerate(headings):
-            at = text.find(heading["text"], cursor)
-            at = at if at >= 0 else text.find(heading["text"])
-            if at >= 0:
-                places.append((at, order, heading))
-                cursor = at + len(heading["text"])
-        places.sort(key=lambda p: p[:2])
-        row = lambda body: (page["page_number"], stack[-1] if stack else None, [h["text"] for h in stack], body)  # noqa: B023, E731
-        if not places:
-            body = text.strip()
-            for k, heading in enumerate(headings):
-                under(heading)
-                if not body or k == len(headings) - 1:
-                    yield row(body)
-            if not headings and body:
-                yield row(body)
-            continue
-        if before := text[: places[0][0]].strip():
-            yield row(before)
-        ends = [p[0] for p in places[1:]] + [len(text)]
-        for (at, _, heading), end in zip(places, ends, strict=True):
-            under(heading)
-            yield row(text[at + len(heading["text"]) : end].strip())
-
-
-def digest(*parts: object) -> str:
-    return hashlib.sha256("\x1f".join("" if p is None else str(p) for p in parts).encode()).hexdigest()[:24]
-
-
-def chunk_row(doc: str, kind: str, index: int, page: int, heading: dict | None, path: list[str], content: str, strategy: str, parent: dict | None = None, **more) -> dict:
-    named = heading["text"] if heading else ""
-    parent_id = parent["chunk_id"] if parent else ""
-    row = {"doc_id": doc, "chunk_type": kind, "chunk_index": index, "page_number": page, "heading": named, "heading_level": heading["level"] if heading else None, "heading_path": path, "content": content, "chunking_strategy": strategy}
-    row |= {"chunk_id": digest(doc, kind, page, named, parent_id, index, content), "parent_chunk_id": parent_id or None, "parent_chunk_index": parent["chunk_index"] if parent else None}
-    return row | more
-
-
-def structure_chunks(doc: str, pages: list[dict], size: int) -> list[dict]:
-    out: list[dict] = []
-    for page, heading, path, body in sections(pages):
-        for piece in section_pieces(heading["text"] if heading else "", body, size):
-            out.append(chunk_row(doc, "text", len(out), page, heading, path, piece, "structure_aware"))
-    return out
-
-
-def family_chunks(doc: str, pages: list[dict], parent_size: int, child_size: int) -> tuple[list[dict], list[dict]]:
-    """(parents, children)."""
-    parents, children = [], []
-    for page, heading, path, body in sections(pages):
-        title = heading["text"] if heading else ""
-        for piece in section_pieces(title, body, parent_size):
-            parent = chunk_row(doc, "parent", len(parents), page, heading, path, piece, "parent_child")
-            inner = piece[len(title) :].lstrip() if title and piece.startswith(title) else piece
-            own = [p for p in section_pieces(title, inner, child_size)]
-            first = len(children)
-            children += [chunk_row(doc, "child", first + k, page, heading, path, p, "parent_child", parent) for k, p in enumerate(own)]
-            parent["child_chunk_ids"] = [c["chunk_id"] for c in children[first:]]
-            parents.append(parent)
-    return parents, children
-
-
-def table_line(cells: list[str]) -> str:
-    return "| " + " | ".join((c or "").replace("\n", " ").replace("|", "\\|").strip() for c in cells) + " |"
-
-
-def table_parts(prefix: str, rows: list[list[str]], size: int) -> list[tuple[str, int, int]]:
-    """(text, first row, last row): row groups that fit, each under the title, header and separator."""
-    head = "\n".join(filter(None, [prefix, table_line(rows[0]), "| " + " | ".join("---" for _ in rows[0]) + " |"]))
-    if len(rows) == 1:
-        return [(head, 0, 0)]
-    groups: list[list[int]] = []
-    length = 0
-    lines = [table_line(r) for r in rows]
-    for k in range(1, len(rows)):
-        if not groups or length + 1 + len(lines[k]) > size:
-            groups.append([])
-            length = len(head)
-        groups[-1].append(k)
-        length += 1 + len(lines[k])
-    return [("\n".join([head, *(lines[k] for k in g)]), g[0], g[-1]) for g in groups]
-
-
-def table_chunks(doc: str, pages: list[dict], size: int, title: str = "Table {n}: {heading}", untitled: str = "Full text") -> list[dict]:
-    out: list[dict] = []
-    carried, number = None, 0
-    for page in pages:
-        text, headings, cursor = page["text"] or "", page["headings"] or [], 0
-        for table in page["tables"] or []:
-            rows = table["rows"]
-            if not rows:
-                continue
-            heading, at = carried, -1
-            if headings:
-                for candidate in (table_line(rows[0]), " ".join(c.strip() for c in rows[0] if c and c.strip())):
-                    at = text.find(candidate, cursor) if candidate else -1
-                    if at >= 0:
-                        break
-                known = [(text.find(h["text"]), h) for h in headings]
-                shown = [h for p, h in known if p >= 0]
-                above = [h for p, h in known if 0 <= p <= at]
-                heading = above[-1] if above else shown[-1] if shown else headings[-1]
-            cursor = at + 1 if at >= 0 else cursor
-            named = heading["text"] if heading else untitled
-            parts = table_parts(title.format(n=number + 1, heading=named), rows, size)
-            for k, (content, first, last) in enumerate(parts, 1):
-                more = {"table_index": number, "table_title": named, "table_part": k, "table_part_count": len(parts), "row_start": first, "row_end": last}
-                out.append(chunk_row(doc, "table", len(out), table.get("page_number") or page["page_number"], heading, [heading["text"]] if heading else [], content, "table_aware", **more))
-            number += 1
-        carried = headings[-1] if headings else carried
-    return out
-
-
-def pages_without_table_rows(pages: list[dict]) -> list[dict]:
-    """Pages whose text has no line that repeats a table's row, its separator or its flattened row."""
-    tight = lambda s: " ".join((s or "").split())
-    out = []
-    for page in pages:
-        rows = {tuple(map(tight, r)) for t in page["tables"] or [] for r in t["rows"]}
-        flat = {" ".join(filter(None, r)) for r in rows} - {""}
-        kept = []
-        for line in (page["text"] or "").splitlines():
-            bare = line.strip()
-            if bare.startswith("|") and bare.endswith("|"):
-                cells = [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", bare[1:-1])]
-                if tuple(map(tight, cells)) in rows or all(re.fullmatch(r":?-{3,}:?", c) for c in cells):
-                    continue
-            if tight(line) in flat:
-                continue
-            kept.append(line)
-        out.append({**page, "text": "\n".join(kept).strip()})
-    return out
-
-
-def combined_chunks(doc: str, pages: list[dict], size: int, parent_size: int, child_size: int) -> list[dict]:
-    """Parents, then children and tables: tables hang on the parent of their page and heading, else of their page, else on one of their own."""
-    parents, children = family_chunks(doc, pages_without_table_rows(pages), parent_size, child_size)
-    tables = []
-    for t in table_chunks(doc, pages, size):
-        same = [p for p in parents if p["page_number"] == t["page_number"]]
-        own = next((p for p in same if p["heading"] == t["heading"]), same[0] if same else None)
-        heading = {"text": t["heading"], "level": t["heading_level"]} if t["heading"] else None
-        if own is None:
-            own = chunk_row(doc, "parent", len(parents), t["page_number"], heading, t["heading_path"], t["content"], "parent_child", child_chunk_ids=[])
-            parents.append(own)
-        more = {k: t[k] for k in ("table_index", "table_title", "table_part", "table_part_count", "row_start", "row_end")}
-        tables.append(chunk_row(doc, "table", t["chunk_index"], t["page_number"], heading, t["heading_path"], t["content"], "table_aware", own, **more))
-    kept: dict[str, dict] = {}
-    for c in [*children, *tables]:
-        if c["content"].strip() and c["chunk_id"] not in kept:
-            kept[c["chunk_id"]] = c | {"combined_chunk_index": len(kept)}
-    for p in parents:
-        of = [c["chunk_id"] for c in kept.values() if c["parent_chunk_id"] == p["chunk_id"]]
-        p["child_chunk_ids"], p["child_count"] = of, len(of)
-    return [p for p in parents if p["child_count"]] + list(kept.values())
-
-
-CHUNK = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("doc_id", "chunk_id", "chunk_type")]
-    + [T.StructField(n, T.IntegerType()) for n in ("chunk_index", "page_number")]
-    + [T.StructField("heading", T.StringType()), T.StructField("heading_level", T.IntegerType()), T.StructField("heading_path", T.ArrayType(T.StringType())), T.StructField("content", T.StringType()), T.StructField("chunking_strategy", T.StringType()), T.StructField("parent_chunk_id", T.StringType())]
-    + [T.StructField(n, T.IntegerType()) for n in ("parent_chunk_index", "combined_chunk_index", "child_count", "table_index", "table_part", "table_part_count", "row_start", "row_end")]
-    + [T.StructField("table_title", T.StringType()), T.StructField("child_chunk_ids", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]
-)
-
-PAGES = "array<struct<page_number:int,text:string,headings:array<struct<text:string,level:int,page_number:int>>,tables:array<struct<rows:array<array<string>>,page_number:int>>>>"
-
-
-def build_chunks(docs: DataFrame, strategy: str = "combined", size: int = 500, parent_size: int = 1500, child_size: int = 300) -> DataFrame:
-    """Chunks of (doc_id, pages) rows: strategy structure, tables, parent_child or combined.
-
-    A document that can't be chunked gives one row with its error; others go on. One document is one row, so nothing is
-    shuffled and no state crosses documents.
-    """
-    if min(size, parent_size, child_size) <= 0 or child_size > parent_size:
-        raise ValueError("sizes are positive, and children no larger than parents")
-    make = {
-        "structure": lambda d, p: structure_chunks(d, p, size),
-        "tables": lambda d, p: table_chunks(d, p, size),
-        "parent_child": lambda d, p: [c for part in family_chunks(d, p, parent_size, child_size) for c in part],
-        "combined": lambda d, p: combined_chunks(d, p, size, parent_size, child_size),
-    }[strategy]
-    names = CHUNK.fieldNames()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for doc, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = make(doc, pages or [])
-                except (TypeError, KeyError, AttributeError, ValueError) as e:
-                    rows = [{"doc_id": doc, "error": f"{type(e).__name__}: {e}"}]
-                for r in rows:
-                    for n in names:
-                        out[n].append(r.get(n))
-            kinds = {T.StringType(): pa.string(), T.IntegerType(): pa.int32(), T.ArrayType(T.StringType()): pa.list_(pa.string())}
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], kinds[f.dataType]) for f in CHUNK.fields], names=names)
-
-    return docs.select(F.col("doc_id").cast("string"), F.col("pages").cast(PAGES)).mapInArrow(run, CHUNK)
-
-
-HEADING_LINE = re.compile(r"^(#{1,6})\s+(.*\S)\s*$")
-
-
-def parsed_markdown(text: str | None) -> list[dict]:
-    """One page: its text, # headings, and pipe tables that have a separator row; table rows stay in the text."""
-    lines = (text or "").splitlines()
-    headings = [{"text": m[2].strip(), "level": len(m[1]), "page_number": 1} for m in map(HEADING_LINE.match, lines) if m]
-    tables, k = [], 0
-    cells = lambda s: [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", s.strip().strip("|"))]
-    is_row = lambda s: s.strip().startswith("|") and s.strip().endswith("|") and len(s.strip()) > 1
-    while k + 1 < len(lines):
-        if is_row(lines[k]) and is_row(lines[k + 1]) and all(re.fullmatch(r":?-{3,}:?", c) for c in cells(lines[k + 1])):
-            end = k + 2
-            while end < len(lines) and is_row(lines[end]):
-                end += 1
-            tables.append({"rows": [cells(lines[j]) for j in (k, *range(k + 2, end))], "page_number": 1})
-            k = end
-        else:
-            k += 1
-    return [{"page_number": 1, "text": text or "", "headings": headings, "tables": tables}]
-
-
-def parse_markdown_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pages) of Markdown texts, ready for build_chunks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heading = pa.struct([("text", pa.string()), ("level", pa.int32()), ("page_number", pa.int32())])
-            table = pa.struct([("rows", pa.list_(pa.list_(pa.string()))), ("page_number", pa.int32())])
-            page = pa.struct([("page_number", pa.int32()), ("text", pa.string()), ("headings", pa.list_(heading)), ("tables", pa.list_(table))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parsed_markdown(t) for t in batch.column(1).to_pylist()], pa.list_(page))], names=["doc_id", "pages"])
-
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), text_col).mapInArrow(run, f"doc_id string, pages {PAGES}")
-
-
 def headings_from_words(words: DataFrame) -> DataFrame:
     """(doc_id, page_number, line, text, level) of lines set larger than their page's middle size, or numbered.
 

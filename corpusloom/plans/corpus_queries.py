@@ -161,18 +161,6 @@ def html_markdown(spark, sf):
     return html_pages.html_to_markdown(read_table(spark, sf, "pages")).select("page_id", "title", "markdown", "table_count", "numeric_tokens", "status")
 
 
-def _paged(spark, sf):
-    return chunking.parse_markdown_pages(docs(spark, sf))
-
-
-def chunk_structure(spark, sf):
-    return chunking.build_chunks(_paged(spark, sf), "structure").select("doc_id", "chunk_id", "chunk_index", "heading", "content")
-
-
-def chunk_combined(spark, sf):
-    return chunking.build_chunks(_paged(spark, sf), "combined").select("doc_id", "chunk_id", "chunk_type", "chunk_index", "parent_chunk_id", "content")
-
-
 def corpus_fingerprint(spark, sf):
     return quality.corpus_fingerprint(docs(spark, sf))
 
@@ -234,8 +222,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_stats, content_token_counts, chunk_fixed, document_chunk_count, manifest_counts, years_of_documents, codes_of_documents, normalized_duplicates, mark_duplicates, document_version, load_status,
-        index_diff, index_diff_summary, stale_ids, index_count_check, upsert, duplicate_ids, quality_report, missing_pages, metadata_filter, term_filter, url_hosts, pdf_links, html_text, html_markdown, chunk_structure,
-        chunk_combined, corpus_fingerprint, session_history, golden_summary, latency_medians, pack_context, trim_context_tail, render_context, neighbor_join, table_sibling_join, widest_table, search_text,
+        index_diff, index_diff_summary, stale_ids, index_count_check, upsert, duplicate_ids, quality_report, missing_pages, metadata_filter, term_filter, url_hosts, pdf_links, html_text, html_markdown,
+        corpus_fingerprint, session_history, golden_summary, latency_medians, pack_context, trim_context_tail, render_context, neighbor_join, table_sibling_join, widest_table, search_text,
     )
 }
 
