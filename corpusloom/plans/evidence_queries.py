@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scope, text as tx
-from corpusloom.operators import answers, catalog_tables, context, dense, embedding, evaluation, quality, rerank, sparse
+from corpusloom.operators import answers, catalog_tables, context, dense, embedding, evaluation, quality, rerank
 from corpusloom.plans.corpus_queries import docs, sql_tokens
-from corpusloom.plans.search_queries import _benchmark, _ITEMS, _search_sql, documents, golden_pairs
+from corpusloom.plans.search_queries import _benchmark, _ITEMS, _search_sql, bm25_searched, documents, golden_pairs
 from corpusloom.runtime import read_table
 
 
@@ -51,7 +51,7 @@ def search_steps(spark, sf):
 
 def _hits(spark, sf, k):
     """The best documents of every benchmark item with their texts."""
-    return sparse.bm25_topk(_benchmark(spark, sf), documents(spark, sf), k).join(_benchmark(spark, sf), "query_id").join(documents(spark, sf), "chunk_id")
+    return bm25_searched(spark, sf, _benchmark(spark, sf), k).join(_benchmark(spark, sf), "query_id").join(documents(spark, sf), "chunk_id")
 
 
 def cited_evidence(spark, sf):
@@ -101,7 +101,7 @@ def evidence_membership(spark, sf):
 def precision_at_k(spark, sf):
     want = golden_pairs(spark, sf).groupBy("case_id").agg(F.collect_set("chunk_id").alias("r"))
     cases = _benchmark(spark, sf).select(F.col("query_id").alias("case_id")).join(want, "case_id", "left").select("case_id", F.coalesce("r", F.array().cast("array<bigint>")).alias("relevant"))
-    run = sparse.bm25_topk(_benchmark(spark, sf), documents(spark, sf), 10).withColumnRenamed("query_id", "case_id")
+    run = bm25_searched(spark, sf, _benchmark(spark, sf), 10).withColumnRenamed("query_id", "case_id")
     return evaluation.precision_at_k(run, cases, 5)
 
 

@@ -5,13 +5,16 @@ Searches take as queries the rows whose id is divisible by 50, against all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, context, dense, embedding, evaluation, fusion, rerank, sparse
+from corpusloom.operators import chunking, context, dense, embedding, evaluation, fusion, keyword_index, quality, rerank, sparse
 from corpusloom.plans.corpus_queries import sql_tokens
-from corpusloom.runtime import read_table
+from corpusloom.runtime import read_table, shared_folder
+from corpusloom.sources import bucketed
 
 
 def asked(spark, sf) -> DataFrame:
@@ -24,13 +27,46 @@ def documents(spark, sf) -> DataFrame:
     return read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def document_index(spark, sf) -> str:
+    """The folder of the documents' keyword index, built at the first search of a session over these files."""
+    docs = documents(spark, sf)
+    known = (spark.sparkContext.applicationId, sf, *sorted(docs.inputFiles()))
+    if known not in _INDEXES:
+        folder = f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}"
+        keyword_index.build_index(docs, folder)
+        _INDEXES[known] = folder
+    return _INDEXES[known]
+
+
 def bm25_term_stats(spark, sf):
-    posted = sparse.postings(documents(spark, sf))
-    return sparse.term_stats(posted, sparse.corpus_stats(documents(spark, sf))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return keyword_index.term_statistics(spark, document_index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_searched(spark, sf, queries, k):
+    return keyword_index.search_index(queries, document_index(spark, sf), k)
 
 
 def _bm25(spark, sf, k):
-    return sparse.bm25_topk(asked(spark, sf), documents(spark, sf), k)
+    return bm25_searched(spark, sf, asked(spark, sf), k)
+
+
+def bm25_one_pass(spark, sf):
+    """The search without an index: the vocabulary is counted by the query."""
+    return sparse.bm25_topk(asked(spark, sf), documents(spark, sf), 20)
+
+
+def bm25_changed(spark, sf):
+    """Search after changes: documents whose text begins with a vowel get another text, those longer than 5,000 characters go."""
+    docs = documents(spark, sf)
+    folder = f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}"
+    keyword_index.build_index(docs, folder)
+    vowel = docs.where(F.lower(F.substring("content", 1, 1)).isin("a", "e", "i", "o", "u"))
+    changed = vowel.select("chunk_id", F.concat_ws(" ", "source", "lang", F.substring("content", 1, 200)).alias("content"))
+    keyword_index.change_index(spark, folder, changed, docs.where("length(content) > 5000").join(vowel, "chunk_id", "left_anti"))
+    return keyword_index.search_index(asked(spark, sf), folder, 20)
 
 
 def bm25_topk(spark, sf):
@@ -134,7 +170,7 @@ def golden_pairs(spark, sf):
 
 
 def _run(spark, sf):
-    found = sparse.bm25_topk(_benchmark(spark, sf), documents(spark, sf), 10)
+    found = bm25_searched(spark, sf, _benchmark(spark, sf), 10)
     return found.select(F.lit("bm25").alias("mode"), F.col("query_id").alias("case_id"), "chunk_id", F.lit(None).cast("long").alias("parent_id"), "rank")
 
 
@@ -154,7 +190,7 @@ def negative_rate(spark, sf):
 
 
 def best_excerpt(spark, sf):
-    hits = sparse.bm25_topk(_benchmark(spark, sf), documents(spark, sf), 3).join(documents(spark, sf), "chunk_id").select("query_id", "chunk_id", F.col("rank").alias("pos"), "content")
+    hits = bm25_searched(spark, sf, _benchmark(spark, sf), 3).join(documents(spark, sf), "chunk_id").select("query_id", "chunk_id", F.col("rank").alias("pos"), "content")
     return context.best_excerpt(hits, _benchmark(spark, sf).select(F.col("query_id").alias("claim_id"), "query_id", F.col("query").alias("claim")))
 
 
@@ -163,11 +199,23 @@ def embed_chunks(spark, sf):
     return embedding.embed_chunks(chunks).select("chunk_id", F.size("embedding").alias("dim"), tx.valid_vector(F.col("embedding")).alias("valid"))
 
 
+def written_vectors(spark, sf):
+    """What a stored table differs in from the given vectors after a second write has changed and added some."""
+    given = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    bucketed.write_vectors(given, folder)
+    turned = given.where("label < 3").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    added = given.where("label = 9").withColumn("chunk_id", F.col("chunk_id") + 1_000_000_000)
+    bucketed.write_vectors(turned.unionByName(added), folder)
+    payload = lambda df: df.select(F.col("chunk_id").alias("id"), F.sha2(F.to_json(F.struct("embedding", "label")), 256).alias("payload"))
+    return quality.index_diff(payload(given), payload(bucketed.read_vectors(spark, folder)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_term_stats, bm25_topk, dense_topk, dense_topk_filtered, rrf_fuse, rrf_weighted, branch_union, hybrid_candidates, diversity_rounds, hydrate_parents, lexical_rerank, lexical_gate, final_context, golden_pairs,
-        retrieval_metrics, mean_metrics, negative_rate, best_excerpt, embed_chunks,
+        bm25_term_stats, bm25_topk, bm25_one_pass, bm25_changed, dense_topk, dense_topk_filtered, rrf_fuse, rrf_weighted, branch_union, hybrid_candidates, diversity_rounds, hydrate_parents, lexical_rerank, lexical_gate, final_context, golden_pairs,
+        retrieval_metrics, mean_metrics, negative_rate, best_excerpt, embed_chunks, written_vectors,
     )
 }
 
@@ -208,6 +256,10 @@ m AS (SELECT 'bm25' AS mode, case_id, round(avg(CASE WHEN rank IS NULL THEN 0.0
 ORACLE_SQL = {
     "bm25_term_stats": f"WITH {_POSTED} SELECT term, df, round(idf, 6) AS idf FROM i",
     "bm25_topk": f"WITH {_search_sql(_ASKED, 20)} SELECT query_id, chunk_id, score, rank FROM hits",
+    "written_vectors": "SELECT 'payload_mismatch' AS finding, vec_id AS key FROM embeddings WHERE label < 3 UNION ALL SELECT 'unexpected', vec_id + 1000000000 FROM embeddings WHERE label = 9",
+    "bm25_one_pass": f"WITH {_search_sql(_ASKED, 20)} SELECT query_id, chunk_id, score, rank FROM hits",
+    "bm25_changed": f"""WITH changed AS (SELECT doc_id, CASE WHEN lower(left(text, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN concat_ws(' ', source, lang, left(text, 200)) ELSE text END AS text FROM documents WHERE length(text) <= 5000 OR lower(left(text, 1)) IN ('a', 'e', 'i', 'o', 'u')),
+{_search_sql(_ASKED, 20).replace("FROM documents", "FROM changed")} SELECT query_id, chunk_id, score, rank FROM hits""",
     "dense_topk": f"WITH {_near_sql('a', 'true', 10)} SELECT query_id, vec_id, score, rank FROM a",
     "dense_topk_filtered": f"WITH {_near_sql('a', 'v.label IN (1, 2, 3)', 20)} SELECT query_id, vec_id, score, rank FROM a",
     "rrf_fuse": f"WITH {_BRANCHES}, f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + pos)), 9) AS score FROM b GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f",
