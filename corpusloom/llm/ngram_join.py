@@ -10,12 +10,17 @@ what is left gets its sets compared:
   with enough shingles of their own are out, and the blocks of the others are small;
 * orders 1, 3 and 4 (rehashed) once more for each candidate pair, from packed prefixes, before the sets move.
 
-Large groups of near copies. A block never emits the pairs of a group: every set has a *home*, a set that leads most of
+Large groups of near copies. Every set has a *home*, a set that leads most of
 its blocks, and is told by its difference D from it. With ``|x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|`` two sets of one home
 reach the threshold only if their differences have so many shingles in common as makes up for what both differ. Sets
 near enough to the home are linked with it; a pair with a set that is not needs common shingles in the *differences*, and the
 prefix test holds there too: their rarest shingles, which near copies don't share. Pairs of different homes meet in the
-blocks of order 2. No pair is dropped, and nothing is capped or sampled.
+blocks of order 2.
+
+Blocks of sets that are not near their home, yet near each other, are thinned by leaders before any pair is made: in each round
+every set is held against one other only, the leader of most of its blocks, and what links joins a part. A pair within one part
+tells nothing new, so blocks of one part go, and in the others only pairs of different parts are made. No pair of different
+parts is dropped, and nothing is capped or sampled.
 
 Defined results: A-Z are lower-cased, words are runs of non-space bytes, a text with fewer than five words has one
 shingle, a null or blank text has none and links with nothing; a null id keeps its row and its class but never becomes
@@ -42,6 +47,8 @@ SIMILARITY = 75
 COMMON_LIST = 200_000
 #: Copies of a shingle within one batch of documents that make it a candidate for that list.
 COMMON_IN_BATCH = 2
+#: Rounds of leaders before pairs are made; any number gives the same components.
+LEADER_ROUNDS = 4
 
 _REHASH = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -118,17 +125,21 @@ class Orders:
 
 
 def common_orders(counted: DataFrame) -> Orders:
-    """The orders, from (gram, times): the commonest shingles, as many as the list holds without splitting equal counts."""
+    """The orders, from (gram, times): the commonest shingles, as many as the list holds; of those that tie at its end some, by a hash."""
     counted = checkpointed(counted)
     per_count = sorted(((r.times, r.n) for r in counted.groupBy("times").agg(F.count("*").alias("n")).collect()), reverse=True)
-    held, least = 0, None
+    held, least, tied, share = 0, None, None, 0
     for times, n in per_count:
         if held + n > COMMON_LIST:
+            tied, share = times, int(1000 * (COMMON_LIST - held) / n)
             break
         held, least = held + n, times
-    if least is None:
+    listed = F.lit(False) if least is None else F.col("times") >= least
+    if share:
+        listed = listed | ((F.col("times") == tied) & (F.pmod(F.xxhash64("gram"), F.lit(1000)) < share))
+    if least is None and not share:
         return Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows = counted.where(F.col("times") >= least).toArrow()
+    rows = counted.where(listed).toArrow()
     return Orders(rows["gram"].to_numpy().view(np.uint64), rows["times"].to_numpy())
 
 
@@ -275,8 +286,8 @@ def differences(homes: DataFrame, sets: DataFrame) -> DataFrame:
     return sided.mapInArrow(run, "cls long, home long, excess long, size long, linked boolean, d binary")
 
 
-def pairs_of_one_home(apart: DataFrame) -> DataFrame:
-    """Candidates (a, b) of one home, at least one of them not linked with it, by the prefixes of their differences."""
+def met_at_home(apart: DataFrame) -> DataFrame:
+    """(block, cls, home, excess, out, common): the prefixes of differences in which a set not linked with its home may meet others."""
     per = apart.where("cls <> home").groupBy("home").agg(F.min("excess").alias("nearest"), F.min(F.when(~F.col("linked"), F.col("excess"))).alias("nearest_out"), F.count("*").alias("members"))
     per = per.where("nearest_out is not null and members > 1")
     seen = apart.where("cls <> home").join(per, "home")
@@ -288,23 +299,72 @@ def pairs_of_one_home(apart: DataFrame) -> DataFrame:
     left = (F.col("prefix") - (F.col("size") - F.size("shared"))).cast("int")
     shared = shared.withColumn("common", F.size("shared"))
     met = shared.where(left > 0).select("home", "cls", "excess", "out", "common", F.explode(F.slice("shared", 1, left)).alias("s"))
-    met = checkpointed(met.select("home", F.col("s.gram").alias("gram"), "cls", "excess", "out", "common"))
-    x = met.where("out = 1").select("home", "gram", F.col("cls").alias("x"), F.col("excess").alias("xe"), F.col("common").alias("xd"))
-    y = met.select("home", "gram", F.col("cls").alias("y"), F.col("excess").alias("ye"), F.col("common").alias("yd"), "out")
-    near = (F.col("x") != F.col("y")) & ((F.col("out") == 0) | (F.col("x") < F.col("y"))) & (2 * (100 + SIMILARITY) * F.least("xd", "yd") >= F.col("xe") + F.col("ye"))
-    return x.join(y, ["home", "gram"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select(F.xxhash64("home", "s.gram").alias("block"), "cls", "home", "excess", "out", "common")
 
 
-def pairs_of_two_homes(blocks: DataFrame, homes: DataFrame) -> DataFrame:
-    """Candidates (a, b) that meet in a block of order 2 and have different homes."""
+def met_abroad(blocks: DataFrame, homes: DataFrame) -> DataFrame:
+    """(block, cls, home, n, common): blocks of order 2 that hold sets of different homes."""
     placed = blocks.join(homes.select("cls", "home"), "cls")
     mixed = placed.groupBy("gram").agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least <> most")
-    placed = checkpointed(placed.join(mixed.select("gram"), "gram", "left_semi"))
-    x = placed.select("gram", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("common").alias("xc"), F.col("home").alias("xh"))
-    y = placed.select("gram", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("common").alias("yc"), F.col("home").alias("yh"))
+    return placed.join(mixed.select("gram"), "gram", "left_semi").select(F.col("gram").alias("block"), "cls", "home", "n", "common")
+
+
+def pairs_at_home(met: DataFrame) -> DataFrame:
+    """Candidates (a, b) of one home and of different parts, at least one of them not linked with the home."""
+    x = met.where("out = 1").select("block", F.col("home").alias("h"), F.col("part").alias("xp"), F.col("cls").alias("x"), F.col("excess").alias("xe"), F.col("common").alias("xd"))
+    y = met.select("block", "home", F.col("part").alias("yp"), F.col("cls").alias("y"), F.col("excess").alias("ye"), F.col("common").alias("yd"), "out")
+    near = (F.col("h") == F.col("home")) & (F.col("xp") != F.col("yp")) & ((F.col("out") == 0) | (F.col("x") < F.col("y"))) & (2 * (100 + SIMILARITY) * F.least("xd", "yd") >= F.col("xe") + F.col("ye"))
+    return x.join(y, "block").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def pairs_abroad(met: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different homes and parts that meet in a block of order 2."""
+    x = met.select("block", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("common").alias("xc"), F.col("home").alias("xh"), F.col("part").alias("xp"))
+    y = met.select("block", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("common").alias("yc"), F.col("home").alias("yh"), F.col("part").alias("yp"))
     # Both sets' shingles are in the overlap only where others have them too.
-    near = (F.col("x") < F.col("y")) & (F.col("xh") != F.col("yh")) & ((100 + SIMILARITY) * F.least("xc", "yc") >= SIMILARITY * (F.col("xn") + F.col("yn")))
-    return x.join(y, "gram").where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    near = (F.col("x") < F.col("y")) & (F.col("xh") != F.col("yh")) & (F.col("xp") != F.col("yp")) & ((100 + SIMILARITY) * F.least("xc", "yc") >= SIMILARITY * (F.col("xn") + F.col("yn")))
+    return x.join(y, "block").where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def of_several_parts(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """The blocks' rows with their part (the set itself where it has no links), without blocks of one part."""
+    placed = met.join(parts, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cls")).drop("node", "component")
+    several = placed.groupBy("block").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    return placed.join(several.select("block"), "block", "left_semi")
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Parts (node, component) after more links: only the links' own parts are gone through."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    parts = parts.join(nodes, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    joined = connected_components(links.join(of("a"), "a").join(of("b"), "b"), "a_part", "b_part").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    return checkpointed(parts.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
+
+
+def led_links(met: DataFrame, links: DataFrame, sets: DataFrame, counts: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(more links, parts): in each round, each set against the leader of most of its blocks; one row a set and round.
+
+    Leaders are drawn anew by a hash in each round. Rounds end when one finds no link, or after LEADER_ROUNDS; what
+    they leave is for the pairs of different parts.
+    """
+    parts, more, held = connected_components(links), None, 0
+    for k in range(LEADER_ROUNDS):
+        placed = checkpointed(of_several_parts(met.select("block", "cls"), parts))
+        leaders = placed.groupBy("block").agg(F.max_by(F.struct("cls", "part"), F.xxhash64(F.lit(k), "cls")).alias("leader"))
+        led = placed.join(leaders, "block").where(F.col("part") != F.col("leader.part")).select("cls", F.col("leader.cls").alias("leader"))
+        votes = led.groupBy("cls", "leader").agg(F.count("*").alias("votes"))
+        pairs = votes.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+        pairs = checkpointed(pairs.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct())
+        found = checkpointed(verified(pairs, sets))
+        held += pairs.count()
+        if not found.limit(1).count():
+            break
+        more = found if more is None else more.union(found)
+        parts = merged(parts, found)
+    if counts is not None:
+        counts["led"] = held
+    return more, parts
 
 
 def with_both(candidates: DataFrame, of: DataFrame, *packed: str) -> DataFrame:
@@ -373,12 +433,15 @@ def links_between(texts: DataFrame, orders: Orders, classes: DataFrame, counts:
     homes = homes_of(blocks)
     apart = checkpointed(differences(homes, sets.join(homes.select("cls"), "cls", "left_semi")))
     stars = apart.where("linked and cls <> home").select(F.col("cls").alias("a"), F.col("home").alias("b"))
-    candidates = checkpointed(pairs_of_one_home(apart).union(pairs_of_two_homes(blocks, homes)))
+    home, abroad = checkpointed(met_at_home(apart)), checkpointed(met_abroad(blocks, homes))
+    more, parts = led_links(home.select("block", "cls").union(abroad.select("block", "cls")), stars, sets, counts)
+    candidates = checkpointed(pairs_at_home(of_several_parts(home, parts)).union(pairs_abroad(of_several_parts(abroad, parts))))
     pairs = checkpointed(share_prefixes(candidates, sets, orders))
     found = checkpointed(verified(pairs, sets))
     if counts is not None:
         counts |= {"passed": passed.count(), "blocks": blocks.count(), "homes": homes.count(), "candidates": candidates.count(), "pairs": pairs.count(), "found": found.count()}
-    return stars.union(found)
+    found = stars.union(found)
+    return found if more is None else found.union(more)
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, counts: dict | None = None) -> DataFrame:

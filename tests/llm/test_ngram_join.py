@@ -115,6 +115,42 @@ def test_filters_leave_few_pairs_of_a_large_group(spark):
     assert counts["found"] <= counts["pairs"] <= counts["candidates"] < 400
 
 
+def shared_edit(m, rng, base_words=200, own=16, at=120):
+    """A base and m texts that share one edit of eight words and have words of their own at one place: linked with each other, not with the base."""
+    words = [f"w{i}" for i in range(100_000)]
+    base = rng.choices(words, k=base_words)
+    edit = rng.choices(words, k=8)
+    return [" ".join(base)] + [" ".join([*base[:20], *edit, *base[28:at], *rng.choices(words, k=own), *base[at + own :]]) for _ in range(m)]
+
+
+@pytest.mark.parametrize("m", [200, 800])
+def test_a_shared_edit_makes_no_pairs_of_the_group(spark, m):
+    rows = list(enumerate(shared_edit(m, random.Random(m))))
+    counts = {}
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), counts=counts)
+    if m < 400:
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    else:
+        sets = [shingles(t) for _, t in rows[:3]]
+        assert all(100 * len(sets[i] & sets[2]) >= 75 * len(sets[i] | sets[2]) for i in (1, 2)) and 100 * len(sets[0] & sets[1]) < 75 * len(sets[0] | sets[1])
+        assert {(r.doc_id, r.component_id) for r in got.collect()} == {(0, 0)} | {(i, 1) for i in range(1, m + 1)}
+    assert counts["led"] + counts["candidates"] < 4 * m
+
+
+def test_groups_without_links_and_two_edits(spark):
+    """Texts of one base whose edits set two groups apart, and others that share a passage and link with none."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(100_000)]
+    texts = shared_edit(40, rng) + shared_edit(40, rng, own=60)
+    base = rng.choices(words, k=160)
+    for edit in (rng.choices(words, k=14), rng.choices(words, k=14)):
+        texts += [" ".join([*base[:40], *edit, *base[54:100], *rng.choices(words, k=9), *base[109:]]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_each_filter_keeps_every_link(spark):
     """Candidates of one home and of two homes, from many small groups with common passages and shared edits."""
     rng = random.Random(8)
