@@ -11,7 +11,9 @@ The model's probabilities are smoothed counts over transcripts whose states are
 Long conversations are written in parts that end between turns (``written_transcripts``). The chain goes on over the parts
 (``parse_conversations``): each part is told by the best score from every state before it to every state at its end, these
 small tables are combined in order, and with the states at its ends fixed each part is parsed by itself, as if the
-conversation were parsed in one piece.
+conversation were parsed in one piece. Nothing tells the model that a part begins with a turn: a part's first lines may go
+on in the turn before. Such a piece is rendered with a plus sign before its role and isn't counted as a turn;
+``read_parts`` joins it to its beginning.
 
 The canonical form can be read back (``read_rendered``): a text's own ``<|`` gets a backslash.
 
@@ -89,9 +91,7 @@ class LineModel:
 
     def entered(self, before: int | None) -> list[float]:
         """Scores of a first line's states: of the whole conversation, or of a part that follows on a state."""
-        if before is None:
-            return self.first
-        return [self.step[before][t] if begins else NEVER for t, (_, begins) in enumerate(STATES)]
+        return self.first if before is None else self.step[before]
 
     def forward(self, symbols: list[int], start: list[float]) -> tuple[list[float], list[list[int]]]:
         """Scores of the last line's states, and of each line but the first the best state before each state."""
@@ -119,7 +119,7 @@ class LineModel:
         return [x for before in ([None] if first else range(len(STATES))) for x in self.forward(symbols, self.entered(before))[0]]
 
     def turns(self, transcript: str, before: int | None = None, end: int | None = None) -> list[tuple[str, str]]:
-        """(role, text) of each turn."""
+        """(role, text) of each turn; a first piece that goes on in the turn before has a plus sign before its role."""
         if not transcript:
             return []
         lines = transcript.split("\n")
@@ -128,8 +128,10 @@ class LineModel:
             role, begins = STATES[s]
             if begins:
                 out.append((role, [marker_of(line)[1]]))
-            else:
+            elif out:
                 out[-1][1].append(line)
+            else:
+                out.append((f"+{role}", [line]))
         return [(role, "\n".join(own).strip()) for role, own in out]
 
 
@@ -140,7 +142,7 @@ def rendered(turns: list[tuple[str, str]]) -> str:
 
 _OWN, _MARKED = re.compile(r"<(\\*)\|"), r"<\1\\|"
 _BACK, _PLAIN = re.compile(r"<(\\*)\\\|"), r"<\1|"
-_TURN = re.compile(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", re.S)
+_TURN = re.compile(r"<\|(\+?\w+)\|>\n(.*?)\n<\|end\|>\n", re.S)
 
 
 def read_rendered(text: str) -> list[tuple[str, str]]:
@@ -148,6 +150,18 @@ def read_rendered(text: str) -> list[tuple[str, str]]:
     return [(role, _BACK.sub(_PLAIN, own)) for role, own in _TURN.findall(text)]
 
 
+def read_parts(parts: list[str]) -> list[tuple[str, str]]:
+    """The turns of a conversation's rendered parts, pieces joined by a line end (blank lines at a cut are lost)."""
+    out: list[tuple[str, str]] = []
+    for role, text in (turn for part in parts for turn in read_rendered(part)):
+        if role.startswith("+"):
+            before, held = out.pop()
+            out.append((before, "\n".join(filter(None, (held, text)))))
+        else:
+            out.append((role, text))
+    return out
+
+
 def fit(transcripts: DataFrame, text_col: str = "text", roles_col: str = "line_roles") -> LineModel:
     """Count states and symbols in transcripts whose lines' roles are known.
 
@@ -198,7 +212,8 @@ def parse_transcripts(df: DataFrame, model: LineModel, text_col: str = "text", k
         for batch in batches:
             texts, before, end = (c.to_pylist() for c in batch.columns[-3:])
             found = [model.turns(t or "", b, e) for t, b, e in zip(texts, before, end, strict=True)]
-            made = [[len(t) for t in found], [[r for r, _ in t] for t in found], [rendered(t) for t in found]]
+            begun = [[r for r, _ in t if not r.startswith("+")] for t in found]
+            made = [[len(r) for r in begun], begun, [rendered(t) for t in found]]
             arrays = [pa.array(x, kind) for x, (kind, _) in zip(made, OUTPUTS.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], names=[*(f.name for f in kept), *OUTPUTS])
 

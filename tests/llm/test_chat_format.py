@@ -53,32 +53,25 @@ def test_roles_of_written_conversations(spark):
 
 
 def test_parts_are_one_chain(spark, monkeypatch):
-    """Parts of two turns give the turns of one piece, as long as rows begin turns."""
+    """Parts of 2, 7 and 256 turns give the turns of one piece, borders that the model doesn't see as such included."""
     rng = random.Random(4)
-    turns = [(c, t, rng.choice(cf.ROLES), rng.choice(["is it so?", "- one\n- two", "yes it is", "", "a <|end|> b"])) for c in range(30) for t in range(rng.randint(1, 9))]
+    said = ["is it so?", "- one\n- two", "yes it is", "a <|end|> b", "first line\nsecond line\nthird", "no"]
+    turns = [(c, t, cf.ROLES[1 + t % 2], rng.choice(said)) for c in range(12) for t in range(rng.choice([3, 40, 300]))]
     turns += [(77, None, "user", "no number"), (77, None, "assistant", "none here"), (77, 5, "user", "x"), (77, 5, "user", "y?")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    monkeypatch.setattr(cf, "TURNS_TOGETHER", 2)
-    parts = cf.written_transcripts(df)
-    model = cf.fit(parts)
-    got = {}
-    for r in cf.parse_conversations(parts, model).orderBy("conv_id", "part").collect():
-        got.setdefault(r.conv_id, []).append(r)
-    for conv, group in itertools.groupby(sorted(parts.collect(), key=lambda r: (r.conv_id, r.part)), key=lambda r: r.conv_id):
-        own = [[cf.symbol(x) for x in p.text.split("\n")] for p in group]
-        starts = set(itertools.accumulate([0, *map(len, own)]))
-        flat = [y for p in own for y in p]
-        best, back = [model.first[s] + model.emit[s][flat[0]] for s in range(6)], []
-        for i, y in enumerate(flat[1:], 1):
-            scores = [[best[s] + (model.step[s][t] if cf.STATES[t][1] or i not in starts else cf.NEVER) for s in range(6)] for t in range(6)]
-            back.append([row.index(max(row)) for row in scores])
-            best = [max(row) + model.emit[t][y] for t, row in enumerate(scores)]
-        path = [best.index(max(best))]
-        for b in reversed(back):
-            path.append(b[path[-1]])
-        expected = [cf.STATES[s][0] for s in reversed(path) if cf.STATES[s][1]]
-        assert [role for r in got[conv] for role in r.roles] == expected
-        assert [r.n_turns for r in got[conv]] == [len(r.roles) for r in got[conv]]
+    model = cf.fit(cf.written_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+    got, cut = {}, 0
+    for size in (10_000, 256, 7, 2):
+        monkeypatch.setattr(cf, "TURNS_TOGETHER", size)
+        parts = {}
+        for r in cf.parse_conversations(cf.written_transcripts(df), model).orderBy("conv_id", "part").collect():
+            parts.setdefault(r.conv_id, []).append(r)
+        read = {c: cf.read_parts([p.rendered for p in own]) for c, own in parts.items()}
+        assert {c: [role for role, _ in t] for c, t in read.items()} == {c: [role for p in own for role in p.roles] for c, own in parts.items()}
+        assert all(p.n_turns == len(p.roles) for own in parts.values() for p in own)
+        cut += sum(p.rendered.startswith("<|+") for own in parts.values() for p in own)
+        got[size] = read
+    assert got[10_000] == got[256] == got[7] == got[2] and cut > 0
 
 
 def test_rendering_can_be_read_back():
