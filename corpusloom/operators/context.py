@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import case_folded, content_tokens, normalized_space
+from corpusloom.functions.text import case_folded, content_tokens, fold, normalized_space
 
 #: What makes two hits the same evidence; a chunk's own id only counts where none of these is known.
 LOCATORS = ("doc_id", "source_url", "version", "page_number", "heading", "table_index", "table_part", "row_start", "row_end")
@@ -153,14 +153,26 @@ def citation_details(cited: DataFrame, answers: DataFrame, sources: DataFrame, s
     )
 
 
-def numbered_methods(hits: DataFrame, total: str, item: str) -> DataFrame:
-    """(query_id, number, text): complete numbered lists in hits.
+def numbered_methods(hits: DataFrame, total: str, item: str, title: str = "", most: int = 10, longest: int = 800) -> DataFrame:
+    """(query_id, number, text): complete numbered lists in hits, from 1 to the one declared total.
 
-    ``total`` finds the declared number of items, ``item`` a line's number (group 1) and text (group 2). A query has rows
-    only if one total is declared, no number has two texts, and every number from 1 to the total is there.
+    ``total`` finds a declared number of items, ``item`` a line's number (group 1) and text (group 2). A query has no rows if
+    several totals are declared or none, the total isn't between 1 and ``most``, a number has two texts (folded), a number is missing
+    or beyond the total, or a text doesn't begin with ``title`` (folded), is longer than ``longest`` or has an unsafe sign.
+    If ``hits`` has columns year and places, the years must be one, and a source of a single place refuses
+    the list unless the query asked for places (column asked_places) and all such sources have the same.
     """
     lines = hits.select("query_id", F.explode(F.split("content", "\n")).alias("line"))
-    said = lines.select("query_id", F.regexp_extract("line", total, 1).try_cast("int").alias("total")).where("total is not null").groupBy("query_id").agg(F.min("total").alias("total"), F.max("total").alias("most")).where("total = most")
-    items = lines.select("query_id", F.regexp_extract("line", item, 1).try_cast("int").alias("number"), F.trim(F.regexp_extract("line", item, 2)).alias("text")).where("number is not null").distinct()
-    good = items.join(said, "query_id").where("number between 1 and total").groupBy("query_id", "total").agg(F.count("*").alias("n"), F.count_distinct("number").alias("d")).where("n = total and d = total")
-    return items.join(good, "query_id").where("number <= total").select("query_id", "number", "text")
+    said = lines.select("query_id", F.regexp_extract("line", total, 1).try_cast("int").alias("total")).where("total is not null").groupBy("query_id").agg(F.min("total").alias("total"), F.max("total").alias("most"))
+    said = said.where((F.col("total") == F.col("most")) & F.col("total").between(1, most)).drop("most")
+    if {"year", "places", "asked_places"} <= set(hits.columns):
+        single = F.when(F.size("places") == 1, F.get("places", F.lit(0)))
+        scope = hits.groupBy("query_id").agg(F.count_distinct(F.coalesce(F.col("year").cast("string"), F.lit(""))).alias("years"), F.bool_or(F.col("year").isNull()).alias("no_year"), F.count_distinct(single).alias("singles"), F.max(F.size("asked_places")).alias("asked"))
+        good = scope.where((F.col("years") == 1) & ~F.col("no_year") & ((F.col("singles") == 0) | ((F.col("singles") == 1) & (F.col("asked") > 0))))
+        said = said.join(good.select("query_id"), "query_id")
+    items = lines.select("query_id", F.regexp_extract("line", item, 1).try_cast("int").alias("number"), F.regexp_replace(F.regexp_replace(F.regexp_extract("line", item, 2), r"\s+", " "), r"^[ .:;]+|[ .:;]+$", "").alias("text")).where("number is not null")
+    fits = F.startswith(fold(F.col("text")), fold(F.lit(title))) & (F.length("text") <= longest) & ~F.col("text").rlike(r"[<>\[\]]|https?://")
+    one = items.groupBy("query_id", "number").agg(F.min("text").alias("text"), F.count_distinct(fold(F.col("text"))).alias("texts"), F.bool_and(fits).alias("fits"))
+    whole = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min("number").alias("least"), F.max("number").alias("last"), F.max("texts").alias("texts"), F.bool_and("fits").alias("fits")).join(said, "query_id")
+    whole = whole.where("n = total AND least = 1 AND last = total AND texts = 1 AND fits").select("query_id")
+    return one.join(whole, "query_id").select("query_id", "number", "text")

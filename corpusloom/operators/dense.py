@@ -131,7 +131,11 @@ def last_write_wins(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 
 def validated_batch(chunks: DataFrame) -> DataFrame:
-    """Add ``reject``: blank_id, blank_content, repeated_id, or null for a good row."""
-    times = F.count("*").over(Window.partitionBy("chunk_id"))
+    """Add ``reject``: blank_id, blank_content, repeated_id, or null for a good row.
+
+    Repeated ids are counted before any shuffle and joined back, so blank and null ids never meet in one task.
+    """
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    return chunks.withColumn("reject", F.when(blank("chunk_id"), "blank_id").when(blank("content"), "blank_content").when(times > 1, "repeated_id"))
+    again = chunks.where(~blank("chunk_id")).groupBy(F.col("chunk_id").alias("__id")).agg(F.count("*").alias("__times")).where("__times > 1")
+    rule = F.when(blank("chunk_id"), "blank_id").when(blank("content"), "blank_content").when(F.col("__times").isNotNull(), "repeated_id")
+    return chunks.join(again, F.col("chunk_id") == F.col("__id"), "left").select(*chunks.columns, rule.alias("reject"))

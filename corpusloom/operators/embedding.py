@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold, tokens
@@ -96,31 +96,35 @@ def composed_page() -> Column:
 
 
 def expand_in_order(hits: DataFrame, links: DataFrame, limit_col: str = "limit") -> DataFrame:
-    """(query_id, chunk_id, score, expansion_type, rank): seeds in order, each followed by its table parts and neighbours.
+    """(query_id, chunk_id, score, expansion_type, rank): seeds in order; a table's part brings all parts of its table in their
+    order (score less 1e-6, the part itself among them), another seed itself and then its neighbours (less 1e-5).
 
-    Without a guard the result depends on the path: a seed already given as another seed's companion is not given again and
-    brings no companions of its own. ``links`` has (query_id, seed_id, chunk_id, kind, place). A query's hits are bounded by
-    the candidate cap, so one group is one small fold; hits and links of a query meet in that group only.
+    Without a guard the result depends on the path: a seed already given as another's companion is not given again and
+    brings no companions of its own. ``links`` has (query_id, seed_id, chunk_id, kind, place); the parts of a seed's table include
+    the seed. A seed is given or was given, so no more than ``limit`` seeds and twice as many companions of each can matter: no more
+    are gathered, whatever the inputs hold. One row folds a query's.
     """
-    import pandas as pd
-
-    less = {"table_sibling": 1e-6, "neighbor": 1e-5}
-    rows = hits.join(links.groupBy("query_id", F.col("seed_id").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("kind") != "table_sibling").alias("later"), "place", F.col("chunk_id").alias("other"), "kind"))).alias("near")), ["query_id", "chunk_id"], "left")
-    kinds = dict(hits.dtypes)
-
-    def fold_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        seen: set = set()
-        for h in pdf.sort_values("pos").to_dict("records"):
-            if h["chunk_id"] in seen:
-                continue
-            seen.add(h["chunk_id"])
-            out.append((h["query_id"], h["chunk_id"], h["score"], "exact"))
-            for n in h["near"] if h["near"] is not None else ():
-                if n["other"] not in seen:
-                    seen.add(n["other"])
-                    out.append((h["query_id"], n["other"], h["score"] - less[n["kind"]], n["kind"]))
-        out = out[: int(pdf[limit_col].iloc[0])]
-        return pd.DataFrame([(*r, i + 1) for i, r in enumerate(out)], columns=["query_id", "chunk_id", "score", "expansion_type", "rank"])
-
-    return rows.groupBy("query_id").applyInPandas(fold_group, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, expansion_type string, rank int")
+    limits = hits.groupBy("query_id").agg(F.min(limit_col).alias("__limit"))
+    seeds = hits.select("query_id", "chunk_id", "pos", "score").join(limits, "query_id")
+    seeds = seeds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("n") <= F.col("__limit"))
+    table = F.max((F.col("kind") == "table_sibling").cast("int")).over(Window.partitionBy("query_id", "seed_id"))
+    near = links.withColumn("__table", table).where((F.col("kind") == "table_sibling") == (F.col("__table") == 1)).join(limits, "query_id")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "seed_id").orderBy("place", "chunk_id"))).where(F.col("n") <= 2 * F.col("__limit"))
+    near = near.groupBy("query_id", F.col("seed_id").alias("chunk_id")).agg(F.sort_array(F.collect_list(F.struct("n", F.col("chunk_id").alias("id")))).alias("near"), F.first("__table").alias("is_table"))
+    rows = seeds.drop("n").join(near, ["query_id", "chunk_id"], "left").groupBy("query_id", "__limit").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("chunk_id").alias("id"), "score", "near", "is_table"))).alias("seeds"))
+    given = lambda i, score, kind: F.struct(i.alias("id"), score.alias("score"), kind.alias("kind"))
+    kind = dict(hits.dtypes)["chunk_id"]
+
+    def step(out: Column, seed: Column) -> Column:
+        parts = F.transform(seed["near"], lambda x: given(x["id"], seed["score"] - 1e-6, F.when(x["id"] == seed["id"], "exact").otherwise("table_sibling")))
+        others = F.coalesce(F.transform(seed["near"], lambda x: given(x["id"], seed["score"] - 1e-5, F.lit("neighbor"))), F.array().cast(f"array<struct<id:{kind},score:double,kind:string>>"))
+        brought = F.when(seed["is_table"] == 1, parts).otherwise(F.concat(F.array(given(seed["id"], seed["score"], F.lit("exact"))), others))
+        new = F.filter(brought, lambda x: ~F.exists(out, lambda o: o["id"] == x["id"]))
+        known = F.exists(out, lambda o: o["id"] == seed["id"])
+        return F.when(known | (F.size(out) >= F.col("__limit")), out).otherwise(F.slice(F.concat(out, new), 1, F.col("__limit")))
+
+    start = F.array().cast(f"array<struct<id:{kind},score:double,kind:string>>")
+    found = rows.select("query_id", F.posexplode(F.aggregate("seeds", start, step)).alias("at", "x"))
+    return found.select("query_id", F.col("x.id").alias("chunk_id"), F.round("x.score", 6).alias("score"), F.col("x.kind").alias("expansion_type"), (F.col("at") + 1).alias("rank"))
+
+

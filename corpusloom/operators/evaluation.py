@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalized_markdown
+from corpusloom.functions.text import normalized_markdown, normalized_space
+from corpusloom.runtime import rank_in_groups
 
 
 def retrieval_metrics(run: DataFrame, golden: DataFrame, cases: DataFrame) -> DataFrame:
@@ -74,8 +77,16 @@ def terms_by_branch(hits: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def latency_medians(timings: DataFrame) -> DataFrame:
-    """(case_id, median_ms) over runs."""
-    return timings.groupBy("case_id").agg(F.median("ms").alias("median_ms"))
+    """(case_id, median_ms) over runs: the value, or mean of the two values, in the middle of each case; null without values.
+
+    Runs get their rank by ranges, so no task holds the values of a case; only the middle ones are taken on.
+    """
+    runs = timings.where(F.col("ms").isNotNull()).select("case_id", F.col("ms").cast("double").alias("ms"))
+    n = timings.groupBy(F.col("case_id").alias("c")).agg(F.count("ms").alias("n"))
+    ranked = rank_in_groups(runs, ["case_id"], ["ms"], "r").join(n, F.col("case_id").eqNullSafe(F.col("c")))
+    middle = ranked.where((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2) + 1))
+    found = middle.groupBy(F.col("case_id").alias("of")).agg(F.avg("ms").alias("median_ms"))
+    return n.join(found, F.col("c").eqNullSafe(F.col("of")), "left").select(F.col("c").alias("case_id"), "median_ms")
 
 
 def golden_summary(cases: DataFrame) -> DataFrame:
@@ -163,12 +174,42 @@ def golden_header_findings(header: DataFrame, manifest: DataFrame | None = None)
     return rules.select("rule")
 
 
-def response_acceptance(answers: DataFrame) -> DataFrame:
-    """(answer_id, accepted): an answered route needs text and citations that all resolve; an abstaining route needs neither."""
-    text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    cited = (F.col("citations") > 0) & (F.col("unresolved") == 0)
-    ok = F.when(F.col("expected_route") == "answer", text & cited).when(F.col("expected_route") == "abstain", text & (F.col("citations") == 0)).otherwise(F.lit(False))
-    return answers.select("answer_id", ok.alias("accepted"))
+ACCEPTANCE = ("route_matches_expected", "answer_nonempty", "answer_is_abstention", "required_terms_present", "evidence_required", "no_inline_markers", "no_citations", "marker_mapping_valid", "citation_support_valid")
+
+
+def response_acceptance(answers: DataFrame, citations: DataFrame, abstentions: tuple[str, ...], out_of_scope: str = "out_of_scope") -> DataFrame:
+    """(answer_id, the booleans of ACCEPTANCE, accepted) of every answer.
+
+    ``answers`` has (answer_id, text, route, expected_route, expected_evidence, required_terms); ``citations`` a row a citation:
+    (answer_id, marker, quote, content), content being the cited source's (null: there is none). An answer's markers are the [n] in
+    its text. Markers map if they are just the citations' markers, each there once; a citation is supported if its quote isn't blank
+    and stands in its source (white space and Markdown signs aside). An answer out of scope must abstain in words, without markers and
+    citations; any other must have its route, a text and its required terms (case-folded), and where evidence is expected
+    markers and citations that map and are supported. Support is never inferred where there are no citations.
+    """
+    folded = normalized_space(F.coalesce("text", F.lit("")))
+    found = F.transform(F.regexp_extract_all("text", F.lit(r"\[(\d{1,6})\]"), 1), lambda m: m.cast("int"))
+    markers = F.sort_array(F.array_distinct(F.coalesce(found, F.array().cast("array<int>"))))
+    supports = (F.trim(F.coalesce("quote", F.lit(""))) != "") & F.contains(normalized_markdown(F.col("content")), normalized_markdown(F.col("quote")))
+    cited = citations.groupBy(F.col("answer_id").alias("__a")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.col("marker").cast("int"))).alias("told"), F.bool_and(F.coalesce(supports, F.lit(False))).alias("supported"))
+    rows = answers.join(cited, F.col("answer_id").eqNullSafe(F.col("__a")), "left").withColumn("markers", markers)
+    terms = F.coalesce("required_terms", F.array().cast("array<string>"))
+    rules = {
+        "route_matches_expected": F.col("route").eqNullSafe(F.col("expected_route")),
+        "answer_nonempty": F.trim(folded) != "",
+        "answer_is_abstention": F.coalesce(reduce(lambda a, b: a | b, [F.contains(folded, normalized_space(F.lit(p))) for p in abstentions], F.lit(False)), F.lit(False)),
+        "required_terms_present": F.forall(terms, lambda t: F.coalesce(F.contains(folded, normalized_space(t)), F.lit(False))),
+        "evidence_required": F.coalesce(F.col("expected_evidence") > 0, F.lit(False)),
+        "no_inline_markers": F.size("markers") == 0,
+        "no_citations": F.col("n").isNull(),
+        "marker_mapping_valid": F.coalesce(F.col("told") == F.col("markers"), F.size("markers") == 0),
+        "citation_support_valid": F.coalesce("supported", F.lit(False)),
+    }
+    rows = rows.select("answer_id", "expected_route", *(c.alias(k) for k, c in rules.items()))
+    abstains = F.col("route_matches_expected") & F.col("answer_nonempty") & F.col("answer_is_abstention") & F.col("no_inline_markers") & F.col("no_citations")
+    proved = ~F.col("no_inline_markers") & ~F.col("no_citations") & F.col("marker_mapping_valid") & F.col("citation_support_valid")
+    answers_well = F.col("route_matches_expected") & F.col("answer_nonempty") & F.col("required_terms_present") & (~F.col("evidence_required") | proved)
+    return rows.select("answer_id", *ACCEPTANCE, F.when(F.col("expected_route").eqNullSafe(out_of_scope), abstains).otherwise(answers_well).alias("accepted"))
 
 
 def candidate_char_stats(hits: DataFrame) -> DataFrame:

@@ -17,13 +17,14 @@ from corpusloom.runtime import rank_in_groups
 def split_load_status(docs: DataFrame, path: str = "path") -> DataFrame:
     """Add status: skipped (marked as a duplicate), repeated_id, empty or good; checked in this order by path.
 
-    A document that is skipped or empty never claims its id.
+    A document that is skipped or empty never claims its id. Claims are counted before any shuffle and joined back; null ids
+    are one id.
     """
     skipped = F.coalesce(F.trim("duplicate_of"), F.lit("")) != ""
     empty = F.trim(F.coalesce("body", F.lit(""))) == ""
-    claims = F.when(~skipped & ~empty, F.col(path))
-    first = F.min(claims).over(Window.partitionBy("doc_id"))
-    return docs.withColumn("status", F.when(skipped, "skipped").when(first < F.col(path), "repeated_id").when(empty, "empty").otherwise("good"))
+    first = docs.where(~skipped & ~empty).groupBy(F.col("doc_id").alias("__id")).agg(F.min(path).alias("__first"))
+    status = F.when(skipped, "skipped").when(F.col("__first") < F.col(path), "repeated_id").when(empty, "empty").otherwise("good")
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*docs.columns, status.alias("status"))
 
 
 def mark_duplicates(docs: DataFrame, hash_col: str = "content_hash", pos: str = "pos", id_col: str = "doc_id") -> DataFrame:
@@ -132,6 +133,37 @@ def preflight_status(checks: DataFrame) -> DataFrame:
     return agg.select(F.when(F.col("w") == 2, "blocked").when(F.col("w") == 1, "ready_for_rebuild").otherwise("current").alias("status"), "failed")
 
 
+def preflight_report(proposed: DataFrame, stored: DataFrame, manifest: DataFrame, config: dict, golden: DataFrame, evidence: DataFrame, load_errors: DataFrame | None = None, payload: str = "payload") -> DataFrame:
+    """(check, severity, n): what stands between the stored index and a rebuild or its use; ``preflight_status`` folds it.
+
+    ``proposed`` and ``stored`` are chunks (chunk_id, payload, and what ``corpus_fingerprint`` reads), ``manifest`` has at most one
+    row (chunk_count, corpus_fingerprint, build_fingerprint), ``golden`` the findings of the golden set and ``evidence`` its
+    (chunk_id). Errors: load errors, repeated ids in the proposed or stored chunks, a manifest without row or with another count,
+    golden findings, golden ids that the proposed chunks lack, stored chunks that differ from what the manifest's own
+    corpus should hold. Warnings (a rebuild is due): another corpus or build fingerprint. n is the number of findings, 0 for none.
+    """
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    times = lambda df: count(duplicate_ids(df))
+    one = manifest.agg(F.count("*").alias("rows"), *(F.first(c, ignorenulls=True).alias(c) for c in ("chunk_count", "corpus_fingerprint", "build_fingerprint")))
+    has = count(stored).select(F.col("n").alias("has"))
+    now = corpus_fingerprint(proposed, "chunk_id").select(F.col("fingerprint").alias("now"))
+    same = F.col("corpus_fingerprint").eqNullSafe(F.col("now")) & F.col("build_fingerprint").eqNullSafe(build_fingerprint(config))
+    told = one.crossJoin(has).crossJoin(now).select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.lit(s).alias("severity"), ok.cast("long").alias("n")) for c, s, ok in (
+        ("manifest_missing", "error", F.col("rows") == 0),
+        ("manifest_count", "error", (F.col("rows") > 0) & ~F.col("chunk_count").eqNullSafe(F.col("has"))),
+        ("corpus_changed", "warning", (F.col("rows") > 0) & ~F.col("corpus_fingerprint").eqNullSafe(F.col("now"))),
+        ("build_changed", "warning", (F.col("rows") > 0) & ~F.col("build_fingerprint").eqNullSafe(build_fingerprint(config))),
+    )))).alias("c")).select("c.*")
+    differs = index_diff(proposed.select(F.col("chunk_id").alias("id"), payload), stored.select(F.col("chunk_id").alias("id"), payload), payload=payload)
+    # stored chunks of another corpus are due for a rebuild; of the same they must agree
+    wrong = count(differs).crossJoin(one.crossJoin(now).select(same.alias("same"))).select(F.when(F.col("same"), F.col("n")).otherwise(0).alias("n"))
+    found = [("proposed_repeated_ids", times(proposed)), ("stored_repeated_ids", times(stored)), ("golden_findings", count(golden)), ("golden_ids_missing", count(evidence.select("chunk_id").distinct().join(proposed.select("chunk_id").distinct(), "chunk_id", "left_anti"))), ("stored_differs", wrong)]
+    if load_errors is not None:
+        found.append(("load_errors", count(load_errors)))
+    rows = [df.select(F.lit(name).alias("check"), F.lit("error").alias("severity"), F.col("n").cast("long").alias("n")) for name, df in found]
+    return reduce(DataFrame.unionByName, rows, told)
+
+
 def quality_findings(docs: DataFrame, required: tuple[str, ...] = ("doc_id", "title", "source_url")) -> DataFrame:
     """(rule, key): documents that miss a required value, whose stored hash is not their body's, whose content repeats,
     whose page text is missing, or that lost tables or a tenth of their numbers on the way to Markdown.

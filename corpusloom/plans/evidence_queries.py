@@ -84,11 +84,19 @@ def citations(spark, sf):
 
 
 def accepted_answers(spark, sf):
-    a, s = _answers(spark, sf)
-    cited = context.citations_for_answers(a, s).groupBy("answer_id").agg(F.count("*").alias("n"))
-    said = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(\d{1,6})\]"), 1)))
-    full = a.join(cited, "answer_id", "left").withColumns({"citations": F.coalesce("n", F.lit(0)), "unresolved": said - F.coalesce("n", F.lit(0)), "expected_route": F.when(F.col("n").isNotNull(), "answer").otherwise("abstain")})
-    return evaluation.response_acceptance(full)
+    """Answers to the items from their first three hits: some name hits that don't cite the item, some lack its words, some abstain in
+    words and some don't."""
+    q = F.col("query")
+    h = _hits(spark, sf, 3).withColumn("cites", F.contains("content", "query"))
+    ranks = F.sort_array(F.collect_list(F.when(F.col("cites") | (F.length("query") % 3 == 0), F.col("rank"))))
+    marks = h.groupBy("query_id").agg(F.bool_or("cites").alias("found"), F.array_join(F.transform(ranks, lambda r: F.concat(F.lit(" ["), r.cast("string"), F.lit("]"))), "").alias("marks"))
+    told = F.when(F.col("found"), F.concat(F.when(F.length(q) % 7 == 0, F.lit("See")).otherwise(F.concat(F.lit("It is  "), F.upper(q))), "marks")).when(F.length(q) % 5 == 0, "nothing").otherwise("Sorry, NO answer\nfound.")
+    a = _benchmark(spark, sf).join(marks, "query_id", "left").select(
+        F.col("query_id").alias("answer_id"), told.alias("text"), F.when(F.coalesce("found", F.lit(False)), "answer").otherwise("out_of_scope").alias("route"),
+        F.when(F.coalesce("found", F.lit(False)) | (F.length(q) % 11 == 0), "answer").otherwise("out_of_scope").alias("expected_route"), F.coalesce(F.col("found").cast("int"), F.lit(0)).alias("expected_evidence"), F.array(F.substring(q, 1, 12)).alias("required_terms"),
+    )
+    cited = h.where("cites").select(F.col("query_id").alias("answer_id"), F.col("rank").alias("marker"), F.substring("query", 1, 40).alias("quote"), "content")
+    return evaluation.response_acceptance(a, cited, ("no answer found",))
 
 
 def evidence_membership(spark, sf):
@@ -182,14 +190,23 @@ def named_entries(spark, sf):
 
 
 def preflight(spark, sf):
-    d = docs(spark, sf)
-    one = d.agg(
-        (F.count("*") == F.count_distinct("doc_id")).alias("unique_ids"), F.bool_and(F.trim(F.coalesce("text", F.lit(""))) != "").alias("texts_present"), (F.count("*") == F.count_distinct(F.xxhash64("text"))).alias("texts_differ"),
-    )
-    orphans = read_table(spark, sf, "labels").join(d, "doc_id", "left_anti").agg((F.count("*") == 0).alias("labels_known"))
-    severity = {"unique_ids": "error", "texts_present": "error", "texts_differ": "warning", "labels_known": "error"}
-    checks = one.crossJoin(orphans).select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(n).alias("ok")) for n, s in severity.items()))).alias("c")).select("c.*")
-    return quality.preflight_status(checks).select("status", F.array_join("failed", ",").alias("failed"))
+    """The checks before a rebuild of three stored indexes: of the same documents, of all but the French ones, and of the same
+    manifest with the short documents lost."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("payload"), F.col("text").alias("content"))
+    older, lost = docs(spark, sf).where("lang IS DISTINCT FROM 'fr'"), F.length("content") > 100
+    older = older.select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("payload"), F.col("text").alias("content"))
+    config = {"size": 500}
+    evidence = read_table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"))
+    findings = _benchmark(spark, sf).where("length(query) > 300")
+    out = None
+    for name, stored, of in (("same", d, d), ("older", older, older), ("lost", d.where(lost), d)):
+        manifest = quality.corpus_fingerprint(of, "chunk_id").select(F.col("documents").alias("chunk_count"), F.col("fingerprint").alias("corpus_fingerprint"), F.lit(quality.build_fingerprint(config)).alias("build_fingerprint"))
+        checks = quality.preflight_report(d, stored, manifest, config, findings if name == "lost" else findings.limit(0), evidence)
+        checks = checks.select(F.lit(name).alias("stored"), "check", "severity", "n")
+        out = checks if out is None else out.unionByName(checks)
+    status = F.when(F.max(F.when((F.col("severity") == "error") & (F.col("n") > 0), 1)) == 1, "blocked").when(F.sum("n") > 0, "ready_for_rebuild").otherwise("current")
+    folded = out.groupBy("stored").agg(status.alias("severity"), F.sum("n").alias("n")).select("stored", F.lit("status").alias("check"), "severity", "n")
+    return out.unionByName(folded)
 
 
 def deletes(spark, sf):
@@ -400,7 +417,14 @@ m AS (SELECT *, len(list_intersect(qt, tok)) AS shared FROM x), scored AS (SELEC
 SELECT query_id, chunk_id, pos, score, CAST(len(tok) AS INT) AS n_tokens, coverage, overlap, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, overlap DESC, score DESC, pos) AS INT) AS rank FROM scored""",
     "citation_id_collisions": "SELECT source AS query_id, sha256(text) AS chunk_id, count(DISTINCT (lang, doc_id)) AS identities FROM documents GROUP BY 1, 2 HAVING count(DISTINCT (lang, doc_id)) > 1",
     "citations": f"WITH {_found(10)} SELECT query_id AS answer_id, rank AS marker, chunk_id FROM h WHERE contains(text, query)",
-    "accepted_answers": f"WITH {_found(10)}, n AS (SELECT query_id, count(*) AS n FROM h WHERE contains(text, query) GROUP BY 1) SELECT query_id AS answer_id, CASE WHEN n > 0 THEN length(query) % 2 <> 0 ELSE length(query) % 2 = 0 END AS accepted FROM q LEFT JOIN n USING (query_id)",
+    "accepted_answers": f"""
+WITH {_found(3)}, ahs AS (SELECT *, contains(text, query) AS cites FROM h),
+am AS (SELECT query_id, bool_or(cites) AS found, count(*) FILTER (WHERE cites) AS n, coalesce(list(rank ORDER BY rank) FILTER (WHERE cites OR length(query) % 3 = 0), []) AS marks, coalesce(list(rank ORDER BY rank) FILTER (WHERE cites), []) AS told FROM ahs GROUP BY 1),
+aa AS (SELECT q.query_id, query, coalesce(found, false) AS found, CASE WHEN coalesce(found, false) THEN len(marks) ELSE 0 END AS n_marks, CASE WHEN coalesce(found, false) THEN marks = told ELSE true END AS maps, coalesce(found, false) OR length(query) % 11 = 0 AS expected,
+  CASE WHEN coalesce(found, false) THEN CASE WHEN length(query) % 7 = 0 THEN 'See' ELSE 'It is  ' || upper(query) END WHEN length(query) % 5 = 0 THEN 'nothing' ELSE 'Sorry, NO answer found.' END AS said FROM q LEFT JOIN am USING (query_id)),
+ab AS (SELECT *, trim(regexp_replace(replace(lower(said), 'ß', 'ss'), '\\s+', ' ', 'g')) AS folded, trim(regexp_replace(replace(lower(left(query, 12)), 'ß', 'ss'), '\\s+', ' ', 'g')) AS term FROM aa),
+ar AS (SELECT query_id AS answer_id, expected, found = expected AS route_matches_expected, true AS answer_nonempty, contains(folded, 'no answer found') AS answer_is_abstention, contains(folded, term) AS required_terms_present, found AS evidence_required, n_marks = 0 AS no_inline_markers, NOT found AS no_citations, maps AS marker_mapping_valid, found AS citation_support_valid FROM ab)
+SELECT * EXCLUDE (expected), CASE WHEN NOT expected THEN route_matches_expected AND answer_is_abstention AND no_inline_markers AND no_citations ELSE route_matches_expected AND required_terms_present AND (NOT evidence_required OR (NOT no_inline_markers AND NOT no_citations AND marker_mapping_valid AND citation_support_valid)) END AS accepted FROM ar""",
     "evidence_membership": f"WITH {_found(3)}, b AS (SELECT chunk_id, CASE WHEN contains({_unmarked('text')}, {_unmarked('query')}) THEN 'ok' ELSE 'quote_missing' END AS status FROM h) SELECT chunk_id, status, count(*) AS n FROM b GROUP BY 1, 2",
     "precision_at_k": f"""
 WITH {_found(10)}, {_GOLDEN}, n AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE (query_id, chunk_id) IN (SELECT (case_id, chunk_id) FROM g)) AS good FROM h WHERE rank <= 5 GROUP BY 1)
@@ -432,10 +456,12 @@ WITH {_TABLES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 t AS (SELECT doc_id, string_agg(k || '. turn: ' || cells[1] || '; role: ' || cells[2] || '; text: ' || cells[3], chr(10) ORDER BY k) AS text FROM n GROUP BY 1) SELECT doc_id AS query_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM t""",
     "named_entries": f"WITH {_TABLES} SELECT role AS query_id, doc_id, turn + 1 AS row FROM r WHERE role <> 'system'",
     "preflight": """
-WITH d AS (SELECT count(*) = count(DISTINCT doc_id) AS unique_ids, bool_and(trim(coalesce(text, '')) <> '') AS texts_present, count(*) = count(DISTINCT text) AS texts_differ FROM documents),
-l AS (SELECT count(*) = 0 AS labels_known FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
-SELECT CASE WHEN NOT (unique_ids AND texts_present AND labels_known) THEN 'blocked' WHEN NOT texts_differ THEN 'ready_for_rebuild' ELSE 'current' END AS status,
-  concat_ws(',', CASE WHEN NOT labels_known THEN 'labels_known' END, CASE WHEN NOT texts_differ THEN 'texts_differ' END, CASE WHEN NOT texts_present THEN 'texts_present' END, CASE WHEN NOT unique_ids THEN 'unique_ids' END) AS failed FROM d, l""",
+WITH base AS (SELECT count(*) AS n, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE length(text) > 100 IS NOT TRUE) AS short FROM documents),
+golden AS (SELECT count(DISTINCT doc_id) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)), long AS (SELECT count(*) AS n FROM benchmark WHERE length(text) > 300),
+c AS (SELECT * FROM base, (VALUES ('same'), ('older'), ('lost')) v(stored), (VALUES ('manifest_missing', 'error'), ('manifest_count', 'error'), ('corpus_changed', 'warning'), ('build_changed', 'warning'), ('proposed_repeated_ids', 'error'), ('stored_repeated_ids', 'error'), ('golden_findings', 'error'), ('golden_ids_missing', 'error'), ('stored_differs', 'error')) w(name, severity)),
+r AS (SELECT stored, name, severity, CAST(CASE WHEN name = 'golden_ids_missing' THEN (SELECT n FROM golden) WHEN name = 'golden_findings' AND stored = 'lost' THEN (SELECT n FROM long) WHEN name = 'corpus_changed' AND stored = 'older' THEN CAST(fr > 0 AS INT) WHEN name = 'manifest_count' AND stored = 'lost' THEN CAST(short > 0 AS INT) WHEN name = 'stored_differs' AND stored = 'lost' THEN short ELSE 0 END AS BIGINT) AS n FROM c)
+SELECT stored, name AS "check", severity, n FROM r
+UNION ALL SELECT stored, 'status', CASE WHEN bool_or(severity = 'error' AND n > 0) THEN 'blocked' WHEN sum(n) > 0 THEN 'ready_for_rebuild' ELSE 'current' END, CAST(sum(n) AS BIGINT) FROM r GROUP BY stored""",
     "deletes": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND source IS DISTINCT FROM 'src3'",
     "validated_batch": "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'blank_content' WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'repeated_id' END AS reject FROM documents",
     "appended_messages": """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -81,16 +81,35 @@ def citation_details(spark, sf):
 
 
 def numbered_lists(spark, sf):
-    """Conversations as numbered lists: a line a turn, of a system turn none; the first line declares the turns."""
+    """Conversations as numbered lists: a line a turn, of a system turn none; the first line declares the turns, every other
+    one too few of them."""
     c = read_table(spark, sf, "conversations")
     line = F.when(F.col("role") != "system", F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.trim(F.regexp_replace("text", r"\s+", " "))))
-    n = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("n"))
+    n = c.groupBy("conv_id").agg((F.max("turn") + 1 - F.col("conv_id") % 2).alias("n"))
     items = c.select(F.col("conv_id").alias("query_id"), line.alias("content")).where("content is not null")
     said = n.select(F.col("conv_id").alias("query_id"), F.concat(F.col("n").cast("string"), F.lit(" turns:")).alias("content"))
-    m = context.numbered_methods(items.unionByName(said), r"^(\d+) turns:$", r"^(\d+)\. (.*)$")
+    m = context.numbered_methods(items.unionByName(said), r"^(\d+) turns:$", r"^(\d+)\. (.*)$", longest=100_000)
     return m.select("query_id", "number", F.md5("text").alias("digest"))
 
 
+def _table_chunks(spark, sf):
+    """Chunks of every fiftieth document: runs of five are the parts of a table, and every other run is plain chunks."""
+    c = chunking.chunk_fixed(docs(spark, sf).where("doc_id % 50 = 0"))
+    run = F.floor(F.col("chunk_index") / 5)
+    return c.select("doc_id", "chunk_id", "chunk_index", F.when(run % 2 == 0, run).alias("table_index"), (F.col("chunk_index") % 5 + 1).alias("table_part"), F.array(F.lit("x")).alias("heading_path"), F.lit("text").alias("chunk_type"), (F.col("doc_id") * 1000000 + F.col("chunk_index")).alias("corpus_pos"))
+
+
+def expand_in_order(spark, sf):
+    """A document's chunks as one query's hits, every third first: each brings its table's parts or its neighbours, 12 in all."""
+    c = _table_chunks(spark, sf)
+    place = Window.partitionBy("doc_id").orderBy(F.col("chunk_index") % 3, "chunk_index")
+    hits = c.select(F.col("doc_id").alias("query_id"), "chunk_id", F.row_number().over(place).alias("pos"), (1 / (F.col("chunk_index") + 1)).alias("score"), F.lit(12).alias("limit"))
+    seeds = hits.select("query_id", "chunk_id")
+    siblings = fusion.table_sibling_join(seeds, c).select("query_id", "seed_id", "chunk_id", F.lit("table_sibling").alias("kind"), F.col("table_part").alias("place"))
+    near = fusion.neighbor_join(seeds, c).select("query_id", "seed_id", "chunk_id", F.lit("neighbor").alias("kind"), "place")
+    return embedding.expand_in_order(hits, siblings.unionByName(near)).withColumn("score", F.round("score", 6))
+
+
 def last_writes(spark, sf):
     """Of each source the text of its last document, at the place of its first."""
     d = docs(spark, sf).select("source", F.col("doc_id").alias("pos"), "text")
@@ -199,7 +218,7 @@ def evidence_rules(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        min_score, expand_guarded, hydrate_guarded, vector_fallback, seed_cover, seed_cover_catalog, citation_details, numbered_lists, last_writes, partial_recrawl, page_documents, headings_from_words, clean_extracted_tables,
+        min_score, expand_guarded, expand_in_order, hydrate_guarded, vector_fallback, seed_cover, seed_cover_catalog, citation_details, numbered_lists, last_writes, partial_recrawl, page_documents, headings_from_words, clean_extracted_tables,
         first_sentences, composed_pages, parsed_scalars, pages_with_text, pages_with_tables, tabular_chunks, frontmatter, raw_metadata, catalog_profiles, evidence_rules,
     )
 }
@@ -266,8 +285,19 @@ SELECT query_id, chunk_id, round(score, 6) AS score, kind AS expansion_type, ran
 WITH {_found(10)} SELECT query_id AS answer_id, rank AS marker, chunk_id, CASE WHEN length(text) % 2 = 0 THEN lang ELSE source END AS title, 'document' AS source_type, CAST(chunk_id AS VARCHAR) AS doc_id, 1 AS page, lang AS section, round(score, 4) AS score, true AS has_snippet
 FROM h WHERE contains(text, query)""",
     "numbered_lists": r"""
-WITH w AS (SELECT conv_id, max(turn) + 1 AS n, count(DISTINCT turn) FILTER (WHERE role <> 'system') AS d, count(*) FILTER (WHERE role <> 'system') AS m FROM conversations GROUP BY 1)
-SELECT conv_id AS query_id, turn + 1 AS number, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM conversations JOIN w USING (conv_id) WHERE n = d AND m = d""",
+WITH w AS (SELECT conv_id, max(turn) + 1 - conv_id % 2 AS n, count(DISTINCT turn) FILTER (WHERE role <> 'system') AS d, count(*) FILTER (WHERE role <> 'system') AS m, min(turn) FILTER (WHERE role <> 'system') AS least, max(turn) FILTER (WHERE role <> 'system') AS last,
+  bool_or(role <> 'system' AND regexp_matches(text, '[<>\[\]]|https?://')) AS unsafe FROM conversations GROUP BY 1)
+SELECT conv_id AS query_id, turn + 1 AS number, md5(trim(regexp_replace(text, '\s+', ' ', 'g'), ' .:;')) AS digest FROM conversations JOIN w USING (conv_id) WHERE n = d AND m = d AND least = 0 AND last = n - 1 AND n <= 10 AND NOT unsafe""",
+    "expand_in_order": f"""
+WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT doc_id, chunk_index AS i, left(sha256(doc_id || chr(31) || chunk_index || chr(31) || content), 24) AS id FROM chunks WHERE doc_id % 50 = 0),
+n AS (SELECT doc_id, max(i) AS last FROM c GROUP BY 1),
+o AS (SELECT c.doc_id, i, row_number() OVER (PARTITION BY c.doc_id ORDER BY i % 3, i) AS pos, 1 / (i + 1) AS score,
+  CASE WHEN i // 5 % 2 = 0 THEN list_transform(list_filter(range(i // 5 * 5, i // 5 * 5 + 5), lambda x: x <= last), lambda x: {{'i': x, 's': 1 / (i + 1) - 1e-6, 'k': CASE WHEN x = i THEN 'exact' ELSE 'table_sibling' END}})
+  ELSE [{{'i': i, 's': 1 / (i + 1), 'k': 'exact'}}] || list_transform(list_filter([i - 1, i + 1, i - 2, i + 2], lambda x: x BETWEEN 0 AND last), lambda x: {{'i': x, 's': 1 / (i + 1) - 1e-5, 'k': 'neighbor'}}) END AS brings FROM c JOIN n USING (doc_id)),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS pos, o.brings[1:0] AS out FROM o WHERE pos = 1
+  UNION ALL SELECT f.doc_id, o.pos, CASE WHEN len(out) >= 12 OR list_contains(list_transform(out, lambda x: x.i), o.i) THEN out ELSE (out || list_filter(brings, lambda x: NOT list_contains(list_transform(out, lambda y: y.i), x.i)))[1:12] END FROM f JOIN o ON o.doc_id = f.doc_id AND o.pos = f.pos + 1),
+w AS (SELECT doc_id, unnest(out) AS x, generate_subscripts(out, 1) AS rank FROM (SELECT doc_id, arg_max(out, pos) AS out FROM f GROUP BY 1))
+SELECT w.doc_id AS query_id, c.id AS chunk_id, round(x.s, 6) AS score, x.k AS expansion_type, CAST(rank AS INT) AS rank FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = x.i""",
     "last_writes": "SELECT source, min(doc_id) AS pos, md5(arg_max(text, doc_id)) AS digest FROM documents GROUP BY source",
     "partial_recrawl": r"""
 WITH p AS (SELECT *, CASE WHEN length(html) > 1500 THEN 200 ELSE 404 END AS st, regexp_matches(url, '(?i)\.pdf(?:$|[?#])') AS pdf FROM pages),

@@ -128,5 +128,12 @@ def test_citations_excerpts_and_lists(spark):
     lists = spark.createDataFrame([(1, "3 methods:\n1. one\n2. two"), (1, "3. three"), (2, "2 methods:\n1. one"), (3, "1 methods\n1. a"), (3, "1. b")], "query_id long, content string")
     got = cx.numbered_methods(lists, r"(\d+) methods", r"^(\d+)\. (.*)$").collect()
     assert sorted((r.query_id, r.number, r.text) for r in got) == [(1, 1, "one"), (1, 2, "two"), (1, 3, "three")]
+    lists = [(1, "2 methods\n1. way one\n2. way two\n3. way three"), (2, "2 methods\n1. way one\n2. other"), (3, "1 methods\n1. way <b>"), (4, "2 methods\n1. Way  one.\n1. way ONE\n2. way two;"), (5, "11 methods\n" + "\n".join(f"{i}. way {i}" for i in range(1, 12)))]
+    lists = spark.createDataFrame(lists, "query_id long, content string")
+    got = cx.numbered_methods(lists, r"(\d+) methods", r"^(\d+)\. (.*)$", "way").collect()
+    assert sorted((r.query_id, r.number, r.text) for r in got) == [(4, 1, "Way one"), (4, 2, "way two")]
+    scoped = [(1, "1 methods\n1. way", "2024", ["N"], []), (2, "1 methods\n1. way", "2024", ["N"], ["N"]), (3, "1 methods", "2024", ["N"], ["N"]), (3, "1. way", "2024", ["S"], ["N"]), (4, "1 methods", "2024", ["N", "S"], []), (4, "1. way", "2023", [], []), (5, "1 methods\n1. way", "2024", ["N", "S"], [])]
+    scoped = spark.createDataFrame(scoped, "query_id long, content string, year string, places array<string>, asked_places array<string>")
+    assert sorted(r.query_id for r in cx.numbered_methods(scoped, r"(\d+) methods", r"^(\d+)\. (.*)$").collect()) == [2, 5]
     order = cx.citation_order(spark.createDataFrame([(1, 0.5, 0.1, 1.0, 0), (1, 0.9, 0.1, 0.1, 1)], "query_id long, coverage double, overlap double, score double, pos int"))
     assert [r.pos for r in order.orderBy("rank").collect()] == [1, 0]

@@ -135,3 +135,37 @@ def test_query_variants(spark):
     assert sorted((r.query_id, r.variant) for r in safe.collect()) == [(1, "of in"), (2, "fee of law"), (2, "law fee of year"), (3, "law school"), (3, "school of law deadline")]
     accepted = [r.accepted for r in rerank.accepted_rewrite(pairs).orderBy("candidate_pos").collect()]
     assert accepted[1] == accepted[3] == "Cutoff of CN1 in 2031"
+
+
+def test_medians_and_acceptance(spark):
+    from corpusloom.operators import evaluation
+
+    runs = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", 4.0), ("c", None), ("d", 5.0), ("d", 5.0), ("d", 5.0), ("d", 7.0), (None, 2.0)]
+    got = evaluation.latency_medians(spark.createDataFrame(runs, "case_id string, ms double")).collect()
+    assert {r.case_id: r.median_ms for r in got} == {"a": 2.0, "b": 2.5, "c": None, "d": 5.0, None: 2.0}
+    answers = [(1, "The  FEE is 40 [1] [2].", "rag", "rag", 1, ["fee"]), (2, "The fee [3].", "rag", "rag", 1, ["fee"]), (3, "No info found", "out", "out", 0, None), (4, "Well.", "out", "out", 0, None), (5, "Plain fee", "rag", "rag", 0, ["fee", "tax"]), (6, "Plain", "rag", "rag", 0, []), (7, "fee", "rag", "rag", 1, ["fee"])]
+    cited = [(1, 2, "is *40*", "it is 40"), (1, 1, "fee", "a fee"), (2, 3, "fee", "tax"), (9, 1, "x", "x")]
+    a = spark.createDataFrame(answers, "answer_id long, text string, route string, expected_route string, expected_evidence int, required_terms array<string>")
+    c = spark.createDataFrame(cited, "answer_id long, marker int, quote string, content string")
+    got = {r.answer_id: r for r in evaluation.response_acceptance(a, c, ("no info",), "out").collect()}
+    assert {k: r.accepted for k, r in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
+    assert not got[2].citation_support_valid and got[2].marker_mapping_valid and not got[4].answer_is_abstention and got[7].no_citations
+
+
+def test_preflight_of_three_indexes(spark):
+    from corpusloom.operators import quality
+
+    now = spark.createDataFrame([("a", "1"), ("b", "2")], "chunk_id string, payload string")
+    row = lambda df, n: quality.corpus_fingerprint(df, "chunk_id").selectExpr(f"{n} AS chunk_count", "fingerprint AS corpus_fingerprint", f"'{quality.build_fingerprint({})}' AS build_fingerprint")
+    none = spark.createDataFrame([], "rule string")
+    ids = now.select("chunk_id")
+
+    def found(stored, manifest, golden=none, evidence=ids, config=None, **more):
+        return {r.check: r.n for r in quality.preflight_report(now, stored, manifest, config or {}, golden, evidence, **more).collect() if r.n}
+
+    assert found(now, row(now, 2)) == {}
+    assert found(now.limit(1), row(now.limit(1), 1)) == {"corpus_changed": 1}
+    assert found(now, row(now, 2), config={"size": 1}) == {"build_changed": 1}
+    assert found(now.union(now.limit(1)), row(now, 2)) == {"manifest_count": 1, "stored_repeated_ids": 1, "stored_differs": 1}
+    lost = spark.createDataFrame([("z",)], "chunk_id string")
+    assert found(now, row(now, 2).limit(0), golden=spark.createDataFrame([("r",)], "rule string"), evidence=lost, load_errors=lost) == {"manifest_missing": 1, "golden_findings": 1, "golden_ids_missing": 1, "load_errors": 1}
