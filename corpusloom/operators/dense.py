@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import valid_vector
 from corpusloom.operators.sparse import top_k
 
-#: Queries that one pass over the vectors holds in each task; a larger table of queries is searched in such blocks.
-QUERIES_AT_ONCE = 4096
+#: Queries and vectors in one block: bounds the scores that a task holds at once.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 4096, 1024
+#: Queries of at most so many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def metadata_filter(df: DataFrame, spec: dict | None) -> DataFrame:
@@ -37,42 +40,61 @@ def metadata_filter(df: DataFrame, spec: dict | None) -> DataFrame:
     return df
 
 
-def _search(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
-    """The best k of each partition for each query of one block: partial results that the caller ranks.
+def _packed(df: DataFrame, id_col: str, rows_at_once: int) -> DataFrame:
+    """(block, ids, width, unit): runs of rows of one partition as one row; zero and non-finite vectors become zeros, others
+    unit length. Vectors of different lengths in a run are an error."""
 
-    A task holds k places a query beside one batch; only these leave it, however many batches it reads.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                own = batch.slice(at, rows_at_once)
+                rows = np.array(own.column(1).to_pylist(), dtype=np.float64)
+                length = np.linalg.norm(rows, axis=1)
+                usable = np.isfinite(length) & (length > 0)
+                unit = np.where(usable[:, None], rows / np.where(usable, length, 1)[:, None], 0)
+                ids = pa.array([own.column(0).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), ids, pa.array([rows.shape[1]], pa.int32()), pa.array([unit.tobytes()], pa.binary())], names=["block", "ids", "width", "unit"])
+                n += 1
+
+    return df.select(id_col, "embedding").mapInArrow(run, "block long, ids array<long>, width int, unit binary")
+
+
+def _best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The best k of a task's vectors for each query that it meets: partial results that the caller ranks.
+
+    A task holds k places for each of its queries beside one pair of blocks; only these leave it.
     """
-    norms = np.linalg.norm(matrix, axis=1)
-    unit = np.where(norms[:, None] > 0, matrix / np.where(norms > 0, norms, 1)[:, None], 0)
 
     def best(found: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((found, -scores), axis=1)[:, :k]
         return np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, kept_scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            length = np.linalg.norm(rows, axis=1)
-            usable = np.isfinite(length) & (length > 0)
-            rows = np.where(usable[:, None], rows / np.where(usable, length, 1)[:, None], 0)
-            scores = np.round(unit @ rows.T, 6) + 0.0
-            found, scores = best(np.broadcast_to(batch.column(0).to_numpy(), scores.shape), scores)
-            kept, kept_scores = best(np.hstack([kept, found]), np.hstack([kept_scores, scores]))
-        if kept.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, kept.shape[1])), pa.array(kept.reshape(-1)), pa.array(kept_scores.reshape(-1))], names=["query_id", "vec_id", "score"])
+            for block, ids, width, unit, q_ids, q_width, q_unit in zip(*batch.columns, strict=True):
+                if width.as_py() != q_width.as_py():
+                    raise ValueError("queries and vectors have different lengths")
+                own = np.array(q_ids.as_py(), np.int64)
+                x, y = (np.frombuffer(u.as_buffer(), np.float64).reshape(len(i), width.as_py()) for u, i in ((q_unit, q_ids), (unit, ids)))
+                scores = np.round(x @ y.T, 6) + 0.0
+                found, scores = best(np.broadcast_to(np.array(ids.as_py(), np.int64), scores.shape), scores)
+                _, old, old_scores = kept.get(block.as_py(), (own, np.empty((len(own), 0), np.int64), np.empty((len(own), 0))))
+                kept[block.as_py()] = (own, *best(np.hstack([old, found]), np.hstack([old_scores, scores])))
+        for own, found, scores in kept.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.shape[1])), pa.array(found.reshape(-1)), pa.array(scores.reshape(-1))], names=["query_id", "vec_id", "score"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, strict: bool = False, dim: int | None = None, spec: dict | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank) by cosine rounded to six digits; ties in the order of vec_id.
 
-    Zero or non-finite vectors score 0, or are an error if ``strict``. Vectors or queries of another length than ``dim``
-    are an error. Queries come to the driver in blocks of QUERIES_AT_ONCE; vectors never do: each partition keeps its own
-    best k, and only these are shuffled.
+    Zero or non-finite vectors and queries score 0, vectors are an error if ``strict``. Vectors or queries of another length than
+    ``dim`` are an error. Blocks of queries meet blocks of vectors in the tasks; neither comes to the driver, each task keeps its
+    own best k a query, and only these are shuffled. Blocks of queries are broadcast while they are small by their number and
+    length, else the pairs of blocks are dealt out.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
@@ -82,23 +104,15 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, strict: bool
         vectors = vectors.withColumn("embedding", F.when(valid_vector(F.col("embedding"), dim), F.col("embedding")).otherwise(checked))
     elif dim:
         vectors = vectors.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(checked))
-    asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    found, held = None, []
-
-    def block(rows: list) -> DataFrame:
-        matrix = np.array([r.embedding for r in rows], dtype=np.float64)
-        return _search(vectors, np.array([r.query_id for r in rows], dtype=np.int64), np.where(np.isfinite(matrix), matrix, 0), k)
-
-    for row in asked.toLocalIterator():
-        held.append(row)
-        if len(held) == QUERIES_AT_ONCE:
-            part, held = block(held), []
-            found = part if found is None else found.union(part)
-    if held:
-        found = block(held) if found is None else found.union(block(held))
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    return top_k(found, k, "vec_id")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.col("embedding").isNotNull())
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    blocks = _packed(asked.repartition(max(1, -(-size.n // QUERIES_AT_ONCE))), "query_id", QUERIES_AT_ONCE)
+    blocks = blocks.select("block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("unit").alias("q_unit"))
+    small = 8 * size.n * (size.width or 0) <= BROADCAST_BYTES
+    blocks = F.broadcast(blocks) if small else blocks.hint("shuffle_replicate_nl")
+    packed = _packed(vectors.where(F.col("embedding").isNotNull()), "vec_id", VECTORS_AT_ONCE).drop("block")
+    pairs = packed.crossJoin(blocks).select("block", "ids", "width", "unit", "q_ids", "q_width", "q_unit")
+    return top_k(_best_of_pairs(pairs, k), k, "vec_id")
 
 
 def first_valid_vector(hypothetical: str, own: str, dim: int | None = None) -> Column:

@@ -169,3 +169,25 @@ def test_preflight_of_three_indexes(spark):
     assert found(now.union(now.limit(1)), row(now, 2)) == {"manifest_count": 1, "stored_repeated_ids": 1, "stored_differs": 1}
     lost = spark.createDataFrame([("z",)], "chunk_id string")
     assert found(now, row(now, 2).limit(0), golden=spark.createDataFrame([("r",)], "rule string"), evidence=lost, load_errors=lost) == {"manifest_missing": 1, "golden_findings": 1, "golden_ids_missing": 1, "load_errors": 1}
+
+
+def test_dense_blocks_of_any_size(spark, monkeypatch):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = v.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, dense.dense_topk(q, v, 4).collect()))
+    for sizes in ((3, 7, 0), (5, 1000, 1 << 30), (1, 1, 0)):
+        for name, size in zip(("QUERIES_AT_ONCE", "VECTORS_AT_ONCE", "BROADCAST_BYTES"), sizes, strict=True):
+            monkeypatch.setattr(dense, name, size)
+        assert sorted(map(tuple, dense.dense_topk(q.limit(20), v.repartition(3), 4).collect())) == [r for r in whole if r[0] in {x.query_id for x in q.limit(20).collect()}]
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="different lengths"):
+        dense.dense_topk(q.withColumn("embedding", F.slice("embedding", 1, 3)), v, 4).collect()
+    assert dense.dense_topk(q.limit(0), v, 4).count() == 0 and dense.dense_topk(q, v.limit(0), 4).count() == 0
+
+
+def test_a_hundred_thousand_queries_in_one_plan(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    n = v.count()
+    q = v.crossJoin(spark.range(-(-100_000 // n)).withColumnRenamed("id", "k")).select((F.col("k") * 10_000_000 + F.col("vec_id")).alias("query_id"), "embedding")
+    found = dense.dense_topk(q, v, 2).where("rank = 1 AND query_id % 10000000 = vec_id")
+    assert found.count() >= 100_000
