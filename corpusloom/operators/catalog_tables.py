@@ -75,14 +75,19 @@ def widest_table(families: DataFrame, *scope: str) -> DataFrame:
 
 
 def complete_catalog(parts: DataFrame, allowed_hosts: list[str], years: list[str] | None = None, places: list[str] | None = None) -> DataFrame:
-    """The rows of the newest year's widest complete table of each place, from allowed hosts; a place whose documents disagree has none."""
+    """The rows of the newest year's widest table of each place, from allowed hosts, if it is complete; a place whose widest table is
+    damaged or tied, or whose documents disagree, has none. ``complete_catalog.complete_catalog`` answers for all places at once."""
     own = parts.where(url_host(F.col("source_url")).isin(*allowed_hosts))
     own = own.where(F.col("admission_year").isin(*years)) if years else own
     own = own.where(F.col("campus").isin(*places)) if places else own
-    families = table_family_check(own).join(own.select("doc_id", "table_index", "admission_year", "campus").distinct(), ["doc_id", "table_index"])
-    newest = Window.partitionBy("campus")
-    families = families.where("complete").withColumn("newest", F.max("admission_year").over(newest)).where("admission_year = newest").drop("newest")
-    best = widest_table(families, "doc_id", "admission_year", "campus")
+    declared = own.groupBy("doc_id", "table_index", "admission_year", "campus").agg(F.max("row_end").alias("declared"))
+    families = table_family_check(own).join(declared, ["doc_id", "table_index"])
+    newest = families.agg(F.max("admission_year").alias("newest"))
+    # chosen among all declared tables: a damaged winner leaves its place without an answer
+    families = families.join(F.broadcast(newest), F.col("admission_year") == F.col("newest")).drop("newest")
+    scope = Window.partitionBy("doc_id", "admission_year", "campus")
+    ranked = families.withColumn("r", F.rank().over(scope.orderBy(F.desc("declared")))).where("r = 1")
+    best = ranked.withColumn("tied", F.count("*").over(scope)).where("tied = 1 AND complete")
     rows = catalog_rows(own).join(best.select("doc_id", "table_index", "admission_year", "campus"), ["doc_id", "table_index"])
     signed = rows.groupBy("campus", "doc_id", "table_index").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("row", "cells")))), 256).alias("s"))
     agreed = signed.groupBy("campus").agg(F.count_distinct("s").alias("n"), F.min(F.struct("doc_id", "table_index")).alias("one")).where("n = 1").select("campus", "one.doc_id", "one.table_index")

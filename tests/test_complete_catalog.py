@@ -123,3 +123,13 @@ def test_sections_and_rendering(spark):
 def test_kinds_of_lines(spark, line, kind):
     df = spark.createDataFrame([tuple(p.get(n) for n in NAMES) for p in family(rows=[line])], COLUMNS)
     assert [r.kind for r in cc.table_rows(df, RULES).orderBy("at").collect()] == ["header", kind]
+
+
+def test_place_by_place(spark):
+    from corpusloom.operators import catalog_tables as ct
+
+    line = "| n | v |\n| --- | --- |\n| {} | x |"
+    part = lambda doc, table, year, place, k, n, row, **more: {"doc_id": doc, "table_index": table, "table_part": k, "table_part_count": n, "row_start": row, "row_end": row, "content": line.format(row), "title": "t", "source_url": "https://a.org/x", "admission_year": year, "campus": place} | more
+    rows = [part("whole", 0, "2024", "A", 1, 1, 1), part("small", 0, "2024", "B", 1, 1, 1), part("small", 1, "2024", "B", 1, 3, 1, row_end=9), part("old", 0, "2023", "C", 1, 1, 1), part("tie", 0, "2024", "D", 1, 1, 1), part("tie", 1, "2024", "D", 1, 1, 1)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id string, table_index int, table_part int, table_part_count int, row_start int, row_end int, content string, title string, source_url string, admission_year string, campus string")
+    assert [r.campus for r in ct.complete_catalog(df, ["a.org"]).collect()] == ["A"]
