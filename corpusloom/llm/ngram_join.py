@@ -48,7 +48,7 @@ COMMON_LIST = 200_000
 #: Copies of a shingle within one batch of documents that make it a candidate for that list.
 COMMON_IN_BATCH = 2
 #: Rounds of leaders before pairs are made; any number gives the same components.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 
 _REHASH = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -334,30 +334,39 @@ def of_several_parts(met: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Parts (node, component) after more links: only the links' own parts are gone through."""
+    """Parts (node, component) after more links: a part takes the least name within two links.
+
+    Parts of one name are linked; what is further apart stays apart, which makes more pairs, never fewer.
+    """
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     parts = parts.join(nodes, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
-    joined = connected_components(links.join(of("a"), "a").join(of("b"), "b"), "a_part", "b_part").select(F.col("node").alias("old"), F.col("component").alias("new"))
-    return checkpointed(parts.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
+    edges = links.join(of("a"), "a").join(of("b"), "b").where("a_part <> b_part").select(F.col("a_part").alias("x"), F.col("b_part").alias("y"))
+    edges = edges.union(edges.select("y", "x")).distinct()
+    near = edges.groupBy("x").agg(F.least("x", F.min("y")).alias("near"))
+    far = edges.join(near.select(F.col("x").alias("y"), F.col("near").alias("far")), "y").groupBy("x").agg(F.min("far").alias("far"))
+    named = near.join(far, "x").select("x", F.least("near", "far").alias("name"))
+    return checkpointed(parts.join(named, F.col("component") == F.col("x"), "left").select("node", F.coalesce("name", "component").alias("component")))
 
 
-def led_links(met: DataFrame, links: DataFrame, sets: DataFrame, counts: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def led_links(met: DataFrame, stars: DataFrame, sets: DataFrame, counts: dict | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(more links, parts): in each round, each set against the leader of most of its blocks; one row a set and round.
 
     Leaders are drawn anew by a hash in each round. Rounds end when one finds no link, or after LEADER_ROUNDS; what
     they leave is for the pairs of different parts.
     """
-    parts, more, held = connected_components(links), None, 0
+    parts = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+    more, held = None, 0
     for k in range(LEADER_ROUNDS):
-        placed = checkpointed(of_several_parts(met.select("block", "cls"), parts))
+        placed = of_several_parts(met.select("block", "cls"), parts)
         leaders = placed.groupBy("block").agg(F.max_by(F.struct("cls", "part"), F.xxhash64(F.lit(k), "cls")).alias("leader"))
         led = placed.join(leaders, "block").where(F.col("part") != F.col("leader.part")).select("cls", F.col("leader.cls").alias("leader"))
         votes = led.groupBy("cls", "leader").agg(F.count("*").alias("votes"))
         pairs = votes.groupBy("cls").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
         pairs = checkpointed(pairs.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct())
         found = checkpointed(verified(pairs, sets))
-        held += pairs.count()
+        if counts is not None:
+            held += pairs.count()
         if not found.limit(1).count():
             break
         more = found if more is None else more.union(found)
