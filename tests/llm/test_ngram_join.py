@@ -123,7 +123,7 @@ def shared_edit(m, rng, base_words=200, own=16, at=120):
     return [" ".join(base)] + [" ".join([*base[:20], *edit, *base[28:at], *rng.choices(words, k=own), *base[at + own :]]) for _ in range(m)]
 
 
-@pytest.mark.parametrize("m", [200, 800])
+@pytest.mark.parametrize("m", [200, 500])
 def test_a_shared_edit_makes_no_pairs_of_the_group(spark, m):
     rows = list(enumerate(shared_edit(m, random.Random(m))))
     counts = {}
