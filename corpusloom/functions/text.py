@@ -131,6 +131,37 @@ def expand_abbreviations(text: Column, expansions: dict[str, str]) -> Column:
     return text
 
 
+#: Words that hyphens, dots and slashes may join, numbers, and quoted parts.
+JOINED_WORD = r"[\p{L}\p{N}]+(?:[-./][\p{L}\p{N}]+)*"
+PLAIN_NUMBER = r"(?<![\p{L}\p{N}_])\d+(?:[.,]\d+)*(?![\p{L}\p{N}_])"
+QUOTED_PART = "[\"“”']([^\"“”']+)[\"“”']"
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), group), F.array().cast("array<string>"))
+
+
+def joined_words(text: Column) -> Column:
+    """Distinct case-folded words, parts joined by hyphen, dot or slash kept together; null gives an empty array."""
+    return F.array_distinct(F.transform(_all(text, JOINED_WORD), case_folded))
+
+
+def protected_terms(text: Column, abbreviations: Iterable[str] = ()) -> Column:
+    """Sorted distinct terms that a rewrite may not lose: numbers, words all in capitals (two letters or digits at least), words of
+    letters and digits, known abbreviations, and the words of quoted parts; case-folded."""
+    words, known = _all(text, JOINED_WORD), F.array(*(F.lit(a.lower()) for a in abbreviations)).cast("array<string>")
+
+    def kept(word: Column) -> Column:
+        bare = F.regexp_replace(word, "[-./]", "")
+        letter = bare.rlike(r"\p{L}")
+        capitals = (F.length(bare) >= 2) & bare.rlike(r"\p{Lu}") & ~bare.rlike(r"\p{Ll}")
+        return F.array_contains(known, case_folded(word)) | (letter & (capitals | bare.rlike(r"\d")))
+
+    quoted = F.flatten(F.transform(_all(text, QUOTED_PART, 1), lambda q: F.regexp_extract_all(q, F.lit(JOINED_WORD), F.lit(0))))
+    every = F.concat(_all(text, PLAIN_NUMBER), F.filter(words, kept), quoted)
+    return F.array_sort(F.array_distinct(F.transform(every, case_folded)))
+
+
 def facts(text: Column) -> Column:
     """Sorted distinct facts of a question: numbers, all-capital words, words of letters and digits, quoted words."""
     numbers = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(\d+(?:[.,:/-]\d+)*)(?![\p{L}\p{N}_])"), 1)

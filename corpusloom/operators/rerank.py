@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scope import factor_product
-from corpusloom.functions.text import codes, content_tokens, facts, fold, normalized_space, tokens
+from corpusloom.functions.text import codes, content_tokens, facts, fold, joined_words, normalized_space, protected_terms, tokens
 
 
 def search_text() -> Column:
@@ -132,7 +132,10 @@ def safe_query_variants(pairs: DataFrame, stopwords: tuple[str, ...] = (), most:
     return ranked.where(F.col("place") <= most).select("query_id", "place", "variant")
 
 
-def accepted_rewrite(pairs: DataFrame) -> DataFrame:
-    """Add ``accepted``: the rewrite if it keeps every token and fact of the original and adds no fact, else the original."""
-    keeps = (F.size(F.array_except(tokens(F.col("original")), tokens(F.col("candidate")))) == 0) & (facts(F.col("original")) == facts(F.col("candidate")))
-    return pairs.withColumn("accepted", F.when(F.coalesce(keeps, F.lit(False)), F.col("candidate")).otherwise(F.col("original")))
+def accepted_rewrite(pairs: DataFrame, abbreviations: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``accepted``: the rewrite if it isn't blank, keeps every word and protected term of the original and brings no new protected
+    term, else the original."""
+    old, new = F.col("original"), F.col("candidate")
+    lost = lambda a, b: F.size(F.array_except(a, b))
+    keeps = (lost(joined_words(old), joined_words(new)) == 0) & (lost(protected_terms(old, abbreviations), joined_words(new)) == 0) & (lost(protected_terms(new, abbreviations), protected_terms(old, abbreviations)) == 0)
+    return pairs.withColumn("accepted", F.when(F.coalesce(keeps & (F.trim(new) != ""), F.lit(False)), new).otherwise(old))

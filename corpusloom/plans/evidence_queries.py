@@ -239,6 +239,11 @@ def query_variants(spark, sf):
     return v.select("query_id", "place", F.md5("variant").alias("digest"))
 
 
+def protected_of_documents(spark, sf):
+    t = tx.protected_terms(F.col("text"), ("the", "von"))
+    return docs(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
 def accepted_rewrites(spark, sf):
     return rerank.accepted_rewrite(_rewrites(spark, sf)).select("query_id", "candidate_pos", F.md5("accepted").alias("digest"))
 
@@ -310,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         folded_text, text_ids, facts_of_documents, abbreviations, search_steps, cited_evidence, citation_id_collisions, citations, accepted_answers, evidence_membership, precision_at_k, list_metrics, terms_by_branch,
-        candidate_chars, retrieval_report, golden_findings, table_families, catalog_sections, catalog_texts, named_entries, preflight, deletes, validated_batch, appended_messages, query_variants, accepted_rewrites,
+        candidate_chars, retrieval_report, golden_findings, table_families, catalog_sections, catalog_texts, named_entries, preflight, deletes, validated_batch, appended_messages, query_variants, accepted_rewrites, protected_of_documents,
         model_rerank, rerank_faults, named_entity_gate, scope_assess, domain_rerank, scope_errors,
     )
 }
@@ -389,6 +394,27 @@ a AS (SELECT *, CASE y WHEN 'year_missing' THEN 8e-1 WHEN 'academic_range' THEN
   concat_ws(',', CASE WHEN y = 'year_missing' THEN y WHEN y = 'year_match' AND qk = 'academic_range' THEN 'academic_range_unconfirmed' END, CASE WHEN p IN ('campus_missing', 'campus_unspecified') THEN p END) AS ambiguities,
   concat_ws(',', CASE WHEN y LIKE 'wrong%' THEN y END, CASE WHEN p = 'wrong_campus' THEN p WHEN p = 'campus_missing' AND price THEN 'cutoff_campus_unconfirmed' END) AS exclusions FROM k)"""
 _DOMAIN_OVERLAP = f"len(list_intersect({_ct('query')}, {_ct('concat_ws(chr(32), head, campus)')}))"
+def _lowered(x: str) -> str:
+    return f"list_distinct(list_transform({x}, lambda w: replace(lower(w), 'ß', 'ss')))"
+
+
+_JOINED = r"[\p{L}\p{N}]+(?:[-./][\p{L}\p{N}]+)*"
+
+
+def _joined(x: str) -> str:
+    return _lowered(f"regexp_extract_all({x}, '{_JOINED}')")
+
+
+def _protected(x: str, known: tuple[str, ...] = ()) -> str:
+    """Numbers are what is left of digits when words with a letter are gone; the rest is looked for among the words."""
+    numbers = rf"regexp_extract_all(regexp_replace({x}, '[\p{{L}}\p{{N}}_]*[\p{{L}}_][\p{{L}}\p{{N}}_]*', ' ', 'g'), '[0-9]+(?:[.,][0-9]+)*')"
+    bare = "regexp_replace(w, '[-./]', '', 'g')"
+    kept = rf"list_contains({list(known)!r}::VARCHAR[], lower(w)) OR (regexp_matches({bare}, '\p{{L}}') AND (regexp_matches({bare}, '[0-9]') OR (length({bare}) >= 2 AND regexp_matches({bare}, '\p{{Lu}}') AND NOT regexp_matches({bare}, '\p{{Ll}}'))))"
+    quoted = f"""flatten(list_transform(regexp_extract_all({x}, '["“”'']([^"“”'']+)["“”'']', 1), lambda q: regexp_extract_all(q, '{_JOINED}')))"""
+    words = f"regexp_extract_all({x}, '{_JOINED}')"
+    return f"list_sort({_lowered(f'{numbers} || list_filter({words}, lambda w: {kept}) || {quoted}')})"
+
+
 _REWRITES = f"rw AS (SELECT query_id, query AS original, unnest([0, 1, 2]) AS pos, unnest([lower(query), split_part(query, '.', 1), query || ' 2024']) AS candidate FROM ({_ITEMS}))"
 
 
@@ -472,7 +498,8 @@ WITH {_REWRITES}, w AS (SELECT *, {_topics('original')} AS o, {_topics('candidat
 good AS (SELECT query_id, pos, candidate AS v FROM w WHERE {_facts('original')} = {_facts('candidate')} AND len(list_intersect(o, c)) >= greatest(1, ceil(0.6 * len(o)))),
 every AS (SELECT DISTINCT query_id, -1 AS pos, original AS v FROM rw UNION ALL SELECT * FROM good), once AS (SELECT query_id, {_spaced('v')} AS norm, min(pos) AS pos, arg_min(v, pos) AS v FROM every GROUP BY 1, 2)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos, norm) AS INT) AS place, md5(v) AS digest FROM once QUALIFY place <= 3""",
-    "accepted_rewrites": f"WITH {_REWRITES} SELECT query_id, pos AS candidate_pos, md5(CASE WHEN list_has_all({sql_tokens('candidate')}, {sql_tokens('original')}) AND {_facts('original')} = {_facts('candidate')} THEN candidate ELSE original END) AS digest FROM rw",
+    "accepted_rewrites": f"WITH {_REWRITES} SELECT query_id, pos AS candidate_pos, md5(CASE WHEN trim(candidate) <> '' AND list_has_all({_joined('candidate')}, {_joined('original')}) AND list_has_all({_joined('candidate')}, {_protected('original')}) AND list_has_all({_protected('original')}, {_protected('candidate')}) THEN candidate ELSE original END) AS digest FROM rw",
+    "protected_of_documents": f"SELECT doc_id, CAST(len(t) AS INT) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_protected('text', ('the', 'von'))} AS t FROM documents)",
     "model_rerank": f"WITH {_found(10)} SELECT query_id, chunk_id, -CAST(length(text) AS DOUBLE) AS model_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(text), score DESC, chunk_id) AS INT) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(text), score DESC, chunk_id) <= 4",
     "rerank_faults": f"""
 WITH {_found(10)}, t AS (SELECT *, {_ct('query')} AS a, {_ct('text')} AS b FROM h), o AS (SELECT query_id, rank, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / len(a) + 0.25 * len(list_intersect(a, b)) / len(b), 9) ELSE 0.0 END AS m FROM t)

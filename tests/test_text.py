@@ -75,3 +75,14 @@ def test_scalar_kinds_and_hosts(ask):
 def test_page_ids_keep_all_digits(spark):
     d = spark.range(1).select(*(tx.document_id(F.lit("n"), F.lit(2024), F.lit("c"), F.lit("A b"), F.lit(2), F.lit(p).cast("int")).alias(f"p{i}") for i, p in enumerate((7, 1234, None)))).first()
     assert tuple(d) == ("n-2024-c-a-b-v2-p007", "n-2024-c-a-b-v2-p1234", "n-2024-c-a-b-v2")
+
+
+def test_protected_terms_and_rewrites(spark):
+    from corpusloom.operators import rerank
+
+    rows = ["Fee of CN-1 in 2024, 1,5 or 12.5a", 'the "big Room" of ABC and IT', "x I 7", None, "Straße A/B v2.0"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", tx.protected_terms(F.col("t"), ("fee",)).alias("p")).orderBy("i")
+    assert [r.p for r in df.collect()] == [["1", "1,5", "12", "12.5a", "2024", "cn-1", "fee"], ["abc", "big", "it", "room"], ["7"], [], ["0", "a/b", "v2.0"]]
+    pairs = [("fee of ABC", "the fee of abc"), ("fee of ABC", "fee of it"), ("fee of x", "fee of x in 2024"), ("fee", " "), ("fee", None), ("a-b c", "c a-b d"), ("a-b c", "a b c")]
+    got = rerank.accepted_rewrite(spark.createDataFrame(pairs, "original string, candidate string")).collect()
+    assert [r.accepted == r.candidate for r in got] == [True, False, False, False, False, True, False]
