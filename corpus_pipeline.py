@@ -14,6 +14,10 @@ from corpusloom.llm import mixing, ngram_join, piece_codec, quality_cnn, queries
 from corpusloom.runtime import read_table, shared_folder
 
 
+#: Segments that a tokenizing worker remembers: workers go on to other stages, and what they hold stays beside those.
+REMEMBERED = 150_000
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return quality_cnn.keep_good(docs, queries.quality_model(spark, sf_dir), queries.QUALITY_FROM)
@@ -38,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's number of ids and the digests of ids and decoded text."""
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return piece_codec.encode_and_decode(docs, queries.tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), outputs=outputs)
+    return piece_codec.encode_and_decode(docs, queries.tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), outputs=outputs, remembered=REMEMBERED)
 
 
 STAGES = [("quality", good), ("toxicity", clean), ("near_duplicates", distinct), ("mixing", mixed), ("encoding", encoded)]

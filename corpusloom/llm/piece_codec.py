@@ -33,7 +33,8 @@ CACHE_ENTRIES = 450_000
 class PieceCodec:
     """Encoder and decoder of one merge-type model file, without begin or end ids."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, remembered: int = CACHE_ENTRIES):
+        self.remembered = remembered
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         plain = [i for i in range(len(self.pieces)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -88,7 +89,7 @@ class PieceCodec:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
+            if len(self.pairs) >= self.remembered:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
@@ -196,7 +197,7 @@ class PieceCodec:
                 surface = self.surface(own)
                 known = (len(own), ",".join(map(str, own)), None if surface == segment.replace(SPACE, " ") else surface)
                 if len(segment) <= 64:
-                    if len(seen) >= CACHE_ENTRIES:
+                    if len(seen) >= self.remembered:
                         seen.clear()
                     seen[segment] = known
             count += known[0]
@@ -222,14 +223,14 @@ def utf8_or_replacement(raw: bytes) -> str:
     return "".join(out)
 
 
-_CODECS: dict[str, PieceCodec] = {}
+_CODECS: dict[tuple[str, int], PieceCodec] = {}
 
 
-def codec(model_path: str) -> PieceCodec:
+def codec(model_path: str, remembered: int = CACHE_ENTRIES) -> PieceCodec:
     """The worker's codec of a model file, built once."""
-    if model_path not in _CODECS:
-        _CODECS[model_path] = PieceCodec(model_path)
-    return _CODECS[model_path]
+    if (model_path, remembered) not in _CODECS:
+        _CODECS[model_path, remembered] = PieceCodec(model_path, remembered)
+    return _CODECS[model_path, remembered]
 
 
 _KINDS = {
@@ -241,8 +242,8 @@ _KINDS = {
 }
 
 
-def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
-    """Encode and decode every whole text in one pass.
+def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), remembered: int = CACHE_ENTRIES) -> DataFrame:
+    """Encode and decode every whole text in one pass; a worker remembers at most ``remembered`` segments, and pairs of pieces.
 
     ``outputs`` may name n_tokens, ids, decoded, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256.
     ``keep`` names the input columns that stay (None: all); of a name that is also an output, the output stays.
@@ -252,7 +253,7 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", ke
     source = df.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(text_col)).cast("string").alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path)
+        own = codec(model_path, remembered)
         for batch in batches:
             made: dict[str, list] = {n: [] for n in outputs}
             for text in batch.column(batch.num_columns - 1):
