@@ -43,9 +43,13 @@ def scope_error_rates(hits: DataFrame) -> DataFrame:
 
 
 def negative_false_positive_rate(cases: DataFrame, run: DataFrame) -> DataFrame:
-    """(mode, rate): the share of out-of-scope cases that returned something. ``cases``: (case_id, mode, negative)."""
+    """(mode, rate): the share of out-of-scope cases that returned something. ``cases``: (case_id, mode, negative).
+
+    A mode whose cases are all in scope has a null rate.
+    """
     returned = run.select("mode", "case_id").distinct().withColumn("hit", F.lit(1.0))
-    return cases.where("negative").join(returned, ["mode", "case_id"], "left").groupBy("mode").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("rate"))
+    joined = cases.join(returned, ["mode", "case_id"], "left")
+    return joined.groupBy("mode").agg(F.round(F.avg(F.when(F.col("negative"), F.coalesce("hit", F.lit(0.0)))), 6).alias("rate"))
 
 
 def precision_at_k(run: DataFrame, expected: DataFrame, k: int) -> DataFrame:

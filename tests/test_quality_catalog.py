@@ -304,3 +304,9 @@ def test_reports_of_hits(spark):
     assert [tuple(r) for r in evaluation.candidate_char_stats(h).collect()] == [(1, 3, 102.0, 300)]
     assert {(r.rank, r.snippet) for r in evaluation.retrieval_report(h).collect()} == {(1, "a b"), (2, None)}
     assert evaluation.retrieval_report(h.limit(0)).count() == 0
+
+
+def test_a_mode_without_negative_cases_has_a_null_rate(spark):
+    cases = spark.createDataFrame([(1, "a", False), (1, "b", True), (2, "b", True), (3, "b", False)], "case_id long, mode string, negative boolean")
+    run = spark.createDataFrame([("a", 1), ("b", 1), ("b", 3)], "mode string, case_id long")
+    assert sorted(map(tuple, evaluation.negative_false_positive_rate(cases, run).collect())) == [("a", None), ("b", 0.5)]
