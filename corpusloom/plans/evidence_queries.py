@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scope, text as tx
 from corpusloom.operators import answers, catalog_tables, context, dense, embedding, evaluation, quality, rerank
 from corpusloom.plans.corpus_queries import docs, sql_tokens
-from corpusloom.plans.search_queries import _benchmark, _ITEMS, _search_sql, bm25_searched, documents, golden_pairs
+from corpusloom.plans.search_queries import _benchmark, _ITEMS, _search_sql, bm25_searched, documents, golden_pairs, with_documents
 from corpusloom.runtime import read_table
 
 
@@ -51,7 +51,7 @@ def search_steps(spark, sf):
 
 def _hits(spark, sf, k):
     """The best documents of every benchmark item with their texts."""
-    return bm25_searched(spark, sf, _benchmark(spark, sf), k).join(_benchmark(spark, sf), "query_id").join(documents(spark, sf), "chunk_id")
+    return with_documents(spark, sf, bm25_searched(spark, sf, _benchmark(spark, sf), k)).join(_benchmark(spark, sf), "query_id")
 
 
 def cited_evidence(spark, sf):

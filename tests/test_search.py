@@ -36,6 +36,29 @@ def test_bm25_edges(spark):
     assert [i for i, _ in found(spark, "same", "same", "same", "same", "b", "c", "d", "e", k=2)] == [0, 1]
 
 
+def test_bm25_pairs_stay_in_their_tasks(spark, monkeypatch):
+    words = "aa bb cc dd ee ff gg".split()
+    texts = [" ".join(words[(i * j) % 7] for j in range(1, 4 + i % 5)) + " all" for i in range(300)] + ["all", "", None]
+    q = spark.createDataFrame([(i, f"{w} {words[i - 3]} all") for i, w in enumerate(words)], "query_id long, query string")
+    stored = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").coalesce(1)
+    reached, ranked = [], sparse.top_k
+    monkeypatch.setattr(sparse, "top_k", lambda found, *a: reached.append(found.count()) or ranked(found, *a))
+    want = sparse.bm25_topk(q, stored, 3).orderBy("query_id", "rank").collect()
+    # of 2,107 pairs that share a term only the best leave the task
+    assert len(want) == 21 and reached == [21]
+    named = stored.withColumn("chunk_id", F.format_string("n%04d", "chunk_id"))
+    for postings, queries, terms, rows in ((50, 2, 4_000_000, 1_000_000), (7, 3, 0, 0)):
+        monkeypatch.setattr(sparse, "POSTINGS_AT_ONCE", postings)
+        monkeypatch.setattr(sparse, "QUERIES_AT_ONCE", queries)
+        monkeypatch.setattr(sparse, "BROADCAST_TERMS", terms)
+        monkeypatch.setattr(sparse, "BROADCAST_ROWS", rows)
+        assert sparse.bm25_topk(q, stored, 3).orderBy("query_id", "rank").collect() == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a chunk's postings come in many batches
+    got = sparse.bm25_topk(q, named, 3).orderBy("query_id", "rank").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.query_id, int(r.chunk_id[1:]), r.score, r.rank) for r in got] == [tuple(r) for r in want]
+
+
 def vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.8, 0.6], 2), (2, [0.0, 1.0], 3), (3, [0.0, 0.0], 3), (4, [float("nan"), 1.0], 3)]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, page int")
