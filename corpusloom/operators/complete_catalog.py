@@ -5,7 +5,8 @@ among *all* tables that declare themselves in scope, damaged ones too; only then
 damaged winner refuses its document, so a smaller or an older table can't stand in for it. One document must cover all places that
 the request asks for; of several complete documents those with most entries count, and if they disagree there is no answer.
 
-Everything is aggregation: lines become rows once, a table's proof is one grouping, the choice a few small ones.
+A part's lines are told apart within its row; only entries of chosen tables leave it. A table's proof is one grouping without
+distinct counts, the choice a few small ones.
 
 Defined results: null or blank metadata never matches a host, year or place; a table without parts or rows isn't proved; requests
 without places ask for all ``CatalogRules.places``; repeated requests give repeated rows; empty inputs give empty results.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold, url_host, years
-from corpusloom.runtime import checkpointed
+from corpusloom.runtime import broadcast_if_small, checkpointed
 
 #: Metadata that all parts of a table have in common.
 IDENTITY = ("doc_id", "source_url", "source_file", "raw_file", "version", "content_hash", "admission_year", "academic_year", "table_index")
@@ -47,31 +48,54 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(bare, r"\|"), lambda c: F.trim(F.regexp_replace(c, r"\*\*|__|`", "")))
 
 
-def _first_with(cells: Column, beginning: str) -> Column:
+def _folded(cell: Column) -> Column:
+    """``fold``, which is ``lower`` for cells of ASCII characters alone."""
+    return F.when(cell.rlike(r"^[\x00-\x7f]*$"), F.lower(cell)).otherwise(fold(cell))
+
+
+def _first_with(folded: Column, beginning: str) -> Column:
     """The place of the first cell whose folded text begins so, from 0; null if none does."""
-    hits = F.transform(cells, lambda c: F.startswith(fold(c), F.lit(beginning)))
-    return F.nullif(F.array_position(hits, F.lit(True)), F.lit(0)) - 1
+    return F.nullif(F.array_position(F.transform(folded, lambda c: F.startswith(c, F.lit(beginning))), F.lit(True)), F.lit(0)) - 1
 
 
-def table_rows(parts: DataFrame, rules: CatalogRules) -> DataFrame:
-    """(doc_id, table_index, table_part, chunk_id, at, cells, header, name_at, code_at, kind): lines below a header.
+def with_lines(parts: DataFrame, rules: CatalogRules) -> DataFrame:
+    """Add ``lines``, each part's lines from its first header on as (at, cells, header, folded, kind, name, code, unnumbered).
 
     kind is header, section, entry or broken; separators and lines above a part's first header are left out. A broken line
-    is neither a numbered entry with a right code and a safe name, nor a section, or has not as many cells as its header.
+    is neither a numbered entry with a right code and a safe name, nor a section, or has not as many cells as its header. All within
+    a row: no shuffle.
     """
-    lines = parts.select("doc_id", "table_index", "table_part", "chunk_id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("at", "line")).where(F.col("line").contains("|"))
-    lines = lines.withColumn("cells", _cells(F.col("line"))).withColumns({"n": _first_with(F.col("cells"), rules.name_header), "c": _first_with(F.col("cells"), rules.code_header)})
-    is_header = F.col("n").isNotNull() & F.col("c").isNotNull()
-    part = Window.partitionBy("doc_id", "table_index", "table_part", "chunk_id").orderBy("at")
-    head = F.when(is_header, F.struct("cells", "n", "c"))
-    lines = lines.withColumns({"is_header": is_header, "head": F.last(head, ignorenulls=True).over(part)}).where("head IS NOT NULL")
-    lines = lines.where(F.col("is_header") | ~F.forall("cells", lambda x: x.rlike(SEPARATOR)))
-    name, code = F.get("cells", F.col("head.n").cast("int")), F.get("cells", F.col("head.c").cast("int"))
-    first, safe = F.get("cells", F.lit(0)), ~name.rlike(UNSAFE)
-    entry = first.rlike(r"^\d+$") & code.rlike(rf"^(?:{rules.code_pattern})$") & (name != "") & (F.length(name) <= LONGEST_NAME) & safe
-    section = first.rlike(SECTION_NUMBER) & (name != "") & (name == code) & safe
-    kind = F.when(F.col("is_header"), "header").when(F.size("cells") != F.size("head.cells"), "broken").when(entry, "entry").when(section, "section").otherwise("broken")
-    return lines.select("doc_id", "table_index", "table_part", "chunk_id", "at", "cells", F.col("head.cells").alias("header"), kind.alias("kind"), name.alias("name"), F.regexp_replace(code, r"\s+", "").alias("code"), (first == "").alias("unnumbered"))
+    def each(df: DataFrame, **new) -> DataFrame:
+        """Add fields to the lines; one step reads what the steps before it have added."""
+        known = [f for f in df.schema["lines"].dataType.elementType.names if f not in new]
+        return df.withColumn("lines", F.transform("lines", lambda x: F.struct(*(x[f].alias(f) for f in known), *(of(x).alias(f) for f, of in new.items()))))
+
+    split = F.transform(F.split("content", r"\r\n|\n|\r"), lambda line, at: F.struct(at.alias("at"), line.alias("line")))
+    lines = parts.withColumn("lines", F.filter(split, lambda x: F.contains(x["line"], F.lit("|"))))
+    lines = each(lines, cells=lambda x: _cells(x["line"]))
+    lines = each(lines, line=lambda x: F.transform(x["cells"], _folded))
+    lines = each(lines, n=lambda x: _first_with(x["line"], rules.name_header), c=lambda x: _first_with(x["line"], rules.code_header))
+    lines = lines.withColumn("heads", F.filter("lines", lambda x: x["n"].isNotNull() & x["c"].isNotNull()))
+    lines = each(lines, head=lambda x: F.try_element_at(F.filter("heads", lambda h: h["at"] <= x["at"]), F.lit(-1)))
+    is_header = lambda x: x["n"].isNotNull() & x["c"].isNotNull()
+    lines = lines.withColumn("lines", F.filter("lines", lambda x: x["head"].isNotNull() & (is_header(x) | ~F.forall(x["cells"], lambda c: c.rlike(SEPARATOR)))))
+    lines = each(lines, first=lambda x: F.get(x["cells"], F.lit(0)), name=lambda x: F.get(x["cells"], x["head"]["n"].cast("int")), code=lambda x: F.get(x["cells"], x["head"]["c"].cast("int")))
+
+    def kind(x: Column) -> Column:
+        name, code, first, safe = x["name"], x["code"], x["first"], ~x["name"].rlike(UNSAFE)
+        entry = first.rlike(r"^\d+$") & code.rlike(rf"^(?:{rules.code_pattern})$") & (name != "") & (F.length(name) <= LONGEST_NAME) & safe
+        section = first.rlike(SECTION_NUMBER) & (name != "") & (name == code) & safe
+        return F.when(is_header(x), "header").when(F.size(x["cells"]) != F.size(x["head"]["cells"]), "broken").when(entry, "entry").when(section, "section").otherwise("broken")
+
+    shown = lambda x: F.struct(x["at"].alias("at"), x["cells"].alias("cells"), x["head"]["cells"].alias("header"), x["head"]["line"].alias("folded"), kind(x).alias("kind"), x["name"].alias("name"), F.regexp_replace(x["code"], r"\s+", "").alias("code"), (x["first"] == "").alias("unnumbered"))
+    return lines.withColumn("lines", F.transform("lines", shown)).drop("heads")
+
+
+def table_rows(parts: DataFrame, rules: CatalogRules) -> DataFrame:
+    """(doc_id, table_index, table_part, chunk_id, at, cells, header, kind, name, code, unnumbered): lines from a part's first header on."""
+    key = ["doc_id", "table_index", "table_part", "chunk_id"]
+    # a plain explode would have its input tested by a filter below the joins that made the parts, which splits each text again
+    return with_lines(parts, rules).select(*key, F.explode_outer("lines").alias("x")).where("x IS NOT NULL").select(*key, *(f"x.{c}" for c in ("at", "cells", "header", "kind", "name", "code", "unnumbered")))
 
 
 def with_sections(rows: DataFrame) -> DataFrame:
@@ -91,26 +115,29 @@ def with_sections(rows: DataFrame) -> DataFrame:
 def proved_tables(parts: DataFrame, rules: CatalogRules) -> tuple[DataFrame, DataFrame]:
     """(tables, entries). tables: a row a table with its metadata, declared size, whether its first part has a header, and
     ``fault``, the first rule that it breaks (null: complete). entries: the numbered rows of all tables under their sections."""
-    lines = checkpointed(table_rows(parts, rules))
-    entries = with_sections(lines)
+    entries = with_sections(table_rows(parts, rules))
     key = ["doc_id", "table_index"]
-    by_part = lines.groupBy(*key, "table_part", "chunk_id").agg(F.count_if(F.col("kind") != "header").alias("physical"), F.bool_or(F.col("kind") == "broken").alias("broken"), F.min(F.transform("header", fold)).alias("least"), F.max(F.transform("header", fold)).alias("most"))
-    both = parts.join(by_part.withColumnsRenamed({"doc_id": "d", "table_index": "t", "table_part": "p", "chunk_id": "i"}), (F.col("doc_id") == F.col("d")) & F.col("table_index").eqNullSafe(F.col("t")) & F.col("table_part").eqNullSafe(F.col("p")) & F.col("chunk_id").eqNullSafe(F.col("i")), "left")
-    before = F.lag("row_end").over(Window.partitionBy(*key).orderBy("table_part", "chunk_id"))
-    both = both.withColumn("follows", F.col("row_start") == F.coalesce(before, F.lit(0)) + 1)
+    own = with_lines(parts, rules)
+    heads = F.transform("lines", lambda x: x["folded"])
+    told = F.size("lines") > 0
+    of_part = {"physical": F.when(told, F.size(F.filter("lines", lambda x: x["kind"] != "header"))), "broken": F.when(told, F.exists("lines", lambda x: x["kind"] == "broken")), "least": F.array_min(heads), "most": F.array_max(heads)}
+    order = Window.partitionBy(*key).orderBy("table_part", "chunk_id")
+    follows = F.col("row_start") == F.coalesce(F.lag("row_end").over(order), F.lit(0)) + 1
+    both = own.withColumns(of_part).drop("lines", "content").withColumns({"follows": follows, "new_part": ~F.col("table_part").eqNullSafe(F.lag("table_part").over(order))})
     again = entries.groupBy(*key, "section.label", F.col("subsection.label").alias("below"), "code").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("most_codes"), F.sum("n").alias("entries"))
     year = years(F.coalesce(F.nullif("admission_year", F.lit("")), "academic_year"))
-    one = lambda c: F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))) == 1
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    one = lambda c: F.min(said(c)) == F.max(said(c))
     rule = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
     n = F.max("table_part_count")
     alike = F.lit(True)
     for c in (*IDENTITY, "campus"):
         alike = alike & one(c)
     faults = (
-        rule((F.min("table_part_count") == n) & n.between(1, MOST_PARTS) & (F.count("*") == n) & (F.count_distinct("table_part") == n) & (F.min("table_part") == 1) & (F.max("table_part") == n), "parts"),
+        rule((F.min("table_part_count") == n) & n.between(1, MOST_PARTS) & (F.count("*") == n) & (F.count_if(F.col("new_part") & F.col("table_part").isNotNull()) == n) & (F.min("table_part") == 1) & (F.max("table_part") == n), "parts"),
         rule(F.bool_and(F.coalesce(F.col("chunk_type") == "table", F.lit(False))), "type"),
         rule(alike, "identity"),
-        rule((F.count_distinct("chunk_id") == F.count("*")) & F.bool_and(F.coalesce(F.col("chunk_id") != "", F.lit(False))), "ids"),
+        rule((F.size(F.collect_set("chunk_id")) == F.count("*")) & F.bool_and(F.coalesce(F.col("chunk_id") != "", F.lit(False))), "ids"),
         rule(F.bool_and(F.coalesce(F.col("follows") & (F.col("row_end") >= F.col("row_start")), F.lit(False))), "rows"),
         rule(F.bool_and(F.coalesce(F.col("physical") == F.col("row_end") - F.col("row_start") + 1, F.lit(False))), "physical"),
         rule((F.min("least") == F.max("most")) & (F.count("least") == F.count("*")), "header"),
@@ -120,7 +147,7 @@ def proved_tables(parts: DataFrame, rules: CatalogRules) -> tuple[DataFrame, Dat
     tables = both.groupBy(*key).agg(first, F.coalesce(F.max("row_end"), F.lit(0)).alias("declared"), F.coalesce(*faults).alias("fault"), F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids")).join(again, key, "left")
     fault = F.coalesce("fault", F.when(F.coalesce("entries", F.lit(0)) == 0, "empty").when(F.col("most_codes") > 1, "codes"))
     year = F.when(F.col("first.year.kind") == "single", F.get("first.year.values", F.lit(0)))
-    return checkpointed(tables.select(*key, *(F.col(f"first.{c}").alias(c) for c in (*DOCUMENT[1:], "campus")), year.alias("year"), F.col("first.headed").alias("headed"), "declared", "chunk_ids", F.coalesce("entries", F.lit(0)).alias("entries"), fault.alias("fault"))), entries
+    return tables.select(*key, *(F.col(f"first.{c}").alias(c) for c in (*DOCUMENT[1:], "campus")), year.alias("year"), F.col("first.headed").alias("headed"), "declared", "chunk_ids", F.coalesce("entries", F.lit(0)).alias("entries"), fault.alias("fault")), entries
 
 
 def complete_catalog(requests: DataFrame, parts: DataFrame, rules: CatalogRules) -> DataFrame:
@@ -129,7 +156,7 @@ def complete_catalog(requests: DataFrame, parts: DataFrame, rules: CatalogRules)
     ``requests`` has (query_id, places, asked_years), both arrays; ``parts`` the columns of IDENTITY and chunk_id, chunk_type, campus,
     table_part, table_part_count, row_start, row_end and content. entry numbers a place's entries from 1.
     """
-    tables, entries = proved_tables(parts, rules)
+    tables, _ = proved_tables(parts, rules)
     every = F.array(*(F.lit(p) for p in rules.places))
     asked = requests.select("query_id", F.array_distinct(F.when(F.size("places") > 0, F.col("places")).otherwise(every)).alias("places"), F.coalesce("asked_years", F.array().cast("array<int>")).alias("asked_years"))
     scope = tables.where(url_host(F.col("source_url")).isin(*rules.hosts) & F.col("doc_id").isNotNull() & F.col("year").isNotNull() & F.col("headed"))
@@ -146,7 +173,12 @@ def complete_catalog(requests: DataFrame, parts: DataFrame, rules: CatalogRules)
     whole = whole.where(F.col("proved") & (F.col("covered") == F.col("n_places"))).withColumn("distinct_ids", F.size(F.array_distinct("ids")) == F.size("ids"))
     most = whole.groupBy("query_id").agg(F.max("entries").alias("entries"))
     best = chosen.join(whole.join(most, ["query_id", "entries"]).select("query_id", "document", "distinct_ids"), ["query_id", "document"])
-    rows = best.select("query_id", "document", "distinct_ids", "place", "year", "doc_id", "table_index").join(entries, ["doc_id", "table_index"])
+    best = checkpointed(best.select("query_id", "document", "distinct_ids", "place", "year", "doc_id", "table_index"))
+    # only the chosen tables' lines are numbered
+    keys = best.select("doc_id", "table_index").distinct()
+    few = broadcast_if_small(keys, best.count())
+    entries = with_sections(table_rows(parts.join(few, ["doc_id", "table_index"], "left_semi"), rules))
+    rows = best.join(entries, ["doc_id", "table_index"])
     order = Window.partitionBy("query_id", "document", "place").orderBy("table_part", "at")
     rows = checkpointed(rows.withColumn("entry", F.row_number().over(order)))
     own = F.sha2(F.to_json(F.struct("place", "entry", "name", "code", F.col("section.label").alias("s"), F.col("subsection.label").alias("t"), "header", "cells"), {"ignoreNullFields": "false"}), 256)

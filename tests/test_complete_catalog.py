@@ -133,3 +133,17 @@ def test_place_by_place(spark):
     rows = [part("whole", 0, "2024", "A", 1, 1, 1), part("small", 0, "2024", "B", 1, 1, 1), part("small", 1, "2024", "B", 1, 3, 1, row_end=9), part("old", 0, "2023", "C", 1, 1, 1), part("tie", 0, "2024", "D", 1, 1, 1), part("tie", 1, "2024", "D", 1, 1, 1)]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id string, table_index int, table_part int, table_part_count int, row_start int, row_end int, content string, title string, source_url string, admission_year string, campus string")
     assert [r.campus for r in ct.complete_catalog(df, ["a.org"]).collect()] == ["A"]
+
+
+def test_proof_keeps_no_lines_and_counts_nothing_distinct(spark, monkeypatch):
+    rows = [("d", i, p, f"{i}-{p}") for i in range(20) for p in (1, 2)]
+    parts = spark.createDataFrame(rows, "doc_id string, table_index long, table_part int, chunk_id string").repartition(4, "table_index")
+    text = "| no | Code | Name |\n| --- | --- | --- |\n| {p} | 700{p} | x |"
+    content = F.replace(F.lit(text), F.lit("{p}"), F.col("table_part").cast("string"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("source_file", "raw_file", "version", "content_hash", "academic_year")]
+    parts = parts.select("*", content.alias("content"), F.lit("table").alias("chunk_type"), F.lit("https://a.org/x").alias("source_url"), *none, F.lit("2024").alias("admission_year"), F.lit("N").alias("campus"), F.lit(2).alias("table_part_count"), F.col("table_part").alias("row_start"), F.col("table_part").alias("row_end"))
+    monkeypatch.setattr(cc, "checkpointed", None)
+    tables, entries = cc.proved_tables(parts, RULES)
+    assert [(r.declared, r.entries, r.fault) for r in tables.collect()] == [(2, 2, None)] * 20 and entries.count() == 40
+    # several distinct counts would multiply the rows before they are shuffled
+    assert "Expand" not in tables._jdf.queryExecution().executedPlan().toString()
