@@ -47,3 +47,18 @@ def test_terms_are_sought_in_the_whole_text(spark, texts):
     has = lambda t, terms: any(x in t.lower() for x in terms)
     want = sorted(d for d, r in texts.items() if has(r.text, ("the", "que")) and not has(r.text, ("$", "!!")))
     assert sorted(r.doc_id for r in corpus_queries.term_filter(spark, SF).collect()) == want
+
+
+def test_golden_pairs_move_only_near_texts(spark, monkeypatch, tmp_path):
+    from corpusloom.plans import search_queries
+
+    docs = [(0, "xone two three four five six sevenx"), (1, "one two three four five six eight"), (2, "to be or not"), (3, "a.b"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'s' source", "'en' lang").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "one two three four five six seven"), (2, "o be or no"), (3, "."), (4, "two three four"), (5, "one two three four five six nine")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near, keep = [], search_queries.checkpointed
+    monkeypatch.setattr(search_queries, "checkpointed", lambda df: near.append(keep(df)) or near[-1])
+    got = search_queries.golden_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 2), (3, 3), (4, 0), (4, 1)]
+    # only ids of what shares a key with an item are kept and joined with the texts
+    assert near[0].columns == ["chunk_id", "case_id"] and near[0].count() == 7
