@@ -71,7 +71,10 @@ def citation_id_collisions(spark, sf):
 
 def _answers(spark, sf) -> tuple[DataFrame, DataFrame]:
     """An answer for each item that quotes the hits which contain it by number, and one number that is no source."""
-    h = _hits(spark, sf, 10)
+    return _answers_of(spark, sf, _hits(spark, sf, 10))
+
+
+def _answers_of(spark, sf, h) -> tuple[DataFrame, DataFrame]:
     marks = F.array_sort(F.collect_list(F.when(F.contains("content", "query"), F.col("rank"))))
     text = F.concat_ws(" ", F.transform(marks, lambda r: F.concat(F.lit("see ["), r.cast("string"), F.lit("]"))))
     quoted = h.groupBy("query_id").agg(text.alias("t"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import catalog_tables, chunking, context, dense, embedding, evaluation, fusion, quality
 from corpusloom.plans.corpus_queries import CHUNKS_SQL, docs, sql_tokens
-from corpusloom.plans.evidence_queries import _answers, _found, _hits, _spaced
+from corpusloom.plans.evidence_queries import _answers_of, _found, _hits, _spaced
 from corpusloom.plans.search_queries import _ITEMS, _benchmark, _near_sql, _search_sql, dense_topk
 from corpusloom.runtime import read_table
 from corpusloom.sources import corpus
@@ -69,9 +69,9 @@ def seed_cover_catalog(spark, sf):
 
 
 def citation_details(spark, sf):
-    a, _ = _answers(spark, sf)
-    answers = a.join(_benchmark(spark, sf), "query_id")
     h = _hits(spark, sf, 10)
+    a, _ = _answers_of(spark, sf, h)
+    answers = a.join(_benchmark(spark, sf), "query_id")
     none = F.lit(None).cast("string")
     title = F.when(F.length("content") % 2 == 0, F.col("lang"))
     sources = h.select("query_id", "chunk_id", "content", "score", title.alias("title"), "source", none.alias("source_url"), F.lit("document").alias("source_type"), F.col("chunk_id").alias("doc_id"), F.lit(1).alias("page_number"), F.col("lang").alias("section"), none.alias("published_at"), none.alias("retrieved_at"))

@@ -49,6 +49,16 @@ def test_terms_are_sought_in_the_whole_text(spark, texts):
     assert sorted(r.doc_id for r in corpus_queries.term_filter(spark, SF).collect()) == want
 
 
+def test_citation_details_searches_once(spark, monkeypatch):
+    from corpusloom.operators import sparse
+    from corpusloom.plans import step_queries
+
+    calls, search = [], sparse.bm25_topk
+    monkeypatch.setattr(sparse, "bm25_topk", lambda *a: calls.append(1) or search(*a))
+    step_queries.citation_details(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_golden_pairs_move_only_near_texts(spark, monkeypatch, tmp_path):
     from corpusloom.plans import search_queries
 
