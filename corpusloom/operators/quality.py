@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalized_markdown
-from corpusloom.runtime import rank_in_groups
+from corpusloom.runtime import broadcast_if_small, checkpointed, rank_in_groups
 
 
 def split_load_status(docs: DataFrame, path: str = "path") -> DataFrame:
@@ -239,8 +239,12 @@ def is_pdf_link(url: F.Column) -> F.Column:
 
 
 def evidence_membership(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, status): whether quoted evidence is in its chunk: ok, no_chunk, field_differs or quote_missing."""
-    c = chunks.select(F.col("chunk_id").alias("c_id"), *(F.col(n).alias(f"c_{n}") for n in ("doc_id", "title", "page_number", "source_url", "content")))
+    """(chunk_id, status): whether quoted evidence is in its chunk: ok, no_chunk, field_differs or quote_missing.
+
+    Only the chunks that are named are shuffled, with their texts.
+    """
+    named = checkpointed(evidence.select("chunk_id").distinct())
+    c = chunks.join(broadcast_if_small(named, named.count()), "chunk_id", "left_semi").select(F.col("chunk_id").alias("c_id"), *(F.col(n).alias(f"c_{n}") for n in ("doc_id", "title", "page_number", "source_url", "content")))
     j = evidence.join(c, F.col("chunk_id") == F.col("c_id"), "left")
     same = F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & F.col("title").eqNullSafe(F.col("c_title")) & F.col("page").eqNullSafe(F.col("c_page_number")) & F.col("source_url").eqNullSafe(F.col("c_source_url"))
     inside = F.contains(normalized_markdown(F.col("c_content")), normalized_markdown(F.col("quote")))

@@ -72,3 +72,14 @@ def test_golden_pairs_move_only_near_texts(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 2), (3, 3), (4, 0), (4, 1)]
     # only ids of what shares a key with an item are kept and joined with the texts
     assert near[0].columns == ["chunk_id", "case_id"] and near[0].count() == 7
+
+
+def test_only_named_chunks_meet_the_evidence(spark, monkeypatch):
+    from corpusloom.operators import quality
+
+    chunks = spark.range(50).selectExpr("id AS chunk_id", "id AS doc_id", "'t' title", "1 page_number", "'u' source_url", "concat('text ', id) content")
+    e = spark.createDataFrame([(1, 1, "t", 1, "u", "TEXT 1"), (1, 1, "t", 1, "u", "other"), (2, 3, "t", 1, "u", "text"), (99, 99, "t", 1, "u", "text")], "chunk_id long, doc_id long, title string, page int, source_url string, quote string")
+    named, hint = [], quality.broadcast_if_small
+    monkeypatch.setattr(quality, "broadcast_if_small", lambda df, n: named.append(n) or hint(df, n))
+    assert sorted(map(tuple, quality.evidence_membership(e, chunks).collect())) == [(1, "ok"), (1, "quote_missing"), (2, "field_differs"), (99, "no_chunk")]
+    assert named == [3]
