@@ -82,12 +82,18 @@ def body_pieces(body: Column, width: Column) -> Column:
 
 def section_pieces(heading: Column, body: Column, size: int) -> Column:
     """A section's pieces, each under its heading; a heading that leaves no room stands alone before them."""
-    head = F.coalesce(stripped(heading), F.lit(""))
-    room = F.when(head == "", F.lit(size)).otherwise(F.lit(size) - F.length(head) - 2)
-    alone = F.when(head == "", F.array().cast(_STRINGS)).otherwise(F.array(head))
-    pieces = body_pieces(body, F.when(room <= 0, F.lit(size)).otherwise(room))
-    headed = F.transform(pieces, lambda p: F.concat(head, F.lit("\n\n"), p))
-    return F.when(body == "", alone).when(head == "", pieces).when(room <= 0, F.concat(alone, pieces)).otherwise(headed)
+
+    def under(head: Column) -> Column:
+        room = F.when(head == "", F.lit(size)).otherwise(F.lit(size) - F.length(head) - 2)
+        return let(room, lambda r: laid(head, r))
+
+    def laid(head: Column, room: Column) -> Column:
+        alone = F.when(head == "", F.array().cast(_STRINGS)).otherwise(F.array(head))
+        pieces = let(F.when(room <= 0, F.lit(size)).otherwise(room), lambda width: body_pieces(body, width))
+        headed = F.transform(pieces, lambda p: F.concat(head, F.lit("\n\n"), p))
+        return F.when(body == "", alone).when(head == "", pieces).when(room <= 0, F.concat(alone, pieces)).otherwise(headed)
+
+    return let(F.coalesce(stripped(heading), F.lit("")), under)
 
 
 # Sections -------------------------------------------------------------------------------------------------------------
@@ -306,12 +312,20 @@ def without_table_rows(pages: DataFrame) -> DataFrame:
     signatures = F.transform(rows, lambda r: F.transform(r, lambda c: tight(F.coalesce(c, F.lit("")))))
     marked = pages.withColumns({"__rows": F.coalesce(F.array_distinct(F.transform(signatures, lambda s: F.array_join(s, "\x1f"))), none), "__flat": F.coalesce(F.array_distinct(F.transform(signatures, lambda s: F.array_join(F.filter(s, lambda c: c != ""), " "))), none)})
 
-    def stays(line: Column) -> Column:
-        cells = cells_of(stripped(line))
-        a_row = F.array_contains("__rows", F.array_join(F.transform(cells, tight), "\x1f")) | is_separator(cells)
-        return ~(cells.isNotNull() & a_row) & ~((tight(line) != "") & F.array_contains("__flat", tight(line)))
+    def repeats(cells: Column) -> Column:
+        return F.array_contains("__rows", F.array_join(F.transform(cells, tight), "\x1f")) | is_separator(cells)
 
-    kept = stripped(F.array_join(F.filter(lines_of(F.coalesce("text", F.lit(""))), stays), "\n"))
+    def stays(line: Column) -> Column:
+        # only what looks like a row is split into cells, only lines of pages with tables are tightened, each once
+        bar = F.lit("|")
+        as_row = F.when(F.contains(line, bar), let(stripped(line), lambda x: F.when(F.startswith(x, bar) & F.endswith(x, bar), let(cells_of(x), repeats))))
+        as_text = F.when(F.size("__flat") > 0, let(tight(line), lambda x: (x != "") & F.array_contains("__flat", x)))
+        return ~F.coalesce(as_row, F.lit(False)) & ~F.coalesce(as_text, F.lit(False))
+
+    text = F.coalesce("text", F.lit(""))
+    lines = F.array_join(F.filter(lines_of(text), stays), "\n")
+    plain = ~F.contains(text, F.lit("|")) & (F.size("__flat") == 0)
+    kept = stripped(F.when(plain, F.regexp_replace(text, LINE_END, "\n")).otherwise(lines))
     return marked.withColumn("text", kept).drop("__rows", "__flat")
 
 

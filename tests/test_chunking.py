@@ -154,3 +154,14 @@ def test_clean_tables(spark):
     df = spark.createDataFrame([([["a", None], [None, " "]],), ([[None]],)], "rows array<array<string>>")
     assert [r.rows for r in ck.clean_extracted_tables(df).collect()] == [[["a", ""]]]
     assert ck.with_document_chunk_count(spark.createDataFrame([(1,), (1,), (2,)], "doc_id long")).agg(F.max("document_chunk_count").alias("m")).first().m == 2
+
+
+def test_pages_without_bars_are_not_looked_at_by_line(spark, monkeypatch):
+    rows = [("a", " x\r\ny z\n\n", []), ("b", None, []), ("c", "a  b\nc", [([["a", "b"]], 1)]), ("d", "x\n | --- |\n", []), ("e", "| u |\nu", [([["u"]], 1)])]
+    df = spark.createDataFrame([(d, 1, t, [], x) for d, t, x in rows], f"doc_id string, page_number int, text string, headings array<struct<text:string,level:int>>, tables {st.TABLES}")
+    assert {r.doc_id: r.text for r in st.without_table_rows(df).collect()} == {"a": "x\ny\nz", "b": "", "c": "c", "d": "x", "e": ""}
+    # a line is split into cells once, and tightened only on pages with tables
+    calls, cells = [], st.cells_of
+    monkeypatch.setattr(st, "cells_of", lambda line: calls.append(1) or cells(line))
+    plan = st.without_table_rows(df).select("text")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and plan.count("(?<!\\\\)\\|") == 1
