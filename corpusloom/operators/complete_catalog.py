@@ -5,8 +5,9 @@ among *all* tables that declare themselves in scope, damaged ones too; only then
 damaged winner refuses its document, so a smaller or an older table can't stand in for it. One document must cover all places that
 the request asks for; of several complete documents those with most entries count, and if they disagree there is no answer.
 
-A part's lines are told apart within its row; only entries of chosen tables leave it. A table's proof is one grouping without
-distinct counts, the choice a few small ones.
+A part's lines are read in Arrow batches, once for a proof: a row a part with its counts and marks leaves them, no line. A request's
+tables are chosen by metadata alone; of the text of all tables only first parts are read for it. Only the parts of documents that are
+whole by their metadata are kept and read in full.
 
 Defined results: null or blank metadata never matches a host, year or place; a table without parts or rows isn't proved; requests
 without places ask for all ``CatalogRules.places``; repeated requests give repeated rows; empty inputs give empty results.
@@ -14,22 +15,34 @@ without places ask for all ``CatalogRules.places``; repeated requests give repea
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold, url_host, years
+from corpusloom.functions.text import BASE_OF, url_host, years
 from corpusloom.runtime import broadcast_if_small, checkpointed
 
 #: Metadata that all parts of a table have in common.
 IDENTITY = ("doc_id", "source_url", "source_file", "raw_file", "version", "content_hash", "admission_year", "academic_year", "table_index")
 #: Metadata that tells versions of documents apart.
 DOCUMENT = ("doc_id", "source_url", "source_file", "raw_file", "version", "content_hash")
-#: Signs that a copied cell may not have, separator cells, and section numbers.
-UNSAFE = r"[<>\[\]\\\x00-\x1f\x7f]|https?://"
-SEPARATOR, SECTION_NUMBER = r"^:?-{3,}:?$", r"^[IVX]*$"
+#: The end of a text as ``$`` finds it in the JVM, before a last line terminator too (no cell has an ASCII one).
+END = r"(?=[\x85\u2028\u2029]?\Z)"
+#: Signs that a copied cell may not have, emphasis, separator cells, numbers of entries and of sections.
+UNSAFE, EMPHASIS = re.compile(r"[<>\[\]\\\x00-\x1f\x7f]|https?://"), re.compile(r"\*\*|__|`")
+SEPARATOR, NUMBER, SECTION_NUMBER = (re.compile(p + END) for p in (r":?-{3,}:?", r"[0-9]+", r"[IVX]*"))
+BARS, WHITE = re.compile(r"\A\|+|\|+" + END), re.compile(r"[ \t\n\x0b\f\r]+")
 LONGEST_NAME, MOST_PARTS = 300, 1000
+#: Lines that a worker remembers for one header, and headers.
+REMEMBERED, REMEMBERED_HEADERS = 1000, 100
+#: Hashes of chosen tables are broadcast up to so many, 8 bytes each.
+MOST_HASHES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -43,59 +56,164 @@ class CatalogRules:
     places: tuple[str, ...]
 
 
-def _cells(line: Column) -> Column:
-    bare = F.regexp_replace(F.trim(line), r"^\|+|\|+$", "")
-    return F.transform(F.split(bare, r"\|"), lambda c: F.trim(F.regexp_replace(c, r"\*\*|__|`", "")))
+def _cells(line: str) -> list[str]:
+    bare = line.strip(" ").strip("|") if line.isascii() else BARS.sub("", line.strip(" "))
+    if "*" in line or "_" in line or "`" in line:
+        return [EMPHASIS.sub("", c).strip(" ") for c in bare.split("|")]
+    return [c.strip(" ") for c in bare.split("|")]
 
 
-def _folded(cell: Column) -> Column:
-    """``fold``, which is ``lower`` for cells of ASCII characters alone."""
-    return F.when(cell.rlike(r"^[\x00-\x7f]*$"), F.lower(cell)).otherwise(fold(cell))
+def _folded(cell: str) -> str:
+    """As ``functions.text.fold``."""
+    if cell.isascii():
+        return cell.lower()
+    bare = cell.lower().replace("ß", "ss").translate(BASE_OF)
+    return "".join(c for c in bare if unicodedata.category(c) != "Mn").replace("đ", "d")
 
 
-def _first_with(folded: Column, beginning: str) -> Column:
-    """The place of the first cell whose folded text begins so, from 0; null if none does."""
-    return F.nullif(F.array_position(F.transform(folded, lambda c: F.startswith(c, F.lit(beginning))), F.lit(True)), F.lit(0)) - 1
+@lru_cache(16)
+def line_reader(rules: CatalogRules) -> Callable[[str | None], Iterator[tuple]]:
+    """A function from a part's content to its lines from the first header on, as (at, (cells, header, folded, kind, name, code, unnumbered)).
 
-
-def with_lines(parts: DataFrame, rules: CatalogRules) -> DataFrame:
-    """Add ``lines``, each part's lines from its first header on as (at, cells, header, folded, kind, name, code, unnumbered).
-
-    kind is header, section, entry or broken; separators and lines above a part's first header are left out. A broken line
-    is neither a numbered entry with a right code and a safe name, nor a section, or has not as many cells as its header. All within
-    a row: no shuffle.
+    kind is header, section, entry or broken; folded is the header's cells, folded and joined. Separators and lines above the first header are
+    left out. A broken line is neither a numbered entry with a right code and a safe name, nor a section, or has not as many cells as its header.
+    Headers, separators and sections come again and again: up to REMEMBERED of them are read once.
     """
-    def each(df: DataFrame, **new) -> DataFrame:
-        """Add fields to the lines; one step reads what the steps before it have added."""
-        known = [f for f in df.schema["lines"].dataType.elementType.names if f not in new]
-        return df.withColumn("lines", F.transform("lines", lambda x: F.struct(*(x[f].alias(f) for f in known), *(of(x).alias(f) for f, of in new.items()))))
-
-    split = F.transform(F.split("content", r"\r\n|\n|\r"), lambda line, at: F.struct(at.alias("at"), line.alias("line")))
-    lines = parts.withColumn("lines", F.filter(split, lambda x: F.contains(x["line"], F.lit("|"))))
-    lines = each(lines, cells=lambda x: _cells(x["line"]))
-    lines = each(lines, line=lambda x: F.transform(x["cells"], _folded))
-    lines = each(lines, n=lambda x: _first_with(x["line"], rules.name_header), c=lambda x: _first_with(x["line"], rules.code_header))
-    lines = lines.withColumn("heads", F.filter("lines", lambda x: x["n"].isNotNull() & x["c"].isNotNull()))
-    lines = each(lines, head=lambda x: F.try_element_at(F.filter("heads", lambda h: h["at"] <= x["at"]), F.lit(-1)))
-    is_header = lambda x: x["n"].isNotNull() & x["c"].isNotNull()
-    lines = lines.withColumn("lines", F.filter("lines", lambda x: x["head"].isNotNull() & (is_header(x) | ~F.forall(x["cells"], lambda c: c.rlike(SEPARATOR)))))
-    lines = each(lines, first=lambda x: F.get(x["cells"], F.lit(0)), name=lambda x: F.get(x["cells"], x["head"]["n"].cast("int")), code=lambda x: F.get(x["cells"], x["head"]["c"].cast("int")))
-
-    def kind(x: Column) -> Column:
-        name, code, first, safe = x["name"], x["code"], x["first"], ~x["name"].rlike(UNSAFE)
-        entry = first.rlike(r"^\d+$") & code.rlike(rf"^(?:{rules.code_pattern})$") & (name != "") & (F.length(name) <= LONGEST_NAME) & safe
-        section = first.rlike(SECTION_NUMBER) & (name != "") & (name == code) & safe
-        return F.when(is_header(x), "header").when(F.size(x["cells"]) != F.size(x["head"]["cells"]), "broken").when(entry, "entry").when(section, "section").otherwise("broken")
-
-    shown = lambda x: F.struct(x["at"].alias("at"), x["cells"].alias("cells"), x["head"]["cells"].alias("header"), x["head"]["line"].alias("folded"), kind(x).alias("kind"), x["name"].alias("name"), F.regexp_replace(x["code"], r"\s+", "").alias("code"), (x["first"] == "").alias("unnumbered"))
-    return lines.withColumn("lines", F.transform("lines", shown)).drop("heads")
+    code_like = re.compile(f"(?:{rules.code_pattern}){END}", re.ASCII)
+    place = lambda folded, beginning: next((i for i, c in enumerate(folded) if c.startswith(beginning)), None)
+
+    def line_of(line: str, head: tuple | None) -> tuple:
+        """(its header as (line, cells, folded, n, c), own fields) under a header; own fields are None for a line that is left out."""
+        plain = line.isascii() and not ("*" in line or "_" in line or "`" in line)
+        cells = [x.strip(" ") for x in line.strip(" ").strip("|").split("|")] if plain else _cells(line)
+        # a cell of ASCII characters without emphasis stands in its line
+        if not plain or (rules.name_header in (low := line.lower()) and rules.code_header in low):
+            folded = [_folded(x) for x in cells]
+            n, c = place(folded, rules.name_header), place(folded, rules.code_header)
+            if n is not None and c is not None:
+                return (line, cells, "|".join(folded), n, c), (cells, cells, "|".join(folded), "header", cells[n], WHITE.sub("", cells[c]), cells[0] == "")
+        if head is None:
+            return None, None
+        _, top, folded, n, c = head
+        first, many = cells[0], len(cells)
+        if first[:1] in "-:" and all(SEPARATOR.match(x) for x in cells):
+            return head, None
+        kind, name, code = "broken", cells[n] if n < many else None, cells[c] if c < many else None
+        if many == len(top) and name and not UNSAFE.search(name):
+            if code_like.match(code) and NUMBER.match(first) and len(name) <= LONGEST_NAME:
+                kind = "entry"
+            elif name == code and SECTION_NUMBER.match(first):
+                kind = "section"
+        return head, (cells, top, folded, kind, name, code if not code or code.isalnum() else WHITE.sub("", code), first == "")
+
+    #: By the header above a line: the lines themselves.
+    remembered = {None: {}}
+
+    def read(content: str | None) -> Iterator[tuple]:
+        head, known = None, remembered[None]
+        text = content or ""
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        for at, line in enumerate(text.split("\n")):
+            got = known.get(line)
+            if got is None:
+                if "|" not in line:
+                    continue
+                got = line_of(line, head)
+                if (got[1] is None or got[1][3] in ("header", "section")) and len(known) < REMEMBERED:
+                    known[line] = got
+            under, own = got
+            if under is not head:
+                head, known = under, remembered.get(under[0])
+                if known is None:
+                    known = {}
+                    if len(remembered) < REMEMBERED_HEADERS:
+                        remembered[under[0]] = known
+            if own is not None:
+                yield at, own
+
+    return read
+
+
+def part_facts(content: str | Column, rules: CatalogRules) -> Column:
+    """What a proof takes from a part's text: physical (lines without headers), broken, the least and most header (all null without header),
+    entries, and marks: a line an entry (e and its code) or section (n or u, numbered or not, and its label)."""
+    def facts(texts: pa.Array) -> pa.Array:
+        read = line_reader(rules)
+        rows = []
+        for text in texts.to_numpy(zero_copy_only=False):
+            least, physical, broken, entries, marks = None, 0, False, 0, []
+            for _, (_, _, folded, kind, name, code, unnumbered) in read(text):
+                physical += 1
+                if kind == "entry":
+                    entries += 1
+                    marks.append("e" + code)
+                elif kind == "header":
+                    physical -= 1
+                    least, most = (folded, folded) if least is None else (min(least, folded), max(most, folded))
+                elif kind == "section":
+                    marks.append(("u" if unnumbered else "n") + name)
+                else:
+                    broken = True
+            rows.append((None, None, None, None, 0, None) if least is None else (physical, broken, least, most, entries, "\n".join(marks) if marks else None))
+        columns = zip(*rows, strict=True) if rows else ((),) * 6
+        names = ("physical", "broken", "least", "most", "entries", "marks")
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names)
+
+    return F.arrow_udf(facts, "physical int, broken boolean, least string, most string, entries int, marks string")(content)
+
+
+def _repeats_code(marks: str | None) -> bool:
+    """Whether a section, or the same subsection of it, has a code twice: sections as in ``with_sections``."""
+    lines = marks.split("\n") if marks else []
+    codes = [m for m in lines if m[0] == "e"]
+    if len(set(codes)) == len(codes):
+        return False
+    section, below, seen = None, None, set()
+    for m in lines:
+        if m[0] == "e":
+            if (section, below, m) in seen:
+                return True
+            seen.add((section, below, m))
+        elif m[0] == "n" or section is None:
+            section, below = m[1:], None
+        else:
+            below = m[1:]
+    return False
+
+
+def repeats_code(marks: str | Column) -> Column:
+    def repeats(texts: pa.Array) -> pa.Array:
+        return pa.array([_repeats_code(t) for t in texts.to_numpy(zero_copy_only=False)], pa.bool_())
+
+    return F.arrow_udf(repeats, "boolean")(marks)
+
+
+def is_headed(content: str | Column, rules: CatalogRules) -> Column:
+    """Whether a part has a header; it is read no further."""
+    def headed(texts: pa.Array) -> pa.Array:
+        read = line_reader(rules)
+        return pa.array([next(read(t), None) is not None for t in texts.to_numpy(zero_copy_only=False)], pa.bool_())
+
+    return F.arrow_udf(headed, "boolean")(content)
 
 
 def table_rows(parts: DataFrame, rules: CatalogRules) -> DataFrame:
     """(doc_id, table_index, table_part, chunk_id, at, cells, header, kind, name, code, unnumbered): lines from a part's first header on."""
     key = ["doc_id", "table_index", "table_part", "chunk_id"]
-    # a plain explode would have its input tested by a filter below the joins that made the parts, which splits each text again
-    return with_lines(parts, rules).select(*key, F.explode_outer("lines").alias("x")).where("x IS NOT NULL").select(*key, *(f"x.{c}" for c in ("at", "cells", "header", "kind", "name", "code", "unnumbered")))
+    texts = pa.list_(pa.string())
+    fields = (("at", pa.int32()), ("cells", texts), ("header", texts), ("kind", pa.string()), ("name", pa.string()), ("code", pa.string()), ("unnumbered", pa.bool_()))
+    def lines(contents: pa.Array) -> pa.Array:
+        read = line_reader(rules)
+        rows = [[(at, *x[:2], *x[3:]) for at, x in read(t)] for t in contents.to_numpy(zero_copy_only=False)]
+        ends = [0]
+        for r in rows:
+            ends.append(ends[-1] + len(r))
+        own = pa.StructArray.from_arrays([pa.array([x[i] for r in rows for x in r], kind) for i, (_, kind) in enumerate(fields)], [n for n, _ in fields])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)
+
+    of = F.arrow_udf(lines, "array<struct<at int, cells array<string>, header array<string>, kind string, name string, code string, unnumbered boolean>>")
+    return parts.select(*key, of("content").alias("lines")).select(*key, F.explode("lines").alias("x")).select(*key, *(f"x.{n}" for n, _ in fields))
 
 
 def with_sections(rows: DataFrame) -> DataFrame:
@@ -112,42 +230,89 @@ def with_sections(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'entry'").drop("own", "begins", "nth", "unnumbered", "kind")
 
 
-def proved_tables(parts: DataFrame, rules: CatalogRules) -> tuple[DataFrame, DataFrame]:
-    """(tables, entries). tables: a row a table with its metadata, declared size, whether its first part has a header, and
-    ``fault``, the first rule that it breaks (null: complete). entries: the numbered rows of all tables under their sections."""
-    entries = with_sections(table_rows(parts, rules))
+def _rule(ok: Column, name: str) -> Column:
+    return F.when(~F.coalesce(ok, F.lit(False)), name)
+
+
+def _of_lines() -> list[Column]:
+    """What a table's lines must be, over the columns of ``part_facts``: as many as declared, under one header, none broken."""
+    physical = F.bool_and(F.coalesce(F.col("physical") == F.col("row_end") - F.col("row_start") + 1, F.lit(False)))
+    header = (F.min("least") == F.max("most")) & (F.count("least") == F.count("*"))
+    return [_rule(physical, "physical"), _rule(header, "header"), _rule(~F.bool_or(F.coalesce("broken", F.lit(True))), "broken")]
+
+
+def _in_order(marks: Column) -> Column:
+    """Aggregate: a table's marks in order of its parts."""
+    return F.array_join(F.sort_array(F.collect_list(F.when(marks.isNotNull(), F.struct("table_part", marks.alias("marks")))))["marks"], "\n").alias("marks")
+
+
+def _own_ids(chunk_id: Column) -> Column:
+    """Aggregate: whether each part has a name of its own; ``chunk_id`` may be null in rows that make a table faulty anyway."""
+    return (F.size(F.collect_set(chunk_id)) == F.count("*")) & F.bool_and(F.coalesce(F.col("chunk_id") != "", F.lit(False)))
+
+
+def _tables(parts: DataFrame, first: list[Column], ids: list[Column], faults: list[Column], more: list[Column]) -> DataFrame:
+    """A row a table: its first part's metadata and ``first``, declared size, ``fault`` by metadata, with ``ids`` and ``faults``, and ``more``.
+
+    ``part_row`` is true in a part number's first row, up to MOST_PARTS: a table with other rows has the fault ``parts``. Without ``ids``, ``faults``
+    and ``more`` a table's rows are folded as they come, none is collected.
+    """
     key = ["doc_id", "table_index"]
-    own = with_lines(parts, rules)
-    heads = F.transform("lines", lambda x: x["folded"])
-    told = F.size("lines") > 0
-    of_part = {"physical": F.when(told, F.size(F.filter("lines", lambda x: x["kind"] != "header"))), "broken": F.when(told, F.exists("lines", lambda x: x["kind"] == "broken")), "least": F.array_min(heads), "most": F.array_max(heads)}
     order = Window.partitionBy(*key).orderBy("table_part", "chunk_id")
     follows = F.col("row_start") == F.coalesce(F.lag("row_end").over(order), F.lit(0)) + 1
-    both = own.withColumns(of_part).drop("lines", "content").withColumns({"follows": follows, "new_part": ~F.col("table_part").eqNullSafe(F.lag("table_part").over(order))})
-    again = entries.groupBy(*key, "section.label", F.col("subsection.label").alias("below"), "code").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("most_codes"), F.sum("n").alias("entries"))
-    year = years(F.coalesce(F.nullif("admission_year", F.lit("")), "academic_year"))
-    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    one = lambda c: F.min(said(c)) == F.max(said(c))
-    rule = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
+    new_part = F.col("table_part").isNotNull() & ~F.col("table_part").eqNullSafe(F.lag("table_part").over(order))
+    rows = parts.withColumns({"follows": follows, "part_row": new_part & F.col("table_part").between(1, MOST_PARTS)})
     n = F.max("table_part_count")
-    alike = F.lit(True)
-    for c in (*IDENTITY, "campus"):
-        alike = alike & one(c)
-    faults = (
-        rule((F.min("table_part_count") == n) & n.between(1, MOST_PARTS) & (F.count("*") == n) & (F.count_if(F.col("new_part") & F.col("table_part").isNotNull()) == n) & (F.min("table_part") == 1) & (F.max("table_part") == n), "parts"),
-        rule(F.bool_and(F.coalesce(F.col("chunk_type") == "table", F.lit(False))), "type"),
-        rule(alike, "identity"),
-        rule((F.size(F.collect_set("chunk_id")) == F.count("*")) & F.bool_and(F.coalesce(F.col("chunk_id") != "", F.lit(False))), "ids"),
-        rule(F.bool_and(F.coalesce(F.col("follows") & (F.col("row_end") >= F.col("row_start")), F.lit(False))), "rows"),
-        rule(F.bool_and(F.coalesce(F.col("physical") == F.col("row_end") - F.col("row_start") + 1, F.lit(False))), "physical"),
-        rule((F.min("least") == F.max("most")) & (F.count("least") == F.count("*")), "header"),
-        rule(~F.bool_or(F.coalesce("broken", F.lit(True))), "broken"),
+    same = F.struct(*(F.col(c).cast("string") for c in (*IDENTITY, "campus") if c not in key))
+    metadata = (
+        _rule((F.min("table_part_count") == n) & n.between(1, MOST_PARTS) & (F.count("*") == n) & (F.count_if("part_row") == n) & (F.min("table_part") == 1) & (F.max("table_part") == n), "parts"),
+        _rule(F.bool_and(F.coalesce(F.col("chunk_type") == "table", F.lit(False))), "type"),
+        _rule(F.min(same) == F.max(same), "identity"),
+        *ids,
+        _rule(F.bool_and(F.coalesce(F.col("follows") & (F.col("row_end") >= F.col("row_start")), F.lit(False))), "rows"),
     )
-    first = F.min_by(F.struct(*(c for c in parts.columns if c not in ("content", "doc_id", "table_index")), year.alias("year"), F.col("least").isNotNull().alias("headed")), F.struct("table_part", "chunk_id")).alias("first")
-    tables = both.groupBy(*key).agg(first, F.coalesce(F.max("row_end"), F.lit(0)).alias("declared"), F.coalesce(*faults).alias("fault"), F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids")).join(again, key, "left")
-    fault = F.coalesce("fault", F.when(F.coalesce("entries", F.lit(0)) == 0, "empty").when(F.col("most_codes") > 1, "codes"))
-    year = F.when(F.col("first.year.kind") == "single", F.get("first.year.values", F.lit(0)))
-    return tables.select(*key, *(F.col(f"first.{c}").alias(c) for c in (*DOCUMENT[1:], "campus")), year.alias("year"), F.col("first.headed").alias("headed"), "declared", "chunk_ids", F.coalesce("entries", F.lit(0)).alias("entries"), fault.alias("fault")), entries
+    said = F.coalesce(F.nullif("admission_year", F.lit("")), "academic_year")
+    year = years(said)
+    one = F.min_by(F.struct(*DOCUMENT[1:], "campus", "admission_year", "academic_year", *first), F.struct("table_part", "chunk_id")).alias("first")
+    tables = rows.groupBy(*key).agg(one, F.coalesce(F.max("row_end"), F.lit(0)).alias("declared"), F.coalesce(*metadata, *faults, F.lit(None)).alias("fault"), *more)
+    extra = [c for c in tables.columns if c not in (*key, "first")]
+    tables = tables.select(*key, "first.*", *extra)
+    # most say a year and nothing else
+    alone = (F.length(said) == 4) & said.rlike(r"^(19|20|21)[0-9]{2}$")
+    return tables.withColumn("year", F.when(alone, said.try_cast("int")).when(year["kind"] == "single", F.get(year["values"], F.lit(0)))).drop("admission_year", "academic_year")
+
+
+def proved_tables(parts: DataFrame, rules: CatalogRules) -> tuple[DataFrame, DataFrame]:
+    """(tables, entries). tables: a row a table with its metadata, declared size, whether its first part has a header, and
+    ``fault``, the first rule that it breaks (null: complete). entries: the numbered rows of all tables under their sections."""
+    own = parts.withColumn("facts", part_facts("content", rules)).select(*(c for c in parts.columns if c != "content"), "facts.*")
+    own = own.withColumnRenamed("entries", "part_entries").withColumnRenamed("marks", "part_marks")
+    held = F.when(F.col("part_row"), F.col("part_marks"))
+    ids = _rule(_own_ids(F.when(F.col("part_row"), F.col("chunk_id"))), "ids")
+    tables = _tables(own, [F.col("least").isNotNull().alias("headed")], [ids], _of_lines(), [F.sum("part_entries").alias("entries"), _in_order(held)])
+    fault = F.coalesce("fault", F.when(F.col("entries") == 0, "empty").when(repeats_code(F.col("marks")), "codes"))
+    return tables.withColumn("fault", fault).drop("marks"), with_sections(table_rows(parts, rules))
+
+
+def _chosen(requests: DataFrame, parts: DataFrame, rules: CatalogRules) -> DataFrame:
+    """(query_id, document, place, year, doc_id, table_index): the newest, widest tables of documents that are whole by their metadata, one
+    untied table for each place that the request asks for. Checkpointed."""
+    tables = _tables(parts, [F.col("content")], [], [], [])
+    every = F.array(*(F.lit(p) for p in rules.places))
+    asked = requests.select("query_id", F.array_distinct(F.when(F.size("places") > 0, F.col("places")).otherwise(every)).alias("places"), F.coalesce("asked_years", F.array().cast("array<int>")).alias("asked_years"))
+    wanted = asked.select("query_id", F.size("places").alias("n_places"), "asked_years", F.explode("places").alias("place"))
+    scope = tables.where(url_host(F.col("source_url")).isin(*rules.hosts) & F.col("doc_id").isNotNull() & F.col("year").isNotNull())
+    document = F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DOCUMENT))), 256)
+    scope = scope.select("campus", "year", "doc_id", "table_index", "declared", document.alias("document"), F.col("fault").isNull().alias("sound"), is_headed("content", rules).alias("headed")).where("headed")
+    found = wanted.join(scope, F.col("place") == F.col("campus")).where((F.size("asked_years") == 0) | ((F.size("asked_years") == 1) & F.array_contains("asked_years", F.col("year"))))
+    found = checkpointed(found.select("query_id", "n_places", "place", "year", "document", "doc_id", "table_index", "declared", "sound"))
+    # one row a query: broadcast for few requests; for many, what follows needs no other shuffle
+    newest = broadcast_if_small(found.groupBy("query_id").agg(F.max("year").alias("year")), requests.count())
+    same = ["query_id", "year", "document", "place", "n_places"]
+    sizes = found.join(newest, ["query_id", "year"]).groupBy(*same, "declared").agg(F.count("*").alias("tied"), F.bool_and("sound").alias("sound"), F.min("doc_id").alias("doc_id"), F.min("table_index").alias("table_index"))
+    widest = sizes.groupBy(*same).agg(F.max_by(F.struct("tied", "sound", "doc_id", "table_index"), "declared").alias("x"))
+    whole = widest.groupBy("query_id", "year", "document", "n_places").agg(F.count("*").alias("covered"), F.bool_and((F.col("x.tied") == 1) & F.col("x.sound")).alias("whole"), F.collect_list(F.struct("place", "x.doc_id", "x.table_index")).alias("tables"))
+    return checkpointed(whole.where(F.col("whole") & (F.col("covered") == F.col("n_places"))).select("query_id", "document", "year", F.inline("tables")))
 
 
 def complete_catalog(requests: DataFrame, parts: DataFrame, rules: CatalogRules) -> DataFrame:
@@ -156,35 +321,31 @@ def complete_catalog(requests: DataFrame, parts: DataFrame, rules: CatalogRules)
     ``requests`` has (query_id, places, asked_years), both arrays; ``parts`` the columns of IDENTITY and chunk_id, chunk_type, campus,
     table_part, table_part_count, row_start, row_end and content. entry numbers a place's entries from 1.
     """
-    tables, _ = proved_tables(parts, rules)
-    every = F.array(*(F.lit(p) for p in rules.places))
-    asked = requests.select("query_id", F.array_distinct(F.when(F.size("places") > 0, F.col("places")).otherwise(every)).alias("places"), F.coalesce("asked_years", F.array().cast("array<int>")).alias("asked_years"))
-    scope = tables.where(url_host(F.col("source_url")).isin(*rules.hosts) & F.col("doc_id").isNotNull() & F.col("year").isNotNull() & F.col("headed"))
-    wanted = asked.select("query_id", F.size("places").alias("n_places"), "asked_years", F.explode("places").alias("place"))
-    found = wanted.join(scope, F.col("place") == F.col("campus")).where((F.size("asked_years") == 0) | ((F.size("asked_years") == 1) & F.array_contains("asked_years", F.col("year"))))
-    found = checkpointed(found.select("query_id", "n_places", "place", "year", *DOCUMENT, "table_index", "declared", "entries", "chunk_ids", "fault"))
-    newest = found.groupBy("query_id").agg(F.max("year").alias("year"))
-    document = F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DOCUMENT))), 256)
-    found = found.join(newest, ["query_id", "year"]).withColumn("document", document)
-    widest = found.groupBy("query_id", "document", "place").agg(F.max("declared").alias("declared"))
-    chosen = found.join(widest, ["query_id", "document", "place", "declared"])
-    alone = chosen.groupBy("query_id", "document", "place", "n_places").agg(F.count("*").alias("tied"), F.first("fault").alias("fault"), F.first("entries").alias("entries"), F.first("chunk_ids").alias("chunk_ids"))
-    whole = alone.groupBy("query_id", "document", "n_places").agg(F.count("*").alias("covered"), F.bool_and((F.col("tied") == 1) & F.col("fault").isNull()).alias("proved"), F.sum("entries").alias("entries"), F.flatten(F.collect_list("chunk_ids")).alias("ids"))
-    whole = whole.where(F.col("proved") & (F.col("covered") == F.col("n_places"))).withColumn("distinct_ids", F.size(F.array_distinct("ids")) == F.size("ids"))
+    key = ["doc_id", "table_index"]
+    chosen = _chosen(requests, parts, rules)
+    # only chosen tables' parts are kept and read; a hash that another table shares is harmless, for joins with chosen follow
+    hashes = chosen.select(F.xxhash64(*key).alias("hash")).distinct()
+    hashes = F.broadcast(hashes) if chosen.count() <= MOST_HASHES else hashes
+    few = parts.withColumn("hash", F.xxhash64(*key)).join(hashes, "hash", "left_semi")
+    few = checkpointed(few.select(*key, "table_part", "chunk_id", "row_start", "row_end", "content"))
+    read = few.withColumn("facts", part_facts("content", rules)).select(*key, "table_part", "chunk_id", "row_start", "row_end", "facts.*")
+    proved = read.groupBy(*key).agg(F.coalesce(_rule(_own_ids(F.col("chunk_id")), "ids"), *_of_lines()).alias("fault"), F.sum("entries").alias("table_entries"), _in_order(F.col("marks")))
+    proved = proved.select(*key, "table_entries", (F.col("fault").isNull() & (F.col("table_entries") > 0) & ~repeats_code("marks")).alias("proved"))
+    ids = few.select(*key, "chunk_id")
+    both = chosen.join(proved, key)
+    whole = both.groupBy("query_id", "document").agg(F.bool_and("proved").alias("proved"), F.sum("table_entries").alias("entries"), F.collect_list(F.struct("place", "year", *key)).alias("tables")).where("proved")
     most = whole.groupBy("query_id").agg(F.max("entries").alias("entries"))
-    best = chosen.join(whole.join(most, ["query_id", "entries"]).select("query_id", "document", "distinct_ids"), ["query_id", "document"])
-    best = checkpointed(best.select("query_id", "document", "distinct_ids", "place", "year", "doc_id", "table_index"))
-    # only the chosen tables' lines are numbered
-    keys = best.select("doc_id", "table_index").distinct()
-    few = broadcast_if_small(keys, best.count())
-    entries = with_sections(table_rows(parts.join(few, ["doc_id", "table_index"], "left_semi"), rules))
-    rows = best.join(entries, ["doc_id", "table_index"])
+    best = checkpointed(whole.join(most, ["query_id", "entries"]).select("query_id", "document", F.inline("tables")))
+    repeated = best.join(ids, key).groupBy("query_id", "document", "chunk_id").agg(F.count("*").alias("times")).groupBy("query_id", "document").agg((F.max("times") == 1).alias("distinct_ids"))
+    entries = with_sections(table_rows(few.join(best.select(*key).distinct(), key, "left_semi"), rules))
     order = Window.partitionBy("query_id", "document", "place").orderBy("table_part", "at")
-    rows = checkpointed(rows.withColumn("entry", F.row_number().over(order)))
+    rows = checkpointed(best.join(entries, key).withColumn("entry", F.row_number().over(order)))
     own = F.sha2(F.to_json(F.struct("place", "entry", "name", "code", F.col("section.label").alias("s"), F.col("subsection.label").alias("t"), "header", "cells"), {"ignoreNullFields": "false"}), 256)
     # equal sets of digested entries are equal catalogues, for place and number tell entries apart
-    signed = rows.groupBy("query_id", "document", "distinct_ids").agg(F.sum(F.conv(F.substring(own, 1, 15), 16, 10).cast("decimal(38,0)")).alias("s1"), F.sum(F.conv(F.substring(own, 17, 15), 16, 10).cast("decimal(38,0)")).alias("s2"))
-    agreed = signed.groupBy("query_id").agg(F.count_distinct("s1", "s2").alias("n"), F.min(F.struct("document", "distinct_ids")).alias("one")).where("n = 1 AND one.distinct_ids").select("query_id", F.col("one.document").alias("document"))
+    signed = rows.groupBy("query_id", "document").agg(F.sum(F.conv(F.substring(own, 1, 15), 16, 10).cast("decimal(38,0)")).alias("s1"), F.sum(F.conv(F.substring(own, 17, 15), 16, 10).cast("decimal(38,0)")).alias("s2")).join(repeated, ["query_id", "document"])
+    agreed = signed.groupBy("query_id").agg(F.count_distinct("s1", "s2").alias("n"), F.min(F.struct("document", "distinct_ids")).alias("one")).where("n = 1 AND one.distinct_ids")
+    # whoever reads the result several times, as a rendering does, digests nothing again
+    agreed = checkpointed(agreed.select("query_id", F.col("one.document").alias("document")))
     labels = F.col("header").alias("labels")
     return rows.join(agreed, ["query_id", "document"]).select("query_id", "place", "year", "doc_id", "table_index", "entry", "name", "code", "section", "subsection", labels, "cells", "chunk_id")
 

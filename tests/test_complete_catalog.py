@@ -147,3 +147,41 @@ def test_proof_keeps_no_lines_and_counts_nothing_distinct(spark, monkeypatch):
     assert [(r.declared, r.entries, r.fault) for r in tables.collect()] == [(2, 2, None)] * 20 and entries.count() == 40
     # several distinct counts would multiply the rows before they are shuffled
     assert "Expand" not in tables._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_proof_reads_each_text_once_in_batches(spark):
+    df = spark.createDataFrame([tuple(p.get(n) for n in NAMES) for p in damage("none")], COLUMNS)
+    tables = cc.proved_tables(df, RULES)[0].select("doc_id", "table_index", "declared", "entries", "fault")
+    plan = tables._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [facts(content") == 1 and "lambdafunction" not in plan
+    assert sorted((r.table_index, r.entries, r.fault) for r in tables.collect()) == [(0, 2, None), (1, 2, None)]
+
+
+def test_only_parts_of_whole_documents_are_kept_and_read(spark, monkeypatch):
+    kept, real = [], cc.checkpointed
+    monkeypatch.setattr(cc, "checkpointed", lambda df: kept.append(real(df)) or kept[-1])
+    cases = {f"older{y}": family(year=y, table=y) + family("S", year=y, table=y + 100) for y in range(2000, 2020)}
+    parts = [p for own in cases.values() for p in own] + family() + family("S") + family(doc="half") + [p | {"table_part_count": 9} for p in family(doc="damaged") + family("S", doc="damaged")]
+    df = spark.createDataFrame([tuple(p.get(n) for n in NAMES) for p in parts], COLUMNS)
+    requests = spark.createDataFrame([(1, ["N", "S"], [])], "query_id long, places array<string>, asked_years array<int>")
+    found = cc.complete_catalog(requests, df, RULES)
+    assert [r.code for r in found.orderBy("place", "entry").collect()] == ["7001", "7002", "7001", "7002"]
+    texts = [k for k in kept if "content" in k.columns]
+    assert len(texts) == 1 and texts[0].count() == 6 and {r.doc_id for r in texts[0].collect()} == {"d"}
+
+
+def test_rendering_digests_nothing_again(spark):
+    df = spark.createDataFrame([tuple(p.get(n) for n in NAMES) for p in family()], COLUMNS)
+    requests = spark.createDataFrame([(1, ["N"], [])], "query_id long, places array<string>, asked_years array<int>")
+    entries = cc.complete_catalog(requests, df, RULES)
+    marked = df.select(F.lit(1).cast("long").alias("query_id"), "chunk_id", F.col("table_part").alias("marker"))
+    text = cc.render_catalog(entries, marked)
+    assert "sha2" not in text._jdf.queryExecution().optimizedPlan().toString() and text.count() == 1
+
+
+def test_remembered_lines_stand_under_their_own_header():
+    read = cc.line_reader(RULES)
+    wide = "| no | Code | Name of it | more |"
+    lines = ["above | it", HEADER.strip(), "| I | A | A |", "| 1 | 7001 | A |", wide, "| I | A | A |", "| 1 | 7001 | A | x |", "| no | **Còde** | __Nâme__ |", "|| I | A | A ||"]
+    for _ in range(2):
+        assert [(at, x[3], len(x[1])) for at, x in read("\r\n".join(lines))] == [(1, "header", 3), (3, "section", 3), (4, "entry", 3), (5, "header", 4), (6, "broken", 4), (7, "entry", 4), (8, "header", 3), (9, "section", 3)]
