@@ -251,17 +251,21 @@ def _own_ids(chunk_id: Column) -> Column:
     return (F.size(F.collect_set(chunk_id)) == F.count("*")) & F.bool_and(F.coalesce(F.col("chunk_id") != "", F.lit(False)))
 
 
-def _tables(parts: DataFrame, first: list[Column], ids: list[Column], faults: list[Column], more: list[Column]) -> DataFrame:
+def _numbered(parts: DataFrame) -> DataFrame:
+    """Add follows (a part's rows begin where those of the part before it end) and part_row (a part number's first row, up to MOST_PARTS)."""
+    order = Window.partitionBy("doc_id", "table_index").orderBy("table_part", "chunk_id")
+    follows = F.col("row_start") == F.coalesce(F.lag("row_end").over(order), F.lit(0)) + 1
+    new_part = F.col("table_part").isNotNull() & ~F.col("table_part").eqNullSafe(F.lag("table_part").over(order))
+    return parts.withColumns({"follows": follows, "part_row": new_part & F.col("table_part").between(1, MOST_PARTS)})
+
+
+def _tables(rows: DataFrame, first: list[Column], ids: list[Column], faults: list[Column], more: list[Column]) -> DataFrame:
     """A row a table: its first part's metadata and ``first``, declared size, ``fault`` by metadata, with ``ids`` and ``faults``, and ``more``.
 
-    ``part_row`` is true in a part number's first row, up to MOST_PARTS: a table with other rows has the fault ``parts``. Without ``ids``, ``faults``
-    and ``more`` a table's rows are folded as they come, none is collected.
+    ``rows`` are ``_numbered``; a table with rows that aren't a part_row has the fault ``parts``. Without ``ids``, ``faults`` and ``more`` a table's
+    rows are folded as they come, none is collected.
     """
     key = ["doc_id", "table_index"]
-    order = Window.partitionBy(*key).orderBy("table_part", "chunk_id")
-    follows = F.col("row_start") == F.coalesce(F.lag("row_end").over(order), F.lit(0)) + 1
-    new_part = F.col("table_part").isNotNull() & ~F.col("table_part").eqNullSafe(F.lag("table_part").over(order))
-    rows = parts.withColumns({"follows": follows, "part_row": new_part & F.col("table_part").between(1, MOST_PARTS)})
     n = F.max("table_part_count")
     same = F.struct(*(F.col(c).cast("string") for c in (*IDENTITY, "campus") if c not in key))
     metadata = (
@@ -285,7 +289,8 @@ def _tables(parts: DataFrame, first: list[Column], ids: list[Column], faults: li
 def proved_tables(parts: DataFrame, rules: CatalogRules) -> tuple[DataFrame, DataFrame]:
     """(tables, entries). tables: a row a table with its metadata, declared size, whether its first part has a header, and
     ``fault``, the first rule that it breaks (null: complete). entries: the numbered rows of all tables under their sections."""
-    own = parts.withColumn("facts", part_facts("content", rules)).select(*(c for c in parts.columns if c != "content"), "facts.*")
+    # tables are numbered before they are read: a reading in Python hides how its rows lie, and would have them shuffled first
+    own = _numbered(parts).withColumn("facts", part_facts("content", rules)).select(*(c for c in parts.columns if c != "content"), "follows", "part_row", "facts.*")
     own = own.withColumnRenamed("entries", "part_entries").withColumnRenamed("marks", "part_marks")
     held = F.when(F.col("part_row"), F.col("part_marks"))
     ids = _rule(_own_ids(F.when(F.col("part_row"), F.col("chunk_id"))), "ids")
@@ -297,7 +302,7 @@ def proved_tables(parts: DataFrame, rules: CatalogRules) -> tuple[DataFrame, Dat
 def _chosen(requests: DataFrame, parts: DataFrame, rules: CatalogRules) -> DataFrame:
     """(query_id, document, place, year, doc_id, table_index): the newest, widest tables of documents that are whole by their metadata, one
     untied table for each place that the request asks for. Checkpointed."""
-    tables = _tables(parts, [F.col("content")], [], [], [])
+    tables = _tables(_numbered(parts), [F.col("content")], [], [], [])
     every = F.array(*(F.lit(p) for p in rules.places))
     asked = requests.select("query_id", F.array_distinct(F.when(F.size("places") > 0, F.col("places")).otherwise(every)).alias("places"), F.coalesce("asked_years", F.array().cast("array<int>")).alias("asked_years"))
     wanted = asked.select("query_id", F.size("places").alias("n_places"), "asked_years", F.explode("places").alias("place"))
